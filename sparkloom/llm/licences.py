@@ -67,7 +67,7 @@ def anchors(templates: tuple[tuple[str, str], ...], threshold: float) -> list[st
     chosen: list[str] = []
     while any(len(g) >= n for g, n in zip(left, least, strict=True) if n):
         count = Counter(w for g, n in zip(left, least, strict=True) if n and len(g) >= n for x in g for w in set(x.split()))
-        word = max(count, key=lambda w: (len(w) > 5, len(w) > 4, count[w], len(w), w))
+        word = max(count, key=lambda w: (len(w) > 5, count[w], len(w), w))
         chosen.append(word)
         left = [{x for x in g if word not in x.split()} for g in left]
     return chosen
@@ -83,7 +83,14 @@ def licences(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
     words = anchors(templates, threshold)
     known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(i).alias("rank"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, sorted(g))).alias("grams")) for i, (name, text) in enumerate(templates) if (g := bigram_set(text))])
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    has = lambda low: reduce(lambda a, w: a | F.contains(low, F.lit(w)), words[1:], F.contains(low, F.lit(words[0])))
+    short = [w for w in words if len(w) < 6]  # these must be whole words, or prose would be full of them
+
+    def has(low: Column) -> Column:
+        tests = [F.contains(low, F.lit(w)) for w in words if w not in short]
+        if short:
+            tests.append(low.rlike(f"(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])"))
+        return reduce(lambda a, b: a | b, tests)
+
     pieces = F.concat(F.array(F.col("__t")), F.split("__t", "\\n[\\x20\\x09\\r]*\\n"), F.split("__t", "\\n"), F.split("__t", "\\n|(?<=[.!?])[\\x20\\x09]+"))
     segments = F.array_distinct(F.transform(F.filter(pieces, lambda x: has(F.lower(x))), lambda x: F.trim(x)))
 
