@@ -83,12 +83,10 @@ def licences(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
     words = anchors(templates, threshold)
     known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(i).alias("rank"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, sorted(g))).alias("grams")) for i, (name, text) in enumerate(templates) if (g := bigram_set(text))])
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    short = [w for w in words if len(w) < 6]  # these must be whole words, or prose would be full of them
 
     def has(low: Column) -> Column:
-        tests = [F.contains(low, F.lit(w)) for w in words if w not in short]
-        if short:
-            tests.append(low.rlike(f"(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])"))
+        """A short anchor must be a whole word, or prose would be full of it."""
+        tests = [F.contains(low, F.lit(w)) if len(w) > 5 else F.contains(low, F.lit(w)) & low.rlike(f"(?<![a-z0-9]){w}(?![a-z0-9])") for w in words]
         return reduce(lambda a, b: a | b, tests)
 
     pieces = F.concat(F.array(F.col("__t")), F.split("__t", "\\n[\\x20\\x09\\r]*\\n"), F.split("__t", "\\n"), F.split("__t", "\\n|(?<=[.!?])[\\x20\\x09]+"))
