@@ -5,12 +5,11 @@ j-th slot, and a slot keeps the least offer. Ranks are gone through for all shin
 soon as no slot holds more than the rank (early stopping).
 
 Texts with the same shingle set are one class, so exact copies meet once. Classes that agree in one of `bands` bands are
-candidates; with 32 bands of 4 rows, a pair of similarity 0.8 is none with probability 5e-8. All pairs of a group are never
-compared: a bucket of up to SMALL_BUCKET members compares those in different components, a larger one its smallest id with all
-others, which joins a group of copies at once. What is still apart in a larger bucket (documents that share a passage, say) is
-dealt again by this and each later band together, LEVELS deep: a pair of similarity 0.8 agrees in 13 bands on average, and in
-fewer than 3 with probability 1e-5. Buckets that stay large after that go on, one smallest id against all others in each
-round, until their members are one component or all pairs across components were compared: nothing is capped.
+candidates; with 32 bands of 4 rows, a pair of similarity 0.8 is none with probability 5e-8. First a bucket compares its
+smallest id with all others, which joins a group of copies at once, and small buckets all their pairs. What is then still apart
+in a larger bucket is compared across components, but for pairs that cannot reach the similarity: shingles that one open set
+alone has are counted, and a set of n with `own` such shingles shares n - own at most with any other. Pairs within a component
+are never formed, and nothing is capped.
 
 Defined results: null texts, and texts without a word, have no shingles and are linked with nothing. Rows that share a
 doc_id are one node. Rows with a null doc_id keep a null component_id, are linked with nothing and kept.
@@ -30,10 +29,8 @@ from .common import stored
 from .components import connected_components
 
 BANDS, ROWS = 32, 4
-#: Members of a bucket up to which all pairs in different components are compared at once.
+#: Members of a bucket up to which all pairs are compared at once.
 SMALL_BUCKET = 8
-#: Bands that deal a large bucket out, before its members are compared one by one.
-LEVELS = 3
 #: Shingles whose permutations are held at a time.
 _CHUNK = 1 << 17
 _FRACTION = 48
@@ -140,21 +137,9 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of buckets with more than one id."""
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("bucket")
-    return rows.join(shared, "bucket").select("bucket", "band", "id", "n", "comp")
-
-
-def _unsettled(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that hold more than one component."""
-    split = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-    return rows.join(split, "bucket").select("bucket", "band", "id", "n", "comp")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b, and the sizes low and high) those whose sets have that similarity in per cent at least."""
-    near = pairs.filter(f"100 * low >= {percent} * high").select("a", "b")
+    """Of the pairs (x, y, sizes nx and ny) those, each once, whose sets have that similarity in per cent at least."""
+    near = pairs.filter(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = near.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.filter(f"100 * common >= {percent} * (size(sa) + size(sb) - common)").select("a", "b")
@@ -169,40 +154,38 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     classes = usable.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"))
     classes = stored(classes, "near-classes")
     first = usable.join(classes.select(F.col("id").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
-    first = stored(first.select(F.col("doc_id").alias("id"), "n", "bands"), "near-first")
-    keyed = first.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
-    members = stored(_shared(keyed.withColumn("comp", F.col("id"))), "near-members")
+    keyed = first.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("bucket")
+    members = stored(keyed.join(shared, "bucket").select("bucket", "id", "n"), "near-members")
     linked = members.select(F.col("id").alias("doc_id")).distinct()
     sets = stored(_sets(docs.join(linked, "doc_id", "left_semi"), shingle_words).dropDuplicates(["id"]), "near-sets")
 
-    labels, level = None, 1
-    while True:
-        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n", "comp")).alias("lead"))
-        with_lead = members.join(sizes, "bucket")
-        lead = with_lead.filter(f"size > {SMALL_BUCKET} and lead.comp <> comp").select(F.col("lead.id").alias("x"), F.col("id").alias("y"), F.col("lead.n").alias("nx"), F.col("n").alias("ny"))
-        few = with_lead.filter(f"size <= {SMALL_BUCKET}").select("bucket", "id", "n", "comp")
-        other = few.select("bucket", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-        pairs = few.join(other, "bucket").filter("id < y and comp <> cy").select(F.col("id").alias("x"), "y", F.col("n").alias("nx"), "ny")
-        pairs = lead.union(pairs).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.least("nx", "ny").alias("low"), F.greatest("nx", "ny").alias("high")).distinct()
-        links = _verified(pairs, sets, percent)
-        if labels is not None:
-            links = links.union(labels)
-        labels = stored(connected_components(links), "near-labels").select(F.col("id").alias("a"), F.col("component").alias("b"))
-        # a leader was compared with all of its bucket and leaves it; buckets that are one component are settled
-        rest = with_lead.filter(f"size > {SMALL_BUCKET} and lead.id <> id").select("bucket", "band", "id", "n")
-        rest = rest.join(labels, rest["id"] == labels["a"], "left").select("bucket", "band", "id", "n", F.coalesce("b", "id").alias("comp"))
-        rest = stored(_unsettled(rest), "near-rest")
-        if rest.isEmpty():
-            break
-        if level < LEVELS:
-            further = rest.join(first.select("id", "bands"), "id").select("id", "n", "comp", "bucket", F.expr("slice(bands, band + 2, 1000)").alias("more"), "band")
-            further = further.select("id", "n", "comp", "bucket", "band", F.posexplode("more").alias("step", "key"))
-            keyed = further.select("id", "n", (F.col("band") + F.col("step") + 1).alias("band"), F.xxhash64("bucket", "key").alias("bucket"), "comp")
-            members = stored(_unsettled(_shared(keyed)), "near-members")
-        else:
-            members = rest
-        level += 1
-    of_class = classes.join(labels, classes["id"] == labels["a"], "left").select("d1", "d2", "n", F.coalesce("b", "id").alias("component_id"))
+    # first each bucket's smallest id with all others, and all pairs of small buckets
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("lead"))
+    with_lead = members.join(sizes, "bucket")
+    lead = with_lead.filter("lead.id <> id").select(F.col("lead.id").alias("x"), F.col("id").alias("y"), F.col("lead.n").alias("nx"), F.col("n").alias("ny"))
+    few = with_lead.filter(f"size <= {SMALL_BUCKET} and lead.id <> id").select("bucket", F.col("id").alias("x"), F.col("n").alias("nx"))
+    pairs = few.join(few.select("bucket", F.col("x").alias("y"), F.col("nx").alias("ny")), "bucket").filter("x < y").select("x", "y", "nx", "ny")
+    labels = stored(connected_components(_verified(lead.union(pairs), sets, percent)), "near-labels")
+
+    # then, in larger buckets of more than one component, the rest of the pairs across components
+    rest = with_lead.filter(f"size > {SMALL_BUCKET} and lead.id <> id").select("bucket", "id", "n").join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("comp"))
+    counts = rest.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
+    rest = rest.join(counts.filter("comps > 1").select("bucket", F.col("m.comp").alias("main")), "bucket")
+    rest = stored(rest, "near-rest")
+    if not rest.isEmpty():
+        open_ids = rest.select("id").distinct()
+        tokens = sets.join(open_ids, "id", "left_semi").repartition("id").select("id", F.explode("shingles").alias("token"))
+        alone = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+        # a set with `own` shingles that no other open set has shares n - own at most, so its partners have `reach` shingles at most
+        reach = (F.col("n") - F.coalesce("own", F.lit(0))) * (100 + percent) / percent - F.col("n") + 1e-6
+        rest = stored(rest.join(alone, "id", "left").withColumn("reach", reach).filter("reach > 0").select("bucket", "id", "n", "comp", "main", "reach"), "near-reach")
+        x, y = rest.filter("comp <> main").alias("x"), rest.alias("y")
+        meet = F.expr("x.bucket = y.bucket and x.comp <> y.comp and (y.comp = y.main or x.id < y.id) and y.n <= x.reach and x.n <= y.reach")
+        across = x.join(y, meet).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny"))
+        links = _verified(across, sets, percent).union(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        labels = stored(connected_components(links), "near-labels")
+    of_class = classes.join(labels, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component_id"))
     known = signed.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return known.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
