@@ -8,7 +8,8 @@ Texts with the same shingle set are one class, so exact copies meet once. Classe
 candidates; with 32 bands of 4 rows, a pair of similarity 0.8 is none with probability 5e-8. First a bucket compares its
 smallest id with all others, which joins a group of copies at once, and small buckets all their pairs. What is then still apart
 in a larger bucket is compared across components, but for pairs that cannot reach the similarity: shingles that one open set
-alone has are counted, and a set of n with `own` such shingles shares n - own at most with any other. Pairs within a component
+alone has are counted, and a set of n with `own` such shingles shares n - own at most with any other; and two sets differ in as
+many shingles at least as their bit sketches do in bits. Pairs within a component
 are never formed, and nothing is capped.
 
 Defined results: null texts, and texts without a word, have no shingles and are linked with nothing. Rows that share a
@@ -31,6 +32,8 @@ from .components import connected_components
 BANDS, ROWS = 32, 4
 #: Members of a bucket up to which all pairs are compared at once.
 SMALL_BUCKET = 8
+#: Bits by which sets that cannot be near are told apart before they are compared in full.
+SKETCH_BITS = 2048
 #: Shingles whose permutations are held at a time.
 _CHUNK = 1 << 17
 _FRACTION = 48
@@ -132,9 +135,13 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             data, offsets = K.text_buffers(part.column("text"))
             for a, b in K.batches(data, offsets, 1 << 20):
                 own, by = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(a, b - a), K.list_array(own.view(np.int64), by, pa.int64())], ["id", "shingles"])
+                marks = np.zeros((b - a, SKETCH_BITS), np.uint8)
+                marks[np.repeat(np.arange(b - a), np.diff(by)), (own % K.U(SKETCH_BITS)).astype(np.int64)] = 1
+                sketch = np.packbits(marks, axis=1).view(np.int64)
+                at = np.arange(b - a + 1) * (SKETCH_BITS // 64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(a, b - a), K.list_array(own.view(np.int64), by, pa.int64()), K.list_array(sketch.reshape(-1), at, pa.int64())], ["id", "shingles", "sketch"])
 
-    return docs.mapInArrow(run, "id bigint, shingles array<bigint>")
+    return docs.mapInArrow(run, "id bigint, shingles array<bigint>, sketch array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -180,8 +187,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         # a set with `own` shingles that no other open set has shares n - own at most, so its partners have `reach` shingles at most
         reach = (F.col("n") - F.coalesce("own", F.lit(0))) * (100 + percent) / percent - F.col("n") + 1e-6
         rest = stored(rest.join(alone, "id", "left").withColumn("reach", reach).filter("reach > 0").select("bucket", "id", "n", "comp", "main", "reach"), "near-reach")
+        rest = rest.join(sets.select("id", "sketch"), "id")
         x, y = rest.filter("comp <> main").alias("x"), rest.alias("y")
-        meet = F.expr("x.bucket = y.bucket and x.comp <> y.comp and (y.comp = y.main or x.id < y.id) and y.n <= x.reach and x.n <= y.reach")
+        # sketches differ in no more bits than sets in shingles
+        differ = f"aggregate(zip_with(x.sketch, y.sketch, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v) * {100 + percent} <= (x.n + y.n) * {100 - percent}"
+        meet = F.expr(f"x.bucket = y.bucket and x.comp <> y.comp and (y.comp = y.main or x.id < y.id) and y.n <= x.reach and x.n <= y.reach and {differ}")
         across = x.join(y, meet).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny"))
         links = _verified(across, sets, percent).union(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
         labels = stored(connected_components(links), "near-labels")
