@@ -1,0 +1,215 @@
+"""Byte-level byte-pair encoding: pre-tokens, learning merges, encoding and decoding."""
+
+from __future__ import annotations
+
+import heapq
+import json
+import os
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.functions.patterns import BYTE_OFFSET, FIRST_MERGE, MAX_VOCAB, PRETOKEN, PRETOKEN_SPLIT, SPECIALS
+
+#: Merges up to which encoding folds string replacements in the JVM; with more, distinct words go through an Arrow UDF.
+FOLDED_MERGES = 512
+_SHIFT = 256  # id i is the character chr(i + 256): below the surrogates for all ids
+_BETWEEN = "\ue000"
+
+
+def pretokens(text: Column, split_digits: bool = False) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PRETOKEN_SPLIT if split_digits else PRETOKEN), F.lit(0))
+
+
+def pretoken_freq(docs: DataFrame, split_digits: bool = False) -> DataFrame:
+    return docs.select(F.explode(pretokens(F.col("text"), split_digits)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+
+
+def word_ids(word: Column) -> Column:
+    """Byte ids of a word."""
+    return F.transform(F.filter(F.split(F.hex(F.encode(word, "UTF-8")), "(?<=\\G..)"), lambda h: h != ""), lambda h: F.conv(h, 16, 10).cast("int") + BYTE_OFFSET)
+
+
+def pair_counts(words: DataFrame) -> DataFrame:
+    """(a, b, n): neighbouring ids weighted by the words' freq. words: ids, freq."""
+    pairs = F.transform(F.slice("ids", 1, F.greatest(F.size("ids") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("a"), F.get(F.col("ids"), i + 1).alias("b")))
+    return words.select("freq", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("freq").alias("n"))
+
+
+def best_pair(counts: DataFrame) -> DataFrame:
+    """The commonest pair, of equals the largest (a, b): independent of the rows' order."""
+    return counts.orderBy(F.desc("n"), F.desc("a"), F.desc("b")).limit(1)
+
+
+def learn_merges(words: Iterable[tuple[str, int]], n_merges: int, min_freq: int = 2) -> list[tuple[int, int]]:
+    """Merges in order from distinct words and their counts, with an index from pairs to words: each step touches only the words
+    that hold the pair. Of equally common pairs the largest wins; stops below min_freq."""
+    seqs = [[b + BYTE_OFFSET for b in w.encode()] for w, _ in words]
+    freq = [n for _, n in words]
+    count: Counter = Counter()
+    where: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for i, s in enumerate(seqs):
+        for p in zip(s, s[1:], strict=False):
+            count[p] += freq[i]
+            where[p].add(i)
+    heap = [(-n, -a, -b) for (a, b), n in count.items()]
+    heapq.heapify(heap)
+    merges: list[tuple[int, int]] = []
+    while heap and len(merges) < n_merges:
+        n, a, b = heapq.heappop(heap)
+        pair = (-a, -b)
+        if count.get(pair, 0) != -n or n == 0:
+            continue
+        if -n < min_freq:
+            break
+        new = FIRST_MERGE + len(merges)
+        merges.append(pair)
+        touched = set()
+        for i in where.pop(pair):
+            old = seqs[i]
+            out, k = [], 0
+            while k < len(old):
+                if k + 1 < len(old) and (old[k], old[k + 1]) == pair:
+                    out.append(new)
+                    k += 2
+                else:
+                    out.append(old[k])
+                    k += 1
+            for p in zip(old, old[1:], strict=False):
+                count[p] -= freq[i]
+                touched.add(p)
+            for p in zip(out, out[1:], strict=False):
+                count[p] += freq[i]
+                where[p].add(i)
+                touched.add(p)
+            seqs[i] = out
+        for p in touched:
+            if count[p] > 0:
+                heapq.heappush(heap, (-count[p], -p[0], -p[1]))
+            else:
+                count.pop(p, None)
+    return merges
+
+
+def train(docs: DataFrame, vocab_size: int = MAX_VOCAB, min_freq: int = 2) -> list[tuple[int, int]]:
+    """Counting words is distributed; the merge loop runs on the driver over distinct words, as merges depend on one another."""
+    if not FIRST_MERGE < vocab_size <= MAX_VOCAB:
+        raise ValueError(f"vocab_size must lie in {FIRST_MERGE + 1} to {MAX_VOCAB}")
+    words = [(r["word"], r["freq"]) for r in pretoken_freq(docs).toLocalIterator()]
+    return learn_merges(words, vocab_size - FIRST_MERGE, min_freq)
+
+
+def vocabulary(merges: list[tuple[int, int]]) -> dict[int, bytes]:
+    vocab = {i: s.encode() for s, i in SPECIALS.items()} | {BYTE_OFFSET + b: bytes([b]) for b in range(256)}
+    for k, (a, b) in enumerate(merges):
+        vocab[FIRST_MERGE + k] = vocab[a] + vocab[b]
+    return vocab
+
+
+def vocab_table(spark: SparkSession, merges: list[tuple[int, int]]) -> DataFrame:
+    return spark.createDataFrame([(i, bytearray(t)) for i, t in sorted(vocabulary(merges).items())], "token_id int, token binary")
+
+
+def encode_text(text: Column, merges: list[tuple[int, int]]) -> Column:
+    """Ids of a text, JVM-side. A pair that a merge makes ranks after that merge, so one pass over the merges in order equals taking the
+    least rank first; each is a string replacement on one character per id, with a separator between pre-tokens."""
+    latin = "".join(chr(b) for b in range(256))
+    ids = "".join(chr(b + BYTE_OFFSET + _SHIFT) for b in range(256))
+    word = lambda w: F.translate(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"), latin, ids)
+    s = F.array_join(F.transform(pretokens(text), word), _BETWEEN)
+    table = F.array(*[F.struct(F.lit(chr(a + _SHIFT) + chr(b + _SHIFT)).alias("p"), F.lit(chr(FIRST_MERGE + k + _SHIFT)).alias("n")) for k, (a, b) in enumerate(merges)])
+    merged = F.aggregate(table, s, lambda acc, m: F.replace(acc, m["p"], m["n"])) if merges else s
+    plain = F.replace(merged, F.lit(_BETWEEN), F.lit(""))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(plain, ""), lambda c: F.ascii(c) - _SHIFT))
+
+
+class WordEncoder:
+    """Greedy encoding of single words, least rank first."""
+
+    def __init__(self, merges: list[tuple[int, int]]) -> None:
+        self.rank = {p: i for i, p in enumerate(merges)}
+
+    def __call__(self, word: str) -> list[int]:
+        ids = [b + BYTE_OFFSET for b in word.encode()]
+        while len(ids) > 1:
+            rank, pair = min((self.rank.get(p, len(self.rank)), p) for p in zip(ids, ids[1:], strict=False))
+            if rank == len(self.rank):
+                break
+            out, k = [], 0
+            while k < len(ids):
+                step = 2 if k + 1 < len(ids) and (ids[k], ids[k + 1]) == pair else 1
+                out.append(FIRST_MERGE + rank if step == 2 else ids[k])
+                k += step
+            ids = out
+        return ids
+
+
+def encode_documents(docs: DataFrame, merges: list[tuple[int, int]], add_eot: bool = True, add_bos: bool = False, add_eos: bool = False) -> DataFrame:
+    """doc_id, ids. A table of up to FOLDED_MERGES merges is folded in the JVM; a larger one encodes each batch's distinct words in
+    an Arrow UDF."""
+    if len(merges) <= FOLDED_MERGES:
+        ids = encode_text(F.col("text"), merges)
+    else:
+        encode = WordEncoder(merges)
+
+        @F.pandas_udf("array<array<int>>")
+        def words(batch: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            known: dict[str, list[int]] = {}
+            for part in batch:
+                if len(known) > 1_000_000:
+                    known.clear()
+                for w in {x for row in part for x in row} - known.keys():
+                    known[w] = encode(w)
+                yield part.map(lambda row: [known[w] for w in row])
+
+        ids = F.flatten(words(pretokens(F.col("text"))))
+    front = [SPECIALS["<|endoftext|>"]] * add_eot + [SPECIALS["<|bos|>"]] * add_bos
+    back = [SPECIALS["<|eos|>"]] * add_eos
+    whole = F.concat(*[F.array(*map(F.lit, x)) for x in (front,) if x], ids, *[F.array(*map(F.lit, x)) for x in (back,) if x])
+    return docs.select("doc_id", whole.alias("ids"))
+
+
+def decode_documents(encoded: DataFrame, merges: list[tuple[int, int]], skip_special: bool = True, errors: str = "replace") -> DataFrame:
+    """doc_id, text, JVM-side: ids look up their bytes in a constant array (one entry a token), unknown ones give "?"."""
+    if errors not in ("replace", "strict"):
+        raise ValueError("errors must be replace or strict")
+    vocab = vocabulary(merges)
+    table = F.array(*[F.lit("" if skip_special and i < len(SPECIALS) else vocab[i].hex()) for i in range(len(vocab))])
+    hexed = F.array_join(F.transform("ids", lambda i: F.coalesce(F.get(table, i), F.lit("3f"))), "")
+    raw = F.unhex(hexed)
+    text = F.make_valid_utf8(raw.cast("string")) if errors == "replace" else F.decode(raw, "UTF-8")
+    return encoded.select("doc_id", text.alias("text"))
+
+
+def save(merges: list[tuple[int, int]], folder: str, name: str = "tokenizer", overwrite: bool = False) -> str:
+    """tokenizer JSON, vocabulary JSON (by id) and merges text."""
+    path = os.path.join(folder, f"{name}.json")
+    if os.path.exists(path) and not overwrite:
+        raise FileExistsError(path)
+    os.makedirs(folder, exist_ok=True)
+    with open(path, "w") as f:
+        json.dump({"version": "1.0", "vocab_size": FIRST_MERGE + len(merges), "special_tokens": SPECIALS, "merges": [list(m) for m in merges]}, f, indent=2)
+    with open(os.path.join(folder, "vocab.json"), "w") as f:
+        json.dump({str(i): t.decode("latin-1") for i, t in sorted(vocabulary(merges).items())}, f)
+    with open(os.path.join(folder, "merges.txt"), "w") as f:
+        f.writelines(f"{a} {b}  # -> {FIRST_MERGE + k}\n" for k, (a, b) in enumerate(merges))
+    return path
+
+
+def load(path: str) -> list[tuple[int, int]]:
+    with open(path) as f:
+        d = json.load(f)
+    missing = {"version", "vocab_size", "special_tokens", "merges"} - d.keys()
+    if missing:
+        raise ValueError(f"missing keys: {sorted(missing)}")
+    if d["version"] != "1.0":
+        raise ValueError(f"version {d['version']} is not known")
+    if not isinstance(d["merges"], list) or d["vocab_size"] != FIRST_MERGE + len(d["merges"]):
+        raise ValueError("vocab_size does not fit the merges")
+    for k, (a, b) in enumerate(d["merges"]):
+        if not 0 <= min(a, b) <= max(a, b) < FIRST_MERGE + k:
+            raise ValueError(f"merge {k} refers to a later id")
+    return [tuple(m) for m in d["merges"]]

@@ -1,15 +1,434 @@
-"""Named queries over the test tables, and their DuckDB equivalents."""
+"""Named queries over the test tables, each beside its DuckDB equivalent."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from sparkloom.functions.merges import MERGES
+from sparkloom.functions.patterns import FIRST_MERGE, SPECIALS, WS
+from sparkloom.operators import bpe, documents, kernels, shards
+from sparkloom.streaming import encode as streaming
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+CHARS, TOKENS, SHARD, LENGTH, STRIDE, BATCH, VAL = 200_000, 300_000, 20_000, 128, 64, 8, 1
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.read(spark, sf, "documents")
+
+
+# ---- pieces of SQL
+
+CHAR_SQL = "select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as char_count from documents"
+LONG_SQL = f"select * from ({CHAR_SQL}) where char_count >= 100"
+
+
+def tokens_sql(tail: str) -> str:
+    """The list of pre-tokens of x: a mark before the last white space of a run stands for the lookahead that RE2 lacks."""
+    return (
+        f"flatten(list_transform(string_split(regexp_replace(coalesce(text, ''), '([{WS}])([^{WS}])', chr(1) || '\\1\\2', 'g'), chr(1)), "
+        f"lambda x: regexp_extract_all(x, '''s|''t|''re|''ve|''m|''ll|''d|{tail}')))"
+    )
+
+
+PT = tokens_sql(rf" ?[\p{{L}}\p{{N}}_]+| ?[^{WS}\p{{L}}\p{{N}}_]+|[{WS}]+")
+PT_SPLIT = tokens_sql(rf" ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+")
+FREQ_SQL = f"select word, count(*)::bigint as freq from (select unnest({PT}) as word from documents) group by word"
+HEX_IDS = "list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda h: ('0x' || h)::int + 5)"
+PAIRS_SQL = f"select ids[i] as a, ids[i + 1] as b, sum(freq)::bigint as n from (select ids, freq, unnest(range(1, len(ids))) as i from (select {HEX_IDS} as ids, freq from ({FREQ_SQL}))) group by 1, 2"
+
+
+def _fold() -> str:
+    s = "s"
+    for k, (a, b) in enumerate(MERGES):
+        s = f"replace({s}, chr({a + 256}) || chr({b + 256}), chr({FIRST_MERGE + k + 256}))"
+    return s
+
+
+_WORD_CHARS = "array_to_string(list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda h: chr(('0x' || h)::int + 261)), '')"
+IDS_SQL = (
+    f"select doc_id, case when coalesce(text, '') = '' then [] else list_transform(string_split(replace({_fold()}, chr(57344), ''), ''), lambda c: unicode(c) - 256) end as ids "
+    f"from (select doc_id, text, array_to_string(list_transform({PT}, lambda w: {_WORD_CHARS}), chr(57344)) as s from documents)"
+)
+ENC_SQL = f"select doc_id, list_concat([0], ids) as ids from ({IDS_SQL})"
+ENC_AT_SQL = f"select doc_id, ids, (sum(len(ids)) over (order by doc_id) - len(ids))::bigint as first from ({ENC_SQL})"
+FLAT_SQL = f"select first + i - 1 as pos, ids[i] as tok from (select first, ids, unnest(range(1, len(ids) + 1)) as i from ({ENC_AT_SQL}))"
+SHARDS_SQL = f"select (pos // {SHARD})::bigint as shard_index, list(tok order by pos) as tokens from ({FLAT_SQL}) group by 1"
+
+
+def wins_sql(stride: int) -> str:
+    return (
+        f"select shard_index, w::bigint as win_index, tokens[w * {stride} + 1 : w * {stride} + {LENGTH}] as input, tokens[w * {stride} + 2 : w * {stride} + {LENGTH + 1}] as target "
+        f"from (select shard_index, tokens, unnest(range(0, ((len(tokens) - {LENGTH + 1}) // {stride} + 1)::bigint)) as w from ({SHARDS_SQL}) where len(tokens) >= {LENGTH + 1})"
+    )
+
+
+NUMBERED_SQL = f"select *, row_number() over (order by shard_index, win_index) - 1 as rn from ({wins_sql(LENGTH)})"
+
+
+def text_of(col: str) -> str:
+    return f"array_to_string({col}, ',')"
+
+
+# ---- documents
+
+
+@query(f"select doc_id, char_count from ({LONG_SQL})")
+def doc_min_length(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.min_length(docs(spark, sf)).select("doc_id", "char_count")
+
+
+@query("select doc_id, md5(text) as digest from documents where text is not null and text <> ''")
+def doc_nonempty(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.non_empty(docs(spark, sf)).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+@query(f"select doc_id, row_number() over (order by doc_id) - 1 as dense_id from ({LONG_SQL})")
+def doc_dense_id(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.dense_ids(docs(spark, sf)).select("doc_id", "dense_id")
+
+
+@query("select count(*)::bigint as docs, count(*) filter (char_count >= 100)::bigint as kept, count(*) filter (char_count < 100)::bigint as skipped, sum(char_count)::bigint as chars, round(avg(char_count), 6) as avg_chars from (" + CHAR_SQL + ")")
+def stream_counters(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col("char_count")
+    return documents.with_chars(docs(spark, sf)).agg(F.count(F.lit(1)).alias("docs"), F.count_if(c >= 100).alias("kept"), F.count_if(c < 100).alias("skipped"), F.sum(c).alias("chars"), F.round(F.avg(c), 6).alias("avg_chars"))
+
+
+@query(f"select doc_id, char_count, before::bigint as chars_before from (select *, sum(char_count) over (order by doc_id) - char_count as before from ({LONG_SQL})) where before < {CHARS} or before = 0")
+def char_budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.char_budget(docs(spark, sf), CHARS).select("doc_id", "char_count", "chars_before")
+
+
+@query(f"select doc_id, least(len(ids), {TOKENS} - first)::bigint as n_tokens, md5({text_of(f'ids[1 : least(len(ids), {TOKENS} - first)]')}) as digest from ({ENC_AT_SQL}) where first < {TOKENS}")
+def token_budget_truncate(spark: SparkSession, sf: str) -> DataFrame:
+    cut = documents.token_budget(bpe.encode_documents(docs(spark, sf), MERGES), TOKENS)
+    return cut.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("digest"))
+
+
+@query("select budget, count(*) filter (before < budget or before = 0)::bigint as docs, coalesce(sum(char_count) filter (before < budget or before = 0), 0)::bigint as chars from (select *, sum(char_count) over (order by doc_id) - char_count as before from (" + LONG_SQL + ")), (select unnest([100000, 1000000, 5000000, 10000000])::bigint as budget) group by budget")
+def budget_by_preset(spark: SparkSession, sf: str) -> DataFrame:
+    rows = documents.running_before(documents.min_length(docs(spark, sf)), F.col("char_count"), "b").select("char_count", F.col("b"), F.explode(F.array(*[F.lit(x).cast("long") for x in (100_000, 1_000_000, 5_000_000, 10_000_000)])).alias("budget"))
+    inside = (F.col("b") < F.col("budget")) | (F.col("b") == 0)
+    return rows.groupBy("budget").agg(F.count_if(inside).alias("docs"), F.coalesce(F.sum(F.when(inside, F.col("char_count"))), F.lit(0)).cast("long").alias("chars"))
+
+
+# ---- pre-tokens
+
+
+@query(f"select doc_id, len({PT})::bigint as n, md5(array_to_string({PT}, chr(1))) as digest from documents")
+def pretokens_per_doc(spark: SparkSession, sf: str) -> DataFrame:
+    p = bpe.pretokens(F.col("text"))
+    return docs(spark, sf).select("doc_id", p.alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.encode(F.array_join("p", "\x01"), "UTF-8")).alias("digest"))
+
+
+@query(FREQ_SQL)
+def pretoken_freq(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.pretoken_freq(docs(spark, sf))
+
+
+@query(f"select count(distinct word)::bigint as n from (select unnest({PT}) as word from documents)")
+def distinct_pretokens(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.pretoken_freq(docs(spark, sf)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select word, count(*)::bigint as freq from (select unnest({PT_SPLIT}) as word from documents) group by word")
+def pretoken_letters_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.pretoken_freq(docs(spark, sf), split_digits=True)
+
+
+# ---- learning merges
+
+
+def _words(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.pretoken_freq(docs(spark, sf)).select("word", bpe.word_ids(F.col("word")).alias("ids"), "freq")
+
+
+@query(PAIRS_SQL)
+def pair_counts_iter1(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.pair_counts(_words(spark, sf))
+
+
+@query(f"select * from ({PAIRS_SQL}) order by n desc, a desc, b desc limit 1")
+def best_pair_iter1(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.best_pair(bpe.pair_counts(_words(spark, sf)))
+
+
+_FIRST = f"chr({MERGES[0][0] + 256}) || chr({MERGES[0][1] + 256})"
+
+
+@query(f"select word, replace(s, {_FIRST}, chr({FIRST_MERGE + 256})) as merged from (select word, array_to_string(list_transform({HEX_IDS}, lambda i: chr(i + 256)), '') as s from ({FREQ_SQL}))")
+def apply_first_merge(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = MERGES[0]
+    s = F.array_join(F.transform(bpe.word_ids(F.col("word")), lambda i: F.element_at(F.array(*[F.lit(chr(x + 256)) for x in range(FIRST_MERGE)]), i + 1)), "")
+    return bpe.pretoken_freq(docs(spark, sf)).select("word", F.replace(s, F.lit(chr(a + 256) + chr(b + 256)), F.lit(chr(FIRST_MERGE + 256))).alias("merged"))
+
+
+_VOCAB = bpe.vocabulary(MERGES)
+
+
+@query("select * from (values " + ", ".join(f"({i}, '{t.hex()}')" for i, t in _VOCAB.items()) + ") t(token_id, token_hex)")
+def vocab_table(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.vocab_table(spark, MERGES).select("token_id", F.lower(F.hex("token")).alias("token_hex"))
+
+
+# ---- running BPE
+
+
+@query(f"select word, {text_of('ids')} as ids from (select word, list_transform(string_split({_fold()}, ''), lambda c: unicode(c) - 256) as ids from (select word, {_WORD_CHARS.replace('encode(w)', 'encode(word)')} as s from ({FREQ_SQL})))")
+def bpe_encode_words(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.pretoken_freq(docs(spark, sf)).select("word", F.array_join(bpe.encode_text(F.col("word"), MERGES), ",").alias("ids"))
+
+
+@query(f"select doc_id, len(ids)::bigint as n_tokens, md5({text_of('ids')}) as digest from ({ENC_SQL})")
+def bpe_encode_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode_documents(docs(spark, sf), MERGES).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("digest"))
+
+
+@query("select doc_id, md5(coalesce(text, '')) as digest from documents")
+def bpe_decode_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.decode_documents(bpe.encode_documents(docs(spark, sf), MERGES), MERGES).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+@query("select 0::bigint as violations")
+def bpe_roundtrip_violations(spark: SparkSession, sf: str) -> DataFrame:
+    d = docs(spark, sf).select("doc_id", "text", bpe.encode_text(F.col("text"), MERGES).alias("ids"))
+    back = bpe.decode_documents(d.select(F.struct("doc_id", "text").alias("doc_id"), "ids"), MERGES)
+    return back.agg(F.count_if(F.col("text") != F.coalesce(F.col("doc_id.text"), F.lit(""))).alias("violations"))
+
+
+_SPECIAL = "|".join("<[|]" + s[2:-2] + "[|]>" for s in sorted(SPECIALS, key=len, reverse=True))
+
+
+@query(f"select conv_id, turn, len(regexp_extract_all(role || '<|endoftext|>' || text || '<|eos|>', '{_SPECIAL}'))::bigint as n_special, length(regexp_replace(role || '<|endoftext|>' || text || '<|eos|>', '{_SPECIAL}', '', 'g'))::bigint as plain_chars from conversations")
+def special_split(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.concat("role", F.lit("<|endoftext|>"), "text", F.lit("<|eos|>"))
+    return documents.read(spark, sf, "conversations").select("conv_id", "turn", F.size(F.regexp_extract_all(t, F.lit(_SPECIAL), F.lit(0))).cast("long").alias("n_special"), F.char_length(F.regexp_replace(t, _SPECIAL, "")).cast("long").alias("plain_chars"))
+
+
+@query(f"select doc_id, list_min(ids)::int as low, list_max(ids)::int as high, {text_of('list_filter(ids, lambda i: i >= 300)[1:5]')} as first_bad from ({ENC_SQL})")
+def id_range_report(spark: SparkSession, sf: str) -> DataFrame:
+    e = bpe.encode_documents(docs(spark, sf), MERGES)
+    return e.select("doc_id", F.array_min("ids").alias("low"), F.array_max("ids").alias("high"), F.array_join(F.slice(F.filter("ids", lambda i: i >= 300), 1, 5), ",").alias("first_bad"))
+
+
+@query(f"select round(sum(strlen(text))::double / sum(n), 6) as ratio from documents join (select doc_id, len(ids) as n from ({IDS_SQL})) using (doc_id)")
+def compression_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    ids = bpe.encode_text(F.col("text"), MERGES)
+    return docs(spark, sf).select(F.octet_length("text").alias("b"), F.size(ids).alias("n")).agg(F.round(F.sum("b") / F.sum("n"), 6).alias("ratio"))
+
+
+# ---- shards and windows
+
+
+def _shards(spark: SparkSession, sf: str) -> DataFrame:
+    return shards.layout(bpe.encode_documents(docs(spark, sf), MERGES), SHARD)
+
+
+@query(f"select shard_index, len(tokens)::bigint as n, md5({text_of('tokens')}) as digest from ({SHARDS_SQL})")
+def shard_layout(spark: SparkSession, sf: str) -> DataFrame:
+    return _shards(spark, sf).select("shard_index", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", ",")).alias("digest"))
+
+
+@query(f"select shard_index, printf('shard_%05d.npy', shard_index) as filename, len(tokens)::bigint as tokens, (sum(len(tokens)) over ())::bigint as total_tokens, count(*) over () as total_shards from ({SHARDS_SQL})")
+def shard_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    m = shards.manifest(_shards(spark, sf))
+    everything = Window.partitionBy(F.lit(0))  # one row a shard
+    return m.withColumn("total_tokens", F.sum("tokens").over(everything)).withColumn("total_shards", F.count(F.lit(1)).over(everything))
+
+
+@query(f"select shard_index, case when shard_index = {VAL} then 'val' else 'train' end as part, len(tokens)::bigint as n from ({SHARDS_SQL})")
+def shard_train_val_split(spark: SparkSession, sf: str) -> DataFrame:
+    s = _shards(spark, sf)
+    parts = [shards.split(s, VAL, t).select("shard_index", F.lit("train" if t else "val").alias("part"), F.size("tokens").cast("long").alias("n")) for t in (True, False)]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"select coalesce(a.shard_index, b.shard_index) as shard_index, a.n as listed, b.n as found, coalesce(a.n = b.n, false) as agrees from (select shard_index, len(tokens)::bigint as n from ({SHARDS_SQL}) where shard_index <> 0) a full join (select shard_index, len(tokens)::bigint as n from ({SHARDS_SQL}) where shard_index <> {VAL}) b on a.shard_index = b.shard_index")
+def manifest_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    n = _shards(spark, sf).select("shard_index", F.size("tokens").cast("long").alias("n"))
+    a, b = n.filter("shard_index <> 0").withColumnRenamed("n", "listed"), n.filter(f"shard_index <> {VAL}").withColumnRenamed("n", "found")
+    return a.join(b, "shard_index", "full_outer").withColumn("agrees", F.coalesce(F.col("listed") == F.col("found"), F.lit(False)))
+
+
+def _digested(w: DataFrame, *more: str) -> DataFrame:
+    return w.select(*more, "shard_index", F.col("win_index").cast("long").alias("win_index"), F.md5(F.array_join("input", ",")).alias("input"), F.md5(F.array_join("target", ",")).alias("target"))
+
+
+def _digest_sql(inner: str, *more: str) -> str:
+    return f"select {''.join(m + ', ' for m in more)}shard_index, win_index, md5({text_of('input')}) as input, md5({text_of('target')}) as target from ({inner})"
+
+
+@query(_digest_sql(wins_sql(LENGTH)))
+def training_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return _digested(shards.windows(_shards(spark, sf), LENGTH))
+
+
+@query(_digest_sql(wins_sql(STRIDE)))
+def overlapping_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return _digested(shards.windows(_shards(spark, sf), LENGTH, STRIDE))
+
+
+@query(f"select tok::int as token, nxt::int as next, count(*)::bigint as n from (select tok, lead(tok) over (partition by pos // {SHARD} order by pos) as nxt from ({FLAT_SQL})) where nxt is not null group by 1, 2")
+def next_token_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = F.transform(F.expr("slice(tokens, 1, greatest(size(tokens) - 1, 0))"), lambda x, i: F.struct(x.alias("token"), F.get("tokens", i + 1).alias("next")))
+    return _shards(spark, sf).select(F.explode(pairs).alias("p")).groupBy("p.token", "p.next").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BATCH_SQL = "select rn // {b} as batch_id, rn % {b} as slot, * from (select * replace (rn - {skip} as rn) from ({inner}) where rn >= {skip}) qualify count(*) over (partition by rn // {b}) = {b}"
+
+
+@query(_digest_sql(_BATCH_SQL.format(b=BATCH, skip=0, inner=NUMBERED_SQL), "batch_id", "slot"))
+def fixed_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return _digested(shards.batches(shards.windows(_shards(spark, sf), LENGTH), BATCH), "batch_id", "slot")
+
+
+@query(_digest_sql(_BATCH_SQL.format(b=BATCH, skip=10, inner=NUMBERED_SQL), "batch_id", "slot"))
+def resume_skip(spark: SparkSession, sf: str) -> DataFrame:
+    return _digested(shards.batches(shards.windows(_shards(spark, sf), LENGTH), BATCH, 10 * LENGTH + 5, LENGTH), "batch_id", "slot")
+
+
+@query(f"with v as (select *, count(*) over () as k from ({wins_sql(LENGTH)}) where shard_index = {VAL}) select i // {BATCH} as batch_id, i % {BATCH} as slot, win_index, md5({text_of('input')}) as input from (select unnest(range(0, {BATCH * 25})) as i) join v on i % v.k = v.win_index")
+def val_cycle(spark: SparkSession, sf: str) -> DataFrame:
+    v = shards.windows(shards.split(_shards(spark, sf), VAL, False), LENGTH)
+    k = v.agg(F.count(F.lit(1)).alias("k"))
+    slots = spark.range(BATCH * 25).crossJoin(F.broadcast(k)).select("id", (F.col("id") % F.col("k")).alias("win_index"))  # k is one row
+    return slots.join(v, "win_index").select(F.expr(f"id div {BATCH}").alias("batch_id"), (F.col("id") % BATCH).alias("slot"), F.col("win_index").cast("long").alias("win_index"), F.md5(F.array_join("input", ",")).alias("input"))
+
+
+@query(f"select greatest(0, (sum(len(tokens)) - 1) // {LENGTH})::bigint as estimate, sum(case when len(tokens) >= {LENGTH + 1} then (len(tokens) - {LENGTH + 1}) // {LENGTH} + 1 else 0 end)::bigint as exact from ({SHARDS_SQL})")
+def sequence_estimate_vs_exact(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.size("tokens").cast("long")
+    exact = F.when(n >= LENGTH + 1, F.floor((n - (LENGTH + 1)) / LENGTH) + 1).otherwise(0)
+    return _shards(spark, sf).agg(F.sum(n).alias("t"), F.sum(exact).alias("exact")).select(F.expr(f"greatest(0L, (t - 1) div {LENGTH})").alias("estimate"), "exact")
+
+
+# ---- configurations and logs
+
+_PRESETS_SQL = "(values " + ", ".join(f"('{p[0]}', {', '.join(map(str, p[1:]))})" for p in kernels.PRESETS) + ") t(name, target_params, n_layers, d_model, n_heads, n_kv_heads, d_ff, vocab_size, max_seq_len, theta_base)"
+
+
+@query(f"select name, (d_model // n_heads)::int as d_head, (n_heads // n_kv_heads)::int as n_rep, (vocab_size::bigint * d_model + n_layers * (2 * d_model * d_model + 2 * d_model * (d_model // n_heads) * n_kv_heads + 3 * d_model * d_ff) + (2 * n_layers + 1) * d_model)::bigint as params from {_PRESETS_SQL}")
+def model_param_count(spark: SparkSession, sf: str) -> DataFrame:
+    return kernels.presets(spark).select("name", F.expr("cast(d_model div n_heads as int)").alias("d_head"), F.expr("cast(n_heads div n_kv_heads as int)").alias("n_rep"), kernels.param_count().cast("long").alias("params"))
+
+
+_HF = (("hidden_size", "d_model"), ("intermediate_size", "d_ff"), ("num_attention_heads", "n_heads"), ("num_hidden_layers", "n_layers"), ("num_key_value_heads", "n_kv_heads"), ("vocab_size", "vocab_size"), ("max_position_embeddings", "max_seq_len"))
+_HF_FIXED = (("architectures", "LlamaForCausalLM"), ("model_type", "llama"), ("torch_dtype", "float32"), ("transformers_version", "4.40+"))
+
+
+@query(f"select {', '.join(f'{b}::int as {a}' for a, b in _HF)}, theta_base::double as rope_theta, 1e-6::double as rms_norm_eps, true as tie_word_embeddings, false as attention_bias, false as mlp_bias, {', '.join(f'{chr(39)}{v}{chr(39)} as {k}' for k, v in _HF_FIXED)} from {_PRESETS_SQL}")
+def hf_config_projection(spark: SparkSession, sf: str) -> DataFrame:
+    fixed = [F.lit(1e-6).alias("rms_norm_eps"), F.lit(True).alias("tie_word_embeddings"), F.lit(False).alias("attention_bias"), F.lit(False).alias("mlp_bias"), *[F.lit(v).alias(k) for k, v in _HF_FIXED]]
+    return kernels.presets(spark).select(*[F.col(b).alias(a) for a, b in _HF], F.col("theta_base").alias("rope_theta"), *fixed)
+
+
+_LEAVES = [("params/tok_emb/embedding", 2), ("params/block_0/attn/wq", 2), ("params/block_0/attn_norm/scale", 1), ("params/block_0/mlp/w_gate", 2), ("params/final_norm/scale", 1)]
+
+
+@query("select name, ndim, ndim > 1 and not contains(name, 'tok_emb') as decays, case when ndim >= 2 then 'bf16' else 'fp32' end as dtype from (values " + ", ".join(f"('{n}', {d})" for n, d in _LEAVES) + ") t(name, ndim)")
+def weight_decay_mask(spark: SparkSession, sf: str) -> DataFrame:
+    t = spark.createDataFrame(_LEAVES, "name string, ndim int")
+    return t.select("name", "ndim", F.when(F.col("ndim") <= 1, False).when(F.col("name").contains("tok_emb"), False).otherwise(True).alias("decays"), F.when(F.col("ndim") >= 2, "bf16").otherwise("fp32").alias("dtype"))
+
+
+@query("select step, round(case when step < 200 then step * 3e-4 / 200 else 3e-5 + (3e-4 - 3e-5) * 0.5 * (1 + cos(pi() * (step - 200) / 800)) end, 12) as lr from (select unnest(range(0, 1000)) as step)")
+def lr_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    return kernels.lr_schedule(spark, 1000, 200, 3e-4, 3e-5).select("step", F.round("lr", 12).alias("lr"))
+
+
+@query(f"select name, (128 * max_seq_len)::bigint as tokens_per_step, (128 * max_seq_len::bigint * 9766)::bigint as tokens_total, ceil(1000000000.0 / (128 * max_seq_len))::bigint as steps_for_1b from {_PRESETS_SQL}")
+def token_step_math(spark: SparkSession, sf: str) -> DataFrame:
+    per = F.lit(128).cast("long") * F.col("max_seq_len")
+    return kernels.presets(spark).select("name", per.alias("tokens_per_step"), (per * 9766).alias("tokens_total"), F.ceil(F.lit(1e9) / per).alias("steps_for_1b"))
+
+
+@query(f"select name, d_ff::int as d_ff, (round_even(8.0 * d_model / 3 / 256, 0) * 256)::int as computed from {_PRESETS_SQL}")
+def d_ff_check(spark: SparkSession, sf: str) -> DataFrame:
+    return kernels.presets(spark).select("name", "d_ff", kernels.d_ff(F.col("d_model")).alias("computed"))
+
+
+@query("select event_type, round(coalesce(avg(value), 0), 6) as mean_value, count(*)::bigint as n from events where value is not null and not isnan(value) group by event_type")
+def eval_series(spark: SparkSession, sf: str) -> DataFrame:
+    e = documents.read(spark, sf, "events").filter("value is not null and not isnan(value)")
+    return e.groupBy("event_type").agg(F.round(F.coalesce(F.avg("value"), F.lit(0.0)), 6).alias("mean_value"), F.count(F.lit(1)).alias("n"))
+
+
+# ---- kernels
+
+_E = "list_transform(embedding, lambda v: v::double)"
+
+
+def _vector_sql(expr: str) -> str:
+    return f"select vec_id, k::int as k, round(x[k], 5) + 0.0 as value from (select vec_id, x, unnest(range(1, len(x) + 1)) as k from (select vec_id, {expr} as x from (select vec_id, {_E} as e from embeddings)))"
+
+
+def _vector(df: DataFrame, x) -> DataFrame:
+    return df.select("vec_id", F.posexplode(x).alias("i", "v")).select("vec_id", (F.col("i") + 1).alias("k"), (F.round("v", 5) + 0.0).alias("value"))
+
+
+@query(_vector_sql("list_transform(e, lambda v: v / sqrt(list_sum(list_transform(e, lambda u: u * u)) / len(e) + 1e-6))"))
+def rmsnorm_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return _vector(documents.read(spark, sf, "embeddings"), kernels.rms_norm(F.col("embedding")))
+
+
+@query("select vec_id, k::int as k, round(case when (k - 1) % 2 = 0 then e[k] * cos(a) - e[k + 1] * sin(a) else e[k] * cos(a) + e[k - 1] * sin(a) end, 5) + 0.0 as value from (select *, vec_id::double / pow(10000.0, (k - 1 - (k - 1) % 2)::double / len(e)) as a from (select vec_id, e, unnest(range(1, len(e) + 1)) as k from (select vec_id, " + _E + " as e from embeddings)))")
+def rope_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return _vector(documents.read(spark, sf, "embeddings"), kernels.rope(F.col("embedding"), F.col("vec_id")))
+
+
+@query("select vec_id, round(ln(list_sum(list_transform(e, lambda v: exp(v - list_max(e))))) + list_max(e) - e[1 + (label % len(e))], 6) as loss, list_position(e, list_max(e))::int as argmax from (select vec_id, label, " + _E + " as e from embeddings)")
+def log_softmax_ce(spark: SparkSession, sf: str) -> DataFrame:
+    e = documents.read(spark, sf, "embeddings")
+    p = kernels.log_softmax(F.col("embedding"))
+    return e.select("vec_id", F.round(-F.get(p, F.expr("label % size(embedding)")), 6).alias("loss"), F.expr("cast(array_position(embedding, array_max(embedding)) as int)").alias("argmax"))
+
+
+@query("select round(norm, 6) as norm, round(least(1.0, 1.0 / norm), 9) as factor from (select sqrt(sum(s)) as norm from (select list_sum(list_transform(" + _E + ", lambda v: v * v)) as s from embeddings))")
+def global_norm_clip(spark: SparkSession, sf: str) -> DataFrame:
+    s = kernels.total(F.transform(kernels.doubles(F.col("embedding")), lambda v: v * v))
+    norm = F.sqrt(F.sum("s"))
+    return documents.read(spark, sf, "embeddings").select(s.alias("s")).agg(norm.alias("n")).select(F.round("n", 6).alias("norm"), F.round(F.least(F.lit(1.0), 1.0 / F.col("n")), 9).alias("factor"))
+
+
+@query(_vector_sql("list_transform(e, lambda v: v / (1 + exp(-v)))"))
+def silu_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return _vector(documents.read(spark, sf, "embeddings"), kernels.silu(F.col("embedding")))
+
+
+# ---- streaming
+
+
+@query(SQL["bpe_encode_docs"])
+def stream_encode_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
+    e = streaming.encode_stream(spark, f"{sf}/documents.parquet", MERGES)
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("digest"))
+
+
+@query(SQL["shard_layout"])
+def stream_shard_assembly(spark: SparkSession, sf: str) -> DataFrame:
+    e = streaming.encode_stream(spark, f"{sf}/documents.parquet", MERGES)
+    return shards.layout(e, SHARD).select("shard_index", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", ",")).alias("digest"))
