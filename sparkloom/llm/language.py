@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 CHARS, DOCS_PER_LANG, LETTERS, BLOCK, SEED = 20_000, 64, 62, 512, 5
 #: Automaton cells in all languages together; more languages get shorter texts each.
 CELLS = 40_000_000
+#: More languages than that are an error: their counts go to every task, and an automaton would have too little text.
+MOST_LANGS = 1000
 _LANES = 1 << 14
 
 
@@ -134,7 +136,9 @@ def training_text(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, chars: in
     own = docs.filter("lang is not null and text is not null").withColumn("h", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 30)))
     counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # about four times the documents that are wanted, by hash, before the rows are ranked
-    some = own.join(counts, "lang").filter(F.col("h") * F.col("n") <= F.lit((1 << 30) * 4 * docs_per_lang))
+    if counts.limit(MOST_LANGS + 1).count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    some = own.join(F.broadcast(counts), "lang").filter(F.col("h") * F.col("n") <= F.lit((1 << 30) * 4 * docs_per_lang))
     best = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).filter(F.col("r") <= docs_per_lang)
     rows = best.select("lang", "r", F.substring("text", 1, 4 * chars).alias("text")).collect()  # docs_per_lang a language
     out: dict[str, list[str]] = {}
