@@ -38,7 +38,7 @@ def op5_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(mixing.sized(read_table(spark, sf_dir, "documents"), []))
+    out = mixing.mix(stored(mixing.sized(read_table(spark, sf_dir, "documents"), []), "mixing-sizes"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
