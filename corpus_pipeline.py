@@ -39,7 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    taken = mixing.mix(rows).filter("taken > 0")
+    taken = mixing.mix(stored(rows, "pipeline-sizes")).filter("taken > 0")
     return taken.select(F.explode(F.array_repeat("__row", F.expr("taken div size").cast("int"))).alias("__row")).select("__row.*")
 
 
