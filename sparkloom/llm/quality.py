@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import stored, words
 
 RISK, ERROR = 0.02, 0.1
 #: Scores and cutoffs go in steps of a hundredth.
@@ -120,7 +120,8 @@ def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: flo
     marked = marked.withColumn("stratum", F.col(stratum))
     good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
     holdout = marked.select("doc_id", "stratum", "badness").join(good.filter("good"), "doc_id")
-    limits = cutoffs(holdout, risk, error).select(F.col("stratum").alias("__stratum"), "cutoff")
+    # stored, so that its size is known before the join: a few rows are broadcast and no text is shuffled by stratum
+    limits = stored(cutoffs(holdout, risk, error).select(F.col("stratum").alias("__stratum"), "cutoff"), "quality-cutoffs")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = marked.join(limits, marked["stratum"].eqNullSafe(limits["__stratum"]), "left").drop("__stratum", "stratum")
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("cutoff").isNull() | (F.col("badness") <= F.col("cutoff"))))
