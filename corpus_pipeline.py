@@ -20,13 +20,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates; of rows that repeat its doc_id, one."""
+    """Keeps the document with the smallest doc_id of each group of near-duplicates; of rows that repeat its doc_id, one.
+
+    The repeated ids are stored, so that their size is known before the join: where there are few, no text is shuffled for them."""
     found = stored(near_duplicates.near_duplicates(docs), "pipeline-groups").filter("doc_id is not null")
-    gone = found.filter("not kept").select("doc_id").distinct()
-    repeated = found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    by_id = found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    apart = by_id.filter("not kept or n > 1").select("doc_id")
+    repeated = stored(by_id.filter("kept and n > 1").select("doc_id"), "pipeline-repeated")
+    once = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(apart, "doc_id", "left_anti").unionByName(once).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
