@@ -75,3 +75,25 @@ def presets(spark: SparkSession) -> DataFrame:
 def param_count() -> Column:
     """Tied embedding, attention with shared key and value heads, gated feed-forward, norms."""
     return F.expr("cast(vocab_size as bigint) * d_model + n_layers * (2L * d_model * d_model + 2L * d_model * (d_model div n_heads) * n_kv_heads + 3L * d_model * d_ff) + (2 * n_layers + 1) * d_model")
+
+
+def causal_attention(rows: DataFrame, id_col: str, vector: str, context: int, heads: int, kv_heads: int) -> DataFrame:
+    """(id, head, out): each row attends to the rows of its context (ids in runs of `context`) up to itself. Query heads are slices of
+    the vector; consecutive ones share a slice as key and value. A context bounds what is gathered for a row."""
+    x, width = doubles(F.col(vector)), F.expr(f"cast(size({vector}) div {heads} as int)")
+    base = rows.select(F.col(id_col).alias("id"), F.expr(f"{id_col} div {context}").alias("context"), x.alias("x"), width.alias("width"))
+    head = F.explode(F.sequence(F.lit(0), F.lit(heads - 1))).alias("head")
+    q = base.select("id", "context", "width", head, "x").withColumn("q", F.slice("x", F.col("head") * F.col("width") + 1, F.col("width"))).drop("x")
+    k = base.select(F.col("id").alias("key"), "context", "x")
+    shared = F.slice("x", F.expr(f"cast(head div {heads // kv_heads} as int)") * F.col("width") + 1, F.col("width"))
+    pairs = q.join(k, "context").filter("key <= id").select("id", "head", "width", "q", "key", shared.alias("v"))
+    score = total(F.zip_with("q", "v", lambda a, b: a * b)) / F.sqrt("width")
+    seen = pairs.groupBy("id", "head").agg(F.array_sort(F.collect_list(F.struct("key", score.alias("s"), "v"))).alias("seen"), F.first("width").alias("width"))
+    weighed = seen.withColumn("e", F.transform("seen", lambda r: F.exp(r["s"] - F.array_max(F.col("seen")["s"]))))
+    part = lambda i: total(F.zip_with("seen", "e", lambda r, e: F.get(r["v"], i) * e)) / total(F.col("e"))
+    return weighed.select("id", "head", F.transform(F.sequence(F.lit(0), F.col("width") - 1), part).alias("out"))
+
+
+def adamw_first_step(param: Column, grad: Column, lr: float, decay: float, eps: float = 1e-8) -> Column:
+    """Parameters after the first step, where the bias-corrected moments are the gradient and its square."""
+    return F.zip_with(doubles(param), doubles(grad), lambda p, g: p - lr * (g / (F.sqrt(g * g) + eps) + decay * p))

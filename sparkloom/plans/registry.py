@@ -419,6 +419,20 @@ def silu_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return _vector(documents.read(spark, sf, "embeddings"), kernels.silu(F.col("embedding")))
 
 
+@query(_vector_sql("list_transform(range(1, len(e) + 1), lambda i: e[i] - 3e-4 * (e[len(e) + 1 - i] / (abs(e[len(e) + 1 - i]) + 1e-8) + 0.1 * e[i]))"))
+def adamw_first_step(spark: SparkSession, sf: str) -> DataFrame:
+    return _vector(documents.read(spark, sf, "embeddings"), kernels.adamw_first_step(F.col("embedding"), F.reverse("embedding"), 3e-4, 0.1))
+
+
+@query(f"""with b as (select vec_id, vec_id // 8 as c, {_E} as e from embeddings), h as (select unnest(range(0, 4)) as head),
+p as (select q.vec_id, head, k.vec_id as key, q.e[head * 16 + 1 : head * 16 + 16] as q, k.e[(head // 2) * 16 + 1 : (head // 2) * 16 + 16] as v from b q join b k on q.c = k.c and k.vec_id <= q.vec_id cross join h),
+s as (select *, list_dot_product(q, v) / 4 as s from p), w as (select *, exp(s - max(s) over (partition by vec_id, head)) as x from s)
+select vec_id, head::int as head, k::int as k, round(sum(x * v[k]) / sum(x), 5) + 0.0 as value from w cross join (select unnest(range(1, 17)) as k) group by all""")
+def causal_attention(spark: SparkSession, sf: str) -> DataFrame:
+    a = kernels.causal_attention(documents.read(spark, sf, "embeddings"), "vec_id", "embedding", 8, 4, 2)
+    return a.select(F.col("id").alias("vec_id"), "head", F.posexplode("out").alias("i", "v")).select("vec_id", "head", (F.col("i") + 1).alias("k"), (F.round("v", 5) + 0.0).alias("value"))
+
+
 # ---- streaming
 
 
