@@ -7,13 +7,15 @@ that it is personal data. A kind's threshold is the least score whose precision
 lower bound, is at least `precision`; a kind that proves none adds nothing. Of overlapping accepted candidates of a kind the
 best stays; one that a base span of any kind overlaps is left out.
 
-No table labels personal data, so the trees are trained on EXAMPLES labelled candidates that a seeded generator writes: values
+No table labels personal data, so the trees are trained on EXAMPLES labelled candidates that a seeded generator writes (as many
+again for spelled-out addresses, which have trees of their own): values
 that are valid by construction in neutral or telling context against look-alikes (versions, dates, order numbers, hashes, failing
-checksums). The bound is that parameter; documents have no part in it.
+checksums, prose with ' at ' before a full stop). A spelled-out address is proposed with each end that its dots allow, and only the
+whole address is a right example. The bound is that parameter; documents have no part in it.
 
 Offsets are code points, ends exclusive. Defined results: a null or empty text has no spans, and its digest is that of the empty
-string. Every text is scanned whole, in time linear in its length; texts without a digit, an @ sign or a spelled-out dot have
-nothing to find.
+string. Every text is scanned whole, in time linear in its length; texts without a digit, an @ sign or a spelled-out one (' at ',
+'[at]', '(at)') have nothing to find.
 """
 
 from __future__ import annotations
@@ -74,24 +76,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 #: Generators by kind, looser than the base patterns.
 GENERATORS = (
-    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z0-9-]{1,63}){1,4}\b")),
+    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?(?:\[at\]|\(at\)| at ) ?([A-Za-z0-9-]{1,63})(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z0-9-]{1,63}){1,4}\b")),
     (1, re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")),
     (2, re.compile(r"(?<![0-9])[0-9]{4}(?:[ ._/-]?[0-9]{4}){2}[ ._/-]?[0-9]{1,7}(?![0-9])")),
     (3, re.compile(r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ ./-]?[0-9]{3,4}(?![0-9A-Za-z])")),
     (4, re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z-])")),
     (5, re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])")),
 )
+_PART = re.compile(r" ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z0-9-]{1,63}")
+_MORE = re.compile(r"(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[a-z0-9]")
+#: Last labels and local parts that tell for and against a spelled-out address.
+TOP = frozenset("com org net edu gov mil int info biz io dev app ai co me eu us uk de fr es it nl be ch at se no dk fi pl cz pt ie ru ua tr in cn jp kr tw hk sg au nz za br mx ar cl ca".split())
+PROSE = frozenset("a an and are available be by call find for found from hosted i in is it look me meet met more of on online or page see shop site start that the them there they this to us visit was we were you".split())
 #: Words before or after a candidate that tell for and against it.
 FOR = ("phone", "tel", "call", "mobile", "fax", "mail", "contact", "card", "visa", "ssn", "social", "iban", "account", "address", "reach", "write")
 AGAINST = ("version", "order", "invoice", "isbn", "ref", "page", "date", "serial", "hash", "build", "total", "ticket", "part", "tracking", "section", "figure")
 
 
+def spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Spelled-out addresses with each end that their dots allow; the search goes on in the domain, as 'me at jane.roe at
+    example.com' holds two. Matches are bounded, so this is linear."""
+    pattern = GENERATORS[0][1]
+    m = pattern.search(text)
+    while m:
+        at = m.end(1)
+        while part := _PART.match(text, at, m.end()):
+            at = part.end()
+            if text[at - 1] != "-":
+                yield m.start(), at
+        m = pattern.search(text, m.start(1))
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
-    out = []
-    has_digit = re.search("[0-9]", text) is not None
-    for kind, pattern in GENERATORS:
-        if has_digit if kind else "[at]" in text or "(at)" in text or " dot " in text:
-            out += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
+    out = [(a, 0, b) for a, b in spelled(text)] if any(w in text for w in (" at ", "[at]", "(at)")) else []
+    if re.search("[0-9]", text):
+        out += [(m.start(), kind, m.end()) for kind, pattern in GENERATORS[1:] for m in pattern.finditer(text)]
     return sorted(out)
 
 
@@ -131,6 +150,21 @@ def candidate_features(text: str, span: tuple[int, int, int]) -> list[float]:
     ]
 
 
+def address_features(text: str, span: tuple[int, int, int]) -> list[float]:
+    s, after = text[span[0] : span[2]], text[span[2] : span[2] + 20].lower()
+    local, last = re.match("[A-Za-z0-9._%+-]*", s)[0].lower(), re.findall("[A-Za-z0-9-]+", s)[-1]
+    return [
+        *candidate_features(text, span),
+        float("[at]" in s or "(at)" in s),
+        float(sum(map(s.count, ("[dot]", "(dot)", " dot ")))),
+        float(". " in s or " ." in s),
+        float(last in TOP or last.lower() in TOP and last.isupper()),
+        float(local in PROSE),
+        float(re.search("[a-z0-9][._+-]?[0-9]|[a-z0-9][._+-][a-z0-9]", local) is not None),
+        float(_MORE.match(after) is not None),
+    ]
+
+
 def examples(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of candidates in seeded sentences."""
     r = random.Random(seed)
@@ -178,13 +212,52 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarra
         word = r.choice(FOR if good else AGAINST) if r.random() < 0.6 else r.choice(FOR + AGAINST) if r.random() < 0.2 else name()
         text = f"{name()} {name()} {word} {value}{r.choice(['', '.', ','])} {name()} {name()}"
         at = text.index(value)
-        for span in candidates(text):
+        for span in sorted((m.start(), kind, m.end()) for kind, pattern in GENERATORS for m in pattern.finditer(text)):
             if span[0] < at + len(value) and span[2] > at:
                 x.append(candidate_features(text, span))
                 y.append(float(good))
     return np.array(x[:n]), np.array(y[:n])
 
 
+def address_examples(n: int = EXAMPLES, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of spelled-out addresses and of prose that is generated as one; only a whole address is right."""
+    r = random.Random(seed)
+    num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    name = lambda: "".join(r.choice("abcdefghijklmnoprstuvwz") for _ in range(r.randint(3, 8)))
+    ends, common = tuple(sorted(TOP)), tuple(sorted(PROSE))
+
+    def address() -> str:
+        local = r.choice([lambda: f"{name()}{r.choice('._-+')}{name()}", lambda: name() + num(2), name])()
+        at = r.choice([" at ", " at ", " [at] ", "[at]", " (at) ", "(at)"])
+        dot = r.choice([".", ".", " dot ", " [dot] ", "[dot]", " (dot) ", "(dot)"])
+        return local + at + dot.join([name() for _ in range(r.choice([1, 1, 1, 2]))] + r.choice([[r.choice(ends)], [r.choice(ends)], ["co", "uk"], [name()[: r.randint(2, 4)]]]))
+
+    def prose() -> str:
+        word = r.choice([name, lambda: r.choice(common)])()
+        place = r.choice([name(), f"{r.choice(['the', 'a', 'this'])}", f"{r.randint(1, 12)}.{r.randint(10, 59)}"])
+        return f"{word} at {place}. {r.choice([name, lambda: r.choice(common)])().capitalize()}"
+
+    negative = (
+        prose,
+        lambda: f"{r.choice(common)} at {name()}.{r.choice(ends)}",
+        lambda: f"{name()} at {name()}.{r.choice(['py', 'txt', 'html', 'pdf', name()])}",
+        lambda: f"{name()} at {name()}.{r.choice(ends)}",
+    )
+    x, y = [], []
+    while len(x) < n:
+        good = r.random() < 0.5
+        value = (address if good else r.choice(negative))()
+        word = r.choice(FOR if good else AGAINST) if r.random() < 0.6 else r.choice(FOR + AGAINST) if r.random() < 0.2 else name()
+        lead = f"{name()} {name()} {word} {r.choice(['me at ', 'us at ', '', '', '', '', '', ''])}"
+        text = f"{lead}{value}{r.choice(['', '.', ','])} {r.choice([name, lambda: name().capitalize()])()} {name()}"
+        whole = len(lead), len(lead) + len(value)
+        for a, b in spelled(text):
+            if a < whole[1] and b > whole[0]:
+                x.append(address_features(text, (a, 0, b)))
+                y.append(float(good and (a, b) == whole))
+    return np.array(x[:n]), np.array(y[:n])
+
+
 class Trees:
     """Gradient boosting on the logistic loss with Newton leaves; splits over at most 32 cuts a feature."""
 
@@ -254,21 +327,31 @@ def lower_bound(good: int, n: int, error: float = 0.05) -> float:
 
 
 @functools.lru_cache(2)
-def trained(n: int = EXAMPLES, seed: int = SEED, precision: float = PRECISION) -> tuple[Trees, tuple[float, ...]]:
-    """Trees from two thirds of the examples, and each kind's threshold from the rest."""
-    x, y = examples(n, seed)
-    part = np.arange(len(y)) % 3 == 0
-    model = Trees().fit(x[~part], y[~part])
-    p = model.predict(x[part])
-    limits = []
-    for kind in range(len(KINDS)):
-        own = x[part][:, kind] == 1
-        passing = [t for t in np.unique(np.round(p[own], 3)) if lower_bound(int(y[part][own][p[own] >= t].sum()), int((p[own] >= t).sum())) >= precision]
-        limits.append(float(min(passing, default=2.0)))
-    return model, tuple(limits)
-
-
-def spans_of(text: str, base: list[tuple[int, int, int]], model: Trees, limits: tuple[float, ...]) -> list[tuple[int, int, int]]:
+def trained(n: int = EXAMPLES, seed: int = SEED, precision: float = PRECISION) -> tuple[tuple[Trees, Trees], tuple[float, ...]]:
+    """Trees for spelled-out addresses and for the other kinds, each from two thirds of their examples, and each kind's threshold
+    from the rest."""
+    models, limits = [], []
+    for (x, y), kinds in ((address_examples(n, seed), range(1)), (examples(n, seed), range(1, len(KINDS)))):
+        part = np.arange(len(y)) % 3 == 0
+        models.append(Trees().fit(x[~part], y[~part]))
+        p = models[-1].predict(x[part])
+        for kind in kinds:
+            own = x[part][:, kind] == 1
+            passing = [t for t in np.unique(np.round(p[own], 3)) if lower_bound(int(y[part][own][p[own] >= t].sum()), int((p[own] >= t).sum())) >= precision]
+            limits.append(float(min(passing, default=2.0)))
+    return (models[0], models[1]), tuple(limits)
+
+
+def scores(text: str, own: list[tuple[int, int, int]], models: tuple[Trees, Trees]) -> list[float]:
+    """Probabilities that the sorted candidates are personal data."""
+    p = np.zeros(len(own))
+    for model, features, at in ((models[0], address_features, [i for i, c in enumerate(own) if c[1] == 0]), (models[1], candidate_features, [i for i, c in enumerate(own) if c[1]])):
+        if at:
+            p[at] = model.predict(np.array([features(text, own[i]) for i in at]))
+    return p.tolist()
+
+
+def spans_of(text: str, base: list[tuple[int, int, int]], models: tuple[Trees, Trees], limits: tuple[float, ...]) -> list[tuple[int, int, int]]:
     """Base spans and accepted candidates (start, kind, end), sorted."""
     own = candidates(text)
     if not own:
@@ -284,8 +367,8 @@ def spans_of(text: str, base: list[tuple[int, int, int]], model: Trees, limits:
     own = [c for c in own if not meets(c[0], c[2])]
     if not own:
         return base
-    p = model.predict(np.array([candidate_features(text, c) for c in own]))
-    good = sorted(((x, c) for x, c in zip(p.tolist(), own, strict=True) if x >= limits[c[1]]), key=lambda v: (-v[0], v[1]))
+    p = scores(text, own, models)
+    good = sorted(((x, c) for x, c in zip(p, own, strict=True) if x >= limits[c[1]]), key=lambda v: (-v[0], v[1]))
     taken: dict[int, list[tuple[int, int]]] = {}
     out = list(base)
     for _, (a, kind, b) in good:
@@ -310,14 +393,14 @@ def personal_data(docs: DataFrame, redact: bool = False, n_examples: int = EXAMP
     schema = SCHEMA + ", redacted string" * redact
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, limits = shared.value
+        models, limits = shared.value
         for part in parts:
             texts = part.column("text")
             cols: list[list] = [[] for _ in range(7 + redact)]
             for x in texts:
                 text = x.as_py() or ""
                 base = base_spans(text)
-                spans = spans_of(text, base, model, limits)
+                spans = spans_of(text, base, models, limits)
                 row = [*(sum(k == i for _, k, _ in base) for i in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)]
                 if redact:
                     out, at = [], 0

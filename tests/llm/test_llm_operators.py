@@ -126,6 +126,16 @@ def test_entropy(spark):
         assert abs(r["h"] - best) < 1e-9
 
 
+def test_spelled_out_addresses():
+    models, limits = personal_data.trained()
+    spans = lambda text: [text[a:b] for a, k, b in personal_data.spans_of(text, personal_data.base_spans(text), models, limits) if k == 0]
+    for form in ("jane.roe at example.com", "jane.roe at example [dot] com", "jane.roe at example (dot) com", "jane.roe [at] example.com", "jane.roe at example dot com", "jane.roe at mail.example.co.uk"):
+        for text in (f"Please write to {form} today.", f"You can reach me at {form}. Then wait.", form):
+            assert spans(text) == [form]
+    for text in ("We met at noon. Then we left.", "Look at this. It is new.", "The train stops at 10.30 and at the station. He waits.", "See more at noon. Call us."):
+        assert personal_data.candidates(text) and spans(text) == []
+
+
 def test_archives_round_trip(spark):
     big = "<p>é" * 400
     rows = [(1, "http://a/\r\nx", big), (2, None, big), (3, "", None), (None, "u", big), (4, "http://b", "WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n"), (5, "c", "short"), (6, "c", "short")]
