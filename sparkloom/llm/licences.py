@@ -1,14 +1,16 @@
 """Licence scans, DataFrame functions only: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-A text is cut into segments: the whole text, its paragraphs (blank lines between), lines and sentences. Each distinct
-segment is normalised (lower case, words of letters and digits) and its set of word bigrams compared with the templates
+A text is cut into segments: the whole text, its paragraphs (lines without a letter or digit between), lines and sentences.
+Notices that are wrapped or embedded in other words are found by word windows: for each template, the window that starts and
+ends with bigrams of it and has the highest Dice, counting bigrams foreign to the template as distinct. Of windows that overlap
+the best stays; a window counts unless a cut segment has its licence with as high a Dice. Each distinct segment is normalised (lower case, words of letters and digits) and its set of word bigrams compared with the templates
 whose sizes make the threshold t possible: 2 * min / (a + b) >= t needs t / (2 - t) <= a / b <= (2 - t) / t.
 
 Before that, texts and segments without any anchor word are passed over. Anchors are derived from the templates so that none
 is lost: a match shares at least t / (2 - t) of a template's bigrams, and the bigrams without an anchor are fewer.
 
 Defined results: a null or empty text, or one of a single word, has no licence. Ties go to the longer template, then to the
-first name. A text's segments are one array of its own text; nothing is shuffled.
+first name. A template adds one window at most to a text, so of a wrapped notice that is repeated one counts. A text's segments are one array of its own text; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -53,9 +55,13 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
-def bigram_set(text: str) -> set[str]:
+def bigrams(text: str) -> list[str]:
     w = re.findall("[a-z0-9]+", text.lower())
-    return {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
+    return [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
+
+def bigram_set(text: str) -> set[str]:
+    return set(bigrams(text))
 
 
 def anchors(templates: tuple[tuple[str, str], ...], threshold: float) -> list[str]:
@@ -81,7 +87,7 @@ def licences(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
     """Per row: doc_id, licence (the best match's; null: none), dice (its coefficient; null: none), n_matches (distinct segments
     that match), found: array of (segment, licence, dice) in the segments' order."""
     words = anchors(templates, threshold)
-    known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(i).alias("rank"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, sorted(g))).alias("grams")) for i, (name, text) in enumerate(templates) if (g := bigram_set(text))])
+    known = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(i).alias("rank"), F.lit(len(g)).alias("n"), F.lit(math.ceil(threshold / (2 - threshold) * len(g) - 1e-9)).alias("least"), F.lit(int((2 - threshold) / threshold * len(bigrams(text)) + 1e-9)).alias("most"), F.array(*map(F.lit, sorted(g))).alias("grams")) for i, (name, text) in enumerate(templates) if (g := bigram_set(text))])
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def has(low: Column) -> Column:
@@ -89,7 +95,7 @@ def licences(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
         tests = [F.contains(low, F.lit(w)) if len(w) > 5 else F.contains(low, F.lit(w)) & low.rlike(f"(?<![a-z0-9]){w}(?![a-z0-9])") for w in words]
         return reduce(lambda a, b: a | b, tests)
 
-    pieces = F.concat(F.array(F.col("__t")), F.split("__t", "\\n[\\x20\\x09\\r]*\\n"), F.split("__t", "\\n"), F.split("__t", "\\n|(?<=[.!?])[\\x20\\x09]+"))
+    pieces = F.concat(F.array(F.col("__t")), F.split("__t", "\\n[^\\p{L}\\p{N}\\n]*\\n"), F.split("__t", "\\n"), F.split("__t", "\\n|(?<=[.!?])[\\x20\\x09]+"))
     segments = F.array_distinct(F.transform(F.filter(pieces, lambda x: has(F.lower(x))), lambda x: F.trim(x)))
 
     def grams(w: Column) -> Column:
@@ -102,9 +108,54 @@ def licences(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
         return F.array_max(F.filter(dice, lambda d: d["dice"] >= threshold))
 
     once = lambda v, body: F.transform(F.array(v), body)[0]
-    scored = F.transform(segments, lambda s: F.struct(s.alias("segment"), once(once(normalised(s), grams), best).alias("m")))
+    every = sorted(set().union(*(bigram_set(text) for _, text in templates)))
+
+    def window(own: Column, k: Column) -> Column:
+        """The best window of a template by the places of its bigrams: (dice, n, rank, at, end), null below the threshold."""
+
+        def of_start(s: Column, j: Column) -> Column:
+            start = F.struct(F.array().cast("array<int>").alias("seen"), F.lit(0).alias("hits"), F.lit(0.0).cast("double").alias("dice"), F.lit(-1).alias("end"))
+
+            def step(acc: Column, h: Column) -> Column:
+                def scored(seen: Column) -> Column:
+                    n = h["i"] - s["i"] - acc["hits"] + F.size(seen)  # repeats count once
+                    dice = F.lit(2.0) * F.size(seen) / (n + k["n"])
+                    return once(dice, lambda d: F.struct(seen.alias("seen"), (acc["hits"] + 1).alias("hits"), F.greatest(d, acc["dice"]).alias("dice"), F.when(d > acc["dice"], h["i"]).otherwise(acc["end"]).alias("end")))
+
+                return once(F.when(F.array_contains(acc["seen"], h["p"]), acc["seen"]).otherwise(F.array_append(acc["seen"], h["p"])), scored)
+
+            near = F.filter(F.slice(own, j + 1, k["most"]), lambda h: h["i"] - s["i"] < k["most"])
+            found = F.aggregate(near, start, step, lambda acc: F.struct(acc["dice"].alias("dice"), k["n"].alias("n"), (-k["rank"]).alias("rank"), (-s["i"]).alias("at"), acc["end"].alias("end")))
+            return F.when(F.get(own, j + k["least"] - 1)["i"] - s["i"] < k["most"], found)
+
+        return F.array_max(F.filter(F.transform(own, of_start), lambda x: x["dice"] >= threshold - 1e-9))
+
+    def windows(w: Column) -> Column:
+        """Best windows of the templates as texts, without those that overlap a better one."""
+        pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.struct(F.concat_ws(" ", x, F.get(w, i + 1)).alias("g"), i.alias("i")))
+        places = F.filter(pairs, lambda h: h["g"].isin(every))
+
+        def of(hits: Column) -> Column:
+            def one(k: Column) -> Column:
+                own = F.filter(F.transform(hits, lambda h: F.struct(F.array_position(k["grams"], h["g"]).cast("int").alias("p"), h["i"].alias("i"))), lambda h: h["p"] > 0)
+                return once(own, lambda own: F.when(F.size(own) >= k["least"], window(own, k)))
+
+            return F.sort_array(F.filter(F.transform(known, one), lambda x: x.isNotNull()), asc=False)
+
+        none = F.array().cast("array<struct<dice:double,n:int,rank:int,at:int,end:int>>")
+        apart = lambda kept, x: ~F.exists(kept, lambda y: (-y["at"] <= x["end"] + 1) & (-x["at"] <= y["end"] + 1))
+        kept = F.aggregate(once(places, of), none, lambda acc, x: F.when(apart(acc, x), F.array_append(acc, x)).otherwise(acc))
+        return F.transform(kept, lambda x: F.array_join(F.slice(w, 1 - x["at"], x["end"] + x["at"] + 2), " "))
+
+    def scored(segments: Column) -> Column:
+        return F.filter(F.transform(segments, lambda s: F.struct(s.alias("segment"), once(once(normalised(s), grams), best).alias("m"))), lambda x: x["m"].isNotNull())
+
+    def also(cut: Column) -> Column:
+        own = scored(once(normalised(F.col("__t")), windows))
+        return F.concat(cut, F.filter(own, lambda x: ~F.exists(cut, lambda y: (y["m"]["licence"] == x["m"]["licence"]) & (y["m"]["dice"] >= x["m"]["dice"]))))
+
     own = docs.select("doc_id", t.alias("__t")).withColumn("__low", F.lower("__t"))
-    found = own.select("doc_id", F.when(has(F.col("__low")), F.filter(scored, lambda x: x["m"].isNotNull())).alias("f"))
+    found = own.select("doc_id", F.when(has(F.col("__low")), once(scored(segments), also)).alias("f"))
     top = F.array_max(F.transform("f", lambda x: x["m"]))
     return found.select(
         "doc_id",

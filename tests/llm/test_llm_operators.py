@@ -136,6 +136,30 @@ def test_spelled_out_addresses():
         assert personal_data.candidates(text) and spans(text) == []
 
 
+def wrapped(text, mark, width=72):
+    import textwrap
+
+    return "\n".join(f"{mark} {x}".rstrip() for x in textwrap.wrap(text, width - len(mark) - 1))
+
+
+def test_wrapped_and_embedded_licences(spark):
+    mit = [text for name, text in licences.TEMPLATES if name == "MIT" and len(text) > 80]
+    gpl = "This work is licensed under the GNU General\nPublic License, version 3."
+    prose = "Stones lie in the river and the light is long, so that nobody knows where it ends or when"
+    texts = [
+        "/*\n * Copyright 2020 Jane\n *\n" + "\n *\n".join(wrapped(x, " *") for x in mit) + "\n */\nint main() { return 0; }",
+        "/*\n * Copyright 2020 Jane\n" + "\n".join(wrapped(x, " *") for x in mit) + "\n */\nint main() { return 0; }",
+        f"{prose}. {gpl} {prose}.",
+        f"{prose}\n{prose} note that {gpl[:-1]} and {prose}",
+        f"{prose}. The licence of the river is public and general. {prose}",
+        "Released under the MIT License.",
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licences.licences(d).collect()}
+    assert [(got[i]["licence"], got[i]["dice"]) for i in range(6)] == [("MIT", 1.0), ("MIT", 1.0), ("GPL-3.0", 1.0), ("GPL-3.0", 1.0), (None, None), ("MIT", 1.0)]
+    assert [got[i]["n_matches"] for i in (0, 1, 2, 3, 5)] == [3, 3, 1, 1, 1]
+
+
 def test_archives_round_trip(spark):
     big = "<p>é" * 400
     rows = [(1, "http://a/\r\nx", big), (2, None, big), (3, "", None), (None, "u", big), (4, "http://b", "WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n"), (5, "c", "short"), (6, "c", "short")]
