@@ -10,7 +10,8 @@ Before that, texts and segments without any anchor word are passed over. Anchors
 is lost: a match shares at least t / (2 - t) of a template's bigrams, and the bigrams without an anchor are fewer.
 
 Defined results: a null or empty text, or one of a single word, has no licence. Ties go to the longer template, then to the
-first name. A template adds one window at most to a text, so of a wrapped notice that is repeated one counts. A text's segments are one array of its own text; nothing is shuffled.
+first name. The redistribution paragraph that BSD-2-Clause and BSD-3-Clause share counts for the latter where its clause on
+names is found. A template adds one window at most to a text, so of a wrapped notice that is repeated one counts. A text's segments are one array of its own text; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
@@ -51,8 +52,36 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0 Universal."),
+    ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("GPL-3.0", "under the terms of the GNU General Public License version 3 as published by the Free Software Foundation."),
+    ("LGPL-2.1", "under the terms of the GNU Lesser General Public License version 2.1 as published by the Free Software Foundation."),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License version 3 as published by the Free Software Foundation."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     ("Proprietary", "All rights reserved."),
 )
+#: A licence whose text holds another's as a part; where it is found, the other's matches are its own.
+CONTAINS = {"BSD-3-Clause": "BSD-2-Clause"}
 
 
 def bigrams(text: str) -> list[str]:
@@ -150,12 +179,17 @@ def licences(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
     def scored(segments: Column) -> Column:
         return F.filter(F.transform(segments, lambda s: F.struct(s.alias("segment"), once(once(normalised(s), grams), best).alias("m"))), lambda x: x["m"].isNotNull())
 
+    def owned(f: Column) -> Column:
+        """Matches of a contained licence under the name of the one that contains it, where that is found."""
+        names = F.transform(f, lambda x: x["m"]["licence"])
+        return once(names, lambda names: F.transform(f, lambda x: x.withField("m", x["m"].withField("licence", reduce(lambda a, c: F.when((a == c[1]) & F.array_contains(names, c[0]), F.lit(c[0])).otherwise(a), CONTAINS.items(), x["m"]["licence"])))))
+
     def also(cut: Column) -> Column:
         own = scored(once(normalised(F.col("__t")), windows))
         return F.concat(cut, F.filter(own, lambda x: ~F.exists(cut, lambda y: (y["m"]["licence"] == x["m"]["licence"]) & (y["m"]["dice"] >= x["m"]["dice"]))))
 
     own = docs.select("doc_id", t.alias("__t")).withColumn("__low", F.lower("__t"))
-    found = own.select("doc_id", F.when(has(F.col("__low")), once(scored(segments), also)).alias("f"))
+    found = own.select("doc_id", F.when(has(F.col("__low")), once(once(scored(segments), also), owned)).alias("f"))
     top = F.array_max(F.transform("f", lambda x: x["m"]))
     return found.select(
         "doc_id",

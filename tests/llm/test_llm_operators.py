@@ -160,6 +160,28 @@ def test_wrapped_and_embedded_licences(spark):
     assert [got[i]["n_matches"] for i in (0, 1, 2, 3, 5)] == [3, 3, 1, 1, 1]
 
 
+def test_licences_told_apart(spark):
+    gnu = lambda what, name, version: f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    names = "Neither the name of Stone Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    rows = [
+        ("GPL-2.0", gnu("program", "General Public License", "2")),
+        ("GPL-3.0", gnu("program", "General Public License", "3")),
+        ("LGPL-2.1", gnu("library", "Lesser General Public License", "2.1")),
+        ("LGPL-3.0", gnu("library", "Lesser General Public License", "3")),
+        ("AGPL-3.0", gnu("program", "Affero General Public License", "3")),
+        ("BSD-2-Clause", bsd),
+        ("BSD-3-Clause", f"{bsd}\n\n{names}"),
+        ("GPL-2.0", "This river is licensed under the GNU General Public License, version 2."),
+        ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+        ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ]
+    d = spark.createDataFrame([(i, x[1]) for i, x in enumerate(rows)] + [(100 + i, wrapped(x[1], " *", 60)) for i, x in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in licences.licences(d).collect()}
+    assert [got[i] for i in range(len(rows))] == [x[0] for x in rows]
+    assert [got[100 + i] for i in range(len(rows))] == [x[0] for x in rows]
+
+
 def test_archives_round_trip(spark):
     big = "<p>é" * 400
     rows = [(1, "http://a/\r\nx", big), (2, None, big), (3, "", None), (None, "u", big), (4, "http://b", "WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n"), (5, "c", "short"), (6, "c", "short")]
