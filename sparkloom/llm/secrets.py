@@ -4,7 +4,8 @@ A candidate is a run of at least `window` characters of one class alphabet (the
 letters, digits and + / _ -). A window of `window` characters slides over it; the number of each character in the window is
 updated for the character that enters and the one that leaves, and so is the sum of n * log2(n), from which the
 window's Shannon entropy follows. A candidate whose best window reaches its class's threshold is a span of kind `entropy`,
-unless the allow-list knows it. Fixed patterns give the kinds `assign`, `access` and `hex`, which the allow-list never touches.
+unless the allow-list knows all of it; windows that touch a placeholder word, a run of one character or a counting sequence do
+not count, the others of the candidate do. Fixed patterns give the kinds `assign`, `access` and `hex`, which the allow-list never touches.
 
 Offsets are code points, ends exclusive. Defined results: a null or empty text has no spans; their digest is that of the
 empty string. Work is linear in the text; a text's spans are one array.
@@ -25,16 +26,14 @@ CANDIDATE = f"[A-Za-z0-9+/_-]{{{WINDOW},}}"
 #: The class alphabets and the bits that a window of 20 characters must reach.
 HEX_ALPHABET, HEX_BITS = "0123456789abcdef", 2.9
 WIDE_ALPHABET, WIDE_BITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 3.7
-#: Candidates that match one of these are no secrets: words and identifiers without a digit, numbers, UUIDs,
-#: placeholders, runs of one character and counting sequences.
+#: Candidates that match one of these are no secrets: words and identifiers without a digit, numbers, UUIDs.
 ALLOWED = (
     "^[A-Za-z+/_-]+$",
     "^[0-9+/_-]+$",
     "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    "(?i)example|sample|dummy|placeholder|changeme|your[_-]",
-    "(.)\\1{5,}",
-    "0123456789|1234567890|(?i)abcdefghij",
 )
+#: Parts of candidates whose windows do not count: placeholders, counting sequences and runs of one character.
+PASSED = "(?i:example|sample|dummy|placeholder|changeme|your[_-])|0123456789|1234567890|(?i:abcdefghij)|(.)\\1{5,}"
 
 
 def bound(value: Column, body) -> Column:
@@ -89,9 +88,10 @@ def best_entropy(candidate: Column, alphabet: str, window: int = WINDOW) -> Colu
 
 def is_entropic(candidate: Column) -> Column:
     is_hex = candidate.rlike("^[0-9a-fA-F]+$")
-    allowed = candidate.rlike("|".join(f"(?:{p})" for p in ALLOWED[:4] + ALLOWED[5:])) | candidate.rlike(ALLOWED[4])
-    bits = F.when(is_hex, best_entropy(F.lower(candidate), HEX_ALPHABET) >= HEX_BITS).otherwise(best_entropy(candidate, WIDE_ALPHABET) >= WIDE_BITS)
-    return F.when(allowed, F.lit(False)).otherwise(bits)
+    allowed = candidate.rlike("|".join(f"(?:{p})" for p in ALLOWED))
+    parts = F.filter(F.split(candidate, PASSED, -1), lambda x: F.char_length(x) >= WINDOW)
+    reaches = lambda x: F.when(is_hex, best_entropy(F.lower(x), HEX_ALPHABET) >= HEX_BITS).otherwise(best_entropy(x, WIDE_ALPHABET) >= WIDE_BITS)
+    return F.when(allowed, F.lit(False)).otherwise(F.exists(parts, reaches))
 
 
 def secrets(docs: DataFrame) -> DataFrame:

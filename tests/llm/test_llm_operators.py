@@ -136,6 +136,17 @@ def test_spelled_out_addresses():
         assert personal_data.candidates(text) and spans(text) == []
 
 
+def test_secrets_beside_allowed_parts(spark):
+    key, r = "Zx9kLm2Qp7Rt5Vw1Bn8Hc3Jf6Ds4Ga0Yu", random.Random(4)
+    alphabet = secrets.WIDE_ALPHABET[:62]
+    blob = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAAB" + "".join(r.choice(alphabet) for _ in range(200))
+    found = [f"io/sample/{key}", f"{key}/example", blob, f"1234567890{key}", f"{'x' * 9}{key}", key]
+    none = ["your_sample_1_placeholder_2_example", f"{key[:17]}example{key[:17]}", "example1" * 4, "abcdefghij0123456789abcdefghij", "0f" * 3 + "0" * 30, "word/and/word/without/digits", "123e4567-e89b-12d3-a456-426614174000"]
+    d = spark.createDataFrame(list(enumerate(found + none)), "doc_id long, text string")
+    got = {x["doc_id"]: [(y["start"], y["end"]) for y in x["found"] if y["kind"] == "entropy"] for x in secrets.secrets(d).collect()}
+    assert got == {i: [(0, len(t))] if i < len(found) else [] for i, t in enumerate(found + none)}
+
+
 def wrapped(text, mark, width=72):
     import textwrap
 
