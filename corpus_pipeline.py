@@ -20,22 +20,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates; of rows that repeat its doc_id, one.
-
-    The repeated ids are stored, so that their size is known before the join: where there are few, no text is shuffled for them."""
-    found = stored(near_duplicates.near_duplicates(docs), "pipeline-groups").filter("doc_id is not null")
-    by_id = found.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    apart = by_id.filter("not kept or n > 1").select("doc_id")
-    repeated = stored(by_id.filter("kept and n > 1").select("doc_id"), "pipeline-repeated")
-    once = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return docs.join(apart, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    """Keeps of each group of near-duplicates the row with the smallest doc_id (null last), of equal rows one.
+
+    Rows are told apart by doc_id and text digest, and texts are linked by digest: rows without a doc_id take part, and different
+    texts under one doc_id stay apart. Texts without a word are linked with nothing; of those that share doc_id and text one stays.
+    What groups have more than a row is stored, so that its size is known before the join: where it is small, no text is shuffled."""
+    wordless = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    key = F.when(~wordless, F.xxhash64("text")).when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    found = stored(near_duplicates.near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("__key"), "component_id"), "pipeline-groups")
+    group = found.filter("__key is not null").groupBy("__key").agg(F.min("component_id").alias("group"))
+    pairs = docs.select(key.alias("__key"), "doc_id").filter("__key is not null").groupBy("__key", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("first")
+    texts = stored(pairs.groupBy("__key").agg(first, F.sum("n").alias("n")).join(group, "__key"), "pipeline-texts")
+    lead = texts.groupBy("group").agg(F.min(F.struct("first", "__key")).alias("lead"), F.sum("n").alias("n")).filter("n > 1")
+    lead = stored(lead.select("group", F.col("lead.__key").alias("__key"), F.col("lead.first.doc_id").alias("__id"), F.col("lead.first.n").alias("n")), "pipeline-leads")
+    apart = stored(texts.join(lead.select("group"), "group", "left_semi").select("__key"), "pipeline-apart")
+    keyed = docs.withColumn("__key", key)
+
+    def rows(which: str) -> DataFrame:
+        own = stored(lead.filter(which).select(F.col("__key").alias("__k"), "__id"), "pipeline-kept")
+        return keyed.join(own, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+    out = keyed.join(apart, "__key", "left_anti").select(docs.columns)
+    return out.unionByName(rows("n = 1").select(docs.columns)).unionByName(rows("n > 1").dropDuplicates(["doc_id", "__key"]).select(docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a window of a benchmark item. Rows without a doc_id can't be told apart and stay."""
-    found = decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
-    gone = stored(found.filter("contaminated").select("doc_id").distinct(), "pipeline-contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Drops documents with a window of a benchmark item, by text digest: what is found depends on the text alone."""
+    key = F.xxhash64("text")
+    found = decontamination.decontaminate(docs.select(key.alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    gone = stored(found.filter("contaminated").select(F.col("doc_id").alias("__key")).distinct(), "pipeline-contaminated")
+    return docs.withColumn("__key", key).join(gone, "__key", "left_anti").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

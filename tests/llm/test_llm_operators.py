@@ -136,6 +136,22 @@ def test_spelled_out_addresses():
         assert personal_data.candidates(text) and spans(text) == []
 
 
+def test_pipeline_rows_without_or_with_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    d = table(spark)
+    base, other = d.filter("doc_id = 5").first()["text"], " ".join(f"other{i}" for i in range(60))
+    rows = [(None, base), (None, base), (7, base), (7, base + " end"), (7, other), (3, None), (None, ""), (None, ""), (None, "x " + other), (9, other), (1, "alpha beta gamma"), (1, "clean words"), (None, "alpha beta gamma"), (None, "lonely row")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    near = sorted(corpus_pipeline.near_duplicate_stage(spark, d, "").collect(), key=repr)
+    assert [(r["doc_id"], r["text"]) for r in near if r["text"] == base or r["text"] == base + " end"] in ([(7, base)], [(7, base + " end")])
+    rest = [r for r in near if r["text"] not in (base, base + " end")]
+    assert sorted(map(tuple, rest), key=repr) == sorted([(7, other), (3, None), (None, ""), (None, ""), (1, "alpha beta gamma"), (1, "clean words"), (None, "lonely row")], key=repr)
+    bench(spark).write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.decontamination_stage(spark, d, str(tmp_path)).collect()
+    assert sorted(map(tuple, clean), key=repr) == sorted((r for r in rows if r[1] != "alpha beta gamma"), key=repr)
+
+
 def test_secrets_beside_allowed_parts(spark):
     key, r = "Zx9kLm2Qp7Rt5Vw1Bn8Hc3Jf6Ds4Ga0Yu", random.Random(4)
     alphabet = secrets.WIDE_ALPHABET[:62]
