@@ -3,11 +3,12 @@
 Each source's budget in words is its share of `share` times all words by weight, but `most` times its own words at
 most; what is cut off goes to the others by weight. A source is taken whole as often as its budget allows. For the rest,
 documents are counted by length: each length gives its proportional number, then lengths by the largest remainder, then
-bounded-knapsack dynamic programming over the lengths that are left closes the remaining budget, exactly wherever the
-lengths can. Of each length's documents those with the least seeded hashes are taken.
+bounded-knapsack dynamic programming over the lengths that are left closes the remaining budget. If words remain, taken
+documents are given back, up to BACK_WORDS, and that budget is fitted anew: exact where all of the rest fits into BACK_WORDS,
+and never worse than before. Of each length's documents those with the least seeded hashes are taken.
 
 The dynamic programming sees a source's lengths and their counts, never its documents, and a budget of DP_WORDS at
-most. Ranks within a length come from bucket counts: a length that a third of all rows share is split over tasks.
+most, or of BACK_WORDS where that leaves words. Ranks within a length come from bucket counts: a length that a third of all rows share is split over tasks.
 
 Defined results: null texts, and texts without a word, have size 0 and are never taken. A null source is a source, the
 last. Repeated rows count as rows of their own. Without any word all targets are 0.
@@ -27,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST, SEED = 1.5, 2, 29
 #: Budget that dynamic programming covers; the steps before it leave no more wherever the lengths allow.
 DP_WORDS = 20_000
+#: Budget up to which taken documents are given back where words remain.
+BACK_WORDS = 2_000_000
 BUCKET_ROWS = 128
 
 
@@ -101,6 +104,14 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, dp_words: int =
         extra[i] += n
         rest -= n * int(lengths[i])
     if 0 < rest <= dp_words:
+        more = knapsack(lengths, usable - extra, rest)
+        extra += more
+        rest -= int((more * lengths).sum())
+    if 0 < rest < BACK_WORDS and extra.any():
+        for i in np.argsort(-lengths, kind="stable"):
+            n = min(int(extra[i]), (BACK_WORDS - rest) // max(1, int(lengths[i])))
+            extra[i] -= n
+            rest += n * int(lengths[i])
         extra += knapsack(lengths, usable - extra, rest)
     return whole, extra
 

@@ -116,6 +116,14 @@ def test_knapsack():
         assert (got <= counts).all() and int((got * lengths).sum()) == max(s for s in sums if s <= budget)
 
 
+def test_fit_gives_documents_back():
+    import numpy as np
+
+    lengths = np.array([30_000, 50_000, 70_000])
+    whole, extra = mixing.fit(lengths, np.array([1, 1, 1]), 100_000.0)
+    assert whole == 0 and extra.tolist() == [1, 0, 1]
+
+
 def test_entropy(spark):
     from math import log2
 
