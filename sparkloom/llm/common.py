@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    (_open[-1].folders if _open else _left).append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -38,7 +42,120 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     costs only the tasks that ran on it."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's file systems; one that is not there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+_open: list[Scratch] = []
+#: Folders outside any Scratch: results may still read them; removed when the driver ends, or by clean().
+_left: list[str] = []
+
+
+class Scratch:
+    """While it is open, stored() and new_folder() note their folders here; at its end all are removed but those of frames that were
+    kept, which go to the surrounding Scratch, if any, or stay until the driver ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folders, self.kept = spark, [], set()
+
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df._folder)
+        return df
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Removes the folders of frames that nothing reads any more."""
+        for df in frames:
+            self.folders.remove(df._folder)
+            remove(self.spark, df._folder)
+
+    def __exit__(self, *error) -> None:
+        _open.remove(self)
+        for path in self.folders:
+            if path in self.kept and not error[0]:
+                (_open[-1].folders if _open else _left).append(path)
+            else:
+                remove(self.spark, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all folders that results of earlier calls still read; they can't be read again."""
+    while _left:
+        remove(spark, _left.pop())
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if _left and spark is not None:
+        try:
+            clean(spark)
+        except Exception:  # noqa: BLE001  the JVM may be gone; the shared folder's owner clears the rest
+            _left.clear()
+
+
+atexit.register(_at_exit)
+
+#: Keys up to which a bit table may go to all tasks (2 bytes a key, 32 MB at most); with more keys, all rows count as possible.
+TABLE_KEYS = 16_000_000
+_BLOCK_BITS, _PROBES = 4096, 4
+
+
+def _bits(key: str) -> list[Column]:
+    h = F.xxhash64(F.lit(11), key)
+    return [F.shiftrightunsigned(h, 12 * i).bitwiseAND(F.lit(_BLOCK_BITS - 1)) for i in range(_PROBES)]
+
+
+def bit_table(keys: DataFrame, key: str, most: int = TABLE_KEYS) -> tuple[int, DataFrame] | None:
+    """A Bloom filter over a stored table's keys, in blocks of 4096 bits, 16 bits a key: its number of blocks and its rows; None for more
+    than `most` keys."""
+    n = keys.count()
+    if n > most:
+        return None
+    blocks = 1 << max(0, (n * 16 // _BLOCK_BITS - 1).bit_length())
+    bit = F.expr("shiftleft(1L, cast(p % 64 as int))").alias("bit")
+    marks = keys.select(F.pmod(F.xxhash64(F.lit(7), key), F.lit(blocks)).alias("__block"), F.explode(F.array(*_bits(key))).alias("p")).select("__block", F.expr("cast(p div 64 as int)").alias("w"), bit)
+    by = marks.groupBy("__block", "w").agg(F.bit_or("bit").alias("bits")).groupBy("__block").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("by"))  # 64 words a block
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(_BLOCK_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("by", i), F.lit(0).cast("long")))
+    return blocks, stored(by.select("__block", numbers.alias("__words")), "bit-table")
+
+
+def possible(rows: DataFrame, key: str, table: tuple[int, DataFrame] | None) -> DataFrame:
+    """Adds `__possible`: false only for rows whose key is not in the table; true for all where there is none. Nothing is shuffled."""
+    if table is None:
+        return rows.withColumn("__possible", F.lit(True))
+    probes = {f"__p{i}": p for i, p in enumerate(_bits(key))}
+    hit = reduce(lambda x, y: x & y, [F.expr(f"shiftrightunsigned(get(__words, cast({p} div 64 as int)), cast({p} % 64 as int)) & 1L") == 1 for p in probes])
+    block = F.pmod(F.xxhash64(F.lit(7), key), F.lit(table[0]))
+    both = rows.withColumns(probes | {"__b": block}).join(F.broadcast(table[1]), F.col("__b") == F.col("__block"), "left")
+    return both.withColumn("__possible", F.coalesce(hit, F.lit(False))).drop(*probes, "__b", "__block", "__words")
+
+
+def only(rows: DataFrame, key: str, keys: DataFrame, most: int = TABLE_KEYS) -> DataFrame:
+    """The rows whose key is among the keys (a stored table with that column). Only they, and a few others, may be shuffled."""
+    return possible(rows, key, bit_table(keys, key, most)).filter("__possible").drop("__possible").join(keys.select(key), key, "left_semi")
+
+
+def without(rows: DataFrame, key: str, keys: DataFrame, known: DataFrame, most: int = TABLE_KEYS) -> DataFrame:
+    """The rows whose key is not among the keys (a stored table); rows with a null key stay. known holds the key of every row, in narrow rows.
+
+    Rows that the bit table tells apart stay where they are. Of the others, those that it takes for one of the keys by mistake
+    are found on the narrow rows, so no row that goes is shuffled while the bit table may be used."""
+    table = bit_table(keys, key, most)
+    if table is None:
+        return rows.join(keys.select(key), key, "left_anti")
+    wrong = stored(possible(known.select(key), key, table).filter("__possible").select(key).distinct().join(keys.select(key), key, "left_anti"), "not-among")
+    marked = possible(rows, key, table)
+    return marked.filter("not __possible").drop("__possible").unionByName(only(marked.filter("__possible").drop("__possible"), key, wrong, most))
 
 
 def words(text: Column) -> Column:
