@@ -7,21 +7,29 @@ import json
 import os
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions.patterns import BYTE_OFFSET, FIRST_MERGE, MAX_VOCAB, PRETOKEN, PRETOKEN_SPLIT, SPECIALS
+from sparkloom.functions.patterns import BYTE_OFFSET, FIRST_MERGE, MAX_VOCAB, PRETOKEN, PRETOKEN_SPLIT, SPECIALS, in_python, with_specials
+from sparkloom.sources.files import listed, opened, stored, written
 
-#: Merges up to which encoding folds string replacements in the JVM; with more, distinct words go through an Arrow UDF.
-FOLDED_MERGES = 512
 _SHIFT = 256  # id i is the character chr(i + 256): below the surrogates for all ids
 _BETWEEN = "\ue000"
 
 
-def pretokens(text: Column, split_digits: bool = False) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PRETOKEN_SPLIT if split_digits else PRETOKEN), F.lit(0))
+def pretokens(text: Column, split_digits: bool = False, specials: dict[str, int] | None = None) -> Column:
+    """Pre-tokens of a text; none for null. With `specials`, the text is split at these strings first, and they are pre-tokens of their own."""
+    t = F.coalesce(text, F.lit(""))
+    plain = F.regexp_extract_all(t, F.lit(PRETOKEN_SPLIT if split_digits else PRETOKEN), F.lit(0))
+    if not specials:
+        return plain
+    hint = reduce(lambda x, y: x | y, [F.contains(t, F.lit(x)) for x in specials])  # spares most texts the longer pattern
+    return F.when(hint, F.regexp_extract_all(t, F.lit(with_specials(split_digits, specials)), F.lit(0))).otherwise(plain)
 
 
 def pretoken_freq(docs: DataFrame, split_digits: bool = False) -> DataFrame:
@@ -44,11 +52,16 @@ def best_pair(counts: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.desc("a"), F.desc("b")).limit(1)
 
 
-def learn_merges(words: Iterable[tuple[str, int]], n_merges: int, min_freq: int = 2) -> list[tuple[int, int]]:
+def learn_merges(words: Iterable[tuple[str, int]], n_merges: int, min_freq: int = 2, tie: str = "largest") -> list[tuple[int, int]]:
     """Merges in order from distinct words and their counts, with an index from pairs to words: each step touches only the words
-    that hold the pair. Of equally common pairs the largest wins; stops below min_freq."""
-    seqs = [[b + BYTE_OFFSET for b in w.encode()] for w, _ in words]
-    freq = [n for _, n in words]
+    that hold the pair. Of equally common pairs the largest wins, or with tie="first" the one that occurs first in the order of the words.
+    Stops below min_freq; 1 stops only when no pair is left."""
+    if tie not in ("largest", "first"):
+        raise ValueError("tie must be largest or first")
+    seqs, freq = [], []
+    for w, n in words:
+        seqs.append([b + BYTE_OFFSET for b in w.encode()])
+        freq.append(n)
     count: Counter = Counter()
     where: dict[tuple[int, int], set[int]] = defaultdict(set)
     for i, s in enumerate(seqs):
@@ -57,6 +70,14 @@ def learn_merges(words: Iterable[tuple[str, int]], n_merges: int, min_freq: int
             where[p].add(i)
     heap = [(-n, -a, -b) for (a, b), n in count.items()]
     heapq.heapify(heap)
+
+    def place(pair: tuple[int, int]) -> tuple[int, int]:
+        for i in sorted(where[pair]):
+            for k, p in enumerate(zip(seqs[i], seqs[i][1:], strict=False)):
+                if p == pair:
+                    return i, k
+        return len(seqs), 0
+
     merges: list[tuple[int, int]] = []
     while heap and len(merges) < n_merges:
         n, a, b = heapq.heappop(heap)
@@ -65,6 +86,15 @@ def learn_merges(words: Iterable[tuple[str, int]], n_merges: int, min_freq: int
             continue
         if -n < min_freq:
             break
+        if tie == "first":
+            same = {pair}
+            while heap and heap[0][0] == n:
+                _, a, b = heapq.heappop(heap)
+                if count.get((-a, -b), 0) == -n:
+                    same.add((-a, -b))
+            pair = min(same, key=place)
+            for a, b in same - {pair}:
+                heapq.heappush(heap, (n, -a, -b))
         new = FIRST_MERGE + len(merges)
         merges.append(pair)
         touched = set()
@@ -94,12 +124,47 @@ def learn_merges(words: Iterable[tuple[str, int]], n_merges: int, min_freq: int
     return merges
 
 
-def train(docs: DataFrame, vocab_size: int = MAX_VOCAB, min_freq: int = 2) -> list[tuple[int, int]]:
-    """Counting words is distributed; the merge loop runs on the driver over distinct words, as merges depend on one another."""
+#: Distinct pre-tokens up to which the merge loop runs on the driver (about 1 KB each); with more it runs on the cluster.
+DRIVER_WORDS = 2_000_000
+#: Merges after which the cluster's word table is written anew.
+CUT_EVERY = 16
+
+
+def train(docs: DataFrame, vocab_size: int = MAX_VOCAB, min_freq: int = 2, driver_words: int = DRIVER_WORDS) -> list[tuple[int, int]]:
+    """Counting words is distributed. Merges depend on one another: up to `driver_words` distinct words the loop runs on the driver with an
+    index; beyond that each merge is one aggregation over the words' table, with the same merges as result."""
     if not FIRST_MERGE < vocab_size <= MAX_VOCAB:
         raise ValueError(f"vocab_size must lie in {FIRST_MERGE + 1} to {MAX_VOCAB}")
-    words = [(r["word"], r["freq"]) for r in pretoken_freq(docs).toLocalIterator()]
-    return learn_merges(words, vocab_size - FIRST_MERGE, min_freq)
+    freq = stored(pretoken_freq(docs), "bpe-words")
+    if freq.count() <= driver_words:
+        return learn_merges(((r["word"], r["freq"]) for r in freq.toLocalIterator()), vocab_size - FIRST_MERGE, min_freq)
+    return learn_distributed(freq, vocab_size - FIRST_MERGE, min_freq)
+
+
+def apply_merge(ids: Column, pair: tuple[int, int], new: int) -> Column:
+    """Joins non-overlapping occurrences of a pair, from left to right. ids is evaluated once."""
+    step = lambda acc, x: F.when((F.element_at(acc, -1) == pair[0]) & (x == pair[1]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(new)))).otherwise(F.array_append(acc, x))
+
+    def joined(s: Column) -> Column:
+        rest = F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0)))
+        return F.when(F.array_contains(s, F.lit(pair[0])) & (F.size(s) > 1), F.aggregate(rest, F.slice(s, 1, 1), step)).otherwise(s)
+
+    return F.transform(F.array(ids), joined)[0]
+
+
+def learn_distributed(freq: DataFrame, n_merges: int, min_freq: int = 2) -> list[tuple[int, int]]:
+    """learn_merges() over a table (word, freq) that stays on the cluster: per merge an aggregation of pairs, of which one row comes back."""
+    words = stored(freq.select(word_ids(F.col("word")).alias("ids"), "freq").filter("size(ids) > 1"), "bpe-sequences")
+    merges: list[tuple[int, int]] = []
+    while len(merges) < n_merges:
+        best = best_pair(pair_counts(words)).collect()
+        if not best or best[0]["n"] < min_freq:
+            break
+        merges.append((best[0]["a"], best[0]["b"]))
+        words = words.select(apply_merge(F.col("ids"), merges[-1], FIRST_MERGE + len(merges) - 1).alias("ids"), "freq").filter("size(ids) > 1")
+        if len(merges) % CUT_EVERY == 0:
+            words = stored(words, "bpe-sequences")
+    return merges
 
 
 def vocabulary(merges: list[tuple[int, int]]) -> dict[int, bytes]:
@@ -113,13 +178,16 @@ def vocab_table(spark: SparkSession, merges: list[tuple[int, int]]) -> DataFrame
     return spark.createDataFrame([(i, bytearray(t)) for i, t in sorted(vocabulary(merges).items())], "token_id int, token binary")
 
 
-def encode_text(text: Column, merges: list[tuple[int, int]]) -> Column:
-    """Ids of a text, JVM-side. A pair that a merge makes ranks after that merge, so one pass over the merges in order equals taking the
-    least rank first; each is a string replacement on one character per id, with a separator between pre-tokens."""
+def encode_text(text: Column, merges: list[tuple[int, int]], specials: dict[str, int] | None = None) -> Column:
+    """Ids of a text as one expression. A pair that a merge makes ranks after that merge, so one pass over the merges in order equals
+    taking the least rank first; each is a string replacement on one character per id, with a separator between pre-tokens. Meant for few
+    merges and short texts; encode_documents() encodes distinct words."""
     latin = "".join(chr(b) for b in range(256))
     ids = "".join(chr(b + BYTE_OFFSET + _SHIFT) for b in range(256))
-    word = lambda w: F.translate(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"), latin, ids)
-    s = F.array_join(F.transform(pretokens(text), word), _BETWEEN)
+    plain_word = lambda w: F.translate(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"), latin, ids)
+    named = F.create_map(*[F.lit(x) for k, i in specials.items() for x in (k, chr(i + _SHIFT))]) if specials else None
+    word = (lambda w: F.coalesce(F.try_element_at(named, w), plain_word(w))) if specials else plain_word
+    s = F.array_join(F.transform(pretokens(text, specials=specials), word), _BETWEEN)
     table = F.array(*[F.struct(F.lit(chr(a + _SHIFT) + chr(b + _SHIFT)).alias("p"), F.lit(chr(FIRST_MERGE + k + _SHIFT)).alias("n")) for k, (a, b) in enumerate(merges)])
     merged = F.aggregate(table, s, lambda acc, m: F.replace(acc, m["p"], m["n"])) if merges else s
     plain = F.replace(merged, F.lit(_BETWEEN), F.lit(""))
@@ -127,80 +195,338 @@ def encode_text(text: Column, merges: list[tuple[int, int]]) -> Column:
 
 
 class WordEncoder:
-    """Greedy encoding of single words, least rank first."""
+    """Greedy encoding of single words: the least rank first, of one rank from left to right. A heap of pairs over a linked list makes
+    it n log n for long words."""
 
-    def __init__(self, merges: list[tuple[int, int]]) -> None:
+    def __init__(self, merges: list[tuple[int, int]], specials: dict[str, int] | None = None) -> None:
         self.rank = {p: i for i, p in enumerate(merges)}
+        self.specials = specials or {}
 
     def __call__(self, word: str) -> list[int]:
-        ids = [b + BYTE_OFFSET for b in word.encode()]
-        while len(ids) > 1:
-            rank, pair = min((self.rank.get(p, len(self.rank)), p) for p in zip(ids, ids[1:], strict=False))
-            if rank == len(self.rank):
-                break
-            out, k = [], 0
-            while k < len(ids):
-                step = 2 if k + 1 < len(ids) and (ids[k], ids[k + 1]) == pair else 1
-                out.append(FIRST_MERGE + rank if step == 2 else ids[k])
-                k += step
-            ids = out
-        return ids
+        if word in self.specials:
+            return [self.specials[word]]
+        ids: list[int | None] = [b + BYTE_OFFSET for b in word.encode()]
+        rank, n = self.rank, len(ids)
+        heap = [(r, i) for i in range(n - 1) if (r := rank.get((ids[i], ids[i + 1]))) is not None]
+        if not heap:
+            return ids
+        heapq.heapify(heap)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] is None or j < 0 or rank.get((ids[i], ids[j])) != r:
+                continue
+            ids[i], ids[j] = FIRST_MERGE + r, None
+            after[i] = after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+                if (x := rank.get((ids[i], ids[after[i]]))) is not None:
+                    heapq.heappush(heap, (x, i))
+            if before[i] >= 0 and (x := rank.get((ids[before[i]], ids[i]))) is not None:
+                heapq.heappush(heap, (x, before[i]))
+        return [i for i in ids if i is not None]
+
+
+#: Distinct words that a task remembers.
+KNOWN_WORDS = 1_000_000
+
+
+def _encoded_lists(words: pa.Array, encode, known: dict[str, list[int]], front: list[int], back: list[int]) -> pa.Array:
+    """Ids of each list of words: distinct words of the batch are encoded once, the rest is array arithmetic."""
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    flat, ends = words.flatten().dictionary_encode(), np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    distinct = flat.dictionary.to_pylist()
+    if len(known) + len(distinct) > KNOWN_WORDS:
+        known.clear()
+    for w in distinct:
+        if w not in known:
+            known[w] = encode(w)
+    own = [known[w] for w in distinct]
+    size = np.fromiter(map(len, own), np.int64, len(own))
+    starts = np.cumsum(size) - size
+    values = np.fromiter((i for x in own for i in x), np.int32, int(size.sum()))
+    index = flat.indices.to_numpy(zero_copy_only=False)
+    length = size[index] if len(index) else np.zeros(0, np.int64)
+    upto = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+    body = values[np.repeat(starts[index] - upto[:-1], length) + np.arange(upto[-1])] if len(index) else values[:0]
+    more = len(front) + len(back)
+    places = upto[ends] + np.arange(len(ends)) * more
+    out = np.empty(int(places[-1]), np.int32)
+    inside = np.ones(len(out), bool)
+    for k, x in enumerate(front):
+        out[places[:-1] + k], inside[places[:-1] + k] = x, False
+    for k, x in enumerate(back):
+        out[places[1:] - len(back) + k], inside[places[1:] - len(back) + k] = x, False
+    out[inside] = body
+    return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(out))
+
+
+def _ends(specials: dict[str, int], add_eot: bool, add_bos: bool, add_eos: bool) -> tuple[list[int], list[int]]:
+    named = lambda name, wanted: [specials[name]] if wanted else []
+    return named("<|endoftext|>", add_eot) + named("<|bos|>", add_bos), named("<|eos|>", add_eos)
+
+
+def encode_documents(docs: DataFrame, merges: list[tuple[int, int]], add_eot: bool = True, add_bos: bool = False, add_eos: bool = False, allow_special: bool = True, id_col: str = "doc_id") -> DataFrame:
+    """doc_id, ids. Pre-tokens are cut in the JVM; of each Arrow batch the distinct words are encoded, once a task, and put together by array
+    arithmetic, whatever the number of merges. Special strings in a text become their ids, unless `allow_special` is false: then they are text."""
+    front, back = _ends(SPECIALS, add_eot, add_bos, add_eos)
+    specials = SPECIALS if allow_special else None
+    encode = WordEncoder(merges, specials)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([part.column(id_col), _encoded_lists(part.column("words"), encode, known, front, back)], [id_col, "ids"])
+
+    own = docs.select(id_col, pretokens(F.col("text"), specials=specials).alias("words"))
+    return own.mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, ids array<int>")
+
+
+def encode_with(docs: DataFrame, tokenizer, add_eot: bool = True, id_col: str = "doc_id") -> DataFrame:
+    """encode_documents() with any object that has encode(text) and special_tokens, which tasks get a copy of."""
+    front = [tokenizer.special_tokens["<|endoftext|>"]] if add_eot else []
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array([[*front, *tokenizer.encode(t or "")] for t in part.column("text").to_pylist()], pa.list_(pa.int32()))], [id_col, "ids"])
+
+    return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, ids array<int>")
+
+
+def encode_words(words: DataFrame, merges: list[tuple[int, int]]) -> DataFrame:
+    """word, ids for a table of distinct words."""
+    encode = WordEncoder(merges)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([part.column("word"), pa.array([encode(w) for w in part.column("word").to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
+
+    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+
+
+def encode_by_join(docs: DataFrame, merges: list[tuple[int, int]], add_eot: bool = True) -> DataFrame:
+    """encode_documents() without special strings, as a join of word occurrences with distinct encoded words: each distinct word of the
+    whole corpus is encoded once. Worth it where encoding a word costs more than shuffling its occurrences."""
+    at = docs.select("doc_id", F.posexplode(pretokens(F.col("text"))).alias("pos", "word"))
+    table = encode_words(at.select("word").distinct(), merges)
+    joined = at.join(table, "word").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("x"))
+    ids = F.flatten(F.transform("x", lambda x: x["ids"]))
+    out = docs.select("doc_id").join(joined, "doc_id", "left").select("doc_id", F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
+    return out.withColumn("ids", F.concat(F.array(F.lit(SPECIALS["<|endoftext|>"])), "ids")) if add_eot else out
+
+
+def out_of_range(ids: Column, vocab_size: int = MAX_VOCAB) -> Column:
+    """The ids that are not in 0 to vocab_size - 1, in order."""
+    return F.filter(ids, lambda i: (i < 0) | (i >= vocab_size))
+
+
+def range_checked(ids: Column, vocab_size: int = MAX_VOCAB) -> Column:
+    """The ids, or an error with the least, the greatest and the first five that are out of range, when the plan runs."""
+    bad = out_of_range(ids, vocab_size)
+    said = F.concat(F.lit("ids out of range: "), F.array_min(ids).cast("string"), F.lit(" to "), F.array_max(ids).cast("string"), F.lit(", first "), F.array_join(F.slice(bad, 1, 5), ", "))
+    return F.when(F.size(bad) > 0, F.raise_error(said).cast("array<int>")).otherwise(ids)
 
 
-def encode_documents(docs: DataFrame, merges: list[tuple[int, int]], add_eot: bool = True, add_bos: bool = False, add_eos: bool = False) -> DataFrame:
-    """doc_id, ids. A table of up to FOLDED_MERGES merges is folded in the JVM; a larger one encodes each batch's distinct words in
-    an Arrow UDF."""
-    if len(merges) <= FOLDED_MERGES:
-        ids = encode_text(F.col("text"), merges)
-    else:
-        encode = WordEncoder(merges)
-
-        @F.pandas_udf("array<array<int>>")
-        def words(batch: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            known: dict[str, list[int]] = {}
-            for part in batch:
-                if len(known) > 1_000_000:
-                    known.clear()
-                for w in {x for row in part for x in row} - known.keys():
-                    known[w] = encode(w)
-                yield part.map(lambda row: [known[w] for w in row])
-
-        ids = F.flatten(words(pretokens(F.col("text"))))
-    front = [SPECIALS["<|endoftext|>"]] * add_eot + [SPECIALS["<|bos|>"]] * add_bos
-    back = [SPECIALS["<|eos|>"]] * add_eos
-    whole = F.concat(*[F.array(*map(F.lit, x)) for x in (front,) if x], ids, *[F.array(*map(F.lit, x)) for x in (back,) if x])
-    return docs.select("doc_id", whole.alias("ids"))
-
-
-def decode_documents(encoded: DataFrame, merges: list[tuple[int, int]], skip_special: bool = True, errors: str = "replace") -> DataFrame:
-    """doc_id, text, JVM-side: ids look up their bytes in a constant array (one entry a token), unknown ones give "?"."""
-    if errors not in ("replace", "strict"):
-        raise ValueError("errors must be replace or strict")
+def as_uint16(ids: Column) -> Column:
+    """Range-checked ids as little-endian 16-bit numbers, two bytes each, as .npy shards hold them."""
+    two = lambda i: F.concat(F.lpad(F.hex(F.pmod(i, F.lit(256))), 2, "0"), F.lpad(F.hex(F.floor(i / 256)), 2, "0"))
+    return F.unhex(F.array_join(F.transform(range_checked(ids), two), ""))
+
+
+def token_counters(docs: DataFrame, encoded: DataFrame) -> DataFrame:
+    """One row: documents, tokens, tokens a document, and characters a token."""
+    tokens = encoded.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("ids")).cast("long").alias("tokens"))
+    chars = docs.agg(F.sum(F.char_length(F.coalesce("text", F.lit("")))).cast("long").alias("chars"))
+    return tokens.crossJoin(chars).select("docs", "tokens", "chars", (F.col("tokens") / F.col("docs")).alias("tokens_per_doc"), (F.col("chars") / F.col("tokens")).alias("chars_per_token"))  # one row each
+
+
+def token_bytes(merges: list[tuple[int, int]], skip_special: bool = False) -> list[str]:
+    """Bytes of every id in hex; specials as their strings, or nothing."""
     vocab = vocabulary(merges)
-    table = F.array(*[F.lit("" if skip_special and i < len(SPECIALS) else vocab[i].hex()) for i in range(len(vocab))])
-    hexed = F.array_join(F.transform("ids", lambda i: F.coalesce(F.get(table, i), F.lit("3f"))), "")
-    raw = F.unhex(hexed)
-    text = F.make_valid_utf8(raw.cast("string")) if errors == "replace" else F.decode(raw, "UTF-8")
-    return encoded.select("doc_id", text.alias("text"))
+    return ["" if skip_special and i < len(SPECIALS) else vocab[i].hex() for i in range(len(vocab))]
+
+
+def token_text(token: Column, merges: list[tuple[int, int]]) -> Column:
+    """Bytes of a single id; an unknown one gives "?"."""
+    return F.unhex(F.coalesce(F.get(F.array(*map(F.lit, token_bytes(merges))), token), F.lit("3f")))
+
+
+#: Vocabulary entries up to which decoding looks ids up in a constant array; a larger table is a map in the tasks.
+CONSTANT_VOCAB = 1024
+
+
+def decode_documents(encoded: DataFrame, merges: list[tuple[int, int]], skip_special: bool = True, errors: str = "replace", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, text. Unknown ids give "?". Bytes that are no UTF-8 become U+FFFD (replace), vanish (ignore) or are an error (strict).
+
+    Small vocabularies are looked up in the JVM, and only texts that are not valid go through Python; large ones in an Arrow batch."""
+    if errors not in ("replace", "strict", "ignore"):
+        raise ValueError("errors must be replace, ignore or strict")
+    hexes = token_bytes(merges, skip_special)
+    if len(hexes) > CONSTANT_VOCAB:
+        table = {i: bytes.fromhex(h) for i, h in enumerate(hexes)}
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                texts = [None if x is None else b"".join(table.get(i, b"?") for i in x).decode(errors=errors) for x in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(texts, pa.string())], [id_col, "text"])
+
+        return encoded.select(id_col, "ids").mapInArrow(run, f"{id_col} {_type(encoded, id_col)}, text string")
+    constant = F.array(*map(F.lit, hexes))
+    raw = F.unhex(F.array_join(F.transform("ids", lambda i: F.coalesce(F.get(constant, i), F.lit("3f"))), ""))
+    if errors == "strict":
+        return encoded.select(id_col, F.decode(raw, "UTF-8").alias("text"))
+
+    @F.pandas_udf("string")
+    def mended(broken: pd.Series) -> pd.Series:
+        return broken.map(lambda b: None if b is None else bytes(b).decode(errors=errors))
+
+    rows = encoded.select(id_col, raw.alias("__raw")).withColumn("__good", F.is_valid_utf8(F.col("__raw").cast("string")))
+    return rows.select(id_col, F.coalesce(mended(F.when(~F.col("__good"), F.col("__raw"))), F.col("__raw").cast("string")).alias("text"))
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return dict(df.dtypes)[column]
+
+
+class Tokenizer:
+    """A merge table as an object for single texts, with the same results as the columns of this module; its `encode` and
+    `special_tokens` also make it an argument of encode_with()."""
 
+    def __init__(self, merges: list[tuple[int, int]], special_tokens: dict[str, int] | None = None) -> None:
+        import regex
 
-def save(merges: list[tuple[int, int]], folder: str, name: str = "tokenizer", overwrite: bool = False) -> str:
-    """tokenizer JSON, vocabulary JSON (by id) and merges text."""
-    path = os.path.join(folder, f"{name}.json")
-    if os.path.exists(path) and not overwrite:
+        self.merges = [tuple(m) for m in merges]
+        self.special_tokens = dict(SPECIALS if special_tokens is None else special_tokens)
+        self.id_to_token = vocabulary(self.merges)
+        self._names = {i: s.encode() for s, i in self.special_tokens.items()}
+        self._word = WordEncoder(self.merges, self.special_tokens)
+        self._pattern = regex.compile(in_python(with_specials(specials=self.special_tokens) if self.special_tokens else PRETOKEN))
+
+    @classmethod
+    def from_trainer(cls, trainer) -> Tokenizer:
+        """From any object with merges."""
+        return cls(trainer.merges, getattr(trainer, "special_tokens", None))
+
+    @property
+    def vocab_size(self) -> int:
+        return FIRST_MERGE + len(self.merges)
+
+    def encode(self, text: str, add_bos: bool = False, add_eos: bool = False) -> list[int]:
+        front, back = _ends(self.special_tokens, False, add_bos, add_eos)
+        return [*front, *(i for w in self._pattern.findall(text) for i in self._word(w)), *back]
+
+    def encode_batch(self, texts: Iterable[str], add_bos: bool = False, add_eos: bool = False) -> list[list[int]]:
+        return [self.encode(t, add_bos, add_eos) for t in texts]
+
+    def encode_as_uint16(self, text: str, **ends: bool) -> list[int]:
+        ids = self.encode(text, **ends)
+        if bad := [i for i in ids if not 0 <= i < MAX_VOCAB]:
+            raise ValueError(f"ids out of range: {min(ids)} to {max(ids)}, first {bad[:5]}")
+        return ids
+
+    def decode_single_token(self, token: int) -> bytes:
+        return self._names.get(token) or self.id_to_token.get(token, b"?")
+
+    def decode(self, ids: Iterable[int], skip_special_tokens: bool = True, errors: str = "replace") -> str:
+        return b"".join(self.decode_single_token(i) for i in ids if not (skip_special_tokens and i in self._names)).decode(errors=errors)
+
+    def decode_batch(self, batch: Iterable[Iterable[int]], skip_special_tokens: bool = True, errors: str = "replace") -> list[str]:
+        return [self.decode(x, skip_special_tokens, errors) for x in batch]
+
+
+class Trainer:
+    """Learns merges from an iterable of texts, or a DataFrame with a text column."""
+
+    def __init__(self, vocab_size: int = MAX_VOCAB, min_freq: int = 2, tie: str = "largest") -> None:
+        if not FIRST_MERGE < vocab_size <= MAX_VOCAB:
+            raise ValueError(f"vocab_size must lie in {FIRST_MERGE + 1} to {MAX_VOCAB}")
+        self.vocab_size, self.min_freq, self.tie, self.merges, self.special_tokens = vocab_size, min_freq, tie, [], dict(SPECIALS)
+
+    def train(self, texts: DataFrame | Iterable[str]) -> Trainer:
+        if isinstance(texts, DataFrame):
+            self.merges = train(texts, self.vocab_size, self.min_freq)
+        else:
+            import regex
+
+            cut = regex.compile(in_python(PRETOKEN))
+            self.merges = learn_merges(Counter(w for t in texts for w in cut.findall(t)).items(), self.vocab_size - FIRST_MERGE, self.min_freq, self.tie)
+        return self
+
+    @property
+    def id_to_token(self) -> dict[int, bytes]:
+        return vocabulary(self.merges)
+
+    @property
+    def token_to_id(self) -> dict[bytes, int]:
+        return {t: i for i, t in self.id_to_token.items()}
+
+    def get_vocab(self) -> dict[int, bytes]:
+        return self.id_to_token
+
+
+def register(spark: SparkSession, merges: list[tuple[int, int]]) -> None:
+    """SQL functions of this session: pretokenize(text), bpe_encode(text), bpe_decode(ids). The first is a SQL expression, the others Arrow functions."""
+    quoted = PRETOKEN.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"create or replace temporary function pretokenize(t string) returns array<string> return regexp_extract_all(coalesce(t, ''), '{quoted}', 0)")
+    tokenizer = Tokenizer(merges)
+
+    @F.pandas_udf("array<int>")
+    def encode(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: tokenizer.encode(t or ""))
+
+    @F.pandas_udf("string")
+    def decode(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda x: None if x is None else tokenizer.decode(int(i) for i in x))
+
+    spark.udf.register("bpe_encode", encode)
+    spark.udf.register("bpe_decode", decode)
+
+
+#: Comment lines of the merges text of the integer variant.
+_NOTES = "# byte-level BPE merges\n# one pair of ids a line, in order\n# the id of line k is its number from 0 plus {first}\n# ids {low} to {high} are bytes\n"
+
+
+def save(merges: list[tuple[int, int]], folder: str, name: str = "tokenizer", overwrite: bool = False, lossy: bool = False) -> str:
+    """tokenizer JSON, vocabulary JSON and merges text in a folder (path or URI).
+
+    The vocabulary maps latin-1 spelled tokens by id. `lossy` writes the other common form: token text (bytes that are no UTF-8 become
+    U+FFFD, so that tokens may fall together, the later winning) to id, and merges as bare pairs under a comment."""
+    path = f"{folder}/{name}.json"
+    spark = SparkSession.getActiveSession()
+    if not overwrite and (listed(spark, folder, f"{name}.json") if spark else os.path.exists(path)):
         raise FileExistsError(path)
-    os.makedirs(folder, exist_ok=True)
-    with open(path, "w") as f:
-        json.dump({"version": "1.0", "vocab_size": FIRST_MERGE + len(merges), "special_tokens": SPECIALS, "merges": [list(m) for m in merges]}, f, indent=2)
-    with open(os.path.join(folder, "vocab.json"), "w") as f:
-        json.dump({str(i): t.decode("latin-1") for i, t in sorted(vocabulary(merges).items())}, f)
-    with open(os.path.join(folder, "merges.txt"), "w") as f:
-        f.writelines(f"{a} {b}  # -> {FIRST_MERGE + k}\n" for k, (a, b) in enumerate(merges))
+    vocab = sorted(vocabulary(merges).items())
+    with written(path) as f:
+        f.write(json.dumps({"version": "1.0", "vocab_size": FIRST_MERGE + len(merges), "special_tokens": SPECIALS, "merges": [list(m) for m in merges]}, indent=2).encode())
+    with written(f"{folder}/vocab.json") as f:
+        f.write(json.dumps({t.decode(errors="replace"): i for i, t in vocab} if lossy else {str(i): t.decode("latin-1") for i, t in vocab}).encode())
+    with written(f"{folder}/merges.txt") as f:
+        if lossy:
+            f.write(_NOTES.format(first=FIRST_MERGE, low=BYTE_OFFSET, high=FIRST_MERGE - 1).encode())
+        f.writelines((f"{a} {b}\n" if lossy else f"{a} {b}  # -> {FIRST_MERGE + k}\n").encode() for k, (a, b) in enumerate(merges))
     return path
 
 
+def from_byte_level(path: str, n_merges: int = MAX_VOCAB - FIRST_MERGE) -> list[tuple[int, int]]:
+    """The first merges of a public byte-level tokenizer file (JSON with model.merges, spelled in printable characters) in this id layout. Its
+    bytes that are printable stand for themselves, the others, in order, for the characters from 256 on."""
+    with opened(path) as f:
+        spelled = json.load(f)["model"]["merges"]
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(own))}
+    ids = {c: b + BYTE_OFFSET for c, b in byte.items()}
+    merges: list[tuple[int, int]] = []
+    for m in spelled[:n_merges]:
+        a, b = m.split(" ") if isinstance(m, str) else m
+        merges.append((ids[a], ids[b]))
+        ids.setdefault(a + b, FIRST_MERGE + len(merges) - 1)
+    return merges
+
+
 def load(path: str) -> list[tuple[int, int]]:
-    with open(path) as f:
+    with opened(path) as f:
         d = json.load(f)
     missing = {"version", "vocab_size", "special_tokens", "merges"} - d.keys()
     if missing:

@@ -16,6 +16,10 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
 
+def scaled(x: Column, by: float) -> Column:
+    return F.transform(x, lambda v: v * by)
+
+
 def rms_norm(x: Column, scale: float = 1.0, eps: float = 1e-6) -> Column:
     x = doubles(x)
     root = F.sqrt(total(F.transform(x, lambda v: v * v)) / F.size(x) + eps)
@@ -97,3 +101,56 @@ def causal_attention(rows: DataFrame, id_col: str, vector: str, context: int, he
 def adamw_first_step(param: Column, grad: Column, lr: float, decay: float, eps: float = 1e-8) -> Column:
     """Parameters after the first step, where the bias-corrected moments are the gradient and its square."""
     return F.zip_with(doubles(param), doubles(grad), lambda p, g: p - lr * (g / (F.sqrt(g * g) + eps) + decay * p))
+
+
+def adamw(param: Column, grads: Column, lr: float, decay: float, b1: float = 0.9, b2: float = 0.95, eps: float = 1e-8) -> Column:
+    """Parameters after a step for each gradient in the array `grads`, moments corrected for bias, decay apart from the gradient."""
+
+    def step(acc: Column, g: Column) -> Column:
+        t = acc["t"] + 1
+        m = F.zip_with(acc["m"], g, lambda a, x: a * b1 + x * (1 - b1))
+        v = F.zip_with(acc["v"], g, lambda a, x: a * b2 + x * x * (1 - b2))
+        by = F.zip_with(m, v, lambda a, s: a / (1 - F.pow(F.lit(b1), t)) / (F.sqrt(s / (1 - F.pow(F.lit(b2), t))) + eps))
+        return F.struct(F.zip_with(acc["p"], by, lambda p, u: p - lr * (u + decay * p)).alias("p"), m.alias("m"), v.alias("v"), t.alias("t"))
+
+    p = doubles(param)
+    zeros = F.transform(p, lambda _: F.lit(0.0))
+    return F.aggregate(grads, F.struct(p.alias("p"), zeros.alias("m"), zeros.alias("v"), F.lit(0).alias("t")), step, lambda acc: acc["p"])
+
+
+def matvec(x: Column, rows: list[list[float]]) -> Column:
+    """A constant matrix, given by rows, times a vector."""
+    return F.array(*[total(F.zip_with(x, F.array(*map(F.lit, r)), lambda a, b: a * b)) for r in rows])
+
+
+def swiglu(x: Column, gate: list[list[float]], up: list[list[float]], down: list[list[float]]) -> Column:
+    """down (silu(gate x) * (up x)); matrices by rows."""
+    x = doubles(x)
+    return matvec(F.zip_with(silu(matvec(x, gate)), matvec(x, up), lambda a, b: a * b), down)
+
+
+def cross_entropy(logits: Column, target: Column) -> Column:
+    return -F.get(log_softmax(logits), target)
+
+
+def parameters(presets: DataFrame) -> DataFrame:
+    """(name, module, leaf, rows, cols): a row for every tensor of a model, vectors with one column."""
+    leaf = lambda name, r, c: F.struct(F.lit(name).alias("leaf"), F.expr(f"cast({r} as bigint)").alias("rows"), F.expr(f"cast({c} as bigint)").alias("cols"))
+    kv = "(d_model div n_heads) * n_kv_heads"
+    block = F.array(
+        leaf("attn/wq", "d_model", "d_model"), leaf("attn/wk", "d_model", kv), leaf("attn/wv", "d_model", kv), leaf("attn/wo", "d_model", "d_model"),
+        leaf("mlp/w_gate", "d_model", "d_ff"), leaf("mlp/w_up", "d_model", "d_ff"), leaf("mlp/w_down", "d_ff", "d_model"), leaf("norm_attn/scale", "d_model", "1"), leaf("norm_mlp/scale", "d_model", "1"),
+    )
+    layers = presets.select("name", F.explode(F.expr("sequence(0, n_layers - 1)")).alias("i"), block.alias("b")).select("name", F.concat(F.lit("block_"), "i").alias("module"), F.explode("b").alias("x"))
+    ends = F.array(F.struct(F.lit("tok_emb").alias("module"), leaf("embedding", "vocab_size", "d_model").alias("x")), F.struct(F.lit("norm_final").alias("module"), leaf("scale", "d_model", "1").alias("x")))
+    outer = presets.select("name", F.explode(ends).alias("e")).select("name", "e.module", "e.x")
+    return layers.unionByName(outer).select("name", "module", "x.*")
+
+
+def reconcile(model: DataFrame, saved: DataFrame, prefix: str = "params/") -> DataFrame:
+    """(param, problem): parameters (param, rows, cols) that the saved ones lack (missing), have in another shape (shape) or have beside the
+    model's (unexpected). Saved names may carry the prefix."""
+    s = saved.select(F.when(F.col("param").startswith(prefix), F.expr(f"substring(param, {len(prefix) + 1})")).otherwise(F.col("param")).alias("param"), F.col("rows").alias("r"), F.col("cols").alias("c"), F.lit(True).alias("saved"))
+    both = model.withColumn("known", F.lit(True)).join(s, "param", "full_outer")
+    problem = F.when(F.col("saved").isNull(), "missing").when(F.col("known").isNull(), "unexpected").when((F.col("rows") != F.col("r")) | (F.col("cols") != F.col("c")), "shape")
+    return both.select("param", problem.alias("problem")).filter("problem is not null")

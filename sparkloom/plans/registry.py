@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.merges import MERGES
-from sparkloom.functions.patterns import FIRST_MERGE, SPECIALS, WS
+from sparkloom.functions.patterns import FIRST_MERGE, SPECIALS, WS, special_pattern
 from sparkloom.operators import bpe, documents, kernels, shards
+from sparkloom.sources import configs, corpus_text, npy_shards, training_log
+from sparkloom.sources.files import new_folder, stored
 from sparkloom.streaming import encode as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,15 +49,16 @@ CHAR_SQL = "select doc_id, coalesce(text, '') as text, length(coalesce(text, '')
 LONG_SQL = f"select * from ({CHAR_SQL}) where char_count >= 100"
 
 
-def tokens_sql(tail: str) -> str:
-    """The list of pre-tokens of x: a mark before the last white space of a run stands for the lookahead that RE2 lacks."""
+def tokens_sql(tail: str, text: str = "coalesce(text, '')") -> str:
+    """The list of pre-tokens of a text: a mark before the last white space of a run stands for the lookahead that RE2 lacks."""
     return (
-        f"flatten(list_transform(string_split(regexp_replace(coalesce(text, ''), '([{WS}])([^{WS}])', chr(1) || '\\1\\2', 'g'), chr(1)), "
+        f"flatten(list_transform(string_split(regexp_replace({text}, '([{WS}])([^{WS}])', chr(1) || '\\1\\2', 'g'), chr(1)), "
         f"lambda x: regexp_extract_all(x, '''s|''t|''re|''ve|''m|''ll|''d|{tail}')))"
     )
 
 
-PT = tokens_sql(rf" ?[\p{{L}}\p{{N}}_]+| ?[^{WS}\p{{L}}\p{{N}}_]+|[{WS}]+")
+_TAIL = rf" ?[\p{{L}}\p{{N}}_]+| ?[^{WS}\p{{L}}\p{{N}}_]+|[{WS}]+"
+PT = tokens_sql(_TAIL)
 PT_SPLIT = tokens_sql(rf" ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+")
 FREQ_SQL = f"select word, count(*)::bigint as freq from (select unnest({PT}) as word from documents) group by word"
 HEX_IDS = "list_transform(regexp_extract_all(hex(encode(word)), '..'), lambda h: ('0x' || h)::int + 5)"
@@ -94,6 +97,9 @@ def text_of(col: str) -> str:
     return f"array_to_string({col}, ',')"
 
 
+_VOCAB = bpe.vocabulary(MERGES)
+
+
 # ---- documents
 
 
@@ -125,7 +131,9 @@ def char_budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select doc_id, least(len(ids), {TOKENS} - first)::bigint as n_tokens, md5({text_of(f'ids[1 : least(len(ids), {TOKENS} - first)]')}) as digest from ({ENC_AT_SQL}) where first < {TOKENS}")
 def token_budget_truncate(spark: SparkSession, sf: str) -> DataFrame:
-    cut = documents.token_budget(bpe.encode_documents(docs(spark, sf), MERGES), TOKENS)
+    # only documents that the budget can reach, by their bytes, are encoded
+    needed = documents.least_tokens(docs(spark, sf), TOKENS, max(map(len, _VOCAB.values())))
+    cut = documents.token_budget(stored(bpe.encode_documents(needed, MERGES), "encoded"), TOKENS)
     return cut.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("digest"))
 
 
@@ -187,9 +195,6 @@ def apply_first_merge(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.pretoken_freq(docs(spark, sf)).select("word", F.replace(s, F.lit(chr(a + 256) + chr(b + 256)), F.lit(chr(FIRST_MERGE + 256))).alias("merged"))
 
 
-_VOCAB = bpe.vocabulary(MERGES)
-
-
 @query("select * from (values " + ", ".join(f"({i}, '{t.hex()}')" for i, t in _VOCAB.items()) + ") t(token_id, token_hex)")
 def vocab_table(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.vocab_table(spark, MERGES).select("token_id", F.lower(F.hex("token")).alias("token_hex"))
@@ -220,7 +225,7 @@ def bpe_roundtrip_violations(spark: SparkSession, sf: str) -> DataFrame:
     return back.agg(F.count_if(F.col("text") != F.coalesce(F.col("doc_id.text"), F.lit(""))).alias("violations"))
 
 
-_SPECIAL = "|".join("<[|]" + s[2:-2] + "[|]>" for s in sorted(SPECIALS, key=len, reverse=True))
+_SPECIAL = special_pattern()
 
 
 @query(f"select conv_id, turn, len(regexp_extract_all(role || '<|endoftext|>' || text || '<|eos|>', '{_SPECIAL}'))::bigint as n_special, length(regexp_replace(role || '<|endoftext|>' || text || '<|eos|>', '{_SPECIAL}', '', 'g'))::bigint as plain_chars from conversations")
@@ -232,20 +237,33 @@ def special_split(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"select doc_id, list_min(ids)::int as low, list_max(ids)::int as high, {text_of('list_filter(ids, lambda i: i >= 300)[1:5]')} as first_bad from ({ENC_SQL})")
 def id_range_report(spark: SparkSession, sf: str) -> DataFrame:
     e = bpe.encode_documents(docs(spark, sf), MERGES)
-    return e.select("doc_id", F.array_min("ids").alias("low"), F.array_max("ids").alias("high"), F.array_join(F.slice(F.filter("ids", lambda i: i >= 300), 1, 5), ",").alias("first_bad"))
+    return e.select("doc_id", F.array_min("ids").alias("low"), F.array_max("ids").alias("high"), F.array_join(F.slice(bpe.out_of_range(F.col("ids"), 300), 1, 5), ",").alias("first_bad"))
 
 
 @query(f"select round(sum(strlen(text))::double / sum(n), 6) as ratio from documents join (select doc_id, len(ids) as n from ({IDS_SQL})) using (doc_id)")
 def compression_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    ids = bpe.encode_text(F.col("text"), MERGES)
-    return docs(spark, sf).select(F.octet_length("text").alias("b"), F.size(ids).alias("n")).agg(F.round(F.sum("b") / F.sum("n"), 6).alias("ratio"))
+    tokens = bpe.encode_documents(docs(spark, sf), MERGES, add_eot=False).agg(F.sum(F.size("ids")).alias("n"))
+    return docs(spark, sf).agg(F.sum(F.octet_length("text")).alias("b")).crossJoin(tokens).select(F.round(F.col("b") / F.col("n"), 6).alias("ratio"))  # one row each
 
 
 # ---- shards and windows
 
 
+def _encoded(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode_documents(docs(spark, sf), MERGES)
+
+
 def _shards(spark: SparkSession, sf: str) -> DataFrame:
-    return shards.layout(bpe.encode_documents(docs(spark, sf), MERGES), SHARD)
+    return shards.layout(_encoded(spark, sf), SHARD)
+
+
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """(shard_index, tokens) without shards being put together."""
+    return stored(shards.sizes(shards.pieces(_encoded(spark, sf), SHARD)), "shard-sizes")  # a row a shard
+
+
+def _windows(spark: SparkSession, sf: str, stride: int | None = None) -> DataFrame:
+    return shards.windows_of_pieces(shards.pieces(_encoded(spark, sf), SHARD), SHARD, LENGTH, stride)
 
 
 @query(f"select shard_index, len(tokens)::bigint as n, md5({text_of('tokens')}) as digest from ({SHARDS_SQL})")
@@ -255,21 +273,21 @@ def shard_layout(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select shard_index, printf('shard_%05d.npy', shard_index) as filename, len(tokens)::bigint as tokens, (sum(len(tokens)) over ())::bigint as total_tokens, count(*) over () as total_shards from ({SHARDS_SQL})")
 def shard_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    m = shards.manifest(_shards(spark, sf))
+    m = shards.named(_sizes(spark, sf))
     everything = Window.partitionBy(F.lit(0))  # one row a shard
     return m.withColumn("total_tokens", F.sum("tokens").over(everything)).withColumn("total_shards", F.count(F.lit(1)).over(everything))
 
 
 @query(f"select shard_index, case when shard_index = {VAL} then 'val' else 'train' end as part, len(tokens)::bigint as n from ({SHARDS_SQL})")
 def shard_train_val_split(spark: SparkSession, sf: str) -> DataFrame:
-    s = _shards(spark, sf)
-    parts = [shards.split(s, VAL, t).select("shard_index", F.lit("train" if t else "val").alias("part"), F.size("tokens").cast("long").alias("n")) for t in (True, False)]
+    s = _sizes(spark, sf)
+    parts = [shards.split(s, VAL, t).select("shard_index", F.lit("train" if t else "val").alias("part"), F.col("tokens").alias("n")) for t in (True, False)]
     return parts[0].unionByName(parts[1])
 
 
 @query(f"select coalesce(a.shard_index, b.shard_index) as shard_index, a.n as listed, b.n as found, coalesce(a.n = b.n, false) as agrees from (select shard_index, len(tokens)::bigint as n from ({SHARDS_SQL}) where shard_index <> 0) a full join (select shard_index, len(tokens)::bigint as n from ({SHARDS_SQL}) where shard_index <> {VAL}) b on a.shard_index = b.shard_index")
 def manifest_reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    n = _shards(spark, sf).select("shard_index", F.size("tokens").cast("long").alias("n"))
+    n = _sizes(spark, sf).withColumnRenamed("tokens", "n")
     a, b = n.filter("shard_index <> 0").withColumnRenamed("n", "listed"), n.filter(f"shard_index <> {VAL}").withColumnRenamed("n", "found")
     return a.join(b, "shard_index", "full_outer").withColumn("agrees", F.coalesce(F.col("listed") == F.col("found"), F.lit(False)))
 
@@ -284,12 +302,12 @@ def _digest_sql(inner: str, *more: str) -> str:
 
 @query(_digest_sql(wins_sql(LENGTH)))
 def training_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return _digested(shards.windows(_shards(spark, sf), LENGTH))
+    return _digested(_windows(spark, sf))
 
 
 @query(_digest_sql(wins_sql(STRIDE)))
 def overlapping_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return _digested(shards.windows(_shards(spark, sf), LENGTH, STRIDE))
+    return _digested(_windows(spark, sf, STRIDE))
 
 
 @query(f"select tok::int as token, nxt::int as next, count(*)::bigint as n from (select tok, lead(tok) over (partition by pos // {SHARD} order by pos) as nxt from ({FLAT_SQL})) where nxt is not null group by 1, 2")
@@ -303,17 +321,18 @@ _BATCH_SQL = "select rn // {b} as batch_id, rn % {b} as slot, * from (select * r
 
 @query(_digest_sql(_BATCH_SQL.format(b=BATCH, skip=0, inner=NUMBERED_SQL), "batch_id", "slot"))
 def fixed_batches(spark: SparkSession, sf: str) -> DataFrame:
-    return _digested(shards.batches(shards.windows(_shards(spark, sf), LENGTH), BATCH), "batch_id", "slot")
+    return _digested(shards.batches(_windows(spark, sf), BATCH), "batch_id", "slot")
 
 
 @query(_digest_sql(_BATCH_SQL.format(b=BATCH, skip=10, inner=NUMBERED_SQL), "batch_id", "slot"))
 def resume_skip(spark: SparkSession, sf: str) -> DataFrame:
-    return _digested(shards.batches(shards.windows(_shards(spark, sf), LENGTH), BATCH, 10 * LENGTH + 5, LENGTH), "batch_id", "slot")
+    return _digested(shards.batches(_windows(spark, sf), BATCH, 10 * LENGTH + 5, LENGTH), "batch_id", "slot")
 
 
 @query(f"with v as (select *, count(*) over () as k from ({wins_sql(LENGTH)}) where shard_index = {VAL}) select i // {BATCH} as batch_id, i % {BATCH} as slot, win_index, md5({text_of('input')}) as input from (select unnest(range(0, {BATCH * 25})) as i) join v on i % v.k = v.win_index")
 def val_cycle(spark: SparkSession, sf: str) -> DataFrame:
-    v = shards.windows(shards.split(_shards(spark, sf), VAL, False), LENGTH)
+    parts = shards.pieces(_encoded(spark, sf), SHARD)
+    v = shards.windows_of_pieces(shards.split(parts, VAL, False), SHARD, LENGTH)
     k = v.agg(F.count(F.lit(1)).alias("k"))
     slots = spark.range(BATCH * 25).crossJoin(F.broadcast(k)).select("id", (F.col("id") % F.col("k")).alias("win_index"))  # k is one row
     return slots.join(v, "win_index").select(F.expr(f"id div {BATCH}").alias("batch_id"), (F.col("id") % BATCH).alias("slot"), F.col("win_index").cast("long").alias("win_index"), F.md5(F.array_join("input", ",")).alias("input"))
@@ -321,9 +340,9 @@ def val_cycle(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select greatest(0, (sum(len(tokens)) - 1) // {LENGTH})::bigint as estimate, sum(case when len(tokens) >= {LENGTH + 1} then (len(tokens) - {LENGTH + 1}) // {LENGTH} + 1 else 0 end)::bigint as exact from ({SHARDS_SQL})")
 def sequence_estimate_vs_exact(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.size("tokens").cast("long")
-    exact = F.when(n >= LENGTH + 1, F.floor((n - (LENGTH + 1)) / LENGTH) + 1).otherwise(0)
-    return _shards(spark, sf).agg(F.sum(n).alias("t"), F.sum(exact).alias("exact")).select(F.expr(f"greatest(0L, (t - 1) div {LENGTH})").alias("estimate"), "exact")
+    n = F.col("tokens")
+    exact = shards.window_count(n, LENGTH)
+    return _sizes(spark, sf).agg(F.sum(n).alias("t"), F.sum(exact).alias("exact")).select(F.expr(f"greatest(0L, (t - 1) div {LENGTH})").alias("estimate"), "exact")
 
 
 # ---- configurations and logs
@@ -444,5 +463,267 @@ def stream_encode_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(SQL["shard_layout"])
 def stream_shard_assembly(spark: SparkSession, sf: str) -> DataFrame:
-    e = streaming.encode_stream(spark, f"{sf}/documents.parquet", MERGES)
-    return shards.layout(e, SHARD).select("shard_index", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", ",")).alias("digest"))
+    parts = streaming.shard_stream(spark, f"{sf}/documents.parquet", MERGES, SHARD)
+    return _shard_digests(shards.assembled(parts))
+
+
+# ---- special strings, single tokens, large tables
+
+
+def _shard_digests(s: DataFrame) -> DataFrame:
+    return s.select("shard_index", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", ",")).alias("digest"))
+
+
+_MARKED = "role || '<|endoftext|>' || coalesce(text, '') || '  <|eos|>!!<|pad|>'"
+_CUT_SQL = (
+    f"flatten(list_transform(range(1, len(string_split_regex(t, '{_SPECIAL}')) + 1), lambda i: list_concat({tokens_sql(_TAIL, f'string_split_regex(t, {chr(39)}{_SPECIAL}{chr(39)})[i]')}, regexp_extract_all(t, '{_SPECIAL}')[i : i])))"
+)
+_NAMED = "case " + " ".join(f"when w = '{k}' then chr({256 + i})" for k, i in SPECIALS.items()) + f" else {_WORD_CHARS} end"
+
+
+@query(f"select conv_id, turn, {text_of('ids')} as ids from (select conv_id, turn, list_transform(string_split(replace({_fold()}, chr(57344), ''), ''), lambda c: unicode(c) - 256) as ids from (select conv_id, turn, array_to_string(list_transform({_CUT_SQL}, lambda w: {_NAMED}), chr(57344)) as s from (select conv_id, turn, {_MARKED} as t from conversations)))")
+def encode_specials(spark: SparkSession, sf: str) -> DataFrame:
+    rows = documents.read(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), F.expr(_MARKED).alias("text"))
+    return bpe.encode_documents(rows, MERGES, add_eot=False).select("doc_id.*", F.array_join("ids", ",").alias("ids"))
+
+
+@query(f"select conv_id, turn, len(ids)::bigint as n from (select conv_id, turn, list_transform(string_split(replace({_fold()}, chr(57344), ''), ''), lambda c: unicode(c) - 256) as ids from (select conv_id, turn, array_to_string(list_transform({tokens_sql(_TAIL, 't')}, lambda w: {_WORD_CHARS}), chr(57344)) as s from (select conv_id, turn, {_MARKED} as t from conversations)))")
+def encode_specials_as_text(spark: SparkSession, sf: str) -> DataFrame:
+    rows = documents.read(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), F.expr(_MARKED).alias("text"))
+    return bpe.encode_documents(rows, MERGES, add_eot=False, allow_special=False).select("doc_id.*", F.size("ids").cast("long").alias("n"))
+
+
+@query(f"select conv_id, turn, md5({_MARKED.replace(chr(39) + '<|endoftext|>' + chr(39), chr(39) * 2).replace('<|eos|>', '').replace('<|pad|>', '')}) as bare, md5({_MARKED}) as whole from conversations")
+def decode_specials(spark: SparkSession, sf: str) -> DataFrame:
+    rows = documents.read(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), F.expr(_MARKED).alias("text"))
+    e = stored(bpe.encode_documents(rows, MERGES, add_eot=False), "encoded")
+    text = lambda skip, name: bpe.decode_documents(e, MERGES, skip_special=skip).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias(name))
+    return text(True, "bare").join(text(False, "whole"), "doc_id").select("doc_id.*", "bare", "whole")
+
+
+@query("select * from (values " + ", ".join(f"({i}, '{t.hex()}')" for i, t in _VOCAB.items()) + f", ({len(_VOCAB)}, '3f')) t(token_id, token_hex)")
+def single_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.range(len(_VOCAB) + 1).select(F.col("id").cast("int").alias("token_id"), F.lower(F.hex(bpe.token_text(F.col("id").cast("int"), MERGES))).alias("token_hex"))
+
+
+@query(f"select doc_id, md5(array_to_string(list_transform(ids, lambda i: lower(printf('%02x%02x', i % 256, i // 256))), '')) as digest from ({ENC_SQL})")
+def uint16_encode(spark: SparkSession, sf: str) -> DataFrame:
+    return _encoded(spark, sf).select("doc_id", F.md5(F.lower(F.hex(bpe.as_uint16(F.col("ids")))).cast("binary")).alias("digest"))
+
+
+@query(SQL["bpe_encode_docs"])
+def encode_by_join(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode_by_join(docs(spark, sf), MERGES).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("digest"))
+
+
+@query(SQL["bpe_encode_docs"])
+def encode_as_expression(spark: SparkSession, sf: str) -> DataFrame:
+    ids = F.concat(F.array(F.lit(0)), bpe.encode_text(F.col("text"), MERGES, SPECIALS))
+    return docs(spark, sf).select("doc_id", ids.alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("digest"))
+
+
+@query(f"select doc_id, len(ids)::bigint as n_tokens, md5(coalesce(text, '')) as digest, len({PT})::bigint as n_words from documents join ({IDS_SQL}) using (doc_id)".replace("coalesce(text, '')) as digest", "coalesce(documents.text, '')) as digest"))
+def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    bpe.register(spark, MERGES)
+    d = docs(spark, sf).select("doc_id", "text", F.expr("bpe_encode(text)").alias("ids"))
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.expr("md5(encode(bpe_decode(ids), 'UTF-8'))").alias("digest"), F.expr("cast(size(pretokenize(text)) as bigint)").alias("n_words"))
+
+
+@query(f"select count(*)::bigint as docs, sum(n)::bigint as tokens, sum(c)::bigint as chars, round(sum(n) / count(*), 6) as tokens_per_doc, round(sum(c) / sum(n), 6) as chars_per_token from (select len(ids) as n, length(coalesce(text, '')) as c from documents join ({ENC_SQL}) using (doc_id))")
+def token_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.token_counters(docs(spark, sf), _encoded(spark, sf)).select("docs", "tokens", "chars", F.round("tokens_per_doc", 6).alias("tokens_per_doc"), F.round("chars_per_token", 6).alias("chars_per_token"))
+
+
+@query("select token_hex, max(token_id)::int as token_id, count(*)::bigint as n from (" + SQL["vocab_table"] + ") where token_id >= 5 group by token_hex")
+def vocab_inverse(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids by token as a map, and back: tokens that fall together keep the last id."""
+    table = bpe.vocab_table(spark, MERGES).filter("token_id >= 5").select(F.lower(F.hex("token")).alias("k"), "token_id").groupBy("k").agg(F.max("token_id").alias("v"), F.count(F.lit(1)).alias("c"))
+    inverse = table.agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("v", "c")))).alias("m"))  # a vocabulary has 32,768 entries at most
+    return inverse.select(F.explode("m")).select(F.col("key").alias("token_hex"), F.col("value.v").alias("token_id"), F.col("value.c").alias("n"))
+
+
+# ---- shard files
+
+
+@query(SQL["shard_layout"])
+def npy_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_folder(spark, "npy")
+    npy_shards.write_documents(_encoded(spark, sf), folder, SHARD)
+    return _shard_digests(npy_shards.read(spark, folder))
+
+
+CUT = 110_000
+
+
+@query(f"select shard_index, len(tokens)::bigint as n, md5({text_of('tokens')}) as digest from (select shard_index, list(tok order by pos) as tokens from (select case when pos < {CUT} then pos // {SHARD} else {-(-CUT // SHARD)} + (pos - {CUT}) // {SHARD} end::bigint as shard_index, pos, tok from ({FLAT_SQL}) where pos < {TOKENS}) group by 1)")
+def npy_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """Shards of a budget, then the same folder gone on with to a larger one."""
+    folder, encoded = new_folder(spark, "npy"), stored(_encoded(spark, sf), "encoded")
+    npy_shards.write_documents(encoded, folder, SHARD, token_budget=CUT)
+    npy_shards.write_documents(encoded, folder, SHARD, token_budget=TOKENS, resume=True)
+    return _shard_digests(npy_shards.read(spark, folder))
+
+
+@query(f"select shard_index, printf('shard_%05d.npy', shard_index) as filename, len(tokens)::bigint as tokens, round((128 + 2 * len(tokens)) / 1e6, 2) as size_mb, true as agrees from ({SHARDS_SQL})")
+def npy_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Token counts from the files' headers, a manifest rebuilt from them, read as JSON and compared with the files."""
+    folder = new_folder(spark, "npy")
+    npy_shards.write_documents(_encoded(spark, sf), folder, SHARD)
+    npy_shards.rebuild_manifest(spark, folder, SHARD)
+    said = npy_shards.manifest_table(spark, folder).select(F.explode("shards").alias("s")).select(F.col("s.index").alias("shard_index"), "s.filename", "s.tokens", "s.size_mb")
+    return said.join(npy_shards.reconcile(spark, folder).select("shard_index", "agrees"), "shard_index")
+
+
+@query(f"select '{{\"total_tokens\":' || sum(n)::bigint || ',\"total_shards\":' || count(*) || '}}' as summary, sum(n)::bigint as total_tokens from (select len(tokens) as n from ({SHARDS_SQL}))")
+def manifest_json(spark: SparkSession, sf: str) -> DataFrame:
+    totals = _sizes(spark, sf).agg(F.sum("tokens").alias("total_tokens"), F.count(F.lit(1)).alias("total_shards"))
+    text = totals.select(F.to_json(F.struct("total_tokens", "total_shards")).alias("summary"))
+    return text.select("summary", F.from_json("summary", "total_tokens bigint")["total_tokens"].alias("total_tokens"))
+
+
+_TOKEN = "('0x' || substr(md5('42:' || p), 1, 8))::bigint % 32768"
+
+
+@query(f"select shard_index, count(*)::bigint as n, sum(t)::bigint as total, min(t)::bigint as low, max(t)::bigint as high from (select p // 10000 as shard_index, {_TOKEN} as t from (select unnest(range(0, 40000)) as p)) group by 1")
+def synthetic_shards(spark: SparkSession, sf: str) -> DataFrame:
+    t = npy_shards.synthetic(spark).select("shard_index", F.explode("piece").alias("t"))
+    return t.groupBy("shard_index").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("total"), F.min("t").cast("long").alias("low"), F.max("t").cast("long").alias("high"))
+
+
+@query(f"select epoch::int as epoch, (row_number() over (partition by epoch order by md5('7:' || epoch || ':' || shard_index), shard_index) - 1)::int as place, shard_index from (select shard_index, unnest([0, 1, 2]) as epoch from ({SHARDS_SQL}))")
+def shard_shuffle(spark: SparkSession, sf: str) -> DataFrame:
+    return shards.shard_order(_sizes(spark, sf), 7, 3)
+
+
+@query(f"with n as (select *, count(*) over () as k from ({NUMBERED_SQL})) select (epoch * k + rn - 10)::bigint as step, epoch::int as epoch, shard_index, win_index from n, (select unnest(range(0, 100)) as epoch) where epoch * k + rn - 10 between 0 and 2 * k + 4")
+def epoch_wrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Two epochs and a bit, of which the first begins after ten windows."""
+    w = stored(_windows(spark, sf).select("shard_index", "win_index"), "windows")
+    return shards.epochs(w, 2 * w.count() + 5, skip=10).select("step", "epoch", "shard_index", F.col("win_index").cast("long").alias("win_index"))
+
+
+@query(f"select row_number() over (order by shard_index) - 1 as place, printf('shard_%05d.npy', shard_index) as filename from ({SHARDS_SQL})")
+def shard_files_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    files = shards.ordered_files(shards.named(_sizes(spark, sf)).select("filename"))
+    return files.select((F.row_number().over(Window.orderBy("shard_index")) - 1).alias("place"), "filename")  # one row a shard
+
+
+# ---- text files, logs, configurations
+
+
+@query("select md5(text) as digest, count(*)::bigint as n from documents where length(coalesce(text, '')) >= 100 group by 1")
+def corpus_dump_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_folder(spark, "dump")
+    corpus_text.dump(documents.min_length(documents.texts(docs(spark, sf), strict=True)), folder)
+    return corpus_text.read_delimited(spark, folder).groupBy(F.md5(F.encode("text", "UTF-8")).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_LOG_SQL = "select event_id as step, case when event_id % 97 = 5 then 'nan'::double else value end as loss, case when event_id % 10 = 0 then value / 2 end as val_loss, 'x' as ts from events"
+
+
+def _log(spark: SparkSession, sf: str) -> DataFrame:
+    step = F.col("event_id")
+    rows = documents.read(spark, sf, "events").select(step.alias("step"), F.when(step % 97 == 5, F.lit(float("nan"))).otherwise(F.col("value")).alias("loss"), F.when(step % 10 == 0, F.col("value") / 2).alias("val_loss"))
+    folder = new_folder(spark, "log")
+    training_log.append(rows.filter("step % 2 = 0"), folder)
+    training_log.append(rows.filter("step % 2 = 1"), folder)
+    training_log.append(training_log.broken(rows.withColumn("event", F.lit(None).cast("string"))).select("event", "step", "loss"), folder)
+    return training_log.read(spark, folder)
+
+
+@query(f"select step, round(val_loss, 9) as val_loss from ({_LOG_SQL}) where val_loss is not null")
+def log_evaluations(spark: SparkSession, sf: str) -> DataFrame:
+    return training_log.evaluations(_log(spark, sf)).select("step", F.round("val_loss", 9).alias("val_loss"))
+
+
+@query(f"select step, 'nan' as event from ({_LOG_SQL}) where loss is null or isnan(loss) or isinf(loss) union all select step, 'logged' from ({_LOG_SQL}) where loss is null or isnan(loss) or isinf(loss)")
+def log_not_finite(spark: SparkSession, sf: str) -> DataFrame:
+    """Steps without a finite loss, found again in the log's step rows and in the event rows that were written for them."""
+    log = _log(spark, sf)
+    return training_log.broken(log).select("step", "event").unionByName(log.filter("event is not null").select("step", F.lit("logged").alias("event")))
+
+
+@query(f"select round(coalesce(avg(val_loss), 0), 9) as mean_value from (select * from ({_LOG_SQL}) where val_loss is not null order by step limit 50)")
+def log_eval_mean(spark: SparkSession, sf: str) -> DataFrame:
+    return training_log.mean_of_first(training_log.evaluations(_log(spark, sf)), "val_loss", "step", 50).select(F.round("mean_value", 9).alias("mean_value"))
+
+
+@query("""with e as (select user_id, event_id, epoch(ts) as t, row_number() over w as n, epoch(ts) - lag(epoch(ts)) over w as seconds, epoch(ts) - first(epoch(ts)) over w as elapsed from events window w as (partition by user_id order by ts, event_id))
+select user_id, event_id, round(seconds, 3) as seconds, round(case when seconds > 0 then 131072 / seconds end, 3) as tokens_per_second, round(100.0 * n * 131072 / 1e9, 6) as percent,
+round(case when elapsed > 0 then greatest(0, (1e9 - n * 131072) / ((n - 1) * 131072 / elapsed)) end, 1) as seconds_to_go from e""")
+def log_throughput(spark: SparkSession, sf: str) -> DataFrame:
+    rows = training_log.throughput(documents.read(spark, sf, "events"), "user_id", "event_id", "ts", 131_072, 1_000_000_000)
+    return rows.select("user_id", "event_id", F.round("seconds", 3).alias("seconds"), F.round("tokens_per_second", 3).alias("tokens_per_second"), F.round("percent", 6).alias("percent"), F.round("seconds_to_go", 1).alias("seconds_to_go"))
+
+
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') as iso, floor(epoch(ts))::bigint as seconds from events")
+def log_dates(spark: SparkSession, sf: str) -> DataFrame:
+    iso = documents.read(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
+    return iso.select("event_id", "iso", F.unix_timestamp(F.to_timestamp("iso", "yyyy-MM-dd'T'HH:mm:ss")).alias("seconds"))
+
+
+@query(f"select name, target_params::bigint as target_params, n_layers::int as n_layers, d_model::int as d_model, theta_base::double as theta_base from {_PRESETS_SQL}")
+def model_configs(spark: SparkSession, sf: str) -> DataFrame:
+    return configs.models(spark, kernels.PRESET_SCHEMA).select("name", "target_params", "n_layers", "d_model", "theta_base")
+
+
+_LEAF_SQL = f"""select name, module, leaf, rows::bigint as rows, cols::bigint as cols from {_PRESETS_SQL}, lateral (
+select 'tok_emb' as module, 'embedding' as leaf, vocab_size as rows, d_model as cols union all select 'norm_final', 'scale', d_model, 1 union all
+select 'block_' || i, l.leaf, l.r, l.c from (select unnest(range(0, n_layers)) as i), lateral (select * from (values ('attn/wq', d_model, d_model), ('attn/wk', d_model, (d_model // n_heads) * n_kv_heads), ('attn/wv', d_model, (d_model // n_heads) * n_kv_heads),
+('attn/wo', d_model, d_model), ('mlp/w_gate', d_model, d_ff), ('mlp/w_up', d_model, d_ff), ('mlp/w_down', d_ff, d_model), ('norm_attn/scale', d_model, 1), ('norm_mlp/scale', d_model, 1)) v(leaf, r, c)) l)"""
+
+
+@query(f"select name, module, sum(rows * cols)::bigint as params from ({_LEAF_SQL}) group by rollup (name, module) having name is not null")
+def params_by_module(spark: SparkSession, sf: str) -> DataFrame:
+    """Parameters by module, and by model (module null)."""
+    return kernels.parameters(kernels.presets(spark)).rollup("name", "module").agg(F.sum(F.col("rows") * F.col("cols")).alias("params")).filter("name is not null")
+
+
+@query(f"select module || '/' || leaf as param, case when leaf = 'attn/wq' then 'shape' else 'missing' end as problem from ({_LEAF_SQL}) where name = '25m' and (leaf = 'attn/wq' or module = 'block_3') and not (module = 'block_3' and leaf = 'attn/wq') union all select 'block_3/attn/wq', 'missing' union all select 'lm_head/kernel', 'unexpected'")
+def key_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
+    """What a set of saved parameters lacks, has in another shape, or has beside the model's."""
+    model = kernels.parameters(kernels.presets(spark)).filter("name = '25m'").select(F.concat_ws("/", "module", "leaf").alias("param"), "rows", "cols")
+    saved = model.filter("param not like 'block_3/%'").withColumn("rows", F.when(F.col("param").endswith("attn/wq"), F.col("rows") + 1).otherwise(F.col("rows")))
+    saved = saved.select(F.concat(F.lit("params/"), "param").alias("param"), "rows", "cols").unionByName(spark.createDataFrame([("params/lm_head/kernel", 512, 32768)], "param string, rows bigint, cols bigint"))
+    return kernels.reconcile(model, saved)
+
+
+_W = 8
+
+
+@query(f"""with e as (select vec_id, {_E} as e from embeddings),
+h as (select vec_id, j, list_sum(list_transform(range(1, 65), lambda i: e[i] * cos(i + 3 * j))) as g, list_sum(list_transform(range(1, 65), lambda i: e[i] * sin(2 * i + j))) as u from e, (select unnest(range(1, {_W + 1})) as j)),
+a as (select vec_id, list(g / (1 + exp(-g)) * u order by j) as a from h group by vec_id)
+select vec_id, k::int as k, round(list_sum(list_transform(range(1, {_W + 1}), lambda j: a[j] * cos(j * k))), 4) + 0.0 as value from a, (select unnest(range(1, 65)) as k)""")
+def swiglu_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    import math
+
+    gate = [[math.cos(i + 3 * j) for i in range(1, 65)] for j in range(1, _W + 1)]
+    up = [[math.sin(2 * i + j) for i in range(1, 65)] for j in range(1, _W + 1)]
+    down = [[math.cos(j * k) for j in range(1, _W + 1)] for k in range(1, 65)]
+    out = kernels.swiglu(F.col("embedding"), gate, up, down)
+    return documents.read(spark, sf, "embeddings").select("vec_id", F.posexplode(out).alias("i", "v")).select("vec_id", (F.col("i") + 1).alias("k"), (F.round("v", 4) + 0.0).alias("value"))
+
+
+def _adamw_sql(steps: int) -> str:
+    """The steps written out: gradients are the vector reversed, times the step's number."""
+    g = "e[len(e) + 1 - i]"
+    p = "e[i]"
+    for t in range(1, steps + 1):
+        m = " + ".join(f"{0.1 * 0.9 ** (t - k)!r} * {k} * {g}" for k in range(1, t + 1))
+        v = " + ".join(f"{(1 - 0.95) * 0.95 ** (t - k)!r} * {k * k} * {g} * {g}" for k in range(1, t + 1))
+        p = f"({p} - 3e-4 * (({m}) / {1 - 0.9**t!r} / (sqrt(({v}) / {1 - 0.95**t!r}) + 1e-8) + 0.1 * {p}))"
+    return f"list_transform(range(1, len(e) + 1), lambda i: {p})"
+
+
+@query(_vector_sql(_adamw_sql(3)))
+def adamw_steps(spark: SparkSession, sf: str) -> DataFrame:
+    grad = F.reverse(kernels.doubles(F.col("embedding")))
+    grads = F.array(*[kernels.scaled(grad, k) for k in (1, 2, 3)])
+    return _vector(documents.read(spark, sf, "embeddings"), kernels.adamw(F.col("embedding"), grads, 3e-4, 0.1))
+
+
+@query("select round(avg(loss), 6) as mean_loss, round(exp(avg(loss)), 6) as perplexity from (" + SQL["log_softmax_ce"] + ")")
+def mean_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
+    loss = F.avg(F.round(kernels.cross_entropy(F.col("embedding"), F.expr("label % size(embedding)")), 6))
+    return documents.read(spark, sf, "embeddings").agg(F.round(loss, 6).alias("mean_loss"), F.round(F.exp(loss), 6).alias("perplexity"))

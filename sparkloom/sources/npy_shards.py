@@ -1,75 +1,197 @@
-"""Token shards as .npy files (flat uint16) with a metadata.json, in a folder that driver and executors share."""
+"""Token shards as .npy files (flat uint16) with a metadata.json, in a folder that driver and executors share (a path or URI).
+
+Shards are written from pieces (see operators.shards.pieces): a task streams a shard's pieces, in order, into its file, so it never
+holds a shard. A folder that has shards is only added to with `resume`; shards are never overwritten."""
 
 from __future__ import annotations
 
-import io
 import json
-import os
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.operators import shards as S
+
+from .files import listed, opened, written
 
 SCHEMA = "shard_index long, tokens array<int>"
+RECORD = "index long, filename string, tokens long, size_mb double"
+MANIFEST = f"dataset_version string, vocab_size int, total_tokens long, total_shards int, shard_size long, created_at string, shards array<struct<index: bigint, filename: string, tokens: bigint, size_mb: double>>"
+VERSION, VOCAB, PATTERN = "v1", 32768, "shard_*.npy"
+#: Tokens of a shard that a task reads at a time.
+READ_TOKENS = 1 << 20
+
+
+def file_name(index: int) -> str:
+    return f"shard_{index:05d}.npy"
+
+
+def index_of(path: str) -> int:
+    return int(path.rsplit("_", 1)[1].split(".")[0])
+
+
+def header(f) -> tuple[int, np.dtype]:
+    """Length and type of a flat .npy file, from its header alone; f stands at the data then."""
+    version = np.lib.format.read_magic(f)
+    shape, _, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+    return int(shape[0]), kind
+
 
+def _paths(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", PATTERN).load(folder).select("path", "length")
 
-def write(shards: DataFrame, folder: str, shard_size: int, version: str, vocab_size: int = 32768) -> dict:
-    """One file a shard, written by the executors under another name and renamed; the manifest comes last. Never overwrites."""
-    if os.path.isdir(folder) and any(f.startswith("shard_") for f in os.listdir(folder)):
-        raise FileExistsError(f"{folder} has shards")
-    os.makedirs(folder, exist_ok=True)
 
-    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def counts(spark: SparkSession, folder: str) -> DataFrame:
+    """RECORD rows of the shards on disk: their token counts come from the files' headers, no data is read."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows = []
-            for index, tokens in zip(part["shard_index"], part["tokens"], strict=True):
-                tokens = np.asarray(tokens)
-                bad = tokens[(tokens < 0) | (tokens >= vocab_size)]
-                if len(bad):
+            for path, size in zip(part.column("path").to_pylist(), part.column("length").to_pylist(), strict=True):
+                with opened(path) as f:
+                    rows.append((index_of(path), path.rsplit("/", 1)[-1], header(f)[0], round(size / 1e6, 2)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.float64()))], ["index", "filename", "tokens", "size_mb"])
+
+    return _paths(spark, folder).mapInArrow(run, RECORD)
+
+
+def existing(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """(shards, tokens) on disk: a row a shard is summed up on the executors."""
+    if not listed(spark, folder, PATTERN):
+        return 0, 0
+    row = counts(spark, folder).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).first()
+    return row["n"], row["t"]
+
+
+def _put(folder: str, vocab_size: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, f, done, at, n = [], None, None, -1, 0
+
+        def closed() -> None:
+            if f is not None:
+                # numpy leaves room for the count to grow, so it can be set at the end
+                f.seek(0)
+                np.lib.format.write_array_header_1_0(f, {"descr": "<u2", "fortran_order": False, "shape": (n,)})
+                size = f.seek(0, 2)
+                done.__exit__(None, None, None)
+                rows.append((at, file_name(at), n, round(size / 1e6, 2)))
+
+        for part in parts:
+            for index, piece in zip(part.column("shard_index").to_pylist(), part.column("piece"), strict=True):
+                tokens = piece.values.to_numpy(zero_copy_only=False)
+                if len(tokens) and (tokens.min() < 0 or tokens.max() >= vocab_size):
+                    bad = tokens[(tokens < 0) | (tokens >= vocab_size)]
                     raise ValueError(f"ids out of range: {tokens.min()} to {tokens.max()}, first {bad[:5].tolist()}")
-                name = f"shard_{index:05d}.npy"
-                part_name = os.path.join(folder, f".{name}.{os.getpid()}")
-                with open(part_name, "wb") as f:
-                    np.save(f, tokens.astype(np.uint16))
-                size = os.path.getsize(part_name)
-                os.replace(part_name, os.path.join(folder, name))
-                rows.append((int(index), name, len(tokens), round(size / 1e6, 2)))
-            yield pd.DataFrame(rows, columns=["index", "filename", "tokens", "size_mb"])
-
-    written = shards.mapInPandas(put, "index long, filename string, tokens long, size_mb double").orderBy("index").collect()  # a row a shard
-    if not sum(r["tokens"] for r in written):
+                if index != at:
+                    closed()
+                    done, at, n = written(f"{folder}/{file_name(index)}"), index, 0
+                    f = done.__enter__()
+                    np.lib.format.write_array_header_1_0(f, {"descr": "<u2", "fortran_order": False, "shape": (0,)})
+                f.write(tokens.astype("<u2").tobytes())
+                n += len(tokens)
+        closed()
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.float64()))], ["index", "filename", "tokens", "size_mb"])
+
+    return run
+
+
+def write_pieces(pieces: DataFrame, folder: str, shard_size: int, version: str = VERSION, vocab_size: int = VOCAB, resume: bool = False) -> dict:
+    """Writes pieces (shard_index, low, piece) as one file a shard and returns the manifest, which is written last and lists all shards of
+    the folder. `resume`: shards may be there; pieces must start after them (see write_documents)."""
+    spark = pieces.sparkSession
+    there = listed(spark, folder, PATTERN)
+    if there and not resume:
+        raise FileExistsError(f"{folder} has shards, the first is {there[0][0]}; shards are never overwritten")
+    # each shard's pieces in one task, in order; a task holds one batch of them
+    ordered = pieces.select("shard_index", "low", "piece").repartition("shard_index").sortWithinPartitions("shard_index", "low")
+    ordered.mapInArrow(_put(folder, vocab_size), RECORD).write.format("noop").mode("overwrite").save()
+    return rebuild_manifest(spark, folder, shard_size, version, vocab_size)
+
+
+def write(shards: DataFrame, folder: str, shard_size: int, version: str = VERSION, vocab_size: int = VOCAB, resume: bool = False) -> dict:
+    """write_pieces() for whole shards (shard_index, tokens)."""
+    pieces = shards.select("shard_index", (F.col("shard_index") * 0).alias("low"), F.col("tokens").alias("piece")).filter("size(piece) > 0")
+    return write_pieces(pieces, folder, shard_size, version, vocab_size, resume)
+
+
+def write_documents(encoded: DataFrame, folder: str, shard_size: int, version: str = VERSION, vocab_size: int = VOCAB, token_budget: int | None = None, resume: bool = False) -> dict:
+    """Shards of encoded documents (doc_id, ids): the first `token_budget` tokens of the stream, if given. `resume` goes on where the shards
+    on disk end: their tokens are skipped in the stream, and numbering goes on after them, so nothing is written twice. A last shard that is
+    not full stays so; numbering by position goes on with the next one."""
+    spark = encoded.sparkSession
+    shards_there, tokens_there = existing(spark, folder)
+    if shards_there and not resume:
+        raise FileExistsError(f"{folder} has {shards_there} shards; shards are never overwritten")
+    cut = S.pieces(encoded, shard_size, skip=tokens_there, budget=token_budget)
+    return write_pieces(cut.withColumn("shard_index", F.col("shard_index") + shards_there), folder, shard_size, version, vocab_size, resume)
+
+
+def rebuild_manifest(spark: SparkSession, folder: str, shard_size: int, version: str = VERSION, vocab_size: int = VOCAB) -> dict:
+    """Writes metadata.json anew from the shards on disk. The manifest is one document with a record a shard, so it goes through the driver."""
+    records = [r.asDict() for r in counts(spark, folder).orderBy("index").collect()] if listed(spark, folder, PATTERN) else []
+    total = sum(r["tokens"] for r in records)
+    if not total:
         raise ValueError("there are no tokens to write")
-    manifest = {
-        "dataset_version": version, "vocab_size": vocab_size, "total_tokens": sum(r["tokens"] for r in written), "total_shards": len(written),
-        "shard_size": shard_size, "created_at": datetime.now(UTC).isoformat(), "shards": [r.asDict() for r in written],
-    }
-    with open(os.path.join(folder, "metadata.json"), "w") as f:
-        json.dump(manifest, f, indent=2)
+    manifest = {"dataset_version": version, "vocab_size": vocab_size, "total_tokens": total, "total_shards": len(records), "shard_size": shard_size, "created_at": datetime.now(UTC).isoformat(), "shards": records}
+    with written(f"{folder}/metadata.json") as f:
+        f.write(json.dumps(manifest, indent=2).encode())
     return manifest
 
 
-def read_manifest(folder: str) -> dict:
-    path = os.path.join(folder, "metadata.json")
-    if not os.path.exists(path):
-        raise FileNotFoundError(path)
-    with open(path) as f:
+def read_manifest(spark: SparkSession, folder: str) -> dict:
+    """The manifest, checked against the files: another number of shards is an error."""
+    if not listed(spark, folder, "metadata.json"):
+        raise FileNotFoundError(f"{folder}/metadata.json")
+    with opened(f"{folder}/metadata.json") as f:
         manifest = json.load(f)
-    found = sum(f.startswith("shard_") and f.endswith(".npy") for f in os.listdir(folder))
+    found = len(listed(spark, folder, PATTERN))
+    if not found:
+        raise FileNotFoundError(f"{folder} has no shards")
     if found != manifest["total_shards"]:
         raise ValueError(f"the manifest lists {manifest['total_shards']} shards, {found} are there")
     return manifest
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(shard_index, tokens), read through Spark's binary files."""
-    read_manifest(folder)
+def manifest_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest as one row, by Spark's JSON reader."""
+    return spark.read.schema(MANIFEST).option("multiLine", True).json(f"{folder}/metadata.json")
 
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def reconcile(spark: SparkSession, folder: str) -> DataFrame:
+    """Per shard that the manifest lists or the folder has: shard_index, listed and found tokens (null where missing), agrees."""
+    said = manifest_table(spark, folder).select(F.explode("shards").alias("s")).select(F.col("s.index").alias("shard_index"), F.col("s.tokens").alias("listed"))
+    here = counts(spark, folder).select(F.col("index").alias("shard_index"), F.col("tokens").alias("found"))
+    return said.join(here, "shard_index", "full_outer").withColumn("agrees", F.coalesce(F.col("listed") == F.col("found"), F.lit(False)))
+
+
+def read_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """(shard_index, low, piece): a shard's tokens in rows of READ_TOKENS at most; a task holds one of them at a time."""
+    read_manifest(spark, folder)
+
+    def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            index = [int(p.rsplit("_", 1)[1].split(".")[0]) for p in part["path"]]
-            yield pd.DataFrame({"shard_index": index, "tokens": [np.load(io.BytesIO(c)).astype(np.int32) for c in part["content"]]})
+            for path in part.column("path").to_pylist():
+                with opened(path) as f:
+                    n, kind = header(f)
+                    for low in range(0, max(n, 1), READ_TOKENS):
+                        tokens = np.frombuffer(f.read(min(READ_TOKENS, n - low) * kind.itemsize), kind).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array([index_of(path)], pa.int64()), pa.array([low], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), pa.array(tokens))], ["shard_index", "low", "piece"])
+
+    return _paths(spark, folder).mapInArrow(parse, "shard_index long, low long, piece array<int>")
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """(shard_index, tokens): whole shards, one row each, for shards that fit into a row; read_pieces() is for any."""
+    return S.assembled(read_pieces(spark, folder))
+
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard_*.npy").load(folder)
-    return files.select("path", "content").mapInPandas(parse, SCHEMA)
+def synthetic(spark: SparkSession, n_shards: int = 4, shard_size: int = 10_000, vocab_size: int = VOCAB, seed: int = 42) -> DataFrame:
+    """(shard_index, low, piece): even tokens from md5 of seed and position, a row for every 1000."""
+    at = spark.range(n_shards * shard_size)
+    token = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long") % vocab_size
+    rows = at.select(F.expr(f"id div {shard_size}").alias("shard_index"), F.expr(f"id % {shard_size} div 1000 * 1000").alias("low"), F.struct("id", token.cast("int").alias("t")).alias("x"))
+    return rows.groupBy("shard_index", "low").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]).alias("piece"))

@@ -2,24 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.operators import bpe, shards
+from sparkloom.sources.files import new_folder
 
-from sparkloom.operators import bpe
+
+def _stream(spark: SparkSession, path: str, files_per_trigger: int) -> DataFrame:
+    schema = spark.read.parquet(path).select("doc_id", "text").schema
+    pattern = path if not path.endswith(".parquet") else path + "*"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").parquet(pattern)
 
 
 def encode_stream(spark: SparkSession, path: str, merges: list[tuple[int, int]], folder: str | None = None, files_per_trigger: int = 16) -> DataFrame:
     """Reads the Parquet files at `path` as a stream, encodes them and returns the rows written so far (doc_id, ids). Files that are
     there are processed, then the query stops; a later call with the same folder takes only new files."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/encode-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).select("doc_id", "text").schema
-    pattern = path if not path.endswith(".parquet") else path + "*"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").parquet(pattern)
-    encoded = bpe.encode_documents(stream, merges)
+    folder = folder or new_folder(spark, "encode")
+    encoded = bpe.encode_documents(_stream(spark, path, files_per_trigger), merges)
     run = encoded.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("doc_id bigint, ids array<int>").parquet(f"{folder}/rows")
+
+
+PIECES, TOTALS = "shard_index bigint, low bigint, piece array<int>, batch bigint", "tokens bigint, batch bigint"
+
+
+def shard_stream(spark: SparkSession, path: str, merges: list[tuple[int, int]], shard_size: int, folder: str | None = None, files_per_trigger: int = 16) -> DataFrame:
+    """(shard_index, low, piece) of a token stream that grows: micro-batches one after another, by doc_id within each.
+
+    The state is where the stream has got to: each micro-batch stores its tokens' number beside its pieces, and begins where those before it
+    end, so a shard that one batch leaves unfinished is gone on with by the next. A batch that runs again writes the same folders anew.
+    Files that are there are processed, then the query stops; a later call with the same folder takes only new files."""
+    folder = folder or new_folder(spark, "shard-stream")
+
+    def add(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        here = session.read.schema(TOTALS)
+        there = 0
+        if number:
+            there = here.parquet(f"{folder}/totals").filter(F.col("batch") < number).agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]  # a row a batch
+        parts = shards.pieces(bpe.encode_documents(batch, merges), shard_size, skip=-there)
+        parts.write.mode("overwrite").parquet(f"{folder}/pieces/batch={number}")
+        session.read.parquet(f"{folder}/pieces/batch={number}").agg(F.coalesce(F.sum(F.size("piece")), F.lit(0)).cast("long").alias("tokens")).write.mode("overwrite").parquet(f"{folder}/totals/batch={number}")
+
+    run = _stream(spark, path, files_per_trigger).writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(PIECES).parquet(f"{folder}/pieces").drop("batch")

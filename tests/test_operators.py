@@ -1,12 +1,19 @@
 """Operators of the engine against plain Python."""
 
+import json
+import os
+import random
+
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
+from sparkloom.functions import patterns
 from sparkloom.functions.merges import MERGES
 from sparkloom.operators import bpe, documents, kernels, shards
-from sparkloom.sources import npy_shards
+from sparkloom.sources import configs, corpus_text, npy_shards, training_log
+from sparkloom.streaming import encode as streaming
 
 TEXTS = ["Hello world", "  it's 12_3!!\n\n\tx", "", "café 日本語 🔥", "aaa aaaa the the then", None]
 
@@ -29,10 +36,106 @@ def test_encode_is_greedy_and_round_trips(spark):
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
-def test_large_tables_encode_alike(spark, monkeypatch):
-    folded = bpe.encode_documents(docs(spark), MERGES).collect()
-    monkeypatch.setattr(bpe, "FOLDED_MERGES", 0)
-    assert bpe.encode_documents(docs(spark), MERGES).collect() == folded
+def plain_greedy(word, merges):
+    """The rule itself: the pair of least rank, all its occurrences from left to right, until there is none."""
+    rank, ids = {p: i for i, p in enumerate(merges)}, [b + 5 for b in word.encode()]
+    while pairs := [rank[p] for p in zip(ids, ids[1:], strict=False) if p in rank]:
+        pair, out = merges[min(pairs)], []
+        while ids:
+            n = 2 if tuple(ids[:2]) == pair else 1
+            out, ids = [*out, 261 + min(pairs) if n == 2 else ids[0]], ids[n:]
+        ids = out
+    return ids
+
+
+def test_all_ways_to_encode_agree(spark):
+    r, word = random.Random(5), bpe.WordEncoder(MERGES)
+    for _ in range(500):
+        w = "".join(r.choice("the aning  ") for _ in range(r.randint(0, 30)))
+        assert word(w) == plain_greedy(w, MERGES)
+    texts = [*TEXTS, "a<|eos|>", "<|endoftext|>", "<|bos|>hello  <|eos|>!!<|pad|>x <|unk", "  <|eos|>  "]
+    d = docs(spark, texts)
+    tokenizer = bpe.Tokenizer(MERGES)
+    want = {i: tokenizer.encode(t or "") for i, t in enumerate(texts)}
+    got = lambda df: {x["doc_id"]: x["ids"] for x in df.collect()}
+    assert got(bpe.encode_documents(d, MERGES, add_eot=False)) == want
+    assert got(d.select("doc_id", bpe.encode_text(F.col("text"), MERGES, bpe.SPECIALS).alias("ids"))) == want
+    assert got(bpe.encode_with(d, tokenizer, add_eot=False)) == want
+    both = got(bpe.encode_documents(d, MERGES, add_bos=True, add_eos=True))
+    assert both == {i: [0, 3, *x, 4] for i, x in want.items()}
+    as_text = got(bpe.encode_documents(d, MERGES, add_eot=False, allow_special=False))
+    assert as_text == got(bpe.encode_by_join(d, MERGES, add_eot=False)) == got(d.select("doc_id", bpe.encode_text(F.col("text"), MERGES).alias("ids")))
+    assert all(i >= 5 for x in as_text.values() for i in x)
+
+
+def split_first(text):
+    """Pre-tokens of the chunks between special strings, which stand for themselves."""
+    parts = regex.split(f"({patterns.special_pattern()})", text)
+    return [w for c in parts if c for w in ([c] if c in bpe.SPECIALS else regex.findall(patterns.in_python(patterns.PRETOKEN), c))]
+
+
+def test_special_strings_split_texts_first(spark):
+    r = random.Random(2)
+    pieces = ["a", " ", "  ", "\n", "!", "'s", "<", "|", ">", "<|", "<|eos|>", "<|pad|>", "endoftext", "<|endoftext|>", "1", "é", "_"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 9))) for _ in range(600)]
+    d = docs(spark, texts).select("doc_id", bpe.pretokens(F.col("text"), specials=bpe.SPECIALS).alias("p"))
+    assert {x["doc_id"]: x["p"] for x in d.collect()} == {i: split_first(t) for i, t in enumerate(texts)}
+
+
+def test_tokenizer_object():
+    t = bpe.Tokenizer(MERGES)
+    assert t.encode("<|endoftext|>") == [0] and t.encode("") == [] and 0 in t.encode("hello<|endoftext|>world")
+    ids = t.encode("<|bos|>hello<|eos|>")
+    assert (ids[0], ids[-1]) == (3, 4) and t.encode("x", add_bos=True, add_eos=True) == [3, 5 + ord("x"), 4]
+    assert t.decode([]) == "" and "?" in t.decode([99999]) and t.decode([0, 125]) == "x" and t.decode([0], skip_special_tokens=False) == "<|endoftext|>"
+    assert t.decode_single_token(5) == b"\x00" and t.decode_single_token(0) == b"<|endoftext|>" and t.vocab_size == 261 + len(MERGES)
+    assert t.decode([5 + 0xFF, 5 + 0x41], errors="ignore") == "A" and t.decode([5 + 0xFF]) == "\ufffd"
+    for text in ["café résumé naïve 日本語", "emoji: 🔥", " a  b\n\tc "]:
+        assert t.decode_batch(t.encode_batch([text])) == [text]
+    assert t.encode_as_uint16("hello") == t.encode("hello")
+    broken = bpe.Tokenizer(MERGES, {"<|endoftext|>": 40000})
+    with pytest.raises(ValueError, match="out of range"):
+        broken.encode_as_uint16("a<|endoftext|>")
+    trained = bpe.Trainer(300, tie="first").train(["ab", "ab", "cd", "cd"])
+    assert trained.merges == [(5 + 97, 5 + 98), (5 + 99, 5 + 100)] and bpe.Trainer(300).train(["ab", "ab", "cd", "cd"]).merges[0] == (5 + 99, 5 + 100)
+    assert bpe.Tokenizer.from_trainer(trained).encode("ab") == [261] and trained.token_to_id[b"ab"] == 261
+
+
+def test_decoding_errors(spark):
+    r = random.Random(9)
+    rows = [(i, [r.choice([5 + 0xFF, 5 + 0xC3, 5 + 0xE3, 5 + 0xA9, 5 + 0xF0, 5 + 0x9F, 5 + 0x41, 0, 7000, 262]) for _ in range(r.randint(0, 8))]) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    t = bpe.Tokenizer(MERGES)
+    for errors in ("replace", "ignore"):
+        for skip in (True, False):
+            want = {i: t.decode(x, skip, errors) for i, x in rows}
+            assert {x["doc_id"]: x["text"] for x in bpe.decode_documents(d, MERGES, skip, errors).collect()} == want
+    large = [*MERGES, *[(5, 5 + i) for i in range(1, 256)], *[(6, 5 + i) for i in range(256)], *[(7, 5 + i) for i in range(256)]]
+    t = bpe.Tokenizer(large)
+    assert {x["doc_id"]: x["text"] for x in bpe.decode_documents(d, large).collect()} == {i: t.decode(x) for i, x in rows}
+    with pytest.raises(Exception):
+        bpe.decode_documents(d, MERGES, errors="strict").collect()
+    with pytest.raises(Exception, match="out of range"):
+        d.select(bpe.as_uint16(F.transform("ids", lambda x: x + 40000))).collect()
+
+
+def test_distributed_learning_agrees(spark):
+    d = docs(spark, ["hello world hello", "the then there", "aaa aaaa"] * 3)
+    assert bpe.train(d, 290, driver_words=0) == bpe.train(d, 290)
+
+
+def test_public_merge_table(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no public vocabulary here")
+    merges = bpe.from_byte_level(path, 3000)
+    word = bpe.WordEncoder(merges)
+    for w in (" the", "hello", " international", "日本語", "aaaaaaaa"):
+        assert word(w) == plain_greedy(w, merges)
+    assert len(word(" the")) == 1
+    d = docs(spark)
+    back = bpe.decode_documents(bpe.encode_documents(d, merges), merges)
+    assert {x["doc_id"]: x["text"] for x in back.collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
 def test_learning(spark):
@@ -76,8 +179,13 @@ def test_shards_and_windows(spark, size, length, stride, parts):
     laid = shards.layout(df, size)
     assert [r["tokens"] for r in laid.orderBy("shard_index").collect()] == want
     wins = [(s, t[a : a + length], t[a + 1 : a + length + 1]) for s, t in enumerate(want) for a in range(0, len(t) - length, stride)]
-    got = shards.windows(laid, length, stride).orderBy("shard_index", "win_index").collect()
-    assert [(r["shard_index"], r["input"], r["target"]) for r in got] == wins
+    for got in (shards.windows(laid, length, stride), shards.windows_of_pieces(shards.pieces(df, size), size, length, stride)):
+        assert [(r["shard_index"], r["input"], r["target"]) for r in got.orderBy("shard_index", "win_index").collect()] == wins
+    for skip, budget in ((0, 20), (13, None), (13, 40), (-4, None)):
+        part = ([None] * -skip + flat[: budget or len(flat)])[max(skip, 0) :]
+        want = [[x for x in part[i : i + size] if x is not None] for i in range(0, len(part), size)]
+        got = shards.assembled(shards.pieces(df, size, skip, budget)).orderBy("shard_index").collect()
+        assert [r["tokens"] for r in got] == [w for w in want if w]
 
 
 def test_missing_validation_shard_is_an_error(spark):
@@ -90,6 +198,26 @@ def test_running_sum_at_any_partitioning(spark):
     df = spark.range(3000).withColumnRenamed("id", "doc_id").repartition(7)
     rows = documents.running_before(df, F.col("doc_id"), "s").collect()
     assert all(r["s"] == r["doc_id"] * (r["doc_id"] - 1) // 2 for r in rows)
+    levels = documents.running_before(df, F.col("doc_id"), "s", bucket=8, group=4).collect()
+    assert sorted(levels) == sorted(rows)
+
+
+def test_null_and_equal_ids_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, "b" * 100), (3, "a" * 100), (3, "A" * 100), (None, "a" * 100), (1, None)], "doc_id long, text string")
+    rows = documents.dense_ids(df, 0).orderBy("dense_id").collect()
+    assert [(r["doc_id"], (r["text"] or "")[:1], r["dense_id"]) for r in rows] == [(1, "", 0), (3, "A", 1), (3, "a", 2), (None, "a", 3), (None, "b", 4)]
+    tokens = shards.layout(bpe.encode_documents(df, []), 1000).first()["tokens"]
+    assert len(tokens) == 405 and tokens[:3] == [0, 0, 5 + ord("A")]
+
+
+def test_budget_needs_no_other_documents(spark):
+    d = spark.createDataFrame([(i, "the then there " * (i % 5)) for i in range(300)], "doc_id long, text string")
+    for budget in (1, 50, 700, 10**6):
+        whole = documents.token_budget(bpe.encode_documents(d, MERGES), budget)
+        needed = documents.least_tokens(d, budget, 13)
+        some = documents.token_budget(bpe.encode_documents(needed, MERGES), budget)
+        assert sorted(some.collect()) == sorted(whole.collect())
+    assert needed.count() == 300 and documents.least_tokens(d, 50, 13).count() < 60
 
 
 def test_kernels(spark):
@@ -103,14 +231,125 @@ def test_kernels(spark):
     assert got == {"25m": 27_791_872, "125m": 128_994_048, "350m": 316_720_128}
 
 
+def tokens_of(spark, folder):
+    return [x for r in npy_shards.read(spark, folder).orderBy("shard_index").collect() for x in r["tokens"]]
+
+
 def test_npy_shards(spark, tmp_path):
     df = spark.createDataFrame([(0, [1, 2, 32767]), (1, [5])], "shard_index long, tokens array<int>")
-    m = npy_shards.write(df, str(tmp_path / "s"), 3, version="v1")
-    assert m["total_tokens"] == 4 and m["total_shards"] == 2
-    assert sorted((r[0], r[1]) for r in npy_shards.read(spark, str(tmp_path / "s")).collect()) == [(0, [1, 2, 32767]), (1, [5])]
-    assert np.load(tmp_path / "s" / "shard_00000.npy").dtype == np.uint16
+    folder = str(tmp_path / "s")
+    m = npy_shards.write(df, folder, 3, version="v1")
+    assert m["total_tokens"] == 4 and m["total_shards"] == 2 and [r["filename"] for r in m["shards"]] == ["shard_00000.npy", "shard_00001.npy"]
+    assert sorted((r[0], r[1]) for r in npy_shards.read(spark, folder).collect()) == [(0, [1, 2, 32767]), (1, [5])]
+    first = np.load(tmp_path / "s" / "shard_00000.npy")
+    assert first.dtype == np.uint16 and first.tolist() == [1, 2, 32767]
     with pytest.raises(FileExistsError):
-        npy_shards.write(df, str(tmp_path / "s"), 3, version="v1")
+        npy_shards.write(df, folder, 3, version="v1")
     bad = spark.createDataFrame([(0, [40000])], "shard_index long, tokens array<int>")
     with pytest.raises(Exception, match="out of range"):
         npy_shards.write(bad, str(tmp_path / "b"), 3, version="v1")
+    with pytest.raises(ValueError, match="no tokens"):
+        npy_shards.write(df.limit(0), str(tmp_path / "e"), 3)
+    os.remove(tmp_path / "s" / "shard_00001.npy")
+    with pytest.raises(ValueError, match="lists 2 shards, 1"):
+        npy_shards.read(spark, folder)
+    assert [(r["shard_index"], r["agrees"]) for r in npy_shards.reconcile(spark, folder).orderBy("shard_index").collect()] == [(0, True), (1, False)]
+    assert npy_shards.rebuild_manifest(spark, folder, 3)["total_tokens"] == 3 and npy_shards.existing(spark, folder) == (1, 3)
+    with pytest.raises(FileNotFoundError):
+        npy_shards.read_manifest(spark, str(tmp_path / "none"))
+
+
+def test_shards_by_budget_and_resume(spark, tmp_path):
+    lists = [list(range(i, i + n)) for i, n in enumerate([3, 11, 1, 30, 7, 19])]
+    flat = [x for y in lists for x in y]
+    d = spark.createDataFrame(list(enumerate(lists)), "doc_id long, ids array<int>")
+    folder = str(tmp_path / "s")
+    assert npy_shards.write_documents(d, folder, 8, token_budget=21)["shards"][-1]["tokens"] == 5
+    with pytest.raises(FileExistsError):
+        npy_shards.write_documents(d, folder, 8)
+    m = npy_shards.write_documents(d, folder, 8, resume=True)
+    assert tokens_of(spark, folder) == flat and m["total_tokens"] == len(flat)
+    assert [r["tokens"] for r in m["shards"]] == [8, 8, 5, 8, 8, 8, 8, 8, 8, 2] and npy_shards.manifest_table(spark, folder).first()["total_shards"] == 10
+
+
+def test_large_pieces_are_read_in_parts(spark, tmp_path, monkeypatch):
+    npy_shards.write_pieces(npy_shards.synthetic(spark, 2, 5000), str(tmp_path / "s"), 5000)
+    whole = tokens_of(spark, str(tmp_path / "s"))
+    monkeypatch.setattr(npy_shards, "READ_TOKENS", 700)
+    assert tokens_of(spark, str(tmp_path / "s")) == whole and len(whole) == 10_000 and 15_000 < np.mean(whole) < 17_500
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    d = docs(spark, ["hello world", "the then", "aaa", "x " * 40, "end", "more"]).coalesce(1)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    d.filter("doc_id < 2").write.parquet(src)
+    first = streaming.encode_stream(spark, src, MERGES, out + "1").count()
+    parts = streaming.shard_stream(spark, src, MERGES, 7, out + "2", files_per_trigger=1)
+    assert first == 2
+    for i in range(2, 6):
+        d.filter(f"doc_id = {i}").write.mode("append").parquet(src)
+        if i in (3, 5):
+            parts = streaming.shard_stream(spark, src, MERGES, 7, out + "2", files_per_trigger=1)
+    assert streaming.encode_stream(spark, src, MERGES, out + "1").count() == 6
+    got = [r["tokens"] for r in shards.assembled(parts).orderBy("shard_index").collect()]
+    flat = [x for y in got for x in y]
+    one = {r["doc_id"]: r["ids"] for r in bpe.encode_documents(d, MERGES).collect()}
+    assert all(len(x) == 7 for x in got[:-1]) and len(flat) == sum(map(len, one.values()))
+    assert flat[: len(one[0]) + len(one[1])] == one[0] + one[1]
+
+
+def test_text_corpora(spark, tmp_path):
+    d = docs(spark, ["one\ntwo", "  three ", "<|x|>"])
+    corpus_text.dump(d, str(tmp_path / "t"))
+    assert sorted(r["text"] for r in corpus_text.read_delimited(spark, str(tmp_path / "t")).collect()) == ["  three ", "<|x|>", "one\ntwo"]
+    (tmp_path / "raw.txt").write_bytes(b"a<|endoftext|>b\nc")
+    assert sorted(r["text"] for r in corpus_text.read_delimited(spark, str(tmp_path / "raw.txt"), "<|endoftext|>").collect()) == ["a", "b\nc"]
+    (tmp_path / "bad.txt").write_bytes(b"a\xff<|endoftext|>b")
+    with pytest.raises(Exception, match="not valid UTF-8"):
+        corpus_text.read_delimited(spark, str(tmp_path / "bad.txt"), "<|endoftext|>").collect()
+    with pytest.raises(Exception, match="no text"):
+        corpus_text.dump(docs(spark, [None]), str(tmp_path / "n"))
+    with pytest.raises(Exception, match="no text at 0"):
+        documents.texts(docs(spark, [None]), strict=True).collect()
+
+
+def test_logs(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 1.0, None), (1, float("nan"), 2.0), (2, float("inf"), None), (3, None, 4.0)], "step long, loss double, val_loss double")
+    training_log.append(rows, str(tmp_path / "log"))
+    training_log.append(spark.createDataFrame([("nan", 1)], "event string, step long"), str(tmp_path / "log"))
+    log = training_log.read(spark, str(tmp_path / "log"))
+    assert sorted(r["step"] for r in training_log.broken(log).collect()) == [1, 2, 3]
+    assert sorted(map(tuple, training_log.evaluations(log).collect())) == [(1, 2.0), (3, 4.0)]
+    assert training_log.mean_of_first(training_log.evaluations(log), "val_loss", "step", 1).first()[0] == 2.0
+    assert training_log.mean_of_first(rows.limit(0), "val_loss", "step", 1).first()[0] == 0.0
+
+
+def test_configs(spark):
+    got = sorted(map(tuple, configs.models(spark, kernels.PRESET_SCHEMA).collect()))
+    assert got == sorted(kernels.PRESETS)
+    t = configs.load_training("25m")
+    assert t["optim"]["lr_peak"] == 3e-4 and t["train"]["total_steps"] == 9766 and configs.load_model(t["model_name"])["n_layers"] == 4
+    with pytest.raises(KeyError):
+        configs.load_model("none")
+    assert configs.parse("a: 1  # one\n\nb:\n  c: x y\n  d: true\ne: null") == {"a": 1, "b": {"c": "x y", "d": True}, "e": None}
+
+
+def test_artifact_variants(spark, tmp_path):
+    bpe.save(MERGES, str(tmp_path), lossy=True)
+    vocab = json.loads((tmp_path / "vocab.json").read_text())
+    assert vocab["\ufffd"] and len(vocab) < 261 + len(MERGES) and (tmp_path / "merges.txt").read_text().splitlines()[4] == "{} {}".format(*MERGES[0])
+    good = json.loads((tmp_path / "tokenizer.json").read_text())
+    for change, match in (({"vocab_size": 999}, "vocab_size"), ({"merges": [[300, 5]], "vocab_size": 262}, "later id"), ({"version": "9.9"}, "version")):
+        (tmp_path / "x.json").write_text(json.dumps(good | change))
+        with pytest.raises(ValueError, match=match):
+            bpe.load(str(tmp_path / "x.json"))
+    (tmp_path / "x.json").write_text(json.dumps({k: v for k, v in good.items() if k != "merges"}))
+    with pytest.raises(ValueError, match="merges"):
+        bpe.load(str(tmp_path / "x.json"))
+
+
+def test_sql_functions(spark):
+    bpe.register(spark, MERGES)
+    docs(spark).createOrReplaceTempView("texts")
+    for r in spark.sql("select text, pretokenize(text) as p, bpe_decode(bpe_encode(text)) as back from texts").collect():
+        assert "".join(r["p"]) == (r["text"] or "") == r["back"]
