@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.files import Scratch, clean, new_folder, remove, shared_dir, stored
+
+__all__ = ["Scratch", "clean", "new_folder", "remove", "shared_dir", "stored"]
+
 #: ASCII whitespace as the contracts define it: space and U+0009 to U+000D.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -19,92 +20,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where the session names none
-    (tests, a local master) a temporary folder takes its place."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        named = "file://" + os.path.join(tempfile.gettempdir(), "sparkloom-shared")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (_open[-1].folders if _open else _left).append(path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: the lineage ends here, a lost executor
-    costs only the tasks that ran on it."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._folder = path
-    return out
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through Spark's file systems; one that is not there is no error."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
-_open: list[Scratch] = []
-#: Folders outside any Scratch: results may still read them; removed when the driver ends, or by clean().
-_left: list[str] = []
-
-
-class Scratch:
-    """While it is open, stored() and new_folder() note their folders here; at its end all are removed but those of frames that were
-    kept, which go to the surrounding Scratch, if any, or stay until the driver ends."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folders, self.kept = spark, [], set()
-
-    def __enter__(self) -> Scratch:
-        _open.append(self)
-        return self
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.kept.add(df._folder)
-        return df
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Removes the folders of frames that nothing reads any more."""
-        for df in frames:
-            self.folders.remove(df._folder)
-            remove(self.spark, df._folder)
-
-    def __exit__(self, *error) -> None:
-        _open.remove(self)
-        for path in self.folders:
-            if path in self.kept and not error[0]:
-                (_open[-1].folders if _open else _left).append(path)
-            else:
-                remove(self.spark, path)
-
-
-def clean(spark: SparkSession) -> None:
-    """Removes all folders that results of earlier calls still read; they can't be read again."""
-    while _left:
-        remove(spark, _left.pop())
-
-
-def _at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    if _left and spark is not None:
-        try:
-            clean(spark)
-        except Exception:  # noqa: BLE001  the JVM may be gone; the shared folder's owner clears the rest
-            _left.clear()
-
-
-atexit.register(_at_exit)
-
 #: Keys up to which a bit table may go to all tasks (2 bytes a key, 32 MB at most); with more keys, all rows count as possible.
 TABLE_KEYS = 16_000_000
 _BLOCK_BITS, _PROBES = 4096, 4
@@ -168,18 +83,24 @@ def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def bucket_count(rows: int, per_bucket: int = 50, most: int = 8192) -> int:
-    """A power of two: about per_bucket rows a bucket while that takes at most `most` buckets."""
-    n = 1
+def bucket_count(rows: int, per_bucket: int = 50) -> int:
+    """A power of two: about per_bucket rows a bucket up to 8192 buckets, then four times the root of the rows, so that neither the buckets of a
+    group nor the rows of a bucket grow in proportion to the rows."""
+    n, most = 1, max(8192, 4 * math.isqrt(rows))
     while n < most and n * per_bucket < rows:
         n *= 2
     return n
 
 
-def bucket_of(hashed: Column, n: int) -> Column:
-    """Bucket 0 to n - 1 (n a power of two) in the order of the hash as an unsigned number's leading bits."""
-    bits = n.bit_length() - 1
-    return F.shiftrightunsigned(hashed, 64 - bits).cast("int") if bits else F.lit(0)
+def seeded(*parts: Column | str | int) -> Column:
+    """A number of 60 bits from the md5 digest of the parts, joined by "|"; null parts are empty."""
+    texts = [F.lit(str(p)) if isinstance(p, int) else F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 15), 16, 10).cast("long")
+
+
+def bucket_of(seeded_bits: Column, n: int) -> Column:
+    """Bucket 0 to n - 1 (n a power of two) in the order of a number of 60 bits."""
+    return F.shiftright(seeded_bits, 61 - n.bit_length()).cast("int")
 
 
 def ranked(df: DataFrame, keys: list[str], bucket: str, order: list[Column], rank: str, total: str | None = None) -> DataFrame:

@@ -17,18 +17,17 @@ empty one becomes urn:page:ID. Other columns are left out.
 from __future__ import annotations
 
 import hashlib
-import io
-import os
 import re
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.sources.files import opened, written
+
 from .common import TABLE_KEYS, Scratch, new_folder, remove, stored, without
 
 LEAST = 1000
@@ -109,40 +108,6 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError("an archive ends within a record")
 
 
-def _local(uri: str) -> str | None:
-    scheme = re.match(r"(\w+):", uri)
-    return re.sub(r"^file:(//)?", "", uri) if not scheme or scheme[1] == "file" else None
-
-
-def opened(uri: str) -> BinaryIO:
-    """A file to read, on a mounted path or in any store that Arrow knows."""
-    if path := _local(uri):
-        return open(path, "rb")
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    return io.BufferedReader(store.open_input_file(path))
-
-
-@contextmanager
-def written(uri: str) -> Iterator[BinaryIO]:
-    """A file to write: under another name first, renamed at the end."""
-    if path := _local(uri):
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        part = f"{path}.{os.getpid()}.part"
-        with open(part, "wb") as f:
-            yield f
-        os.replace(part, path)
-        return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(uri)
-    store.create_dir(os.path.dirname(path), recursive=True)
-    with store.open_output_stream(f"{path}.{os.getpid()}.part") as f:
-        yield f
-    store.move(f"{path}.{os.getpid()}.part", path)
-
-
 INDEX = "file string, position bigint, length bigint, record_id string"
 SIDECAR = ".offsets"
 _ROWS = 2000
