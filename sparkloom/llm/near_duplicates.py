@@ -12,8 +12,12 @@ alone has are counted, and a set of n with `own` such shingles shares n - own at
 many shingles at least as their bit sketches do in bits. Pairs within a component
 are never formed, and nothing is capped.
 
+Links are sought between classes, which a row number names; a doc_id that has several texts links their classes. The components
+of classes give each row its smallest doc_id.
+
 Defined results: null texts, and texts without a word, have no shingles and are linked with nothing. Rows that share a
-doc_id are one node. Rows with a null doc_id keep a null component_id, are linked with nothing and kept.
+doc_id are one node, whatever their texts. Rows with a null doc_id keep a null component_id, are linked with nothing and kept. Columns
+other than doc_id and text are left out.
 """
 
 from __future__ import annotations
@@ -22,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import stored
+from .common import Scratch, bit_table, possible, stored
 from .components import connected_components
 
 BANDS, ROWS = 32, 4
@@ -111,6 +115,8 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    carried = [c for c in docs.columns if c != "text"]
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             data, offsets = K.text_buffers(part.column("text"))
@@ -122,11 +128,12 @@ def _signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 d1, d2 = (np.add.reduceat(np.append(K.mix(own + K.U(c)), K.U(0)), by[:-1]) for c in (0x1234567, 0x89ABCDEF012345))
                 ends = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").slice(a, b - a), pa.array(n), pa.array(np.where(some, d1, 0).view(np.int64)), pa.array(np.where(some, d2, 0).view(np.int64)), K.list_array(keys[some].reshape(-1).view(np.int64), ends, pa.int64())],
-                    ["doc_id", "n", "d1", "d2", "bands"],
+                    [*(part.column(c).slice(a, b - a) for c in carried), pa.array(n), pa.array(np.where(some, d1, 0).view(np.int64)), pa.array(np.where(some, d2, 0).view(np.int64)), K.list_array(keys[some].reshape(-1).view(np.int64), ends, pa.int64())],
+                    [*carried, "n", "d1", "d2", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>")
+    kinds = dict(docs.dtypes)
+    return docs.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in carried), "n bigint, d1 bigint, d2 bigint, bands array<bigint>"]))
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -139,7 +146,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 marks[np.repeat(np.arange(b - a), np.diff(by)), (own % K.U(SKETCH_BITS)).astype(np.int64)] = 1
                 sketch = np.packbits(marks, axis=1).view(np.int64)
                 at = np.arange(b - a + 1) * (SKETCH_BITS // 64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").slice(a, b - a), K.list_array(own.view(np.int64), by, pa.int64()), K.list_array(sketch.reshape(-1), at, pa.int64())], ["id", "shingles", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("id").slice(a, b - a), K.list_array(own.view(np.int64), by, pa.int64()), K.list_array(sketch.reshape(-1), at, pa.int64())], ["id", "shingles", "sketch"])
 
     return docs.mapInArrow(run, "id bigint, shingles array<bigint>, sketch array<bigint>")
 
@@ -152,50 +159,90 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(f"100 * common >= {percent} * (size(sa) + size(sb) - common)").select("a", "b")
 
 
+def row_key() -> Column:
+    """What tells rows apart: doc_id and two hashes of the text, in one string."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
+
+
+def classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, nameless: bool = True, by_id: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Two stored tables for docs (doc_id, text): of each row doc_id, key (see row_key), n (shingles) and d1, d2 (digests of its set);
+    of each class of equal sets d1, d2, n and component, a number that linked classes share.
+
+    `nameless`: rows without a doc_id take part. `by_id`: classes that share a doc_id are linked."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", row_key())
+    with Scratch(spark) as scratch:
+        signed = stored(_signed(docs, shingle_words, bands, rows).withColumn("row", F.monotonically_increasing_id()), "near-signed")
+        known = scratch.keep(stored(signed.select("doc_id", "key", "n", "d1", "d2"), "near-rows"))
+        usable = "n > 0" if nameless else "n > 0 and doc_id is not null"
+        first = F.min_by(F.struct("row", "key", "bands"), "row").alias("first")
+        of_class = stored(signed.filter(usable).groupBy("d1", "d2", "n").agg(first).select("d1", "d2", "n", F.col("first.row").alias("id"), "first.key", "first.bands"), "near-classes")
+        scratch.drop(signed)
+        keyed = of_class.select("id", "n", F.explode("bands").alias("bucket"))
+        shared = keyed.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("bucket")
+        members = stored(keyed.join(shared, "bucket").select("bucket", "id", "n"), "near-members")
+        linked = stored(of_class.join(members.select("id").distinct(), "id", "left_semi").select("key", "id"), "near-linked")
+        # only rows that may be of a linked class, each text once, are shuffled
+        texts = possible(docs, "key", bit_table(linked, "key")).filter("__possible").dropDuplicates(["key"]).join(linked, "key")
+        sets = stored(_sets(texts.select("id", "text"), shingle_words), "near-sets")
+
+        # first each bucket's smallest id with all others, and all pairs of small buckets
+        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("lead"))
+        with_lead = members.join(sizes, "bucket")
+        lead = with_lead.filter("lead.id <> id").select(F.col("lead.id").alias("x"), F.col("id").alias("y"), F.col("lead.n").alias("nx"), F.col("n").alias("ny"))
+        few = with_lead.filter(f"size <= {SMALL_BUCKET} and lead.id <> id").select("bucket", F.col("id").alias("x"), F.col("n").alias("nx"))
+        pairs = few.join(few.select("bucket", F.col("x").alias("y"), F.col("nx").alias("ny")), "bucket").filter("x < y").select("x", "y", "nx", "ny")
+        links = _verified(lead.union(pairs), sets, percent)
+        if by_id:
+            own = known.filter(usable).select("doc_id", "d1", "d2", "n").join(of_class.select("d1", "d2", "n", "id"), ["d1", "d2", "n"])
+            least = own.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b")
+            links = links.union(own.select("doc_id", F.col("id").alias("b")).join(least.select("doc_id", "a"), "doc_id").filter("a <> b").select("a", "b").distinct())
+        labels = stored(connected_components(links), "near-labels")
+        for compare in (_across,):
+            rest = _open(with_lead, labels)
+            if rest is None:
+                break
+            links = compare(rest, sets, percent).union(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
+            labels = stored(connected_components(links), "near-labels")
+        found = of_class.select("d1", "d2", "n", "id").join(labels, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
+        return known, scratch.keep(stored(found, "near-found"))
+
+
+def _open(with_lead: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """Rows of larger buckets that hold more than one component: bucket, id, n, comp and main, the bucket's largest component. None without any."""
+    rest = with_lead.filter(f"size > {SMALL_BUCKET} and lead.id <> id").select("bucket", "id", "n").join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("comp"))
+    counts = rest.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
+    rest = stored(rest.join(counts.filter("comps > 1").select("bucket", F.col("m.comp").alias("main")), "bucket"), "near-rest")
+    return None if rest.isEmpty() else rest
+
+
+def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components in the buckets that are still open: each pair that the bounds admit, in the first bucket that it shares."""
+    open_ids = rest.groupBy("id").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # at most one a band
+    tokens = sets.join(open_ids.select("id"), "id", "left_semi").repartition("id").select("id", F.explode("shingles").alias("token"))
+    alone = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    # a set with `own` shingles that no other open set has shares n - own at most, so its partners have `reach` shingles at most
+    reach = (F.col("n") - F.coalesce("own", F.lit(0))) * (100 + percent) / percent - F.col("n") + 1e-6
+    rest = stored(rest.join(alone, "id", "left").withColumn("reach", reach).filter("reach > 0").select("bucket", "id", "n", "comp", "main", "reach"), "near-reach")
+    rest = rest.join(sets.select("id", "sketch").join(open_ids, "id"), "id")
+    x, y = rest.filter("comp <> main").alias("x"), rest.alias("y")
+    # sketches differ in no more bits than sets in shingles
+    differ = f"aggregate(zip_with(x.sketch, y.sketch, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v) * {100 + percent} <= (x.n + y.n) * {100 - percent}"
+    meet = F.expr(f"x.bucket = y.bucket and x.comp <> y.comp and (y.comp = y.main or x.id < y.id) and y.n <= x.reach and x.n <= y.reach and {differ}")
+    return _verified(x.join(y, meet).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")), sets, percent)
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links of `percent` or more),
     kept (doc_id = component_id). See the module's text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stored(_signed(docs, shingle_words, bands, rows), "near-signed")
-    usable = signed.filter("doc_id is not null and n > 0")
-    classes = usable.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("id"))
-    classes = stored(classes, "near-classes")
-    first = usable.join(classes.select(F.col("id").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
-    keyed = first.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("bucket")
-    members = stored(keyed.join(shared, "bucket").select("bucket", "id", "n"), "near-members")
-    linked = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = stored(_sets(docs.join(linked, "doc_id", "left_semi"), shingle_words).dropDuplicates(["id"]), "near-sets")
-
-    # first each bucket's smallest id with all others, and all pairs of small buckets
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("lead"))
-    with_lead = members.join(sizes, "bucket")
-    lead = with_lead.filter("lead.id <> id").select(F.col("lead.id").alias("x"), F.col("id").alias("y"), F.col("lead.n").alias("nx"), F.col("n").alias("ny"))
-    few = with_lead.filter(f"size <= {SMALL_BUCKET} and lead.id <> id").select("bucket", F.col("id").alias("x"), F.col("n").alias("nx"))
-    pairs = few.join(few.select("bucket", F.col("x").alias("y"), F.col("nx").alias("ny")), "bucket").filter("x < y").select("x", "y", "nx", "ny")
-    labels = stored(connected_components(_verified(lead.union(pairs), sets, percent)), "near-labels")
-
-    # then, in larger buckets of more than one component, the rest of the pairs across components
-    rest = with_lead.filter(f"size > {SMALL_BUCKET} and lead.id <> id").select("bucket", "id", "n").join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("comp"))
-    counts = rest.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
-    rest = rest.join(counts.filter("comps > 1").select("bucket", F.col("m.comp").alias("main")), "bucket")
-    rest = stored(rest, "near-rest")
-    if not rest.isEmpty():
-        open_ids = rest.select("id").distinct()
-        tokens = sets.join(open_ids, "id", "left_semi").repartition("id").select("id", F.explode("shingles").alias("token"))
-        alone = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-        # a set with `own` shingles that no other open set has shares n - own at most, so its partners have `reach` shingles at most
-        reach = (F.col("n") - F.coalesce("own", F.lit(0))) * (100 + percent) / percent - F.col("n") + 1e-6
-        rest = stored(rest.join(alone, "id", "left").withColumn("reach", reach).filter("reach > 0").select("bucket", "id", "n", "comp", "main", "reach"), "near-reach")
-        rest = rest.join(sets.select("id", "sketch"), "id")
-        x, y = rest.filter("comp <> main").alias("x"), rest.alias("y")
-        # sketches differ in no more bits than sets in shingles
-        differ = f"aggregate(zip_with(x.sketch, y.sketch, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v) * {100 + percent} <= (x.n + y.n) * {100 - percent}"
-        meet = F.expr(f"x.bucket = y.bucket and x.comp <> y.comp and (y.comp = y.main or x.id < y.id) and y.n <= x.reach and x.n <= y.reach and {differ}")
-        across = x.join(y, meet).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny"))
-        links = _verified(across, sets, percent).union(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
-        labels = stored(connected_components(links), "near-labels")
-    of_class = classes.join(labels, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component_id"))
-    known = signed.select("doc_id", "n", "d1", "d2").join(of_class, ["d1", "d2", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return known.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    with Scratch(docs.sparkSession) as scratch:
+        signed, found = classes(docs, shingle_words, percent, bands, rows, nameless=False, by_id=True)
+        named = stored(signed.filter("n > 0 and doc_id is not null").select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2", "n"]), "near-named")
+        least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        grouped = stored(named.join(least, "component").select("doc_id", "n", "component_id"), "near-grouped")
+        # a doc_id may have texts without words, too: all its rows are one node
+        bare = signed.filter("n = 0 or doc_id is null").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"))
+        ids = grouped.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        alone = bare.join(ids, F.col("__id") == F.col("doc_id"), "left").select(F.col("__id").alias("doc_id"), F.col("__n").alias("n"), F.coalesce("component_id", "__id").alias("component_id"))
+        out = grouped.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        return scratch.keep(stored(out, "near-duplicates"))
