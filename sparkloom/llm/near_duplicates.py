@@ -6,8 +6,9 @@ soon as no slot holds more than the rank (early stopping).
 
 Texts with the same shingle set are one class, so exact copies meet once. Classes that agree in one of `bands` bands are
 candidates; with 32 bands of 4 rows, a pair of similarity 0.8 is none with probability 5e-8. First a bucket compares its
-smallest id with all others, which joins a group of copies at once, and small buckets all their pairs. What is then still apart
-in a larger bucket is compared across components, but for pairs that cannot reach the similarity: shingles that one open set
+smallest id with all others, which joins a group of copies at once, and small buckets all their pairs. What is then still outside a
+larger bucket's main component is compared with a few of its members. What is apart after that
+is compared across components, each pair in the first bucket that it shares, but for pairs that cannot reach the similarity: shingles that one open set
 alone has are counted, and a set of n with `own` such shingles shares n - own at most with any other; and two sets differ in as
 many shingles at least as their bit sketches do in bits. Pairs within a component
 are never formed, and nothing is capped.
@@ -36,6 +37,8 @@ from .components import connected_components
 BANDS, ROWS = 32, 4
 #: Members of a bucket up to which all pairs are compared at once.
 SMALL_BUCKET = 8
+#: Members of a bucket's main component that all the others are compared with before any pair is.
+FEW = 8
 #: Bits by which sets that cannot be near are told apart before they are compared in full.
 SKETCH_BITS = 2048
 #: Shingles whose permutations are held at a time.
@@ -198,7 +201,7 @@ def classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: i
             least = own.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b")
             links = links.union(own.select("doc_id", F.col("id").alias("b")).join(least.select("doc_id", "a"), "doc_id").filter("a <> b").select("a", "b").distinct())
         labels = stored(connected_components(links), "near-labels")
-        for compare in (_across,):
+        for compare in (_with_few, _across):
             rest = _open(with_lead, labels)
             if rest is None:
                 break
@@ -216,6 +219,15 @@ def _open(with_lead: DataFrame, labels: DataFrame) -> DataFrame | None:
     return None if rest.isEmpty() else rest
 
 
+def _with_few(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of what is outside a bucket's main component with FEW of its members, by hash: most of what belongs to it does so by one of these."""
+    picks = F.array(*[F.col(f"p{i}") for i in range(FEW)])
+    few = rest.filter("comp = main").groupBy("bucket").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "id").alias("h"), "id", "n")).alias(f"p{i}") for i in range(FEW)])
+    few = few.select("bucket", F.explode(F.array_distinct(F.transform(picks, lambda p: F.struct(p["id"].alias("id"), p["n"].alias("n"))))).alias("p"))
+    pairs = rest.filter("comp <> main").join(few, "bucket").select(F.col("id").alias("x"), F.col("p.id").alias("y"), F.col("n").alias("nx"), F.col("p.n").alias("ny"))
+    return _verified(pairs, sets, percent)
+
+
 def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across components in the buckets that are still open: each pair that the bounds admit, in the first bucket that it shares."""
     open_ids = rest.groupBy("id").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # at most one a band
@@ -228,7 +240,7 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x, y = rest.filter("comp <> main").alias("x"), rest.alias("y")
     # sketches differ in no more bits than sets in shingles
     differ = f"aggregate(zip_with(x.sketch, y.sketch, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v) * {100 + percent} <= (x.n + y.n) * {100 - percent}"
-    meet = F.expr(f"x.bucket = y.bucket and x.comp <> y.comp and (y.comp = y.main or x.id < y.id) and y.n <= x.reach and x.n <= y.reach and {differ}")
+    meet = F.expr(f"x.bucket = y.bucket and x.comp <> y.comp and (y.comp = y.main or x.id < y.id) and y.n <= x.reach and x.n <= y.reach and {differ} and x.bucket = array_min(array_intersect(x.buckets, y.buckets))")
     return _verified(x.join(y, meet).select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.col("x.n").alias("nx"), F.col("y.n").alias("ny")), sets, percent)
 
 
