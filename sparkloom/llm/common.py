@@ -41,7 +41,7 @@ def bit_table(keys: DataFrame, key: str, most: int = TABLE_KEYS) -> tuple[int, D
     marks = keys.select(F.pmod(F.xxhash64(F.lit(7), key), F.lit(blocks)).alias("__block"), F.explode(F.array(*_bits(key))).alias("p")).select("__block", F.expr("cast(p div 64 as int)").alias("w"), bit)
     by = marks.groupBy("__block", "w").agg(F.bit_or("bit").alias("bits")).groupBy("__block").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("by"))  # 64 words a block
     numbers = F.transform(F.sequence(F.lit(0), F.lit(_BLOCK_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("by", i), F.lit(0).cast("long")))
-    return blocks, stored(by.select("__block", numbers.alias("__words")), "bit-table")
+    return blocks, stored(by.select("__block", numbers.alias("__words")), "bit-table", few=True)
 
 
 def possible(rows: DataFrame, key: str, table: tuple[int, DataFrame] | None) -> DataFrame:
@@ -68,7 +68,7 @@ def without(rows: DataFrame, key: str, keys: DataFrame, known: DataFrame, most:
     table = bit_table(keys, key, most)
     if table is None:
         return rows.join(keys.select(key), key, "left_anti")
-    wrong = stored(possible(known.select(key), key, table).filter("__possible").select(key).distinct().join(keys.select(key), key, "left_anti"), "not-among")
+    wrong = stored(possible(known.select(key), key, table).filter("__possible").select(key).distinct().join(keys.select(key), key, "left_anti"), "not-among", few=True)
     marked = possible(rows, key, table)
     return marked.filter("not __possible").drop("__possible").unionByName(only(marked.filter("__possible").drop("__possible"), key, wrong, most))
 

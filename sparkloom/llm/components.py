@@ -61,7 +61,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Rounds of a large-star and a small-star step (groups by a key with partial minima, then a join that can be split)
     until each edge leads to its component's smallest id; ids without an edge are not in the result. Null ends are dropped."""
-    at = stored(_contracted(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a is not null and b is not null and a <> b")), "components")
+    at = stored(_contracted(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a is not null and b is not null and a <> b")), "components", few=True)
     while True:
         # a > b holds for each edge; it is a forest of stars with the least id in the middle when no b is an a
         deep = at.select("b").distinct().join(at.select(F.col("a").alias("b")), "b", "left_semi")
@@ -73,4 +73,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        at = stored(_contracted(linked.union(small).filter("a <> b").distinct()), "components")
+        at = stored(_contracted(linked.union(small).filter("a <> b").distinct()), "components", few=True)

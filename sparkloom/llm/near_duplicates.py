@@ -179,12 +179,12 @@ def classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: i
         known = scratch.keep(stored(signed.select("doc_id", "key", "n", "d1", "d2"), "near-rows"))
         usable = "n > 0" if nameless else "n > 0 and doc_id is not null"
         first = F.min_by(F.struct("row", "key", "bands"), "row").alias("first")
-        of_class = stored(signed.filter(usable).groupBy("d1", "d2", "n").agg(first).select("d1", "d2", "n", F.col("first.row").alias("id"), "first.key", "first.bands"), "near-classes")
+        of_class = stored(signed.filter(usable).groupBy("d1", "d2", "n").agg(first).select("d1", "d2", "n", F.col("first.row").alias("id"), "first.key", "first.bands"), "near-classes", few=True)
         scratch.drop(signed)
         keyed = of_class.select("id", "n", F.explode("bands").alias("bucket"))
         shared = keyed.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("bucket")
-        members = stored(keyed.join(shared, "bucket").select("bucket", "id", "n"), "near-members")
-        linked = stored(of_class.join(members.select("id").distinct(), "id", "left_semi").select("key", "id"), "near-linked")
+        members = stored(keyed.join(shared, "bucket").select("bucket", "id", "n"), "near-members", few=True)
+        linked = stored(of_class.join(members.select("id").distinct(), "id", "left_semi").select("key", "id"), "near-linked", few=True)
         # only rows that may be of a linked class, each text once, are shuffled
         texts = possible(docs, "key", bit_table(linked, "key")).filter("__possible").dropDuplicates(["key"]).join(linked, "key")
         sets = stored(_sets(texts.select("id", "text"), shingle_words), "near-sets")
@@ -200,22 +200,22 @@ def classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: i
             own = known.filter(usable).select("doc_id", "d1", "d2", "n").join(of_class.select("d1", "d2", "n", "id"), ["d1", "d2", "n"])
             least = own.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b")
             links = links.union(own.select("doc_id", F.col("id").alias("b")).join(least.select("doc_id", "a"), "doc_id").filter("a <> b").select("a", "b").distinct())
-        labels = stored(connected_components(links), "near-labels")
+        labels = stored(connected_components(links), "near-labels", few=True)
         for compare in (_with_few, _across):
             rest = _open(with_lead, labels)
             if rest is None:
                 break
             links = compare(rest, sets, percent).union(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
-            labels = stored(connected_components(links), "near-labels")
+            labels = stored(connected_components(links), "near-labels", few=True)
         found = of_class.select("d1", "d2", "n", "id").join(labels, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
-        return known, scratch.keep(stored(found, "near-found"))
+        return known, scratch.keep(stored(found, "near-found", few=True))
 
 
 def _open(with_lead: DataFrame, labels: DataFrame) -> DataFrame | None:
     """Rows of larger buckets that hold more than one component: bucket, id, n, comp and main, the bucket's largest component. None without any."""
     rest = with_lead.filter(f"size > {SMALL_BUCKET} and lead.id <> id").select("bucket", "id", "n").join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("comp"))
     counts = rest.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
-    rest = stored(rest.join(counts.filter("comps > 1").select("bucket", F.col("m.comp").alias("main")), "bucket"), "near-rest")
+    rest = stored(rest.join(counts.filter("comps > 1").select("bucket", F.col("m.comp").alias("main")), "bucket"), "near-rest", few=True)
     return None if rest.isEmpty() else rest
 
 
@@ -235,7 +235,7 @@ def _across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     alone = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
     # a set with `own` shingles that no other open set has shares n - own at most, so its partners have `reach` shingles at most
     reach = (F.col("n") - F.coalesce("own", F.lit(0))) * (100 + percent) / percent - F.col("n") + 1e-6
-    rest = stored(rest.join(alone, "id", "left").withColumn("reach", reach).filter("reach > 0").select("bucket", "id", "n", "comp", "main", "reach"), "near-reach")
+    rest = stored(rest.join(alone, "id", "left").withColumn("reach", reach).filter("reach > 0").select("bucket", "id", "n", "comp", "main", "reach"), "near-reach", few=True)
     rest = rest.join(sets.select("id", "sketch").join(open_ids, "id"), "id")
     x, y = rest.filter("comp <> main").alias("x"), rest.alias("y")
     # sketches differ in no more bits than sets in shingles
@@ -249,12 +249,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     kept (doc_id = component_id). See the module's text."""
     with Scratch(docs.sparkSession) as scratch:
         signed, found = classes(docs, shingle_words, percent, bands, rows, nameless=False, by_id=True)
-        named = stored(signed.filter("n > 0 and doc_id is not null").select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2", "n"]), "near-named")
+        named = stored(signed.filter("n > 0 and doc_id is not null").select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2", "n"]), "near-named", few=True)
         least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        grouped = stored(named.join(least, "component").select("doc_id", "n", "component_id"), "near-grouped")
+        grouped = stored(named.join(least, "component").select("doc_id", "n", "component_id"), "near-grouped", few=True)
         # a doc_id may have texts without words, too: all its rows are one node
         bare = signed.filter("n = 0 or doc_id is null").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"))
         ids = grouped.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
         alone = bare.join(ids, F.col("__id") == F.col("doc_id"), "left").select(F.col("__id").alias("doc_id"), F.col("__n").alias("n"), F.coalesce("component_id", "__id").alias("component_id"))
         out = grouped.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-        return scratch.keep(stored(out, "near-duplicates"))
+        return scratch.keep(stored(out, "near-duplicates", few=True))

@@ -60,7 +60,7 @@ def records(pages: DataFrame, least: int = LEAST, most: int = TABLE_KEYS) -> Dat
     p = p.withColumn("key", F.concat_ws(":", "digest", F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
     narrow = stored(p.drop("payload"), "warc-digests")
     first = narrow.filter(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1 and first is not null").drop("c")
-    again = stored(narrow.join(first, "digest").filter("not page_id <=> first"), "warc-revisits")
+    again = stored(narrow.join(first, "digest").filter("not page_id <=> first"), "warc-revisits", few=True)
     whole = without(p, "key", again, narrow, most)
     return again.select(_record(True, None)).union(whole.select(_record(False, F.col("payload"))))
 
