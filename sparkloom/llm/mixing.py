@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, stored, word_count
+from .common import Scratch, ranked, stored, word_count
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -31,6 +31,8 @@ DP_WORDS = 20_000
 #: Budget up to which taken documents are given back where words remain.
 BACK_WORDS = 2_000_000
 BUCKET_ROWS = 128
+#: Sources and lengths that are sent to every task (about 100 bytes each); with more, rows are joined by them.
+BROADCAST_LENGTHS = 500_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -79,7 +81,7 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
     return taken
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, target: float, dp_words: int = DP_WORDS) -> tuple[int, np.ndarray]:
+def fit(lengths: np.ndarray, counts: np.ndarray, target: float, dp_words: int = DP_WORDS, back_words: int = BACK_WORDS) -> tuple[int, np.ndarray]:
     """How often a source is taken whole, and how many documents of each length once more."""
     total = int((lengths * counts).sum())
     extra = np.zeros(len(lengths), np.int64)
@@ -97,52 +99,83 @@ def fit(lengths: np.ndarray, counts: np.ndarray, target: float, dp_words: int =
         if extra[i] < usable[i] and 0 < lengths[i] <= rest:
             extra[i] += 1
             rest -= int(lengths[i])
+    # whole documents of any length, the longest first, as long as dynamic programming would have too much to do
     for i in np.argsort(-lengths, kind="stable"):
-        if rest <= dp_words:
+        if rest <= dp_words or lengths[i] <= 0:
             break
-        n = min(int(usable[i] - extra[i]), max(0, rest - dp_words // 2) // max(1, int(lengths[i])))
+        n = min(int(usable[i] - extra[i]), rest // int(lengths[i]), max(1, (rest - dp_words // 2) // int(lengths[i])))
         extra[i] += n
         rest -= n * int(lengths[i])
     if 0 < rest <= dp_words:
         more = knapsack(lengths, usable - extra, rest)
         extra += more
         rest -= int((more * lengths).sum())
-    if 0 < rest < BACK_WORDS and extra.any():
+    if 0 < rest < back_words and extra.any():
         for i in np.argsort(-lengths, kind="stable"):
-            n = min(int(extra[i]), (BACK_WORDS - rest) // max(1, int(lengths[i])))
+            n = min(int(extra[i]), (back_words - rest) // max(1, int(lengths[i])))
             extra[i] -= n
             rest += n * int(lengths[i])
         extra += knapsack(lengths, usable - extra, rest)
     return whole, extra
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """The row as a struct beside what the mix needs of it, so that no name clashes."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").cast("long").alias("__size"))
+
+
+def _hashed(rows: DataFrame, seed: int) -> DataFrame:
+    """31 bits that order the rows of a source and length, and the rest of the hash."""
+    h = F.xxhash64(F.lit(seed), "__id", "__source")
+    return rows.withColumns({"__h": F.shiftrightunsigned(h, 33), "__low": h})
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """Adds size, source_size, target and taken (words the mix takes of the row: its size times the copies) to docs, which has
-    doc_id, source and size (words) besides any other columns."""
-    lengths = docs.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    lengths = stored(lengths, "mixing-lengths")
-    goal = targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most)
-    with_goal = lengths.join(goal.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
-
-    def plan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("size", kind="stable").reset_index(drop=True)
-        whole, extra = fit(group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64), float(group["target"].iloc[0]))
-        return group.assign(whole=whole, extra=extra)[["source", "size", "n", "source_size", "target", "whole", "extra"]]
-
-    planned = with_goal.groupBy("source").applyInPandas(plan, "source string, size bigint, n bigint, source_size bigint, target double, whole bigint, extra bigint")
-    planned = stored(planned.withColumnsRenamed({"source": "__s", "size": "__size", "n": "__n"}), "mixing-plan")
-    rows = docs.join(planned, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__size"))).drop("__s", "__size")
-    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "source"))
-    split = (F.col("extra") > 0) & (F.col("extra") < F.col("__n"))
-    sure = rows.filter(~split).withColumn("__more", (F.col("extra") > 0).cast("long"))
-    # hash as a number of 31 bits, dealt to as many buckets as the group's rows ask for, in order
-    bucket = F.expr(f"cast(shiftrightunsigned(__h, 33) * ceil(__n / {BUCKET_ROWS}.0) div 2147483648 as int)")
-    some = ranked(rows.filter(split).withColumn("__bucket", bucket), ["source", "size"], "__bucket", [F.shiftrightunsigned("__h", 33), F.col("__h"), F.col("doc_id")], "__rank")
-    some = some.withColumn("__more", (F.col("__rank") <= F.col("extra")).cast("long")).drop("__rank", "__bucket")
-    both = sure.unionByName(some)
-    return both.withColumn("taken", F.col("size") * (F.col("whole") + F.col("__more"))).drop("__h", "__n", "__more", "whole", "extra")
+    """docs' columns with source_size, target and taken (words the mix takes of the row: its size times the copies). docs has doc_id,
+    source and size (words); columns of docs that are named like these three are replaced.
+
+    Documents are counted, planned and ranked on rows of (doc_id, source, size); of each source and length the last document that is
+    taken once more is found, and the rows themselves meet only these few, so they are not shuffled. Rows that are equal to that last one
+    in doc_id, source and size may be taken in part; these alone are numbered."""
+    with Scratch(docs.sparkSession) as scratch:
+        narrow = stored(_wrapped(docs).drop("__row"), "mixing-sizes")
+        lengths = stored(narrow.groupBy("__source", "__size").agg(F.count(F.lit(1)).alias("n")), "mixing-lengths", few=True)
+        goal = targets(lengths.groupBy(F.col("__source").alias("source")).agg(F.sum(F.col("__size") * F.col("n")).alias("source_size")), weights, share, most)
+        with_goal = lengths.join(goal, F.col("__source").eqNullSafe(F.col("source"))).select("source", F.col("__size").alias("size"), "n", "source_size", "target")
+
+        def plan(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("size", kind="stable").reset_index(drop=True)
+            whole, extra = fit(group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64), float(group["target"].iloc[0]))
+            return group.assign(whole=whole, extra=extra)[["source", "size", "n", "source_size", "target", "whole", "extra"]]
+
+        planned = stored(with_goal.groupBy("source").applyInPandas(plan, "source string, size bigint, n bigint, source_size bigint, target double, whole bigint, extra bigint"), "mixing-plan", few=True)
+        same = F.col("__source").eqNullSafe(F.col("source")) & (F.col("__size") == F.col("size"))
+        split = planned.filter("extra > 0 and extra < n").select("source", "size", "n", "extra")
+        # hash dealt to as many buckets as the group's rows ask for, in order
+        bucket = F.expr(f"cast(__h * ceil(n / {BUCKET_ROWS}.0) div 2147483648 as int)")
+        some = _hashed(narrow, seed).join(split, same).withColumn("__bucket", bucket)
+        order = [F.col("__h"), F.col("__low"), F.col("__id")]
+        ranks = ranked(some.select("source", "size", "n", "extra", "__bucket", "__h", "__low", "__id"), ["source", "size"], "__bucket", order, "rank")
+        # of the rows that are equal to the last one taken, `ties` of `of` are taken
+        ties = ranks.groupBy("source", "size", "extra", "__h", "__low", "__id").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).filter("extra between low and high")
+        ties = ties.select(F.col("source").alias("s"), F.col("size").alias("z"), F.struct("__h", "__low", "__id").alias("last"), (F.col("extra") - F.col("low") + 1).alias("ties"), (F.col("high") - F.col("low") + 1).alias("of"))
+        full = planned.join(ties, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left").drop("s", "z")
+        full = scratch.keep(stored(full, "mixing-places", few=True))
+        partial = full.filter("ties < of").limit(1).count() > 0
+    # one row a source and length
+    here = _hashed(_wrapped(docs), seed).join(F.broadcast(full) if full.count() <= BROADCAST_LENGTHS else full, same)
+    at = F.struct("__h", "__low", "__id")
+    more = F.when(F.col("extra") == 0, 0).when(F.col("last").isNull(), 1).when(at < F.col("last"), 1).when((at > F.col("last")) | (F.col("ties") < F.col("of")), 0).otherwise(1)
+    cut = (F.col("ties") < F.col("of")) & at.eqNullSafe(F.col("last"))
+    out = here.withColumn("__more", more.cast("long"))
+    if partial:
+        nth = F.row_number().over(Window.partitionBy("__source", "__size").orderBy(F.lit(0)))
+        out = out.filter(~F.coalesce(cut, F.lit(False))).unionByName(here.filter(cut).withColumn("__more", (nth <= F.col("ties")).cast("long")))
+    own = [c for c in docs.columns if c not in ("source_size", "target", "taken")]
+    taken = F.col("__size") * (F.col("whole") + F.col("__more"))
+    return out.select(*[F.col("__row")[c].alias(c) for c in own], "source_size", "target", taken.alias("taken"))
 
 
 def sized(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The columns that mix() needs, those of `carry`, and the word count as size."""
-    return docs.select(*dict.fromkeys(["doc_id", "source", *carry]), word_count(F.col("text")).alias("size"))
+    return docs.select(*[c for c in dict.fromkeys(["doc_id", "source", *carry]) if c != "size"], word_count(F.col("text")).alias("size"))
