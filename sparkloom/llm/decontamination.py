@@ -26,7 +26,7 @@ from . import kernels as K
 WINDOW, GRAM = 10, 5
 #: A benchmark of at most so many windows is sent to every task (16 bytes each, and its item lists); a larger one is joined.
 BROADCAST_WINDOWS = 2_000_000
-RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+RESULT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 
 
 def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,11 +111,11 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, k: int = GRAM)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. See the module's text.
+    """Per document: doc_id (of any type), n_words, n_hit, n_items, items_sha256, contaminated. See the module's text.
 
     A benchmark of up to `broadcast_windows` windows goes to the tasks whole, and documents take one pass without a
     shuffle; beyond that fingerprints of documents and benchmark are joined, with the same rows as result."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = benchmark_windows(benchmark, window, k)
     if rows.limit(broadcast_windows + 1).count() <= broadcast_windows:
         return _by_broadcast(docs, rows, window, k)
@@ -175,7 +175,7 @@ def _by_broadcast(docs: DataFrame, rows: DataFrame, window: int, k: int) -> Data
                     ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                 )
 
-    return docs.mapInArrow(scan, RESULT)
+    return docs.mapInArrow(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, {RESULT}")
 
 
 def _by_join(docs: DataFrame, rows: DataFrame, window: int, k: int) -> DataFrame:
@@ -232,7 +232,7 @@ def _by_join(docs: DataFrame, rows: DataFrame, window: int, k: int) -> DataFrame
     step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(acc["to"], x["at"]))).alias("n"), F.greatest(acc["to"], x["end"]).alias("to"))
     covered = marked.select("row", F.aggregate("s", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), step)["n"].alias("n_hit"))
     return (
-        numbered.mapInArrow(sizes, "row bigint, doc_id bigint, n_words bigint")
+        numbered.mapInArrow(sizes, f"row bigint, doc_id {dict(docs.dtypes)['doc_id']}, n_words bigint")
         .join(covered, "row", "left")
         .join(items, "row", "left")
         .select(
