@@ -113,16 +113,36 @@ def cutoffs(holdout: DataFrame, risk: float = RISK, error: float = ERROR) -> Dat
     return in_order.filter("sound").groupBy("stratum").agg(F.min(F.struct("cutoff", "n_good", "n_lost")).alias("m")).select("stratum", "m.*")
 
 
-def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR, scores: DataFrame | None = None) -> DataFrame:
-    """The documents' columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, badness, cutoff (null: none proven),
-    base_failed and kept. `labels` has doc_id and quality (1 good, 0 bad). `scores` may give scored(docs) as already stored."""
-    marked = scored(docs) if scores is None else scores
-    marked = marked.withColumn("stratum", F.col(stratum))
+def scores(docs: DataFrame, stratum: str = "lang") -> DataFrame:
+    """Narrow rows: doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, badness."""
+    return scored(docs.select("doc_id", F.col(stratum).alias("stratum"), F.col("text").cast("string").alias("text"))).drop("text")
+
+
+def limits(scored_rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """(stratum, cutoff) from scores() and labels (doc_id, quality: 1 good, 0 bad); stored, so that its size is known before a join."""
     good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
-    holdout = marked.select("doc_id", "stratum", "badness").join(good.filter("good"), "doc_id")
-    # stored, so that its size is known before the join: a few rows are broadcast and no text is shuffled by stratum
-    limits = stored(cutoffs(holdout, risk, error).select(F.col("stratum").alias("__stratum"), "cutoff"), "quality-cutoffs")
+    holdout = scored_rows.select("doc_id", "stratum", "badness").join(good.filter("good"), "doc_id")
+    return stored(cutoffs(holdout, risk, error).select("stratum", "cutoff"), "quality-cutoffs")
+
+
+def judged(scored_rows: DataFrame, cutoff: DataFrame) -> DataFrame:
+    """Adds cutoff, base_failed and kept to rows with stratum and the columns of scores(). A stratum's cutoff is one row, few in all: they are
+    broadcast up to 100,000 strata."""
+    near = F.broadcast(cutoff) if cutoff.count() <= 100_000 else cutoff
+    out = scored_rows.join(near.withColumnRenamed("stratum", "__of"), F.col("stratum").eqNullSafe(F.col("__of")), "left").drop("__of")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = marked.join(limits, marked["stratum"].eqNullSafe(limits["__stratum"]), "left").drop("__stratum", "stratum")
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("cutoff").isNull() | (F.col("badness") <= F.col("cutoff"))))
 
+
+#: What quality() adds.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "badness", "cutoff", "base_failed", "kept")
+
+
+def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """The documents' columns and ADDED (cutoff null: none proven). `labels` has doc_id and quality (1 good, 0 bad). Columns of docs that
+    are named like ADDED are replaced, all others stay as they are. Texts are scored twice: once on narrow rows for the cutoffs, once for
+    the rows themselves, which are neither stored nor shuffled."""
+    found = limits(scores(docs, stratum), labels, risk, error)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col(stratum).alias("stratum"), F.col("text").cast("string").alias("text"))
+    out = judged(scored(rows).drop("text"), found)
+    return out.select(*[F.col("__row")[c].alias(c) for c in docs.columns if c not in ADDED], *ADDED)

@@ -12,9 +12,8 @@ from .common import read_table, stored
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    scores = stored(quality.scored(docs).drop("text"), "quality-scores")
-    out = quality.quality(docs, read_table(spark, sf_dir, "labels"), scores=scores)
+    scores = stored(quality.scores(read_table(spark, sf_dir, "documents")), "quality-scores")
+    out = quality.judged(scores, quality.limits(scores, read_table(spark, sf_dir, "labels")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "badness", "cutoff")
 
 
@@ -38,7 +37,7 @@ def op5_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(stored(mixing.sized(read_table(spark, sf_dir, "documents"), []), "mixing-sizes"))
+    out = mixing.mix(stored(mixing.sized(read_table(spark, sf_dir, "documents"), []), "mixing-words"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
