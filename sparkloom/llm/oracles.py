@@ -1,7 +1,6 @@
 """DuckDB equivalents of the queries that SQL can express.
 
-Seeded Spark hashes decide op3 and op6, iteration op4, trained models op2 and op9, binary-exact entropy folds op8 and op5; tests
-hold those against brute force."""
+Dynamic programming decides op6, iteration op4, trained models op2 and op9; tests hold those against brute force."""
 
 from __future__ import annotations
 
@@ -31,5 +30,48 @@ from d left join n using (doc_id) left join it using (doc_id)
 """
 
 
+# ---- op1: base columns, the badness score, and cutoffs by the exact binomial tail, whose terms are taken in logarithms
+
+_SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LEFT = lambda pattern: f"length(regexp_replace(coalesce(text, ''), '{pattern}', '', 'g'))"
+_UPPER = _LEFT(r"[^\p{Lu}]+")
+
+OP1 = rf"""
+with w as materialized (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as text, {_SPACED} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from documents),
+     g as (select rid, i, array_to_string(w[i : i + 7], ' ') as g from w, lateral (select unnest(range(1, len(w) - 6)) as i)),
+     twice as (select rid, g from g group by 1, 2 having count(*) > 1),
+     rep as (select rid, count(distinct p)::bigint as n from (select rid, unnest(range(i, i + 8)) as p from g join twice using (rid, g)) group by 1),
+     f as (select doc_id, lang, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, {_LEFT('[^#*$%&|<>]+')}::bigint as n_symbols, {_UPPER} as upper, {_LEFT('[^!?]+')} as marks,
+                  len(l) as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words from w left join rep using (rid)),
+     r as (select *, greatest(least(1, case when word_chars > 0 then n_symbols / word_chars else 0 end / 0.25), least(1, case when n_lines > 0 then n_dup_lines / n_lines else 0 end), least(1, case when n_words > 0 then n_repeat_words / n_words else 0 end),
+                  least(1, case when word_chars > 0 then upper / word_chars else 0 end), least(1, case when word_chars > 0 then marks / word_chars else 0 end / 0.5)) as worst from f),
+     s as (select *, floor(worst * 100 + 1e-9)::int as badness from r),
+     good as (select doc_id from labels where doc_id is not null and quality is not null group by 1 having max(quality) > 0),
+     h as (select lang, badness from s join good using (doc_id)),
+     n as (select lang, count(*) as n, (count(*) over ()) as strata from h group by 1),
+     grid as (select n.lang, n, strata, t, (select count(*) from h where h.lang is not distinct from n.lang and badness > t) as k from n, (select unnest(range(15, 100)) as t)),
+     tested as (select lang, t, case when k < n * 0.02 then list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02) + (n - j) * ln(0.98)))) else 1 end <= 0.1 / strata as passes from grid),
+     sound as (select lang, t from (select *, min(passes::int) over (partition by lang order by t desc) as ok from tested) where ok = 1),
+     c as (select lang, min(t)::int as cutoff from sound group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed as base_failed, not failed and (cutoff is null or badness <= cutoff) as kept, badness, cutoff
+from (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as failed from s) x left join c on x.lang is not distinct from c.lang
+"""
+
+# ---- op3: CRC-32 byte by byte over its table, which a rule gives; seeded order from md5
+
+_SEEDED = lambda *parts: "('0x' || substr(md5(" + " || '|' || ".join(f"coalesce({p}::varchar, '')" for p in parts) + "), 1, 15))::bigint"
+
+OP3 = f"""
+with bits as (select i, list_reduce(range(0, 8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i::bigint) as c from (select unnest(range(0, 256)) as i)),
+     t as (select list(c order by i) as tab from bits),
+     b as (select doc_id, source, strlen(coalesce(text, '')) + 16 as size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::bigint) as bytes from documents),
+     d as (select doc_id, source, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295::bigint), 4294967295) as text_crc32 from b, t),
+     h as (select *, {_SEEDED("17", "doc_id", "source", "text_crc32")} as h, {_SEEDED("17", "source")} as hs, count(*) over () as total, count(*) over (partition by source) as n from d),
+     r as (select *, row_number() over (partition by source order by h, doc_id nulls first, text_crc32, size) as rank from h),
+     p as (select *, row_number() over (order by (rank - 0.5::double) / n, hs, source nulls first, h, doc_id nulls first, text_crc32, size) - 1 as place from r)
+select doc_id, size::bigint as size, text_crc32, 'rows' as law, (place * 40 // total)::int as shard, (place - ((place * 40 // total) * total + 39) // 40)::bigint as slot, null::int as grown_shard, source from p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_members": OP7, "op10_winnowing": OP10}
+    return {"op1_quality_rules": OP1, "op3_stratified_shards": OP3, "op7_warc_members": OP7, "op10_winnowing": OP10}

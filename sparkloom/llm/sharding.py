@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, bucket_of, ranked, stored
+from .common import bucket_count, bucket_of, ranked, seeded, stored
 
 SHARDS, SEED, OVERHEAD = 40, 17, 16
 
@@ -24,15 +24,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, overhead: int
     each shard), grown_shard (null: another shard count moves rows between all shards)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = stored(rows.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "source", "text_crc32")), "sharding-rows")
+    rows = stored(rows.withColumn("__h", seeded(seed, "doc_id", "source", "text_crc32")), "sharding-rows")
     n = rows.count()
     buckets = bucket_count(n)
     ties = [F.col("__h"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    # signed comparison within a bucket is fine: all hashes of a bucket have the same leading bits
     ranks = ranked(rows.withColumn("__bucket", bucket_of(F.col("__h"), buckets)), ["source"], "__bucket", ties, "__rank", "__n")
     fraction = (F.col("__rank") - 0.5) / F.col("__n")
     placed = ranks.withColumn("__at", fraction).withColumn("__bucket", F.floor(F.col("__at") * buckets).cast("int"))
-    placed = ranked(placed, [], "__bucket", [F.col("__at"), F.xxhash64(F.lit(seed), "source"), F.col("source"), *ties], "__place")
+    placed = ranked(placed, [], "__bucket", [F.col("__at"), seeded(seed, "source"), F.col("source"), *ties], "__place")
     place = F.col("__place") - 1
     # shard s starts at ceil(s * n / shards)
     number = F.expr(f"(__place - 1) * {shards} div {max(n, 1)}")
