@@ -13,6 +13,8 @@ empty string. Work is linear in the text; a text's spans are one array.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,45 +43,56 @@ def bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(sizes: Column, chunk: int = 64, levels: int = 3) -> Column:
+    """Running sums of an array of numbers. An array that grows is copied with every element, so it grows to `chunk` elements only: sums are
+    taken within chunks, over the chunks' sums in the same way, and added up. Linear for up to chunk ** levels elements."""
+    last = lambda s: F.coalesce(F.element_at(s, -1), F.lit(0).cast("long"))
+    plain = lambda c: F.aggregate(c, F.array().cast("array<bigint>"), lambda acc, x: F.array_append(acc, F.when(F.size(acc) > 0, last(acc)).otherwise(F.lit(0).cast("long")) + x))
+    if levels == 1:
+        return plain(sizes)
+
+    def summed(parts: Column) -> Column:
+        ends = running(F.transform(parts, last), chunk, levels - 1)
+        return bound(ends, lambda e: F.flatten(F.zip_with(parts, e, lambda c, end: F.transform(c, lambda x: x + end - last(c)))))
+
+    cut = lambda s: F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.size(s) - 1) / chunk)), lambda k: plain(F.slice(s, (k * chunk + 1).cast("int"), F.lit(chunk))))
+    return bound(sizes, lambda s: F.when(F.size(s) <= chunk, plain(s)).otherwise(bound(cut(s), summed)))
+
+
 def matches(text: Column, pattern: str, hint: str | None = None) -> Column:
     """Array of (start, end, m), leftmost non-overlapping matches by code points: the gaps between them are the split's parts."""
     none = F.array().cast("array<struct<start:bigint,end:bigint,m:string>>")
 
     def placed(found: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-
-        def step(acc: Column, x: Column) -> Column:
-            a = acc["at"] + F.char_length(x["gap"])
-            b = a + F.char_length(x["m"])
-            return F.struct(b.cast("long").alias("at"), F.array_append(acc["out"], F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"), x["m"].alias("m"))).alias("out"))
-
-        pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        ends = running(F.zip_with(gaps, found, lambda g, m: (F.char_length(g) + F.char_length(m)).cast("long")))
+        return F.zip_with(ends, found, lambda e, m: F.struct((e - F.char_length(m)).alias("start"), e.alias("end"), m.alias("m")))
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.when(text.rlike(hint or pattern), bound(found, placed)).otherwise(none)
 
 
 def best_entropy(candidate: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The greatest Shannon entropy (bits) of any window of the candidate, by incremental counts."""
+    """The greatest Shannon entropy (bits) of any window of the candidate, by incremental counts: a character for each of the alphabet's, whose
+    code is the count from "0" on; a step writes the two that change."""
     codes = F.transform(F.split(candidate, ""), lambda c: F.position(c, F.lit(alphabet)))
     leaving = lambda c: F.concat(F.array_repeat(F.lit(0), window), c)
-    f = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+    f = F.array(*[F.lit(n * math.log2(n) if n > 1 else 0.0) for n in range(window + 2)])
+    count = lambda n, at: F.ascii(F.substring(n, at, 1)) - 48
 
     def slide(c: Column) -> Column:
         steps = F.zip_with(c, F.slice(leaving(c), 1, F.size(c)), lambda a, b: F.struct(a.alias("enters"), b.alias("leaves")))
-        start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(0.0).alias("best"))
+        start = F.struct(F.lit("0" * len(alphabet)).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(0.0).alias("best"))
 
         def step(acc: Column, x: Column) -> Column:
             enters, leaves, n = x["enters"], x["leaves"], acc["n"]
-            had = F.get(n, enters - 1)
-            s = acc["s"] - f(had) + f(had + 1)
-            left = F.when(leaves > 0, F.get(n, leaves - 1) + F.when(leaves == enters, 1).otherwise(0)).otherwise(F.lit(0))
-            s = s - f(left) + f(left - 1)
-            n = F.transform(n, lambda v, j: v + F.when(j + 1 == enters, 1).otherwise(0) - F.when(j + 1 == leaves, 1).otherwise(0))
-            bits = F.log2(F.lit(float(window))) - s / window
-            return F.struct(n.alias("n"), s.alias("s"), (acc["i"] + 1).alias("i"), F.when(acc["i"] + 1 >= window, F.greatest(acc["best"], bits)).otherwise(acc["best"]).alias("best"))
+            had = count(n, enters)
+            left = F.when(leaves > 0, count(n, leaves) + F.when(leaves == enters, 1).otherwise(0)).otherwise(F.lit(0))
+            s = acc["s"] - F.get(f, had) + F.get(f, had + 1) - F.get(f, left) + F.get(f, F.greatest(left - 1, F.lit(0)))
+            less = F.when((leaves > 0) & (leaves != enters), F.overlay(n, F.char(left + 47), leaves, F.lit(1))).otherwise(n)
+            now = F.when(leaves == enters, n).otherwise(F.overlay(less, F.char(had + 49), enters, F.lit(1)))
+            bits = F.lit(math.log2(window)) - s / window
+            return F.struct(now.alias("n"), s.alias("s"), (acc["i"] + 1).alias("i"), F.when(acc["i"] + 1 >= window, F.greatest(acc["best"], bits)).otherwise(acc["best"]).alias("best"))
 
         return F.aggregate(steps, start, step, lambda acc: acc["best"])
 
