@@ -1,9 +1,13 @@
 """DuckDB equivalents of the queries that SQL can express.
 
-Dynamic programming decides op6, iteration op4, trained models op2 and op9; tests hold those against brute force."""
+Dynamic programming decides op6, trained models op2 and op9; tests hold those against brute force."""
 
 from __future__ import annotations
 
+import math
+
+from . import licences, secrets
+
 OP7 = """
 with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, ''))::bigint as n, sha1(coalesce(html, '')) as d from pages),
      f as (select d, max(page_id) as first from p where n >= 1000 group by d having count(*) > 1)
@@ -73,5 +77,98 @@ select doc_id, size::bigint as size, text_crc32, 'rows' as law, (place * 40 // t
 """
 
 
+# ---- op8: spans from what stands between matches; entropy of each window from its characters' counts
+
+
+def _spans(kind: str, pattern: str, keep: str = "true") -> str:
+    """Rows (rid, start, end, kind, m): the matches of a pattern with the lengths of all that stands before them."""
+    q = pattern.replace("'", "''")
+    return (
+        f"select rid, e - length(m) as s, e, '{kind}' as kind, m from (select rid, found[i] as m, list_sum(list_transform(gaps[1 : i], lambda x: length(x))) + list_sum(list_transform(found[1 : i], lambda x: length(x))) as e "
+        f"from (select rid, string_split_regex(text, '{q}') as gaps, regexp_extract_all(text, '{q}') as found, unnest(range(1, len(regexp_extract_all(text, '{q}')) + 1)) as i from d)) where {keep}"
+    )
+
+
+_ASSIGN = secrets.ASSIGN.replace("'", "''")
+#: Runs of one character without a reference back, which RE2 lacks.
+_RUNS = "|".join(f"[{c}]{{6,}}" if c != "-" else "-{6,}" for c in secrets.WIDE_ALPHABET)
+_PASSED = secrets.PASSED.replace("(.)\\1{5,}", _RUNS)
+_SHANNON = "-list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: len(list_filter(string_split(w, ''), lambda x: x = c)) / 20.0 * log2(len(list_filter(string_split(w, ''), lambda x: x = c)) / 20.0)))"
+
+OP8 = f"""
+with d as materialized (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+     base as ({_spans("assign", secrets.ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 1)) >= 12")} union all {_spans("access", secrets.ACCESS, "length(m) >= 18")} union all {_spans("hex", secrets.HEX)}),
+     cand as materialized ({_spans("entropy", secrets.CANDIDATE, "not regexp_matches(m, '" + "|".join(f"(?:{x})" for x in secrets.ALLOWED) + "')")}),
+     parts as (select distinct m, regexp_full_match(m, '[0-9a-fA-F]+') as is_hex, unnest(string_split_regex(m, '{_PASSED}')) as part from cand),
+     wins as (select m, is_hex, case when is_hex then lower(substr(part, i, 20)) else substr(part, i, 20) end as w from (select *, unnest(range(1, length(part) - 18)) as i from parts)),
+     best as (select m from wins where {_SHANNON} >= case when is_hex then {secrets.HEX_BITS} else {secrets.WIDE_BITS} end group by 1),
+     spans as (select * from base union all select cand.* from cand semi join best using (m)),
+     named as (select rid, kind, s, kind || ':' || s::bigint || ':' || e::bigint as x, case kind when 'assign' then 0 when 'access' then 1 when 'hex' then 2 else 3 end as r from spans),
+     a as (select rid, count(*) filter (r = 0) as n_assign, count(*) filter (r = 1) as n_access, count(*) filter (r = 2) as n_hex, count(*) filter (r = 3) as n_entropy,
+                  string_agg(x, ',' order by s, r) filter (r < 3) as base, string_agg(x, ',' order by s, r) as spans from named group by 1)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_entropy, 0)::bigint as n_entropy
+from d left join a using (rid)
+"""
+
+
+# ---- op4: all pairs that share a shingle, and what is reachable over links
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4 = rf"""
+with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+     sh as materialized (select distinct doc_id, g from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) end) as g from w)),
+     n as (select doc_id, count(*) as n from sh group by 1),
+     pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+     links as materialized (select x, y from pairs join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 80 * (nx.n + ny.n - c)),
+     reach(id, root) as (select doc_id, doc_id from documents union select y, root from reach join links on id = x),
+     c as (select id, min(root) as component_id from reach group by 1)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from w left join n using (doc_id) join c on id = doc_id
+"""
+
+# ---- op5: each segment and window against each template that its size allows
+
+
+def _templates(t: float = licences.THRESHOLD) -> str:
+    rows = []
+    for i, (name, text) in enumerate(licences.TEMPLATES):
+        grams = licences.bigram_set(text)
+        least, most = math.ceil(t / (2 - t) * len(grams) - 1e-9), int((2 - t) / t * len(licences.bigrams(text)) + 1e-9)
+        rows.append(f"('{name}', {i}, {len(grams)}, {least}, {most}, [{', '.join(repr(g) for g in sorted(grams))}])")
+    return "(values " + ", ".join(rows) + ") v(name, i, n, least, most, grams)"
+
+
+_NORMAL = lambda x: f"list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda y: y <> '')"
+_GRAMS = lambda w: f"list_transform(range(1, len({w})), lambda j: {w}[j] || ' ' || {w}[j + 1])"
+_MEASURED = lambda rows, more="": f"select rid, seg, max({{'dice': dice, 'n': n, 'rank': -i, 'licence': name}}) as m{more} from (select x.*, t.name, t.i, t.n, 2.0::double * len(list_intersect(g, t.grams)) / (len(g) + t.n) as dice from (select rid, seg, g{more and ', pos'} from {rows} where len(g) > 0) x, t where len(g) * 1.2 >= t.n * 0.8 - 1e-9 and len(g) * 0.8 <= t.n * 1.2 + 1e-9) where dice >= 0.8 group by rid, seg"
+_RENAMED = "case " + " ".join(f"when licence = '{part}' and list_contains(names, '{whole}') then '{whole}'" for whole, part in licences.CONTAINS.items()) + " else licence end"
+
+OP5 = f"""
+with t as materialized (select * from {_templates()}),
+     d as materialized (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+     p as (select rid, list_concat([text], string_split_regex(text, '\\n[^\\p{{L}}\\p{{N}}\\n]*\\n'), string_split(text, chr(10)), string_split_regex(regexp_replace(text, '([.!?])[\\x20\\x09]+', '\\1' || chr(1), 'g'), '\\n|\\x01')) as ps from d),
+     q as (select rid, trim(ps[k]) as seg, min(k) as pos from (select rid, ps, unnest(range(1, len(ps) + 1)) as k from p) group by 1, 2),
+     s as materialized (select rid, seg, pos, list_distinct({_GRAMS('w')}) as g from (select *, {_NORMAL('seg')} as w from q)),
+     cut as materialized ({_MEASURED("s", ", min(pos) as pos")}),
+     w as materialized (select rid, w, {_GRAMS('w')} as g from (select rid, {_NORMAL('text')} as w from d)),
+     pl as (select rid, t.*, list_filter(list_transform(range(1, len(g) + 1), lambda k: case when list_contains(t.grams, g[k]) then k - 1 end), lambda k: k is not null) as own, g from w, t where len(list_filter(g, lambda x: list_contains(t.grams, x))) >= t.least),
+     st as (select *, unnest(range(1, len(own) + 1)) as j from pl),
+     en as (select rid, i, n, name, least, most, own, g, j, unnest(range(j, least(len(own), j + most - 1) + 1)) as e from st where own[j + least - 1] - own[j] < most),
+     sc as (select rid, i, n, own[j] as a, own[e] as b, len(list_distinct(list_transform(own[j : e], lambda k: g[k + 1]))) as seen, e - j + 1 as hits from en where own[e] - own[j] < most),
+     dc as (select rid, i, n, a, b, 2.0::double * seen / (b - a + 1 - hits + seen + n) as dice from sc),
+     of_start as (select rid, i, n, a, max(dice) as dice, arg_min(b, [-dice, b]) as b from dc group by 1, 2, 3, 4),
+     of_template as (select rid, i, max({{'dice': dice, 'n': n, 'rank': -i, 'pos': -a, 'fin': b}}) as x from of_start where dice >= 0.8 - 1e-9 group by 1, 2),
+     kept as (select rid, list_reduce(list([x] order by x desc), lambda acc, x: case when len(list_filter(acc, lambda y: -y.pos <= x[1].fin + 1 and -x[1].pos <= y.fin + 1)) > 0 then acc else list_concat(acc, x) end) as xs from of_template group by 1),
+     win as (select rid, k as pos, array_to_string(w[1 - x.pos : x.fin + 2], ' ') as seg from (select rid, unnest(xs) as x, unnest(range(1, len(xs) + 1)) as k from kept) join w using (rid)),
+     wg as (select rid, seg, pos, list_distinct({_GRAMS('w')}) as g from (select *, {_NORMAL('seg')} as w from win)),
+     wm as ({_MEASURED("wg", ", min(pos) as pos")}),
+     also as (select * from wm where not exists (select 1 from cut where cut.rid = wm.rid and cut.m.licence = wm.m.licence and cut.m.dice >= wm.m.dice)),
+     f as (select rid, 0 as part, pos, m.dice as dice, m.n as n, m.rank as rank, m.licence as licence from cut union all select rid, 1, pos, m.dice, m.n, m.rank, m.licence from also),
+     o as (select f.* replace ({_RENAMED} as licence) from f join (select rid, list(licence) as names from f group by 1) using (rid)),
+     a as (select rid, max({{'dice': dice, 'n': n, 'rank': rank, 'licence': licence}}) as top, count(*) as n, string_agg(licence || ':' || round(dice, 6)::varchar, ',' order by part, pos) as matches from o group by 1)
+select doc_id, top.licence as licence, round(top.dice, 6) as dice, coalesce(n, 0)::bigint as n_matches, coalesce(matches, '') as matches from d left join a using (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1, "op3_stratified_shards": OP3, "op7_warc_members": OP7, "op10_winnowing": OP10}
+    return {"op4_superminhash": OP4, "op5_licence_dice": OP5, "op8_entropy_secrets": OP8, "op1_quality_rules": OP1, "op3_stratified_shards": OP3, "op7_warc_members": OP7, "op10_winnowing": OP10}

@@ -38,15 +38,23 @@ LABELS = "doc_id long, quality int, toxic int"
 @pytest.mark.parametrize("empty", [False, True])
 def test_awkward_rows(spark, empty):
     d = table(spark, empty)
-    n = d.count()
+    rows = d.collect()
+    n = len(rows)
     labels = spark.createDataFrame([(5, 1, 0), (5, 0, 0), (None, 1, 0), (9, None, 0), (999, 1, 0)], LABELS)
-    assert quality.quality(d.select("doc_id", "text", "lang"), labels).count() == n
-    assert personal_data.personal_data(d, n_examples=600).count() == n
-    assert licences.licences(d).count() == n
-    assert secrets.secrets(d).count() == n
-    assert language.identify(d).count() == n
-    assert decontamination.decontaminate(d, bench(spark)).count() == n
-    assert decontamination.decontaminate(d, bench(spark), broadcast_windows=0).count() == n
+    of = lambda df, *cols: sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+    by_text = lambda f: sorted(((r["doc_id"], *f(r["text"])) for r in rows), key=repr)
+    judged = quality.quality(d, labels)
+    assert of(judged, "doc_id", "n_words", "base_failed") == by_text(lambda t: (len(words(t)), len(words(t)) < 20))
+    assert of(judged, "doc_id", "kept", "bucket", "size") == by_text(lambda t: (len(words(t)) >= 20, 2, "x"))
+    private = personal_data.personal_data(d, n_examples=600)
+    assert of(private, "doc_id", "n_email", "n_ip", "n_card", "n_phone") == by_text(lambda t: (1, 1, 0, 1) if t and "@" in t else (0, 0, 0, 0))
+    assert of(licences.licences(d), "doc_id", "licence", "n_matches") == by_text(lambda t: ("Proprietary", 1) if t and "rights" in t else (None, 0))
+    assert of(secrets.secrets(d), "doc_id", "n_assign", "n_access", "n_hex") == by_text(lambda t: (int(bool(t and "token =" in t)), 0, 0))
+    told = language.identify(d)
+    assert of(told.filter("lang_pred = 'und'"), "doc_id", "score") == sorted(((r["doc_id"], 0.0) for r in rows if not any(c.isalpha() for c in r["text"] or "")), key=repr) and told.count() == n
+    for limit in (1000, 0):
+        clean = decontamination.decontaminate(d, bench(spark), broadcast_windows=limit)
+        assert of(clean, "doc_id", "n_hit", "contaminated") == by_text(lambda t: (0, False))
     s = sharding.shard(d, 4).collect()
     assert len(s) == n and (empty or max(Counter(r["shard"] for r in s).values()) - min(Counter(r["shard"] for r in s).values()) <= 1)
     m = mixing.mix(mixing.sized(d, [])).collect()

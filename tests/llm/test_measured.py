@@ -402,3 +402,75 @@ def test_scratch_folders_go(spark, tmp_path, monkeypatch):
     while len(files._left) > len(before):
         files.remove(spark, files._left.pop())
     assert not list((tmp_path / "shared").iterdir())
+
+
+# ---- the pipeline's stages on nulls, repeated rows, empty tables and clashing names
+
+
+CLASHES = {"kept": "k", "n_words": "n", "size": "z", "target": "t", "taken": "u", "whole": "v", "extra": "w", "shard": "s", "key": "x", "row": "y", "badness": "b", "stratum": "q", "component": "c"}
+
+
+def awkward(spark, empty=False):
+    long = " ".join(f"word{i} and" for i in range(400))
+    other = " ".join(f"other{i} of" for i in range(60))
+    bench = " ".join(f"item{i}" for i in range(12))
+    rows = [
+        (1, long, "en", "a"), (1, long, "en", "a"), (2, long + " end", "en", None), (None, long, None, "b"), (None, other, "en", "b"), (None, other, "en", "b"),
+        (3, other + " more words", "de", "a"), (3, " ".join(f"third{i}" for i in range(50)), None, None), (4, None, "en", "a"), (4, None, "en", "a"), (None, None, None, None),
+        (5, "", "en", "a"), (6, " \n\t", "en", "b"), (7, "too short", "en", "a"), (8, "same words again here " * 40, "en", "b"), (9, " ".join(f"x{i}" for i in range(30)) + " " + bench, "en", "a"),
+    ]
+    df = spark.createDataFrame([] if empty else rows, "doc_id long, text string, lang string, source string")
+    return df.withColumns({k: F.lit(v) for k, v in CLASHES.items()}), rows
+
+
+def plain(df):
+    return sorted(((r["doc_id"], r["text"], r["lang"], r["source"]) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_awkward_rows(spark, tmp_path, empty):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    d, rows = awkward(spark, empty)
+    bench = " ".join(f"item{i}" for i in range(12))
+    spark.createDataFrame([(1, bench), (2, None), (None, "word1")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(pipeline.STAGES)
+    for name in list(stages)[:-1]:
+        out = stages[name](spark, d, str(tmp_path))
+        assert out.columns == d.columns and all(r[k] == v for r in out.collect() for k, v in CLASHES.items())
+    if empty:
+        assert all(f(spark, d, str(tmp_path)).count() == 0 for f in stages.values())
+        return
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    good = sorted((r for r in rows if not badness(r[1] or "")[1]), key=repr)
+    assert plain(stages["quality_rules"](spark, d, str(tmp_path))) == good and len(good) == 9
+
+    near = plain(stages["near_duplicates"](spark, d, str(tmp_path)))
+    gone = [(1, rows[0][1]), (2, rows[2][1]), (None, rows[3][1]), (None, rows[4][1]), (None, rows[4][1]), (4, None)]
+    want = [*((r[0], r[1]) for r in rows)]
+    for g in gone:
+        want.remove(g)
+    assert sorted(((r[0], r[1]) for r in near), key=repr) == sorted(want, key=repr)
+
+    clean = plain(stages["decontamination"](spark, d, str(tmp_path)))
+    assert clean == sorted((r for r in rows if bench not in (r[1] or "")), key=repr)
+
+    taken = Counter(plain(stages["mixing"](spark, d, str(tmp_path))))
+    have = Counter(rows)
+    assert all(r in have and n <= 2 * have[r] and words(r[1]) for r, n in taken.items())
+    by = {s: sum(len(words(r[1])) * n for r, n in have.items() if r[3] == s) for s in ("a", "b", None)}
+    assert all(0 < sum(len(words(r[1])) * n for r, n in taken.items() if r[3] == s) <= 2 * by[s] for s in by)
+
+    shards = stages["sharding"](spark, d, str(tmp_path)).collect()
+    counts = Counter(r["shard"] for r in shards)
+    assert len(shards) == len(rows) and set(counts.values()) == {1} and {r["slot"] for r in shards} == {0}
+    assert Counter(r["size"] for r in shards) == Counter(len((r[1] or "").encode()) + 16 for r in rows)
+
+
+def test_run_keeps_to_its_stages(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = common.read_table(spark, SF, "documents")
+    for _, stage in pipeline.STAGES:
+        docs = common.stored(stage(spark, docs, SF), "stage")
+    whole = pipeline.run(spark, SF)
+    assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
