@@ -317,6 +317,11 @@ def encode_by_join(docs: DataFrame, merges: list[tuple[int, int]], add_eot: bool
     return out.withColumn("ids", F.concat(F.array(F.lit(SPECIALS["<|endoftext|>"])), "ids")) if add_eot else out
 
 
+def specials_in(ids: Column) -> Column:
+    """The ids that stand for special strings, in order."""
+    return F.filter(ids, lambda i: i.isin(*SPECIALS.values()))
+
+
 def out_of_range(ids: Column, vocab_size: int = MAX_VOCAB) -> Column:
     """The ids that are not in 0 to vocab_size - 1, in order."""
     return F.filter(ids, lambda i: (i < 0) | (i >= vocab_size))

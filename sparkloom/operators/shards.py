@@ -89,6 +89,15 @@ def windows_of_pieces(parts: DataFrame, shard_size: int, length: int, stride: in
     return both.select("shard_index", "win_index", F.slice("tokens", 1, length).alias("input"), F.slice("tokens", 2, length).alias("target"))
 
 
+def next_pairs(parts: DataFrame) -> DataFrame:
+    """(token, next): each token of a shard with the one after it, from pieces; between pieces only their ends are ordered."""
+    pairs = F.transform(F.expr("slice(piece, 1, greatest(size(piece) - 1, 0))"), lambda x, i: F.struct(x.alias("token"), F.get("piece", i + 1).alias("next")))
+    inside = parts.select(F.explode(pairs).alias("p")).select("p.*")
+    ends = parts.filter("size(piece) > 0").select("shard_index", "low", F.element_at("piece", -1).alias("token"), F.element_at("piece", 1).alias("first"))
+    between = ends.select("token", F.lead("first").over(Window.partitionBy("shard_index").orderBy("low")).alias("next")).filter("next is not null")
+    return inside.unionByName(between)
+
+
 def numbered(wins: DataFrame) -> DataFrame:
     """Adds rn, from 0 over all windows in order, from the shards' window counts: a shard is one group of the window."""
     counts = wins.groupBy("shard_index").agg(F.count(F.lit(1)).alias("c"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -312,8 +313,7 @@ def overlapping_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select tok::int as token, nxt::int as next, count(*)::bigint as n from (select tok, lead(tok) over (partition by pos // {SHARD} order by pos) as nxt from ({FLAT_SQL})) where nxt is not null group by 1, 2")
 def next_token_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = F.transform(F.expr("slice(tokens, 1, greatest(size(tokens) - 1, 0))"), lambda x, i: F.struct(x.alias("token"), F.get("tokens", i + 1).alias("next")))
-    return _shards(spark, sf).select(F.explode(pairs).alias("p")).groupBy("p.token", "p.next").agg(F.count(F.lit(1)).alias("n"))
+    return shards.next_pairs(shards.pieces(_encoded(spark, sf), SHARD)).groupBy("token", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
 _BATCH_SQL = "select rn // {b} as batch_id, rn % {b} as slot, * from (select * replace (rn - {skip} as rn) from ({inner}) where rn >= {skip}) qualify count(*) over (partition by rn // {b}) = {b}"
@@ -501,6 +501,12 @@ def decode_specials(spark: SparkSession, sf: str) -> DataFrame:
     return text(True, "bare").join(text(False, "whole"), "doc_id").select("doc_id.*", "bare", "whole")
 
 
+@query(f"select conv_id, turn, array_to_string(list_transform(regexp_extract_all(t, '{_SPECIAL}'), lambda w: case " + " ".join(f"when w = '{k}' then '{i}'" for k, i in SPECIALS.items()) + f" end), ',') as ids from (select conv_id, turn, {_MARKED} as t from conversations)")
+def special_membership(spark: SparkSession, sf: str) -> DataFrame:
+    rows = documents.read(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), F.expr(_MARKED).alias("text"))
+    return bpe.encode_documents(rows, MERGES, add_eot=False).select("doc_id.*", F.array_join(bpe.specials_in(F.col("ids")), ",").alias("ids"))
+
+
 @query("select * from (values " + ", ".join(f"({i}, '{t.hex()}')" for i, t in _VOCAB.items()) + f", ({len(_VOCAB)}, '3f')) t(token_id, token_hex)")
 def single_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(len(_VOCAB) + 1).select(F.col("id").cast("int").alias("token_id"), F.lower(F.hex(bpe.token_text(F.col("id").cast("int"), MERGES))).alias("token_hex"))
@@ -727,3 +733,17 @@ def adamw_steps(spark: SparkSession, sf: str) -> DataFrame:
 def mean_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
     loss = F.avg(F.round(kernels.cross_entropy(F.col("embedding"), F.expr("label % size(embedding)")), 6))
     return documents.read(spark, sf, "embeddings").agg(F.round(loss, 6).alias("mean_loss"), F.round(F.exp(loss), 6).alias("perplexity"))
+
+
+#: A public merge table for the largest vocabulary of the id layout; the query is there where the file is.
+PUBLIC_TABLE = os.environ.get("SPARKLOOM_PUBLIC_BPE", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+def bpe_encode_docs_32k(spark: SparkSession, sf: str) -> DataFrame:
+    """All 32,507 merges that the id layout holds. Too many for SQL: tests hold it against the greedy rule."""
+    e = bpe.encode_documents(docs(spark, sf), bpe.from_byte_level(PUBLIC_TABLE))
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("digest"))
+
+
+if os.path.exists(PUBLIC_TABLE):
+    query()(bpe_encode_docs_32k)

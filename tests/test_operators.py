@@ -353,3 +353,20 @@ def test_sql_functions(spark):
     docs(spark).createOrReplaceTempView("texts")
     for r in spark.sql("select text, pretokenize(text) as p, bpe_decode(bpe_encode(text)) as back from texts").collect():
         assert "".join(r["p"]) == (r["text"] or "") == r["back"]
+
+
+def test_commands(spark, tmp_path, capsys):
+    from sparkloom import cli
+
+    docs(spark, ["the then there " * 20, None, "hello world " * 30, "short"]).write.parquet(str(tmp_path / "d"))
+    run = lambda *a: cli.main([a[0], *([] if a[0] == "params" else ["--documents", str(tmp_path / "d"), "--output-dir", str(tmp_path / a[0])]), *a[1:]], spark)
+    run("train", "--vocab-size", "270")
+    run("shards", "--tokenizer", str(tmp_path / "train" / "tokenizer.json"), "--shard-size", "1e2", "--token-budget", "250")
+    assert npy_shards.read_manifest(spark, str(tmp_path / "shards"))["total_tokens"] == 250
+    run("shards", "--tokenizer", str(tmp_path / "train" / "tokenizer.json"), "--shard-size", "100", "--skip-existing")
+    whole = bpe.Tokenizer(bpe.load(str(tmp_path / "train" / "tokenizer.json")))
+    assert tokens_of(spark, str(tmp_path / "shards")) == [0, *whole.encode("the then there " * 20), 0, *whole.encode("hello world " * 30)]
+    run("dump")
+    assert corpus_text.read_delimited(spark, str(tmp_path / "dump")).count() == 2
+    run("params")
+    assert "tok_emb" in capsys.readouterr().out
