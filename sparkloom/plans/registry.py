@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.merges import MERGES
 from sparkloom.functions.patterns import FIRST_MERGE, SPECIALS, WS, special_pattern
-from sparkloom.operators import bpe, documents, kernels, shards
-from sparkloom.sources import configs, corpus_text, npy_shards, training_log
+from sparkloom.operators import bpe, documents, kernels, model, shards
+from sparkloom.sources import configs, corpus_text, npy_shards, safetensors, training_log
 from sparkloom.sources.files import new_folder, stored
 from sparkloom.streaming import encode as streaming
 
@@ -735,6 +735,26 @@ def mean_cross_entropy(spark: SparkSession, sf: str) -> DataFrame:
     return documents.read(spark, sf, "embeddings").agg(F.round(loss, 6).alias("mean_loss"), F.round(F.exp(loss), 6).alias("perplexity"))
 
 
+_TINY = {"n_layers": 2, "d_model": 32, "n_heads": 4, "n_kv_heads": 2, "d_ff": 64, "vocab_size": FIRST_MERGE + len(MERGES), "theta_base": 10000.0}
+
+
+@query()
+def lm_window_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """Loss of each training window under a small untrained model whose parameters went through a file: near ln(325). Matrices and a forward
+    pass are not for SQL; tests hold it against the formulas written out."""
+    folder = new_folder(spark, "model")
+    safetensors.export(model.init(_TINY, 42), {"vocab_size": _TINY["vocab_size"]}, folder)
+    w = model.evaluate(_windows(spark, sf), safetensors.load(f"{folder}/model.safetensors"), _TINY)
+    return w.select("shard_index", F.col("win_index").cast("long").alias("win_index"), F.round("loss", 4).alias("loss"))
+
+
+@query("select 'block_' || i || '/' || leaf as name, cols::bigint as size from (select unnest([0, 1]) as i), (values ('attn/wq', 1024), ('attn/wk', 512), ('attn/wv', 512), ('attn/wo', 1024), ('mlp/w_gate', 2048), ('mlp/w_up', 2048), ('mlp/w_down', 2048), ('norm_attn/scale', 32), ('norm_mlp/scale', 32)) v(leaf, cols) union all select 'norm_final/scale', 32 union all select 'tok_emb/embedding', " + str(_TINY["vocab_size"] * 32))
+def tensor_scan(spark: SparkSession, sf: str) -> DataFrame:
+    folder = new_folder(spark, "model")
+    safetensors.export(model.init(_TINY, 42), {}, folder)
+    return safetensors.scan(spark, f"{folder}/model.safetensors").select("name", "size")
+
+
 #: A public merge table for the largest vocabulary of the id layout; the query is there where the file is.
 PUBLIC_TABLE = os.environ.get("SPARKLOOM_PUBLIC_BPE", "/opt/tokenizers/byte_bpe_50k.json")
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import patterns
 from sparkloom.functions.merges import MERGES
-from sparkloom.operators import bpe, documents, kernels, shards
-from sparkloom.sources import configs, corpus_text, npy_shards, training_log
+from sparkloom.operators import bpe, documents, kernels, model, shards
+from sparkloom.sources import checkpoints, configs, corpus_text, npy_shards, safetensors, training_log
 from sparkloom.streaming import encode as streaming
 
 TEXTS = ["Hello world", "  it's 12_3!!\n\n\tx", "", "café 日本語 🔥", "aaa aaaa the the then", None]
@@ -370,3 +370,80 @@ def test_commands(spark, tmp_path, capsys):
     assert corpus_text.read_delimited(spark, str(tmp_path / "dump")).count() == 2
     run("params")
     assert "tok_emb" in capsys.readouterr().out
+
+
+TINY = {"n_layers": 2, "d_model": 16, "n_heads": 4, "n_kv_heads": 2, "d_ff": 32, "vocab_size": 300, "theta_base": 10000.0}
+
+
+def test_forward_pass(spark):
+    params = model.init(TINY, 3)
+    ids = np.random.default_rng(1).integers(0, 300, (3, 12))
+    logits = model.forward(params, TINY, ids)
+    assert logits.shape == (3, 12, 300) and abs(model.losses(logits, (ids + 1) % 300).mean() - np.log(300)) < 0.1
+    later = ids.copy()
+    later[:, 7:] = 5
+    assert np.allclose(model.forward(params, TINY, later)[:, :7], logits[:, :7]) and not np.allclose(model.forward(params, TINY, later)[:, 7:], logits[:, 7:])
+    assert np.allclose(model.forward(params, TINY, ids[1:2]), logits[1:2])
+    # one head and layer written out, place by place
+    small = TINY | {"n_layers": 1, "n_heads": 1, "n_kv_heads": 1}
+    p = {k: v.astype(float) for k, v in model.init(small, 4, 0.5).items()}
+    x = p["tok_emb/embedding"][ids[0]]
+    rms = lambda v: v / np.sqrt((v * v).mean() + 1e-6)
+
+    def turned(v, t):
+        out = v.copy()
+        for i in range(0, 16, 2):
+            a = t / 10000 ** (i / 16)
+            out[i], out[i + 1] = v[i] * np.cos(a) - v[i + 1] * np.sin(a), v[i] * np.sin(a) + v[i + 1] * np.cos(a)
+        return out
+
+    want = []
+    for t in range(12):
+        q = turned(rms(x[t]) @ p["block_0/attn/wq"], t)
+        s = np.array([q @ turned(rms(x[u]) @ p["block_0/attn/wk"], u) / 4 for u in range(t + 1)])
+        w = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        y = x[t] + sum(w[u] * (rms(x[u]) @ p["block_0/attn/wv"]) for u in range(t + 1)) @ p["block_0/attn/wo"]
+        g = rms(y) @ p["block_0/mlp/w_gate"]
+        y = y + (g / (1 + np.exp(-g)) * (rms(y) @ p["block_0/mlp/w_up"])) @ p["block_0/mlp/w_down"]
+        want.append(rms(y) @ p["tok_emb/embedding"].T)
+    assert np.allclose(model.forward(p, small, ids[:1])[0], want)
+    rows = [(0, i, [int(v) for v in r[:-1]], [int(v) for v in r[1:]]) for i, r in enumerate(ids)]
+    got = model.evaluate(spark.createDataFrame(rows, "shard_index long, win_index int, input array<int>, target array<int>"), params, TINY, batch=2).orderBy("win_index").collect()
+    assert np.allclose([r["loss"] for r in got], model.losses(model.forward(params, TINY, ids[:, :-1]), ids[:, 1:]))
+    sizes = kernels.parameters(spark.createDataFrame([("t", 0, 2, 16, 4, 2, 32, 300, 8, 1e4)], kernels.PRESET_SCHEMA)).collect()
+    assert {f"{r['module']}/{r['leaf']}": r["rows"] * r["cols"] for r in sizes} == {k: v.size for k, v in params.items()}
+
+
+def test_tensor_files(spark, tmp_path, monkeypatch):
+    params = model.init(TINY, 3) | {"steps": np.array([7], np.int64), "half": np.arange(6, dtype=np.float16).reshape(2, 3)}
+    safetensors.export(params, {"vocab_size": 300}, str(tmp_path))
+    path = str(tmp_path / "model.safetensors")
+    back = safetensors.load(path)
+    assert back.keys() == params.keys() and all(np.array_equal(back[k], v) and back[k].dtype == v.dtype for k, v in params.items())
+    shapes = {r["name"]: (tuple(r["shape"]), r["size"]) for r in safetensors.scan(spark, path).collect()}
+    assert shapes == {k: (v.shape, v.size) for k, v in params.items()}
+    monkeypatch.setattr(safetensors, "PART", 100)
+    parts = {}
+    for r in safetensors.read(spark, path).orderBy("name", "low").collect():
+        parts.setdefault(r["name"], []).extend(r["part"])
+    assert all(np.allclose(parts[k], v.ravel()) for k, v in params.items())
+    assert json.loads((tmp_path / "config.json").read_text()) == {"vocab_size": 300}
+    with pytest.raises(FileNotFoundError):
+        safetensors.scan(spark, str(tmp_path / "none.safetensors"))
+
+
+def test_checkpoints(spark, tmp_path):
+    folder = str(tmp_path / "ckpt")
+    with pytest.raises(FileNotFoundError):
+        checkpoints.restore(spark, folder)
+    for step in (5, 12):
+        checkpoints.save(spark.createDataFrame([(step, 0.5)], "a long, b double"), folder, step)
+    checkpoints.save(spark.createDataFrame([(1,)], "a long"), folder, 13, "emergency")
+    os.makedirs(f"{folder}/step_0000000099")  # never finished
+    assert checkpoints.steps(spark, folder) == [5, 12]
+    step, state = checkpoints.restore(spark, folder)
+    assert step == 12 and state.columns == ["a", "b"] and state.first()["a"] == 12 and checkpoints.restore(spark, folder, 5)[1].first()["a"] == 5
+    with pytest.raises(Exception):
+        checkpoints.save(state, folder, 12)
+    with pytest.raises(FileNotFoundError):
+        checkpoints.restore(spark, folder, 99)
