@@ -467,6 +467,11 @@ def stream_shard_assembly(spark: SparkSession, sf: str) -> DataFrame:
     return _shard_digests(shards.assembled(parts))
 
 
+@query(SQL["char_budget_prefix"])
+def stream_budget_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
+    return streaming.budget_stream(spark, f"{sf}/documents.parquet", CHARS).select("doc_id", "char_count", "chars_before")
+
+
 # ---- special strings, single tokens, large tables
 
 

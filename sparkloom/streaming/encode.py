@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import bpe, shards
+from sparkloom.operators import bpe, documents, shards
 from sparkloom.sources.files import new_folder
 
 
@@ -25,7 +25,37 @@ def encode_stream(spark: SparkSession, path: str, merges: list[tuple[int, int]],
     return spark.read.schema("doc_id bigint, ids array<int>").parquet(f"{folder}/rows")
 
 
-PIECES, TOTALS = "shard_index bigint, low bigint, piece array<int>, batch bigint", "tokens bigint, batch bigint"
+PIECES, TOTALS = "shard_index bigint, low bigint, piece array<int>, batch bigint", "total bigint, batch bigint"
+
+
+def _so_far(spark: SparkSession, folder: str, number: int) -> int:
+    """What the micro-batches before this one have added up to: a row a batch."""
+    return spark.read.schema(TOTALS).parquet(f"{folder}/totals").filter(F.col("batch") < number).agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0] if number else 0
+
+
+def _keep(rows: DataFrame, size, folder: str, name: str, number: int) -> None:
+    """Stores a micro-batch's rows and their total; a batch that runs again writes the same folders anew."""
+    rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+    there = rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}/batch={number}")
+    there.agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("total")).write.mode("overwrite").parquet(f"{folder}/totals/batch={number}")
+
+
+def budget_stream(spark: SparkSession, path: str, budget: int, least: int = 100, folder: str | None = None, files_per_trigger: int = 16) -> DataFrame:
+    """(doc_id, text, char_count, chars_before): documents of a stream of files until a budget of characters, as documents.char_budget() takes
+    them; the stream's order is that of the micro-batches, and doc_id within each. When the budget is reached no more files are read."""
+    folder = folder or new_folder(spark, "budget")
+    kept = "doc_id bigint, text string, char_count bigint, chars_before bigint"
+
+    def add(batch: DataFrame, number: int) -> None:
+        there = _so_far(batch.sparkSession, folder, number)
+        if there < budget:
+            rows = documents.running_before(documents.min_length(batch, least), F.col("char_count"), "chars_before", then=["text"])
+            rows = rows.withColumn("chars_before", F.col("chars_before") + there).filter((F.col("chars_before") < budget) | (F.col("chars_before") == 0))
+            _keep(rows.select("doc_id", "text", "char_count", "chars_before"), F.col("char_count"), folder, "rows", number)
+
+    run = _stream(spark, path, files_per_trigger).writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(kept).parquet(f"{folder}/rows")
 
 
 def shard_stream(spark: SparkSession, path: str, merges: list[tuple[int, int]], shard_size: int, folder: str | None = None, files_per_trigger: int = 16) -> DataFrame:
@@ -37,14 +67,8 @@ def shard_stream(spark: SparkSession, path: str, merges: list[tuple[int, int]],
     folder = folder or new_folder(spark, "shard-stream")
 
     def add(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        here = session.read.schema(TOTALS)
-        there = 0
-        if number:
-            there = here.parquet(f"{folder}/totals").filter(F.col("batch") < number).agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]  # a row a batch
-        parts = shards.pieces(bpe.encode_documents(batch, merges), shard_size, skip=-there)
-        parts.write.mode("overwrite").parquet(f"{folder}/pieces/batch={number}")
-        session.read.parquet(f"{folder}/pieces/batch={number}").agg(F.coalesce(F.sum(F.size("piece")), F.lit(0)).cast("long").alias("tokens")).write.mode("overwrite").parquet(f"{folder}/totals/batch={number}")
+        parts = shards.pieces(bpe.encode_documents(batch, merges), shard_size, skip=-_so_far(batch.sparkSession, folder, number))
+        _keep(parts, F.size("piece"), folder, "pieces", number)
 
     run = _stream(spark, path, files_per_trigger).writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -298,6 +298,15 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
     assert flat[: len(one[0]) + len(one[1])] == one[0] + one[1]
 
 
+def test_budget_ends_a_stream(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for i in range(6):
+        docs(spark, ["x" * 10]).select((F.col("doc_id") + i).alias("doc_id"), "text").coalesce(1).write.mode("append").parquet(src)
+    got = streaming.budget_stream(spark, src, 25, 0, str(tmp_path / "out"), files_per_trigger=1).orderBy("chars_before").collect()
+    assert [(r["char_count"], r["chars_before"]) for r in got] == [(10, 0), (10, 10), (10, 20)]
+    assert len([x for x in os.listdir(tmp_path / "out" / "rows") if x.startswith("batch=")]) == 3
+
+
 def test_text_corpora(spark, tmp_path):
     d = docs(spark, ["one\ntwo", "  three ", "<|x|>"])
     corpus_text.dump(d, str(tmp_path / "t"))
