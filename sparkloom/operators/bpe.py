@@ -178,6 +178,20 @@ def vocab_table(spark: SparkSession, merges: list[tuple[int, int]]) -> DataFrame
     return spark.createDataFrame([(i, bytearray(t)) for i, t in sorted(vocabulary(merges).items())], "token_id int, token binary")
 
 
+def merge_bytes(spark: SparkSession, merges: list[tuple[int, int]]) -> DataFrame:
+    """(token_id, token): the bytes of each merge, by taking merges apart into their two halves, level by level, until only bytes are left. For
+    tables of some thousand merges; vocabulary() folds larger ones."""
+    rows = [(FIRST_MERGE + k, a, b) for k, (a, b) in enumerate(merges)]
+    spark.createDataFrame(rows, "new int, a int, b int").createOrReplaceTempView("sparkloom_merges")
+    return spark.sql(f"""
+        with recursive part(token_id, node, path) as (
+            select new, new, '' from sparkloom_merges
+            union all
+            select token_id, if(side = 0, a, b), concat(path, side) from part join sparkloom_merges on node = new cross join (values (0), (1)) as sides(side))
+        select token_id, unhex(array_join(transform(sort_array(collect_list(struct(path, node))), x -> lpad(hex(x.node - {BYTE_OFFSET}), 2, '0')), '')) as token
+        from part where node < {FIRST_MERGE} group by token_id""")
+
+
 def encode_text(text: Column, merges: list[tuple[int, int]], specials: dict[str, int] | None = None) -> Column:
     """Ids of a text as one expression. A pair that a merge makes ranks after that merge, so one pass over the merges in order equals
     taking the least rank first; each is a string replacement on one character per id, with a separator between pre-tokens. Meant for few

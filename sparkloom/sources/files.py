@@ -7,6 +7,7 @@ import io
 import os
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -71,7 +72,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (_open[-1].folders if _open else _left).append(path)
+    _note(path)
     return path
 
 
@@ -95,20 +96,29 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-_open: list[Scratch] = []
+#: Open Scratches, by thread: streams and callers of several threads each have their own.
+_threads = threading.local()
 #: Folders outside any Scratch: results may still read them; removed when the driver ends, or by clean().
 _left: list[str] = []
 
 
+def _open() -> list[Scratch]:
+    return _threads.__dict__.setdefault("open", [])
+
+
+def _note(path: str) -> None:
+    (_open()[-1].folders if _open() else _left).append(path)
+
+
 class Scratch:
-    """While it is open, stored() and new_folder() note their folders here; at its end all are removed but those of frames that were
+    """While it is open in a thread, stored() and new_folder() note their folders here; at its end all are removed but those of frames that were
     kept, which go to the surrounding Scratch, if any, or stay until the driver ends."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.folders, self.kept = spark, [], set()
 
     def __enter__(self) -> Scratch:
-        _open.append(self)
+        _open().append(self)
         return self
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -122,10 +132,10 @@ class Scratch:
             remove(self.spark, df._folder)
 
     def __exit__(self, *error) -> None:
-        _open.remove(self)
+        _open().remove(self)
         for path in self.folders:
             if path in self.kept and not error[0]:
-                (_open[-1].folders if _open else _left).append(path)
+                _note(path)
             else:
                 remove(self.spark, path)
 
