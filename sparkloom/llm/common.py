@@ -22,6 +22,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Keys up to which a bit table may go to all tasks (2 bytes a key, 32 MB at most); with more keys, all rows count as possible.
 TABLE_KEYS = 16_000_000
+#: Keys that the bit table takes for others' by mistake and that may go to all tasks themselves (some 100 bytes each).
+BROADCAST_KEYS = 500_000
 _BLOCK_BITS, _PROBES = 4096, 4
 
 
@@ -41,7 +43,7 @@ def bit_table(keys: DataFrame, key: str, most: int = TABLE_KEYS) -> tuple[int, D
     marks = keys.select(F.pmod(F.xxhash64(F.lit(7), key), F.lit(blocks)).alias("__block"), F.explode(F.array(*_bits(key))).alias("p")).select("__block", F.expr("cast(p div 64 as int)").alias("w"), bit)
     by = marks.groupBy("__block", "w").agg(F.bit_or("bit").alias("bits")).groupBy("__block").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("by"))  # 64 words a block
     numbers = F.transform(F.sequence(F.lit(0), F.lit(_BLOCK_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("by", i), F.lit(0).cast("long")))
-    return blocks, stored(by.select("__block", numbers.alias("__words")), "bit-table", few=True)
+    return blocks, stored(by.select("__block", numbers.alias("__words")), "bit-table", few=4)
 
 
 def possible(rows: DataFrame, key: str, table: tuple[int, DataFrame] | None) -> DataFrame:
@@ -70,6 +72,9 @@ def without(rows: DataFrame, key: str, keys: DataFrame, known: DataFrame, most:
         return rows.join(keys.select(key), key, "left_anti")
     wrong = stored(possible(known.select(key), key, table).filter("__possible").select(key).distinct().join(keys.select(key), key, "left_anti"), "not-among", few=True)
     marked = possible(rows, key, table)
+    if wrong.count() <= BROADCAST_KEYS:
+        right = marked.join(F.broadcast(wrong.select(F.col(key).alias("__stays"))), F.col(key) == F.col("__stays"), "left")
+        return right.filter("not __possible or __stays is not null").drop("__possible", "__stays")
     return marked.filter("not __possible").drop("__possible").unionByName(only(marked.filter("__possible").drop("__possible"), key, wrong, most))
 
 

@@ -176,7 +176,7 @@ def classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", row_key())
     with Scratch(spark) as scratch:
         signed = stored(_signed(docs, shingle_words, bands, rows).withColumn("row", F.monotonically_increasing_id()), "near-signed")
-        known = scratch.keep(stored(signed.select("doc_id", "key", "n", "d1", "d2"), "near-rows"))
+        known = scratch.keep(stored(signed.select("doc_id", "key", "n", "d1", "d2"), "near-rows", few=True))
         usable = "n > 0" if nameless else "n > 0 and doc_id is not null"
         first = F.min_by(F.struct("row", "key", "bands"), "row").alias("first")
         of_class = stored(signed.filter(usable).groupBy("d1", "d2", "n").agg(first).select("d1", "d2", "n", F.col("first.row").alias("id"), "first.key", "first.bands"), "near-classes", few=True)
@@ -187,7 +187,7 @@ def classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: i
         linked = stored(of_class.join(members.select("id").distinct(), "id", "left_semi").select("key", "id"), "near-linked", few=True)
         # only rows that may be of a linked class, each text once, are shuffled
         texts = possible(docs, "key", bit_table(linked, "key")).filter("__possible").dropDuplicates(["key"]).join(linked, "key")
-        sets = stored(_sets(texts.select("id", "text"), shingle_words), "near-sets")
+        sets = stored(_sets(texts.select("id", "text"), shingle_words), "near-sets", few=True)
 
         # first each bucket's smallest id with all others, and all pairs of small buckets
         sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("lead"))
