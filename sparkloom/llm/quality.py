@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, words
+from .common import bit_table, possible, stored, words
 
 RISK, ERROR = 0.02, 0.1
 #: Scores and cutoffs go in steps of a hundredth.
@@ -118,11 +118,15 @@ def scores(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     return scored(docs.select("doc_id", F.col(stratum).alias("stratum"), F.col("text").cast("string").alias("text"))).drop("text")
 
 
-def limits(scored_rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(stratum, cutoff) from scores() and labels (doc_id, quality: 1 good, 0 bad); stored, so that its size is known before a join."""
-    good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
-    holdout = scored_rows.select("doc_id", "stratum", "badness").join(good.filter("good"), "doc_id")
-    return stored(cutoffs(holdout, risk, error).select("stratum", "cutoff"), "quality-cutoffs")
+def good_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of documents that a label calls good, once each, with the column good. labels: doc_id, quality (1 good, 0 bad)."""
+    return labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") > 0).alias("good")).filter("good")
+
+
+def limits(scored_rows: DataFrame, good: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """(stratum, cutoff) from scores() of all rows with an id in good_ids(), and any others; stored, so that its size is known before a join."""
+    holdout = scored_rows.select("doc_id", "stratum", "badness").join(good, "doc_id")
+    return stored(cutoffs(holdout, risk, error).select("stratum", "cutoff"), "quality-cutoffs", few=4)
 
 
 def judged(scored_rows: DataFrame, cutoff: DataFrame) -> DataFrame:
@@ -140,9 +144,10 @@ ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
     """The documents' columns and ADDED (cutoff null: none proven). `labels` has doc_id and quality (1 good, 0 bad). Columns of docs that
-    are named like ADDED are replaced, all others stay as they are. Texts are scored twice: once on narrow rows for the cutoffs, once for
-    the rows themselves, which are neither stored nor shuffled."""
-    found = limits(scores(docs, stratum), labels, risk, error)
+    are named like ADDED are replaced, all others stay as they are. Rows are neither stored nor shuffled: the cutoffs come from scores of those that
+    are labelled good, and all are scored when they are judged."""
+    good = stored(good_ids(labels), "quality-good", few=True)
+    found = limits(scores(possible(docs, "doc_id", bit_table(good, "doc_id")).filter("__possible"), stratum), good, risk, error)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.col(stratum).alias("stratum"), F.col("text").cast("string").alias("text"))
     out = judged(scored(rows).drop("text"), found)
     return out.select(*[F.col("__row")[c].alias(c) for c in docs.columns if c not in ADDED], *ADDED)

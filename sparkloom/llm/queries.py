@@ -15,7 +15,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over all documents, one row each, cutoffs by language (a null language is one). A null or empty text has no words and
     fails; repeated rows are judged alike."""
     scores = stored(quality.scores(read_table(spark, sf_dir, "documents")), "quality-scores")
-    out = quality.judged(scores, quality.limits(scores, read_table(spark, sf_dir, "labels")))
+    out = quality.judged(scores, quality.limits(scores, quality.good_ids(read_table(spark, sf_dir, "labels"))))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "badness", "cutoff")
 
 
