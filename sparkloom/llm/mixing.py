@@ -138,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     taken once more is found, and the rows themselves meet only these few, so they are not shuffled. Rows that are equal to that last one
     in doc_id, source and size may be taken in part; these alone are numbered."""
     with Scratch(docs.sparkSession) as scratch:
-        narrow = stored(_wrapped(docs).drop("__row"), "mixing-sizes")
+        narrow = stored(_wrapped(docs).drop("__row"), "mixing-sizes", few=True)
         lengths = stored(narrow.groupBy("__source", "__size").agg(F.count(F.lit(1)).alias("n")), "mixing-lengths", few=True)
         goal = targets(lengths.groupBy(F.col("__source").alias("source")).agg(F.sum(F.col("__size") * F.col("n")).alias("source_size")), weights, share, most)
         with_goal = lengths.join(goal, F.col("__source").eqNullSafe(F.col("source"))).select("source", F.col("__size").alias("size"), "n", "source_size", "target")
@@ -151,21 +151,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         planned = stored(with_goal.groupBy("source").applyInPandas(plan, "source string, size bigint, n bigint, source_size bigint, target double, whole bigint, extra bigint"), "mixing-plan", few=True)
         same = F.col("__source").eqNullSafe(F.col("source")) & (F.col("__size") == F.col("size"))
         split = planned.filter("extra > 0 and extra < n").select("source", "size", "n", "extra")
-        # hash dealt to as many buckets as the group's rows ask for, in order
-        bucket = F.expr(f"cast(__h * ceil(n / {BUCKET_ROWS}.0) div 2147483648 as int)")
+        # hash dealt to as many buckets as the group's rows ask for, in order; of very large groups buckets grow with the root of the rows
+        bucket = F.expr(f"cast(__h * least(ceil(n / {BUCKET_ROWS}.0), greatest(8192, cast(4 * sqrt(n) as bigint))) div 2147483648 as int)")
         some = _hashed(narrow, seed).join(split, same).withColumn("__bucket", bucket)
         order = [F.col("__h"), F.col("__low"), F.col("__id")]
         ranks = ranked(some.select("source", "size", "n", "extra", "__bucket", "__h", "__low", "__id"), ["source", "size"], "__bucket", order, "rank")
         # of the rows that are equal to the last one taken, `ties` of `of` are taken
         ties = ranks.groupBy("source", "size", "extra", "__h", "__low", "__id").agg(F.min("rank").alias("low"), F.max("rank").alias("high")).filter("extra between low and high")
         ties = ties.select(F.col("source").alias("s"), F.col("size").alias("z"), F.struct("__h", "__low", "__id").alias("last"), (F.col("extra") - F.col("low") + 1).alias("ties"), (F.col("high") - F.col("low") + 1).alias("of"))
-        full = planned.join(ties, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left").drop("s", "z")
+        full = planned.filter("extra > 0").select("source", "size", "extra").join(ties, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left").drop("s", "z")
         full = scratch.keep(stored(full, "mixing-places", few=True))
+        by_source = planned.groupBy(F.col("source").alias("__of")).agg(*[F.first(c).alias(c) for c in ("source_size", "target", "whole")])
+        by_source = scratch.keep(stored(by_source, "mixing-sources", few=4))
         partial = full.filter("ties < of").limit(1).count() > 0
-    # one row a source and length
-    here = _hashed(_wrapped(docs), seed).join(F.broadcast(full) if full.count() <= BROADCAST_LENGTHS else full, same)
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_LENGTHS else df
+    here = _hashed(_wrapped(docs), seed).join(few(by_source), F.col("__source").eqNullSafe(F.col("__of"))).join(few(full), same, "left")
     at = F.struct("__h", "__low", "__id")
-    more = F.when(F.col("extra") == 0, 0).when(F.col("last").isNull(), 1).when(at < F.col("last"), 1).when((at > F.col("last")) | (F.col("ties") < F.col("of")), 0).otherwise(1)
+    more = F.when(F.col("extra").isNull(), 0).when(F.col("last").isNull(), 1).when(at < F.col("last"), 1).when((at > F.col("last")) | (F.col("ties") < F.col("of")), 0).otherwise(1)
     cut = (F.col("ties") < F.col("of")) & at.eqNullSafe(F.col("last"))
     out = here.withColumn("__more", more.cast("long"))
     if partial:
