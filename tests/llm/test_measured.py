@@ -474,3 +474,18 @@ def test_run_keeps_to_its_stages(spark, tmp_path):
         docs = common.stored(stage(spark, docs, SF), "stage")
     whole = pipeline.run(spark, SF)
     assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+
+
+def test_rows_by_keys(spark, monkeypatch):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 1000 > 0, F.col("id").cast("string")).alias("k"), "id")
+    keys = common.stored(rows.filter("id % 7 = 0").select("k"), "keys")
+    want = {i for i in range(40_000) if i % 7 or i % 1000 == 0}
+    hit = common.possible(rows, "k", common.bit_table(keys, "k")).filter("__possible").count()
+    assert 40_000 - len(want) <= hit <= 40_000 - len(want) + 0.01 * 40_000
+    ids = lambda df: sorted(r["id"] for r in df.select("id").collect())
+    for most, few in ((common.TABLE_KEYS, 500_000), (common.TABLE_KEYS, 0), (10, 0)):
+        monkeypatch.setattr(common, "BROADCAST_KEYS", few)
+        assert ids(common.without(rows, "k", keys, rows, most)) == sorted(want)
+        assert ids(common.only(rows, "k", keys, most)) == [i for i in range(40_000) if i not in want]
+    none = common.stored(rows.limit(0).select("k"), "keys")
+    assert common.without(rows, "k", none, rows).count() == 40_000 and common.only(rows, "k", none).count() == 0
