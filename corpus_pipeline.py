@@ -22,8 +22,8 @@ def _as_row(docs: DataFrame, *more) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what the quality rules reject; null and empty texts fail them. Rows that repeat are judged alike. Texts are scored twice, once
-    for the cutoffs, which need the scores of labelled rows, and once to drop rows."""
+    """Drops what the quality rules reject; null and empty texts fail them. Rows that repeat are judged alike. Texts with a good
+    label are scored twice, once for the cutoffs and once, like all others, to drop rows."""
     return quality.quality(_as_row(docs, "doc_id", "text", "lang"), read_table(spark, sf_dir, "labels")).filter("kept").select("__row.*")
 
 
@@ -44,7 +44,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         # keys that go, and those of which one of several equal rows stays
         out = texts.select("group", "key").join(lead, "group").filter("key <> first or n > 1").select(F.col("key").alias("__key"), (F.col("key") == F.col("first")).alias("stays"))
         out, rows = scratch.keep(stored(out, "pipeline-gone", few=True)), scratch.keep(rows)
-        again = scratch.keep(stored(out.filter("stays").select("__key"), "pipeline-again", few=True))
+        again = scratch.keep(stored(out.filter("stays").select("__key"), "pipeline-again", few=4))
     keyed = docs.withColumn("__key", near_duplicates.row_key())
     kept = without(keyed, "__key", out, rows.select(F.col("key").alias("__key")))
     if not again.isEmpty():
