@@ -76,14 +76,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, few: bool | int = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: the lineage ends here, a lost executor
-    costs only the tasks that ran on it. `few`: rows are narrow and come out of a shuffle; what would be many small files is
-    written as eight for each core, or one for four shuffle partitions, if that is more."""
+    costs only the tasks that ran on it. `few`: rows are narrow or few; what would be many small files is written as four for
+    each core, or one for eight shuffle partitions, if that is more, or as the number given. Local file systems start a process for each file."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     if few:
-        df = df.coalesce(max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8) if few is True else few)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
