@@ -47,14 +47,14 @@ def bit_table(keys: DataFrame, key: str, most: int = TABLE_KEYS) -> tuple[int, D
 
 
 def possible(rows: DataFrame, key: str, table: tuple[int, DataFrame] | None) -> DataFrame:
-    """Adds `__possible`: false only for rows whose key is not in the table; true for all where there is none. Nothing is shuffled."""
+    """Adds `__possible`: false only for rows whose key is null or not in the table; true for all where there is none. Nothing is shuffled."""
     if table is None:
         return rows.withColumn("__possible", F.lit(True))
     probes = {f"__p{i}": p for i, p in enumerate(_bits(key))}
     hit = reduce(lambda x, y: x & y, [F.expr(f"shiftrightunsigned(get(__words, cast({p} div 64 as int)), cast({p} % 64 as int)) & 1L") == 1 for p in probes])
     block = F.pmod(F.xxhash64(F.lit(7), key), F.lit(table[0]))
     both = rows.withColumns(probes | {"__b": block}).join(F.broadcast(table[1]), F.col("__b") == F.col("__block"), "left")
-    return both.withColumn("__possible", F.coalesce(hit, F.lit(False))).drop(*probes, "__b", "__block", "__words")
+    return both.withColumn("__possible", F.col(key).isNotNull() & F.coalesce(hit, F.lit(False))).drop(*probes, "__b", "__block", "__words")
 
 
 def only(rows: DataFrame, key: str, keys: DataFrame, most: int = TABLE_KEYS) -> DataFrame:
