@@ -1,16 +1,14 @@
 """Scans, filters, dense ids and budget prefixes over documents in the order of doc_id (null last, equal ids by text).
 
-Running sums never put all rows into one task: rows fall into buckets of `BUCKET` ids, buckets into groups of `GROUP`; groups get a
-running sum (one row for two million ids), buckets one within their group, and rows one within their bucket."""
+doc_id may have any type that has an order: numbers, texts, timestamps. Running sums are those of operators.ordered, which put no more
+than a range of the rows into one task; a budget first finds the id at which it is used up, and only the rows up to there go on."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKET, GROUP = 512, 4096
-#: The bucket of rows without an id, after all others.
-_LAST = (1 << 63) - 1
+from .ordered import running_before, until
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,31 +37,18 @@ def non_empty(docs: DataFrame) -> DataFrame:
     return docs.filter("text is not null and text <> ''")
 
 
-def running_before(df: DataFrame, value: Column, name: str, order: str = "doc_id", then: list[str] | None = None, bucket: int = BUCKET, group: int = GROUP) -> DataFrame:
-    """Adds `name`: the sum of value over the rows before, by `order` (whole numbers, null last) and the columns `then`, which settle equal
-    ones. df is read twice: give it stored rows where they cost much."""
-    rows = df.withColumn("__v", value).withColumn("__b", F.coalesce(F.floor(F.col(order) / bucket), F.lit(_LAST)))
-    sums = rows.groupBy("__b").agg(F.sum("__v").alias("__s")).withColumn("__g", F.expr(f"__b div {group}"))
-    upper = sums.groupBy("__g").agg(F.sum("__s").alias("__t"))
-    upper = upper.select("__g", (F.sum("__t").over(Window.orderBy("__g")) - F.col("__t")).alias("__above"))  # one row for bucket * group ids
-    lower = sums.withColumn("__in", F.sum("__s").over(Window.partitionBy("__g").orderBy("__b")) - F.col("__s"))
-    before = lower.join(upper, "__g").select("__b", (F.col("__above") + F.col("__in")).alias("__before"))
-    keys = [F.col(order).asc_nulls_last(), *map(F.col, then or [])]
-    inside = F.sum("__v").over(Window.partitionBy("__b").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.join(before, "__b").withColumn(name, (F.col("__before") + inside - F.col("__v")).cast("long")).drop("__v", "__b", "__before")
-
-
 def dense_ids(docs: DataFrame, least: int = 100) -> DataFrame:
     return running_before(min_length(docs, least), F.lit(1).cast("long"), "dense_id", then=["text"])
 
 
 def char_budget(docs: DataFrame, budget: int, least: int = 100) -> DataFrame:
     """Documents until the budget: the one that crosses it stays whole, and the first always stays."""
-    return running_before(min_length(docs, least), F.col("char_count"), "chars_before", then=["text"]).filter((F.col("chars_before") < budget) | (F.col("chars_before") == 0))
+    some = until(min_length(docs, least), F.col("char_count"), max(budget, 1))
+    return running_before(some, F.col("char_count"), "chars_before", then=["text"]).filter((F.col("chars_before") < budget) | (F.col("chars_before") == 0))
 
 
 def token_budget(encoded: DataFrame, budget: int) -> DataFrame:
-    """ids cut so that their total is the budget exactly, if there are as many. encoded: doc_id, ids; read twice."""
+    """ids cut so that their total is the budget exactly, if there are as many. encoded: doc_id, ids; stored once."""
     rows = running_before(encoded, F.size("ids").cast("long"), "tokens_before", then=["ids"]).filter(F.col("tokens_before") < budget)
     return rows.withColumn("ids", F.expr(f"slice(ids, 1, cast(least(size(ids), {budget} - tokens_before) as int))"))
 
@@ -72,4 +57,4 @@ def least_tokens(docs: DataFrame, budget: int, longest: int, more: int = 1) -> D
     """The first documents, by their bytes alone, that can be needed for `budget` tokens: a text has at least a token for every `longest`
     bytes, and `more` beside. What comes after them need not be encoded."""
     least = (F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / longest) + more).cast("long")
-    return running_before(docs.select("doc_id", "text"), least, "__least", then=["text"]).filter(F.col("__least") < budget).drop("__least")
+    return until(docs.select("doc_id", "text"), least, budget)

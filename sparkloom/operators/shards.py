@@ -7,14 +7,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.sources.files import stored
-
-from .documents import running_before
+from .ordered import running_before
 
 
 def placed(encoded: DataFrame) -> DataFrame:
     """ids with the place `first` of their first token in the stream. Encoded rows are stored before they are counted and placed."""
-    return running_before(stored(encoded.select("doc_id", "ids"), "encoded"), F.size("ids").cast("long"), "first", then=["ids"])
+    return running_before(encoded.select("doc_id", "ids"), F.size("ids").cast("long"), "first", then=["ids"])
 
 
 def pieces(encoded: DataFrame, shard_size: int, skip: int = 0, budget: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.merges import MERGES
 from sparkloom.functions.patterns import FIRST_MERGE, SPECIALS, WS, special_pattern
-from sparkloom.operators import bpe, documents, kernels, model, shards
+from sparkloom.operators import bpe, documents, kernels, model, ordered, shards
 from sparkloom.sources import configs, corpus_text, npy_shards, safetensors, training_log
 from sparkloom.sources.files import new_folder, stored
 from sparkloom.streaming import encode as streaming
@@ -134,13 +134,14 @@ def char_budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
 def token_budget_truncate(spark: SparkSession, sf: str) -> DataFrame:
     # only documents that the budget can reach, by their bytes, are encoded
     needed = documents.least_tokens(docs(spark, sf), TOKENS, max(map(len, _VOCAB.values())))
-    cut = documents.token_budget(stored(bpe.encode_documents(needed, MERGES), "encoded"), TOKENS)
+    cut = documents.token_budget(bpe.encode_documents(needed, MERGES), TOKENS)
     return cut.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join("ids", ",")).alias("digest"))
 
 
 @query("select budget, count(*) filter (before < budget or before = 0)::bigint as docs, coalesce(sum(char_count) filter (before < budget or before = 0), 0)::bigint as chars from (select *, sum(char_count) over (order by doc_id) - char_count as before from (" + LONG_SQL + ")), (select unnest([100000, 1000000, 5000000, 10000000])::bigint as budget) group by budget")
 def budget_by_preset(spark: SparkSession, sf: str) -> DataFrame:
-    rows = documents.running_before(documents.min_length(docs(spark, sf)), F.col("char_count"), "b").select("char_count", F.col("b"), F.explode(F.array(*[F.lit(x).cast("long") for x in (100_000, 1_000_000, 5_000_000, 10_000_000)])).alias("budget"))
+    lengths = documents.min_length(docs(spark, sf)).select("doc_id", "char_count")
+    rows = ordered.running_before(lengths, F.col("char_count"), "b").select("char_count", F.col("b"), F.explode(F.array(*[F.lit(x).cast("long") for x in (100_000, 1_000_000, 5_000_000, 10_000_000)])).alias("budget"))
     inside = (F.col("b") < F.col("budget")) | (F.col("b") == 0)
     return rows.groupBy("budget").agg(F.count_if(inside).alias("docs"), F.coalesce(F.sum(F.when(inside, F.col("char_count"))), F.lit(0)).cast("long").alias("chars"))
 

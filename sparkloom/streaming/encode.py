@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import bpe, documents, shards
+from sparkloom.operators import bpe, documents, ordered, shards
 from sparkloom.sources.files import new_folder
 
 
@@ -49,7 +49,7 @@ def budget_stream(spark: SparkSession, path: str, budget: int, least: int = 100,
     def add(batch: DataFrame, number: int) -> None:
         there = _so_far(batch.sparkSession, folder, number)
         if there < budget:
-            rows = documents.running_before(documents.min_length(batch, least), F.col("char_count"), "chars_before", then=["text"])
+            rows = ordered.running_before(documents.min_length(batch, least), F.col("char_count"), "chars_before", then=["text"])
             rows = rows.withColumn("chars_before", F.col("chars_before") + there).filter((F.col("chars_before") < budget) | (F.col("chars_before") == 0))
             _keep(rows.select("doc_id", "text", "char_count", "chars_before"), F.col("char_count"), folder, "rows", number)
 

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import patterns
 from sparkloom.functions.merges import MERGES
-from sparkloom.operators import bpe, documents, kernels, model, shards
+from sparkloom.operators import bpe, documents, kernels, model, ordered, shards
 from sparkloom.sources import checkpoints, configs, corpus_text, npy_shards, safetensors, training_log
 from sparkloom.streaming import encode as streaming
 
@@ -196,10 +197,53 @@ def test_missing_validation_shard_is_an_error(spark):
 
 def test_running_sum_at_any_partitioning(spark):
     df = spark.range(3000).withColumnRenamed("id", "doc_id").repartition(7)
-    rows = documents.running_before(df, F.col("doc_id"), "s").collect()
+    rows = ordered.running_before(df, F.col("doc_id"), "s").collect()
     assert all(r["s"] == r["doc_id"] * (r["doc_id"] - 1) // 2 for r in rows)
-    levels = documents.running_before(df, F.col("doc_id"), "s", bucket=8, group=4).collect()
-    assert sorted(levels) == sorted(rows)
+    assert sorted(ordered.running_before(df, F.col("doc_id"), "s", parts=23).collect()) == sorted(rows)
+
+
+IDS = {
+    "hashed": "xxhash64(n)",
+    "text": "'doc-' || md5(cast(n as string))",
+    "time": "timestamp_seconds(n * n)",
+    "a third alike": "if(n % 3 = 0, 7, n)",
+    "a third null": "if(n % 3 = 0, null, n)",
+}
+
+
+@pytest.mark.parametrize("kind", IDS)
+def test_ids_of_any_kind(spark, kind):
+    """Dense ids, budgets and shards by ids that are sparse, no numbers, alike or missing."""
+    d = spark.range(2000).withColumnRenamed("id", "n").select(F.expr(IDS[kind]).alias("doc_id"), F.concat(F.lit("t"), "n").alias("text")).repartition(5)
+    want = sorted(((r["doc_id"] is None, r["doc_id"] if r["doc_id"] is not None else 0, r["text"]) for r in d.collect()))
+    rows = ordered.running_before(d, F.char_length("text"), "s", then=["text"], parts=16)
+    got = sorted((r["s"], r["text"]) for r in rows.collect())
+    assert [t for _, t in got] == [t for *_, t in want] and [s for s, _ in got] == [0, *accumulate(len(t) for *_, t in want)][:-1]
+    assert [r["text"] for r in documents.dense_ids(d, 0).orderBy("dense_id").collect()] == [t for *_, t in want]
+    upto = next(i for i, n in enumerate(accumulate(len(t) for *_, t in want)) if n >= 5000) + 1
+    assert sorted(r["text"] for r in documents.char_budget(d, 5000, 0).collect()) == sorted(t for *_, t in want[:upto])
+    laid = shards.layout(d.select("doc_id", F.array(F.substring("text", 2, 9).cast("int")).alias("ids")), 300).orderBy("shard_index").collect()
+    ids = [int(t[1:]) for *_, t in want]
+    assert sorted(x for r in laid for x in r["tokens"]) == sorted(ids) and [len(r["tokens"]) for r in laid] == [300] * 6 + [200]
+    if kind not in ("a third alike", "a third null"):
+        assert [x for r in laid for x in r["tokens"]] == ids
+
+
+def test_no_task_gets_most_rows(spark):
+    """The partitions of a sum, by rows, where ids are hashed, and where a third of the rows are equal in every column."""
+    for d in (spark.range(30_000).select(F.xxhash64("id").alias("k")), spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"))):
+        rows = ordered.with_row_numbers(d.withColumn("v", F.lit(1)), "rows")
+        by = ordered.sums_before(rows, [F.col("k").asc_nulls_last()], "v", "s", parts=16)
+        assert sorted(r["s"] for r in by.collect()) == list(range(30_000))
+        dealt = rows.repartitionByRange(16, F.col("k").asc_nulls_last(), F.col(ordered.ROW)).groupBy(F.spark_partition_id()).count().collect()
+        assert len(dealt) == 16 and max(r["count"] for r in dealt) < 4 * 30_000 / 16
+
+
+def test_until_reads_no_further(spark):
+    d = spark.createDataFrame([(i, "x" * 10) for i in range(50)] + [(None, "y" * 10)], "doc_id long, text string")
+    size = F.char_length("text")
+    assert sorted(r[0] for r in ordered.until(d, size, 95).collect()) == list(range(10)) and ordered.until(d, size, 10**6).count() == 51
+    assert ordered.until(d, size, 501).count() == 51 and ordered.until(d, size, 0).count() == 0 and ordered.until(d.limit(0), size, 5).count() == 0
 
 
 def test_null_and_equal_ids_keep_their_rows(spark):
