@@ -170,5 +170,82 @@ select doc_id, top.licence as licence, round(top.dice, 6) as dice, coalesce(n, 0
 """
 
 
+# ---- op11: three rounds and a last assignment, written out
+
+
+def _clusters() -> str:
+    from .clustering import CENTROIDS, DIMS, ROUNDS, SCALE, SEED
+
+    near = f"list_sum(list_transform(range(1, {DIMS + 1}), lambda i: (q[i] - c[i]) * (q[i] - c[i])))::bigint"
+    steps = [
+        f"v as materialized (select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::double)::bigint) as q from embeddings where len(embedding) = {DIMS} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {DIMS})",
+        f"c0 as materialized (select row_number() over (order by sha256('{SEED}:' || vec_id) nulls last, q) - 1 as k, q as c from v qualify k < {CENTROIDS})",
+    ]
+    for t in range(ROUNDS + 1):
+        steps.append(f"a{t} as materialized (select rid, vec_id, q, k, d from (select rid, vec_id, q, k, {near} as d from v, c{t}) qualify row_number() over (partition by rid order by d, k) = 1)")
+        if t < ROUNDS:
+            steps.append(f"s{t} as (select k, i, sum(q[i])::bigint as s, count(*) as n from (select k, q, unnest(range(1, {DIMS + 1})) as i from a{t}) group by k, i)")
+            steps.append(f"m{t} as (select k, list((s - ((s % n) + n) % n) // n order by i) as c from s{t} group by k)")
+            steps.append(f"c{t + 1} as materialized (select k, coalesce(m{t}.c, c{t}.c) as c from c{t} left join m{t} using (k))")
+    last = f"a{ROUNDS}"
+    return "with " + ", ".join(steps) + (
+        f" select vec_id, k::int as cluster, d as distance, (sum(d) over (partition by k))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(c, ',')) as centroid_sha256 from {last} join c{ROUNDS} using (k)"
+    )
+
+
+OP11 = _clusters()
+
+
+# ---- op12: level by level, up to 3 ** 8 leaves a tree
+
+
+def _crc_even() -> str:
+    """The lowest bit of a CRC-32 of decimal digits, from the table that a rule gives."""
+    return "(select list(c order by i) as tab from (select i, list_reduce(range(0, 8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i::bigint) as c from (select unnest(range(0, 256)) as i)))"
+
+
+def _trees(depth: int = 8) -> str:
+    field = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    row = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars")) + f" || {field(text)})"
+    steps = [
+        f"tab as materialized {_crc_even()}",
+        f"""l0 as materialized (select rid, doc_id, source, leaf, tampered, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos from (
+        select row_number() over () as rid, doc_id, source, {row("text")} as leaf, case when doc_id is not null and xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295::bigint), 4294967295) % 2 = 0 then {row("replace(text, chr(10), '')")} end as tampered from documents, tab))""",
+        "n0 as materialized (select source as tree, pos, leaf as node from l0)",
+    ]
+
+    def grown(a: str, n: int) -> list[str]:
+        out = []
+        for k in range(n):
+            out.append(f"{a}s{k} as (select tree, count(*) as size from {a}{k} group by tree)")
+            out.append(f"{a}{k + 1} as materialized (select x.tree, case when size > 1 then pos // 3 else pos end as pos, case when any_value(size) > 1 then sha256(string_agg(node, '' order by pos)) else any_value(node) end as node from {a}{k} x join {a}s{k} y on x.tree is not distinct from y.tree group by x.tree, case when size > 1 then pos // 3 else pos end)")
+        return out
+
+    def path(a: str, base: str, n: int) -> list[str]:
+        out = [f"{a}p0 as (select *, '' as sib, tampered_or as fold from {base})"]
+        for k in range(n):
+            other = lambda c: f"coalesce((select string_agg(node, '' order by o.pos) from {a}{k} o where o.tree is not distinct from p.tree and o.pos // 3 = p.slot // 3 and {c}), '')"
+            out.append(f"{a}q{k} as materialized (select p.*, size, {other('o.pos < p.slot')} as lt, {other('o.pos > p.slot')} as rt from {a}p{k} p join {a}s{k} y on p.tree is not distinct from y.tree)")
+            out.append(f"{a}p{k + 1} as materialized (select rid, doc_id, source, leaf, tree, case when size > 1 then slot // 3 else slot end as slot, case when size > 1 then sib || lt || rt else sib end as sib, case when size > 1 then sha256(lt || fold || rt) else fold end as fold from {a}q{k})")
+        return out
+
+    steps += grown("n", depth)
+    steps.append(f"m0 as materialized (select 0 as tree, row_number() over (order by tree nulls first) - 1 as pos, node, tree as source from n{depth})")
+    steps += grown("m", depth)
+    steps.append("b0 as (select rid, doc_id, source, leaf, source as tree, pos as slot, coalesce(tampered, leaf) as tampered_or from l0)")
+    steps += path("n", "b0", depth)
+    steps.append(f"b1 as (select rid, doc_id, p.source, leaf, 0 as tree, m.pos as slot, fold as tampered_or, p.sib as below, m.node as subroot from np{depth} p join m0 m on p.source is not distinct from m.source)")
+    steps += path("m", "(select rid, doc_id, source, leaf, tree, slot, tampered_or from b1)", depth)
+    return "with " + ", ".join(steps) + (
+        f" select p.doc_id, p.leaf, b1.subroot, r.node as root, sha256(b1.below || p.sib) as proof_sha256, p.fold as folded_root, p.fold = r.node as verified, p.source from mp{depth} p join b1 using (rid), m{depth} r"
+    )
+
+
+OP12 = _trees()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_superminhash": OP4, "op5_licence_dice": OP5, "op8_entropy_secrets": OP8, "op1_quality_rules": OP1, "op3_stratified_shards": OP3, "op7_warc_members": OP7, "op10_winnowing": OP10}
+    return {
+        "op1_quality_rules": OP1, "op3_stratified_shards": OP3, "op4_superminhash": OP4, "op5_licence_dice": OP5, "op7_warc_members": OP7, "op8_entropy_secrets": OP8, "op10_winnowing": OP10,
+        "op11_delta_lloyd": OP11, "op12_merkle_manifest": OP12,
+    }

@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_: each applies its operator to the whole of its table and returns the contract's columns first."""
+"""The queries op1_ to op13_: each applies its operator to the whole of its table and returns the contract's columns first."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, licences, mixing, near_duplicates, personal_data, quality, secrets, sharding, warc
+from . import clustering, decontamination, language, licences, merkle, mixing, near_duplicates, personal_data, quality, secrets, sharding, warc
 from .common import read_table, stored
 
 
@@ -74,6 +74,21 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after three rounds and a last assignment. Vectors of another length, or with a component that is null or not
+    finite, are left out; repeated rows are vectors of their own."""
+    out = clustering.clustered(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verification of every document. Null columns are told from empty ones; a null source is the first; rows without a doc_id
+    come first and are never tampered with; repeated rows are leaves of their own."""
+    out = merkle.manifest(read_table(spark, sf_dir, "documents"), also={"tampered": merkle.tampered_leaf()})
+    out = merkle.verified(out, F.coalesce("tampered", "leaf"))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_personal_data, op3_stratified_shards, op4_superminhash, op5_licence_dice, op6_subset_sum_mix, op7_warc_members, op8_entropy_secrets, op9_cross_parsing, op10_winnowing)
+    own = (op1_quality_rules, op2_personal_data, op3_stratified_shards, op4_superminhash, op5_licence_dice, op6_subset_sum_mix, op7_warc_members, op8_entropy_secrets, op9_cross_parsing, op10_winnowing, op11_delta_lloyd, op12_merkle_manifest)
     return {f.__name__: f for f in own}
