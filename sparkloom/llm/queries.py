@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clustering, decontamination, language, licences, merkle, mixing, near_duplicates, personal_data, quality, secrets, sharding, warc
+from . import clustering, decontamination, language, licences, merkle, mixing, near_duplicates, personal_data, quality, secrets, sharding, suffixes, warc
 from .common import read_table, stored
 
 
@@ -89,6 +89,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified", "source")
 
 
+def op13_radix_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the windows of 50 bytes that start in a document of smaller doc_id. Null texts are empty; rows without a
+    doc_id keep all and remove nothing; repeated rows give equal rows."""
+    out = suffixes.repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality_rules, op2_personal_data, op3_stratified_shards, op4_superminhash, op5_licence_dice, op6_subset_sum_mix, op7_warc_members, op8_entropy_secrets, op9_cross_parsing, op10_winnowing, op11_delta_lloyd, op12_merkle_manifest)
+    own = (op1_quality_rules, op2_personal_data, op3_stratified_shards, op4_superminhash, op5_licence_dice, op6_subset_sum_mix, op7_warc_members, op8_entropy_secrets, op9_cross_parsing, op10_winnowing, op11_delta_lloyd, op12_merkle_manifest, op13_radix_suffixes)
     return {f.__name__: f for f in own}
