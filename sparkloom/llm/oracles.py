@@ -244,19 +244,19 @@ def _trees(depth: int = 8) -> str:
 OP12 = _trees()
 
 
-# ---- op13: all windows as hex; the least doc_id of each; runs of covered bytes
+# ---- op13: all windows as bytes; the least doc_id of each; runs of covered bytes
 
 OP13 = """
-with d as materialized (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, ''))::bigint as n from documents),
-     w as (select rid, doc_id, i, substr(h, 2 * i + 1, 100) as s from (select *, unnest(range(0, n - 49)) as i from d)),
+with d as materialized (select row_number() over () as rid, doc_id, encode(coalesce(text, '')) as h, strlen(coalesce(text, ''))::bigint as n from documents),
+     w as (select rid, doc_id, i, h[i + 1 : i + 50] as s from (select *, unnest(range(0, n - 49)) as i from d)),
      f as (select s, min(doc_id) as least from w group by 1 having min(doc_id) < max(doc_id)),
      c as (select rid, i from w join f using (s) where least < doc_id),
      e as (select *, case when i <= lag(i) over (partition by rid order by i) + 50 then 0 else 1 end as new from c),
      r as (select *, sum(new) over (partition by rid order by i) as k from e),
      s as (select rid, k, min(i) as a, max(i) + 50 as b from r group by 1, 2),
      g as (select rid, a, b, lag(b, 1, 0) over (partition by rid order by a) as p from s),
-     t as (select rid, sum(b - a)::bigint as n_removed, count(*)::bigint as n_spans, max(b) as last, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' order by a) as kept from g join d using (rid) group by 1)
-select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) as kept_sha256
+     t as (select rid, sum(b - a)::bigint as n_removed, count(*)::bigint as n_spans, max(b) as last, string_agg(hex(h[p + 1 : a]), '' order by a) as kept from g join d using (rid) group by 1)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(coalesce(unhex(kept || hex(h[last + 1 : n])), h)) as kept_sha256
 from d left join t using (rid)
 """
 
