@@ -10,8 +10,9 @@ their run before they differ in their buckets.
 1. Texts that are equal to one of a smaller id go at once, so only one text of each group of exact copies is sorted.
 2. First pass: grams by the number of texts that hold one. What no other text has stays out; a bit table of grams (BITS a gram, up to TABLE_KEYS
    of them, beyond which a join takes its place) tells that while the texts are read again.
-3. Equal runs are counted once, with their least and greatest id. A run whose gram occurs in no other run is decided: its least id is that of each of its windows.
-4. Further passes over the other runs, as above. A bucket with a single run, or whose runs agree in all of their windows, is decided as a whole.
+3. A gram all of whose runs are equal is decided: the least id of its runs is that of each of their windows. Other equal runs are counted once, with their least and
+   greatest id.
+4. Further passes over these, as above. A bucket with a single run, or whose runs agree in all of their windows, is decided as a whole.
 5. Runs carry what was decided back to the texts that hold them, where windows of a smaller id become spans.
 
 Every step is a count or a join on a key of which partial sums are made first, or whose rows a skewed join splits; tasks hold a block of
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from .common import TABLE_KEYS, Scratch, bit_table, possible, stored, without
+from .common import TABLE_KEYS, Scratch, bit_table, new_folder, possible, stored, without
 
 #: Fixed value: length of a window in bytes.
 THRESHOLD = 50
@@ -193,49 +194,56 @@ def occurrences(texts: DataFrame, grams: DataFrame, threshold: int, most: int =
 
 
 def _of_half(rows: DataFrame, threshold: int) -> DataFrame:
-    """Adds `core`, what all windows at the distances low to high from the anchor have in common, and `span`, a digest of all bytes of those that the run has."""
+    """rows cut down to those of their windows whose distance from the anchor is low to high, with digests of 128 bits: k1 and k2 of what all windows at these distances have in
+    common, s1 and s2 of all bytes that are left of the run."""
     a, b = F.greatest("low", F.col("left") - F.col("n") + 1), F.least("high", "left")
     rows = rows.withColumns({"a": a, "b": b}).filter("a <= b")
     core = F.substring("piece", F.col("left") - F.col("low") + 1, threshold - F.col("high") + F.col("low"))
     span = F.substring("piece", F.col("left") - F.col("b") + 1, threshold + F.col("b") - F.col("a"))
-    return rows.withColumn("core", core).withColumns({"s1": F.xxhash64("a", span), "s2": F.xxhash64(F.lit(1), "a", span)})
+    rows = rows.withColumns({"k1": F.xxhash64("low", core), "k2": F.xxhash64(F.lit(1), "low", core), "piece": span, "left": F.col("b"), "n": F.expr("b - a + 1")}).drop("a", "b")
+    return rows.withColumns({"s1": F.xxhash64("left", "piece"), "s2": F.xxhash64(F.lit(1), "left", "piece")})
 
 
 def _split(rows: DataFrame) -> DataFrame:
     """Each row as two, for the nearer and the farther half of its distances."""
-    mid = F.expr("low + (high - low + 1) div 2")
+    mid = F.expr("low + (high - low + 1) div 2").cast("int")
     parts = F.array(F.struct(F.col("low").alias("low"), (mid - 1).alias("high")), F.struct(mid.alias("low"), F.col("high").alias("high")))
     return rows.withColumn("part", F.explode(parts)).drop("low", "high").select("*", "part.*").drop("part")
 
 
+_RUN = ["c1", "c2", "piece", "left", "n", "lo", "hi", "low", "high"]
+#: Of a run's windows, those at the distances a to b from the anchor.
+_WINDOWS = ["left - n + 1 as a", "left as b"]
+
+
 def decided(equal: DataFrame, threshold: int, scratch: Scratch) -> list[DataFrame]:
-    """(c1, c2, a, b, least): of runs, the least id that has the windows at the distances a to b from the anchor, where two ids have them. equal: stored (c1, c2, piece, left, n, gram, lo,
+    """(c1, c2, a, b, least): of runs, the least id that has the windows at the distances a to b from the anchor, where two ids have them. equal: stored (c1, c2, piece, left, n, lo,
     hi), a row for each distinct run."""
-    columns = ["c1", "c2", "piece", "left", "n", "lo", "hi"]
-    by_gram = equal.groupBy("gram").agg(F.count(F.lit(1)).alias("runs"), F.min("lo").alias("least"), F.max("hi").alias("most")).filter("least < most")
-    ranked = equal.join(by_gram, "gram")
-    own = ["c1", "c2", "a", "b", "least"]
-    whole = ranked.filter("runs = 1").select("c1", "c2", (F.col("left") - F.col("n") + 1).alias("a"), F.col("left").alias("b"), "least")
-    out = [scratch.keep(stored(whole, "runs-alone", few=True))]
-    width = halves(threshold)
-    rows = ranked.filter("runs > 1").select(*columns, F.lit(0).alias("low"), F.lit(width - 1).alias("high"))
-    if width == 1:  # grams are windows: nothing is left to tell their runs apart
-        return [*out, scratch.keep(stored(ranked.filter("runs > 1").select("c1", "c2", (F.col("left") - F.col("n") + 1).alias("a"), F.col("left").alias("b"), "least"), "runs-decided", few=True))]
-    while width > 1:
-        width //= 2
-        halved = stored(_of_half(_split(rows), threshold), "halves", few=True)
+    width, out = halves(threshold), []
+    rows, whole = equal.select(*_RUN[:-2], F.lit(0).alias("low"), F.lit(width - 1).alias("high")), width == 1
+    while True:
+        width = max(1, width // 2)
+        halved = _of_half(rows if whole else _split(rows), threshold)
         # a bucket of one run needs no join: a bit table of the others tells it
-        key = halved.withColumn("__key", F.xxhash64("low", "core"))
-        several = stored(key.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__key"), "buckets", few=True)
-        marked = possible(key, "__key", bit_table(several, "__key"))
-        out.append(scratch.keep(stored(marked.filter("not __possible and lo < hi").select("c1", "c2", "a", "b", F.col("lo").alias("least")), "runs-decided", few=True)))
-        stats = halved.groupBy("low", "core").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("s1", "s2") for f in (F.min, F.max)])
-        joined = marked.filter("__possible").join(stats.filter("least < most"), ["low", "core"])
-        rows = stored(joined.withColumn("same", F.expr("s1_min = s1_max and s2_min = s2_max")).select(*columns, "low", "high", "a", "b", "least", "same"), "buckets", few=True)
-        out.append(scratch.keep(stored(rows.filter("same").select(*own), "runs-decided", few=True)))
-        rows = rows.filter("not same").select(*columns, "low", "high")
-        if rows.isEmpty():
-            break
+        several = stored(halved.groupBy("k1").agg(F.count(F.lit(1)).alias("runs")).filter("runs > 1").select("k1"), "buckets", few=True)
+        marked = possible(halved, "k1", bit_table(several, "k1"))
+        out.append(scratch.keep(stored(marked.filter("not __possible and lo < hi").selectExpr("c1", "c2", *_WINDOWS, "lo as least"), "runs-decided", few=True)))
+        stats = halved.groupBy("k1", "k2").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("s1", "s2") for f in (F.min, F.max)]).filter("least < most")
+        stats = stats.selectExpr("k1", "k2", "least", "s1_min = s1_max and s2_min = s2_max as same")
+        rows = _packed(marked.filter("__possible").select(*_RUN, "k1", "k2").join(stats, ["k1", "k2"]).drop("k1", "k2"), "halves")
+        out.append(scratch.keep(stored(rows.filter("same").selectExpr("c1", "c2", *_WINDOWS, "least"), "runs-decided", few=True)))
+        rows = rows.filter("not same").select(*_RUN)
+        _free(equal)
+        if width == 1 or rows.isEmpty():
+            return out
+
+
+def _packed(df: DataFrame, name: str) -> DataFrame:
+    """stored(), in less space: runs that follow one another overlap."""
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
     return out
 
 
@@ -292,18 +300,26 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, carry: list[str] | None
         grams = stored(shared_grams(texts, threshold), "grams", few=True)
         _free(grams)
         digests = {"c1": F.xxhash64("piece"), "c2": F.xxhash64(F.lit(1), "piece")}
-        found = stored(occurrences(texts, grams, threshold, most).withColumns(digests), "runs")
-        equal = found.groupBy("c1", "c2").agg(*[F.first(c).alias(c) for c in ("piece", "left", "n", "gram")], F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        equal = stored(equal, "distinct-runs", few=True)
+        found = _packed(occurrences(texts, grams, threshold, most).withColumns(digests), "runs")
+        # grams of two ids at least; a gram and c1 are 128 bits, too
+        by_gram = found.groupBy("gram").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("c1").alias("x"), F.max("c1").alias("y")).filter("least < most")
+        by_gram = stored(by_gram.selectExpr("gram", "least", "x = y as alone"), "gram-runs", few=True)
+        several = stored(by_gram.filter("not alone").select("gram"), "grams-of-runs", few=True)
+        _free(several)
+        some = possible(found, "gram", bit_table(several, "gram")).filter("__possible")
+        equal = some.groupBy("c1", "c2").agg(*[F.first(c).alias(c) for c in ("piece", "left", "n")], F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        equal = _packed(equal, "distinct-runs")
         _free(equal)
-        with Scratch(spark) as passes:
-            parts = decided(equal, threshold, passes)
+        parts = decided(equal, threshold, scratch)
         both = parts[0]
         for part in parts[1:]:
             both = both.unionByName(part)
-        hits = found.select("doc_id", "h", "start", "left", "c1", "c2").join(both, ["c1", "c2"]).filter("least < doc_id")
+        place = ["doc_id", "h", "start", "left"]
+        hits = some.select(*place, "c1", "c2").join(both, ["c1", "c2"]).filter("least < doc_id")
         anchor = F.col("start") + F.col("left")
         spans = hits.select("doc_id", "h", F.struct((anchor - F.col("b")).alias("start"), (anchor - F.col("a") + threshold).alias("end")).alias("span"))
+        alone = found.select("doc_id", "h", "start", "n", "gram").join(by_gram.filter("alone").select("gram", "least"), "gram").filter("least < doc_id")
+        spans = spans.unionByName(alone.select("doc_id", "h", F.struct("start", (F.col("start") + F.col("n") - 1 + threshold).alias("end")).alias("span")))
         by_text = spans.groupBy("doc_id", "h").agg(F.collect_list("span").alias("spans"))  # no more than a text has runs
         by_text = scratch.keep(stored(_keyed(_merged(by_text, kind)).select(_KEY, "spans"), "spans", few=True))
         _free(by_text)
