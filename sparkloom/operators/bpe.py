@@ -12,6 +12,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -372,36 +373,58 @@ def token_text(token: Column, merges: list[tuple[int, int]]) -> Column:
     return F.unhex(F.coalesce(F.get(F.array(*map(F.lit, token_bytes(merges))), token), F.lit("3f")))
 
 
-#: Vocabulary entries up to which decoding looks ids up in a constant array; a larger table is a map in the tasks.
+#: Vocabulary entries up to which decoding looks ids up in a constant array; with more, tasks gather from a flat table of bytes.
 CONSTANT_VOCAB = 1024
 
 
+class ByteTable:
+    """Bytes of all ids one after another, with an entry more for unknown ids. Lists of ids become bytes by one gather."""
+
+    def __init__(self, hexes: list[str]) -> None:
+        own = [*map(bytes.fromhex, hexes), b"?"]
+        self.data = np.frombuffer(b"".join(own), np.uint8)
+        self.size = np.array([*map(len, own)], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def __call__(self, lists: pa.ListArray) -> pa.LargeBinaryArray:
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.combine_chunks()
+        ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = np.where((ids < 0) | (ids >= len(self.size)), len(self.size) - 1, ids)
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        size = self.size[ids]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        data = self.data[np.repeat(self.start[ids] - upto[:-1], size) + np.arange(upto[-1])]
+        raw = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(upto[ends].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        return pc.if_else(lists.is_valid(), raw, pa.scalar(None, pa.large_binary()))
+
+
 def decode_documents(encoded: DataFrame, merges: list[tuple[int, int]], skip_special: bool = True, errors: str = "replace", id_col: str = "doc_id") -> DataFrame:
     """doc_id, text. Unknown ids give "?". Bytes that are no UTF-8 become U+FFFD (replace), vanish (ignore) or are an error (strict).
 
-    Small vocabularies are looked up in the JVM, and only texts that are not valid go through Python; large ones in an Arrow batch."""
+    Small vocabularies are looked up in the JVM, large ones by a gather over an Arrow batch; only texts that are not valid go through Python one by one."""
     if errors not in ("replace", "strict", "ignore"):
         raise ValueError("errors must be replace, ignore or strict")
     hexes = token_bytes(merges, skip_special)
     if len(hexes) > CONSTANT_VOCAB:
-        table = {i: bytes.fromhex(h) for i, h in enumerate(hexes)}
+        table = ByteTable(hexes)
 
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
-                texts = [None if x is None else b"".join(table.get(i, b"?") for i in x).decode(errors=errors) for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(texts, pa.string())], [id_col, "text"])
+                yield pa.RecordBatch.from_arrays([part.column(id_col), table(part.column("ids")).cast(pa.binary())], [id_col, "__raw"])
 
-        return encoded.select(id_col, "ids").mapInArrow(run, f"{id_col} {_type(encoded, id_col)}, text string")
-    constant = F.array(*map(F.lit, hexes))
-    raw = F.unhex(F.array_join(F.transform("ids", lambda i: F.coalesce(F.get(constant, i), F.lit("3f"))), ""))
+        rows = encoded.select(id_col, "ids").mapInArrow(run, f"{id_col} {_type(encoded, id_col)}, __raw binary")
+    else:
+        constant = F.array(*map(F.lit, hexes))
+        rows = encoded.select(id_col, F.unhex(F.array_join(F.transform("ids", lambda i: F.coalesce(F.get(constant, i), F.lit("3f"))), "")).alias("__raw"))
     if errors == "strict":
-        return encoded.select(id_col, F.decode(raw, "UTF-8").alias("text"))
+        return rows.select(id_col, F.decode("__raw", "UTF-8").alias("text"))
 
     @F.pandas_udf("string")
     def mended(broken: pd.Series) -> pd.Series:
         return broken.map(lambda b: None if b is None else bytes(b).decode(errors=errors))
 
-    rows = encoded.select(id_col, raw.alias("__raw")).withColumn("__good", F.is_valid_utf8(F.col("__raw").cast("string")))
+    rows = rows.withColumn("__good", F.is_valid_utf8(F.col("__raw").cast("string")))
     return rows.select(id_col, F.coalesce(mended(F.when(~F.col("__good"), F.col("__raw"))), F.col("__raw").cast("string")).alias("text"))
 
 
@@ -486,21 +509,27 @@ class Trainer:
 
 
 def register(spark: SparkSession, merges: list[tuple[int, int]]) -> None:
-    """SQL functions of this session: pretokenize(text), bpe_encode(text), bpe_decode(ids). The first is a SQL expression, the others Arrow functions."""
-    quoted = PRETOKEN.replace("\\", "\\\\").replace("'", "\\'")
-    spark.sql(f"create or replace temporary function pretokenize(t string) returns array<string> return regexp_extract_all(coalesce(t, ''), '{quoted}', 0)")
-    tokenizer = Tokenizer(merges)
-
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: tokenizer.encode(t or ""))
-
-    @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else tokenizer.decode(int(i) for i in x))
-
-    spark.udf.register("bpe_encode", encode)
-    spark.udf.register("bpe_decode", decode)
+    """SQL functions of this session: pretokenize(text), bpe_encode(text), bpe_decode(ids). Pre-tokens are cut in the JVM; Arrow functions encode the
+    distinct ones of a batch, and gather bytes, without a loop over rows."""
+    quoted = lambda pattern: pattern.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"create or replace temporary function pretokenize(t string) returns array<string> return regexp_extract_all(coalesce(t, ''), '{quoted(PRETOKEN)}', 0)")
+    encode, table, known = WordEncoder(merges, SPECIALS), ByteTable(token_bytes(merges, skip_special=True)), {}
+
+    @F.arrow_udf("array<int>")
+    def ids(words: pa.Array) -> pa.Array:
+        return _encoded_lists(words, encode, known, [], [])
+
+    @F.arrow_udf("string")
+    def text(lists: pa.Array) -> pa.Array:
+        raw = table(lists)
+        try:
+            return raw.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # some bytes of the batch are no UTF-8
+            return pa.array([None if b is None else b.decode(errors="replace") for b in raw.to_pylist()], pa.string())
+
+    spark.udf.register("bpe_ids_of_words", ids)
+    spark.udf.register("bpe_decode", text)
+    spark.sql(f"create or replace temporary function bpe_encode(t string) returns array<int> return bpe_ids_of_words(regexp_extract_all(coalesce(t, ''), '{quoted(with_specials(specials=SPECIALS))}', 0))")
 
 
 #: Comment lines of the merges text of the integer variant.

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.merges import MERGES
 from sparkloom.functions.patterns import FIRST_MERGE, SPECIALS, WS, special_pattern
+from sparkloom.functions.permutation import permuted_sql
 from sparkloom.operators import bpe, documents, kernels, model, ordered, shards
-from sparkloom.sources import configs, corpus_text, npy_shards, safetensors, training_log
+from sparkloom.sources import configs, corpus_text, npy_shards, safetensors, shard_source, training_log
 from sparkloom.sources.files import new_folder, stored
+from sparkloom.sources.token_dataset import TokenDataset
 from sparkloom.streaming import encode as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -592,6 +594,58 @@ def npy_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return _shard_digests(npy_shards.read(spark, folder))
 
 
+def _dataset(spark: SparkSession, sf: str, val: int | None = None) -> TokenDataset:
+    folder = new_folder(spark, "npy")
+    npy_shards.write_documents(_encoded(spark, sf), folder, SHARD)
+    return TokenDataset(spark, folder, LENGTH, val_shard=val, batch=BATCH)
+
+
+@query(f"select * from ({SQL['shard_layout']}) where shard_index = {VAL}")
+def npy_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """One shard of a folder: the filter reaches the source, which opens that file alone."""
+    return _shard_digests(shards.assembled(npy_shards.read_pieces(spark, _dataset(spark, sf).folder).filter(F.col("shard_index") == VAL)))
+
+
+@query(SQL["training_windows"])
+def windows_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    return _digested(_dataset(spark, sf).windows())
+
+
+_TRAIN_SQL = f"w as materialized (select *, row_number() over (order by shard_index, win_index) - 1 as rn from ({wins_sql(LENGTH)}) where shard_index <> {VAL}), k as materialized (select count(*) as k from w)"
+
+
+def _epochs_sql(seed: int, skip: int, columns: str, last: str) -> str:
+    """Steps after the first `skip`, each epoch in its own order, up to the step `last`."""
+    places = "select epoch, place from (select unnest(range(0, 3)) as epoch), (select unnest(range(0, k)) as place from k)"
+    order = permuted_sql(places, "(select k from k)", seed)
+    return f"with {_TRAIN_SQL}, s as (select epoch * k + place as step, epoch, item from {order} p, k) select {columns} from s join w on item = rn, k where step >= {skip} and step < {last}"
+
+
+_SHUFFLED, _SKIPPED = 7, 10
+
+
+@query(_epochs_sql(_SHUFFLED, _SKIPPED, f"(step - {_SKIPPED}) // {BATCH} as batch_id, (step - {_SKIPPED}) % {BATCH} as slot, epoch::int as epoch, shard_index, win_index, md5({text_of('input')}) as input, md5({text_of('target')}) as target", f"{_SKIPPED} + 2 * k // {BATCH} * {BATCH}"))
+def shuffled_epochs(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of training windows from shard files for two epochs, each in an order of its own, after some windows that an earlier run has had."""
+    data = _dataset(spark, sf, VAL)
+    return _digested(data.train(2 * len(data) // BATCH, _SKIPPED * LENGTH + 5, _SHUFFLED), "batch_id", "slot", "epoch")
+
+
+@query(SQL["val_cycle"])
+def validation_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    return _dataset(spark, sf, VAL).validation(25).select("batch_id", "slot", "win_index", F.md5(F.array_join("input", ",")).alias("input"))
+
+
+@query(_epochs_sql(_SHUFFLED, 0, f"step, epoch::int as epoch, shard_index, win_index, md5({text_of('input')}) as input, md5({text_of('target')}) as target", "k + 7"))
+def window_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The endless stream, stopped within the first epoch and gone on with from its checkpoint into the second."""
+    data, folder = _dataset(spark, sf, VAL), new_folder(spark, "window-stream")
+    for upto in (len(data) // 2 + 1, len(data) + 7):
+        out = data.stream(upto, seed=_SHUFFLED).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+        out.trigger(availableNow=True).start().awaitTermination()
+    return _digested(spark.read.schema(shard_source.WINDOWS).parquet(f"{folder}/rows"), "step", "epoch")
+
+
 CUT = 110_000
 
 

@@ -6,6 +6,7 @@ import atexit
 import io
 import os
 import re
+import shutil
 import tempfile
 import threading
 import uuid
@@ -52,6 +53,38 @@ def written(uri: str) -> Iterator[BinaryIO]:
     store.move(f"{folder}/.{name}.{os.getpid()}", path)
 
 
+def names(folder: str) -> list[tuple[str, int]]:
+    """(name, bytes) of the files of a folder, by name, without a session: for tasks and data sources; none if there is no such folder."""
+    if path := local_path(folder):
+        return sorted((x.name, x.stat().st_size) for x in os.scandir(path) if x.is_file()) if os.path.isdir(path) else []
+    from pyarrow import fs
+
+    store, path = _store(folder)
+    return sorted((x.base_name, x.size) for x in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if x.type == fs.FileType.File)
+
+
+def moved(source: str, target: str) -> None:
+    """Gives a file another name in the same store; one that is there is never replaced."""
+    folder, name = target.rsplit("/", 1)
+    if any(n == name for n, _ in names(folder)):
+        raise FileExistsError(target)
+    if path := local_path(source):
+        os.rename(path, local_path(target))
+    else:
+        store, path = _store(source)
+        store.move(path, _store(target)[1])
+
+
+def dropped(folder: str) -> None:
+    """Deletes a folder without a session; one that is not there is no error."""
+    if path := local_path(folder):
+        shutil.rmtree(path, ignore_errors=True)
+    else:
+        store, path = _store(folder)
+        if any(True for _ in names(folder)):
+            store.delete_dir(path)
+
+
 def listed(spark: SparkSession, folder: str, pattern: str = "*") -> list[tuple[str, int]]:
     """(name, bytes) of the files of a folder that match, by name, through Spark's file systems; none if there is no such folder."""
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)

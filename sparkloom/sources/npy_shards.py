@@ -1,44 +1,27 @@
 """Token shards as .npy files (flat uint16) with a metadata.json, in a folder that driver and executors share (a path or URI).
 
 Shards are written from pieces (see operators.shards.pieces): a task streams a shard's pieces, in order, into its file, so it never
-holds a shard. A folder that has shards is only added to with `resume`; shards are never overwritten."""
+holds a shard. All files of a write get their names together, when every task is done, with the manifest (see shard_source). A folder that
+has shards is only added to with `resume`, which demands a manifest that fits the files; shards are never overwritten."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from datetime import UTC, datetime
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import shards as S
 
-from .files import listed, opened, written
+from .files import listed, opened, stored
+from .shard_source import header, index_of, register, write_manifest
 
 SCHEMA = "shard_index long, tokens array<int>"
 RECORD = "index long, filename string, tokens long, size_mb double"
 MANIFEST = f"dataset_version string, vocab_size int, total_tokens long, total_shards int, shard_size long, created_at string, shards array<struct<index: bigint, filename: string, tokens: bigint, size_mb: double>>"
 VERSION, VOCAB, PATTERN = "v1", 32768, "shard_*.npy"
-#: Tokens of a shard that a task reads at a time.
-READ_TOKENS = 1 << 20
-
-
-def file_name(index: int) -> str:
-    return f"shard_{index:05d}.npy"
-
-
-def index_of(path: str) -> int:
-    return int(path.rsplit("_", 1)[1].split(".")[0])
-
-
-def header(f) -> tuple[int, np.dtype]:
-    """Length and type of a flat .npy file, from its header alone; f stands at the data then."""
-    version = np.lib.format.read_magic(f)
-    shape, _, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
-    return int(shape[0]), kind
 
 
 def _paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,38 +50,6 @@ def existing(spark: SparkSession, folder: str) -> tuple[int, int]:
     return row["n"], row["t"]
 
 
-def _put(folder: str, vocab_size: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, f, done, at, n = [], None, None, -1, 0
-
-        def closed() -> None:
-            if f is not None:
-                # numpy leaves room for the count to grow, so it can be set at the end
-                f.seek(0)
-                np.lib.format.write_array_header_1_0(f, {"descr": "<u2", "fortran_order": False, "shape": (n,)})
-                size = f.seek(0, 2)
-                done.__exit__(None, None, None)
-                rows.append((at, file_name(at), n, round(size / 1e6, 2)))
-
-        for part in parts:
-            for index, piece in zip(part.column("shard_index").to_pylist(), part.column("piece"), strict=True):
-                tokens = piece.values.to_numpy(zero_copy_only=False)
-                if len(tokens) and (tokens.min() < 0 or tokens.max() >= vocab_size):
-                    bad = tokens[(tokens < 0) | (tokens >= vocab_size)]
-                    raise ValueError(f"ids out of range: {tokens.min()} to {tokens.max()}, first {bad[:5].tolist()}")
-                if index != at:
-                    closed()
-                    done, at, n = written(f"{folder}/{file_name(index)}"), index, 0
-                    f = done.__enter__()
-                    np.lib.format.write_array_header_1_0(f, {"descr": "<u2", "fortran_order": False, "shape": (0,)})
-                f.write(tokens.astype("<u2").tobytes())
-                n += len(tokens)
-        closed()
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.float64()))], ["index", "filename", "tokens", "size_mb"])
-
-    return run
-
-
 def write_pieces(pieces: DataFrame, folder: str, shard_size: int, version: str = VERSION, vocab_size: int = VOCAB, resume: bool = False) -> dict:
     """Writes pieces (shard_index, low, piece) as one file a shard and returns the manifest, which is written last and lists all shards of
     the folder. `resume`: shards may be there; pieces must start after them (see write_documents)."""
@@ -106,10 +57,13 @@ def write_pieces(pieces: DataFrame, folder: str, shard_size: int, version: str =
     there = listed(spark, folder, PATTERN)
     if there and not resume:
         raise FileExistsError(f"{folder} has shards, the first is {there[0][0]}; shards are never overwritten")
+    register(spark)
     # each shard's pieces in one task, in order; a task holds one batch of them
-    ordered = pieces.select("shard_index", "low", "piece").repartition("shard_index").sortWithinPartitions("shard_index", "low")
-    ordered.mapInArrow(_put(folder, vocab_size), RECORD).write.format("noop").mode("overwrite").save()
-    return rebuild_manifest(spark, folder, shard_size, version, vocab_size)
+    ordered = pieces.select(F.col("shard_index").cast("long").alias("shard_index"), F.col("low").cast("long").alias("low"), "piece").repartition("shard_index").sortWithinPartitions("shard_index", "low")
+    ordered.write.format("token_shards").mode("append").option("vocab_size", vocab_size).option("shard_size", shard_size).option("version", version).save(folder)
+    if not listed(spark, folder, PATTERN):
+        raise ValueError("there are no tokens to write")
+    return read_manifest(spark, folder)
 
 
 def write(shards: DataFrame, folder: str, shard_size: int, version: str = VERSION, vocab_size: int = VOCAB, resume: bool = False) -> dict:
@@ -118,28 +72,54 @@ def write(shards: DataFrame, folder: str, shard_size: int, version: str = VERSIO
     return write_pieces(pieces, folder, shard_size, version, vocab_size, resume)
 
 
+def _standing(spark: SparkSession, folder: str) -> tuple[list[dict], list[dict]]:
+    """(the manifest's records, those whose files are missing). Shards without a manifest, files that it doesn't list or that have another number of
+    tokens, and a gap in the numbers are errors: where the stream stands would be a guess."""
+    if not listed(spark, folder, "metadata.json"):
+        if listed(spark, folder, PATTERN):
+            raise ValueError(f"{folder} has shards but no manifest; rebuild it if none is missing")
+        return [], []
+    with opened(f"{folder}/metadata.json") as f:
+        records = sorted(json.load(f)["shards"], key=lambda r: r["index"])
+    found = {r["index"]: r["tokens"] for r in counts(spark, folder).collect()} if listed(spark, folder, PATTERN) else {}  # a row a shard
+    if [r["index"] for r in records] != list(range(len(records))):
+        raise ValueError("the manifest's shards have gaps")
+    if other := sorted(found.keys() - {r["index"] for r in records}):
+        raise ValueError(f"the manifest does not list the shards {other}")
+    if other := [r["index"] for r in records if found.get(r["index"], r["tokens"]) != r["tokens"]]:
+        raise ValueError(f"the shards {other} have other numbers of tokens than the manifest says")
+    return records, [r for r in records if r["index"] not in found]
+
+
 def write_documents(encoded: DataFrame, folder: str, shard_size: int, version: str = VERSION, vocab_size: int = VOCAB, token_budget: int | None = None, resume: bool = False) -> dict:
     """Shards of encoded documents (doc_id, ids): the first `token_budget` tokens of the stream, if given. `resume` goes on where the shards
-    on disk end: their tokens are skipped in the stream, and numbering goes on after them, so nothing is written twice. A last shard that is
-    not full stays so; numbering by position goes on with the next one."""
+    of the manifest end: their tokens are skipped in the stream, and numbering goes on after them, so nothing is written twice. A last shard that is
+    not full stays so; numbering by position goes on with the next one. Shards that the manifest lists and the folder lacks are written again, from their places
+    in the stream."""
     spark = encoded.sparkSession
-    shards_there, tokens_there = existing(spark, folder)
-    if shards_there and not resume:
-        raise FileExistsError(f"{folder} has {shards_there} shards; shards are never overwritten")
-    cut = S.pieces(encoded, shard_size, skip=tokens_there, budget=token_budget)
-    return write_pieces(cut.withColumn("shard_index", F.col("shard_index") + shards_there), folder, shard_size, version, vocab_size, resume)
+    if not resume and (there := listed(spark, folder, PATTERN)):
+        raise FileExistsError(f"{folder} has {len(there)} shards; shards are never overwritten")
+    records, missing = _standing(spark, folder) if resume else ([], [])
+    tokens_there = sum(r["tokens"] for r in records)
+    if missing:
+        encoded = stored(encoded.select("doc_id", "ids"), "encoded")
+    cut = S.pieces(encoded, shard_size, skip=tokens_there, budget=token_budget).withColumn("shard_index", F.col("shard_index") + len(records))
+    for r in missing:
+        low = sum(x["tokens"] for x in records[: r["index"]])
+        again = S.pieces(encoded, r["tokens"], skip=low, budget=low + r["tokens"]).withColumn("shard_index", F.lit(r["index"]).cast("long"))
+        cut = cut.unionByName(again)
+    manifest = write_pieces(cut, folder, shard_size, version, vocab_size, resume)
+    if other := [r["index"] for r in records if manifest["shards"][r["index"]]["tokens"] != r["tokens"]]:
+        raise ValueError(f"the stream ends within the shards {other}, which were written again")
+    return manifest
 
 
 def rebuild_manifest(spark: SparkSession, folder: str, shard_size: int, version: str = VERSION, vocab_size: int = VOCAB) -> dict:
     """Writes metadata.json anew from the shards on disk. The manifest is one document with a record a shard, so it goes through the driver."""
     records = [r.asDict() for r in counts(spark, folder).orderBy("index").collect()] if listed(spark, folder, PATTERN) else []
-    total = sum(r["tokens"] for r in records)
-    if not total:
+    if not sum(r["tokens"] for r in records):
         raise ValueError("there are no tokens to write")
-    manifest = {"dataset_version": version, "vocab_size": vocab_size, "total_tokens": total, "total_shards": len(records), "shard_size": shard_size, "created_at": datetime.now(UTC).isoformat(), "shards": records}
-    with written(f"{folder}/metadata.json") as f:
-        f.write(json.dumps(manifest, indent=2).encode())
-    return manifest
+    return write_manifest(folder, records, shard_size, version, vocab_size)
 
 
 def read_manifest(spark: SparkSession, folder: str) -> dict:
@@ -169,19 +149,11 @@ def reconcile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """(shard_index, low, piece): a shard's tokens in rows of READ_TOKENS at most; a task holds one of them at a time."""
+    """(shard_index, low, piece): shards' tokens in rows of some million at most; a task reads a range of them and holds one row at a time. Filters on
+    shard_index leave other files unopened."""
     read_manifest(spark, folder)
-
-    def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for path in part.column("path").to_pylist():
-                with opened(path) as f:
-                    n, kind = header(f)
-                    for low in range(0, max(n, 1), READ_TOKENS):
-                        tokens = np.frombuffer(f.read(min(READ_TOKENS, n - low) * kind.itemsize), kind).astype(np.int32)
-                        yield pa.RecordBatch.from_arrays([pa.array([index_of(path)], pa.int64()), pa.array([low], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), pa.array(tokens))], ["shard_index", "low", "piece"])
-
-    return _paths(spark, folder).mapInArrow(parse, "shard_index long, low long, piece array<int>")
+    register(spark)
+    return spark.read.format("token_shards").option("tasks", spark.sparkContext.defaultParallelism).load(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:

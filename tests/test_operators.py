@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import patterns
 from sparkloom.functions.merges import MERGES
+from sparkloom.functions.permutation import permuted
 from sparkloom.operators import bpe, documents, kernels, model, ordered, shards
 from sparkloom.sources import checkpoints, configs, corpus_text, npy_shards, safetensors, training_log
+from sparkloom.sources.token_dataset import TokenDataset
 from sparkloom.streaming import encode as streaming
 
 TEXTS = ["Hello world", "  it's 12_3!!\n\n\tx", "", "café 日本語 🔥", "aaa aaaa the the then", None]
@@ -114,8 +116,14 @@ def test_decoding_errors(spark):
     large = [*MERGES, *[(5, 5 + i) for i in range(1, 256)], *[(6, 5 + i) for i in range(256)], *[(7, 5 + i) for i in range(256)]]
     t = bpe.Tokenizer(large)
     assert {x["doc_id"]: x["text"] for x in bpe.decode_documents(d, large).collect()} == {i: t.decode(x) for i, x in rows}
-    with pytest.raises(Exception):
-        bpe.decode_documents(d, MERGES, errors="strict").collect()
+    t = bpe.Tokenizer(large)
+    for errors in ("replace", "ignore"):
+        for skip in (True, False):
+            got = bpe.decode_documents(spark.createDataFrame([*rows, (400, None)], d.schema), large, skip, errors).collect()
+            assert {x["doc_id"]: x["text"] for x in got} == {i: t.decode(x, skip, errors) for i, x in rows} | {400: None}
+    for m in (MERGES, large):
+        with pytest.raises(Exception):
+            bpe.decode_documents(d, m, errors="strict").collect()
     with pytest.raises(Exception, match="out of range"):
         d.select(bpe.as_uint16(F.transform("ids", lambda x: x + 40000))).collect()
 
@@ -316,11 +324,107 @@ def test_shards_by_budget_and_resume(spark, tmp_path):
     assert [r["tokens"] for r in m["shards"]] == [8, 8, 5, 8, 8, 8, 8, 8, 8, 2] and npy_shards.manifest_table(spark, folder).first()["total_shards"] == 10
 
 
-def test_large_pieces_are_read_in_parts(spark, tmp_path, monkeypatch):
-    npy_shards.write_pieces(npy_shards.synthetic(spark, 2, 5000), str(tmp_path / "s"), 5000)
-    whole = tokens_of(spark, str(tmp_path / "s"))
-    monkeypatch.setattr(npy_shards, "READ_TOKENS", 700)
-    assert tokens_of(spark, str(tmp_path / "s")) == whole and len(whole) == 10_000 and 15_000 < np.mean(whole) < 17_500
+def test_large_pieces_are_read_in_parts(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    npy_shards.write_pieces(npy_shards.synthetic(spark, 2, 5000), folder, 5000)
+    whole = tokens_of(spark, folder)
+    source = lambda tasks: spark.read.format("token_shards").option("read_tokens", 700).option("tasks", tasks).load(folder)
+    for tasks in (1, 3, 50):
+        rows = source(tasks).orderBy("shard_index", "low").collect()
+        assert [x for r in rows for x in r["piece"]] == whole and max(len(r["piece"]) for r in rows) <= 700
+    assert source(1).rdd.getNumPartitions() == 1 and source(50).rdd.getNumPartitions() >= 50
+    one = source(50).filter("shard_index = 1")
+    assert {r["shard_index"] for r in one.collect()} == {1}
+    os.remove(f"{folder}/shard_00000.npy")  # a pruned read opens the other file alone
+    assert [x for r in one.orderBy("low").collect() for x in r["piece"]] == whole[5000:] and source(2).filter("shard_index > 0 and shard_index in (1, 2)").count() == 8
+    assert len(whole) == 10_000 and 15_000 < np.mean(whole) < 17_500
+
+
+def test_failed_writes_leave_nothing(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    good, bad = [1, 2, 3], [40_000]
+    d = spark.createDataFrame([(i, 0, bad if i == 5 else good) for i in range(8)], "shard_index long, low long, piece array<int>")
+    with pytest.raises(Exception, match="out of range"):
+        npy_shards.write_pieces(d, folder, 3)
+    assert not os.path.exists(folder) or os.listdir(folder) == []
+    npy_shards.write_pieces(d.filter("shard_index < 5"), folder, 3)
+    before = {x: (tmp_path / "s" / x).read_bytes() for x in os.listdir(folder)}
+    with pytest.raises(Exception, match="out of range"):
+        npy_shards.write_pieces(d.filter("shard_index >= 5"), folder, 3, resume=True)
+    with pytest.raises(Exception, match="shard_00004"):  # one that is there is not replaced
+        npy_shards.write_pieces(d.filter("shard_index in (4, 6)"), folder, 3, resume=True)
+    assert {x: (tmp_path / "s" / x).read_bytes() for x in os.listdir(folder)} == before
+
+
+def test_resume_demands_a_manifest_that_fits(spark, tmp_path):
+    d = spark.createDataFrame([(i, list(range(i, i + 9))) for i in range(9)], "doc_id long, ids array<int>")
+    flat = [x for i in range(9) for x in range(i, i + 9)]
+    folder = str(tmp_path / "s")
+    npy_shards.write_documents(d, folder, 20, token_budget=75)
+    third = (tmp_path / "s" / "shard_00003.npy").read_bytes()
+    os.remove(f"{folder}/shard_00001.npy")
+    m = npy_shards.write_documents(d, folder, 20, resume=True)  # the missing shard comes again, the last stays
+    assert [r["tokens"] for r in m["shards"]] == [20, 20, 20, 15, 6] and tokens_of(spark, folder) == flat and (tmp_path / "s" / "shard_00003.npy").read_bytes() == third
+    np.save(f"{folder}/shard_00007.npy", np.arange(3, dtype=np.uint16))
+    with pytest.raises(ValueError, match=r"does not list the shards \[7\]"):
+        npy_shards.write_documents(d, folder, 20, resume=True)
+    os.remove(f"{folder}/shard_00007.npy")
+    np.save(f"{folder}/shard_00002.npy", np.arange(3, dtype=np.uint16))
+    with pytest.raises(ValueError, match=r"shards \[2\] have other numbers"):
+        npy_shards.write_documents(d, folder, 20, resume=True)
+    os.remove(f"{folder}/metadata.json")
+    with pytest.raises(ValueError, match="no manifest"):
+        npy_shards.write_documents(d, folder, 20, resume=True)
+
+
+def test_permutations():
+    for n in (1, 2, 3, 10, 97, 1000, 65_537):
+        for epoch in (0, 1, 5):
+            p = permuted(np.arange(n), n, 11, epoch)
+            assert sorted(p) == list(range(n)) and (permuted(p, n, 11, epoch, back=True) == np.arange(n)).all()
+            assert (permuted(np.arange(n)[n // 2 :], n, 11, epoch) == p[n // 2 :]).all()
+    orders = [permuted(np.arange(1000), 1000, s, e) for s in (1, 2) for e in (0, 1)]
+    assert len({tuple(x) for x in orders}) == 4 and all(abs(np.corrcoef(x, np.arange(1000))[0, 1]) < 0.2 and (np.diff(x) == 1).sum() < 20 for x in orders)
+
+
+def test_dataset_over_shards(spark, tmp_path):
+    folder, r = str(tmp_path / "s"), random.Random(1)
+    tokens = [[r.randrange(32768) for _ in range(n)] for n in (100, 37, 5, 80)]
+    npy_shards.write(spark.createDataFrame(list(enumerate(tokens)), "shard_index long, tokens array<int>"), folder, 100)
+    data = TokenDataset(spark, folder, 8, stride=4, val_shard=1, batch=4)
+    wins = lambda s: [(s, w, tokens[s][4 * w : 4 * w + 8], tokens[s][4 * w + 1 : 4 * w + 9]) for w in range(max(0, (len(tokens[s]) - 9) // 4 + 1))]
+    train = wins(0) + wins(2) + wins(3)
+    got = lambda df: [tuple(x)[2:] for x in df.orderBy("step").collect()]
+    assert len(data) == len(train) and data.metadata["total_tokens"] == 222 and got(data.windows()) == train
+    assert got(data.windows("val")) == wins(1) and got(data.windows(steps=7, skip=len(train) - 3)) == train[-3:] + train[:4]
+    order = [[train[i] for i in permuted(np.arange(len(train)), len(train), 5, e)] for e in (0, 1, 2)]
+    assert got(data.windows(steps=3 * len(train), seed=5)) == order[0] + order[1] + order[2] and order[0] != order[1]
+    both = data.train(5, skip_tokens=17, seed=5).orderBy("step").collect()
+    assert [(x["batch_id"], x["slot"]) for x in both] == [(i // 4, i % 4) for i in range(20)] and [tuple(x)[2:6] for x in both] == order[0][2:22]
+    cycle = data.validation(5).orderBy("step").collect()
+    assert [tuple(x)[2:6] for x in cycle] == (wins(1) * 5)[:20]
+    with pytest.raises(ValueError, match="no shard 9"):
+        TokenDataset(spark, folder, 8, val_shard=9)
+    with pytest.raises(FileNotFoundError):
+        TokenDataset(spark, str(tmp_path / "none"), 8)
+    steps, runs = 2 * len(train) + 3, {}
+    for name, stops in (("one", [steps]), ("three", [5, len(train) + 1, steps])):
+        for upto in stops:
+            out = data.stream(upto, seed=5).writeStream.format("parquet").option("path", f"{tmp_path}/{name}").option("checkpointLocation", f"{tmp_path}/{name}-c")
+            out.trigger(availableNow=True).start().awaitTermination()
+        runs[name] = spark.read.parquet(f"{tmp_path}/{name}").orderBy("step").collect()
+    assert runs["one"] == runs["three"] and [x["step"] for x in runs["one"]] == list(range(steps)) and [tuple(x)[2:] for x in runs["one"]] == (order[0] + order[1] + order[2])[:steps]
+
+
+def test_streams_read_no_neighbours(spark, tmp_path):
+    one = lambda i: spark.createDataFrame([(i, f"text {i}")], "doc_id long, text string").coalesce(1)
+    for name, i in (("documents.parquet", 1), ("documents.parquet.old", 99), ("documents.parqueta", 98)):
+        one(i).write.parquet(str(tmp_path / name))
+    part = next(p for p in (tmp_path / "documents.parquet").iterdir() if p.name.endswith(".parquet"))
+    (tmp_path / "single.parquet").write_bytes(part.read_bytes())
+    (tmp_path / "single.parquet2").write_bytes(part.read_bytes())
+    for name, ids in (("documents.parquet", [1]), ("documents.parquet/", [1]), ("single.parquet", [1])):
+        assert [r["doc_id"] for r in streaming.encode_stream(spark, f"{tmp_path}/{name}", MERGES, f"{tmp_path}/out-{name.strip('/').replace('/', '-')}{len(name)}").collect()] == ids
 
 
 def test_streams_go_on_where_they_stopped(spark, tmp_path):
@@ -406,6 +510,11 @@ def test_sql_functions(spark):
     docs(spark).createOrReplaceTempView("texts")
     for r in spark.sql("select text, pretokenize(text) as p, bpe_decode(bpe_encode(text)) as back from texts").collect():
         assert "".join(r["p"]) == (r["text"] or "") == r["back"]
+    t = bpe.Tokenizer(MERGES)
+    docs(spark, [*TEXTS, "a<|eos|> <|bos|>"]).createOrReplaceTempView("texts")
+    assert all(r["ids"] == t.encode(r["text"] or "") for r in spark.sql("select text, bpe_encode(text) as ids from texts").collect())
+    got = spark.sql("select bpe_decode(x) as t from values (array(5 + 255, 5 + 65)), (cast(null as array<int>)), (array(99999, 70)) v(x)").collect()
+    assert [r["t"] for r in got] == ["\ufffdA", None, "?A"]
 
 
 def test_commands(spark, tmp_path, capsys):
