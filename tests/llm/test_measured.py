@@ -17,7 +17,7 @@ from sparkloom.llm import common, language, licences, mixing, near_duplicates, o
 from sparkloom.sources import files
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "labels", "pages", "benchmark", "conversations")
+TABLES = ("documents", "labels", "pages", "benchmark", "conversations", "embeddings")
 
 
 def rows_of(name, sf=SF):
@@ -237,6 +237,53 @@ def test_mix_takes_rows_of_equal_ids_in_part(spark):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_reruns_of_the_mix_agree(spark):
+    """Rows of one id and size that differ in text, rows without an id, and equal rows: whatever the order and the partitions."""
+    rows = [(7, "a", 10, f"t{i:02}") for i in range(30)] + [(None, "a", 10, f"n{i}") for i in range(20)] + [(8, "b", 4, "same")] * 25 + [(9, "b", 4, f"u{i}") for i in range(5)]
+    seen = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(rows)
+        d = spark.createDataFrame(rows, "doc_id long, source string, size long, text string").repartition(seed + 1)
+        got = sorted((r["text"], r["source"], r["taken"]) for r in mixing.mix(d, weights=(1, 1), share=0.5).collect())
+        seen.add(tuple(got))
+        assert len(got) == len(rows) and 0 < sum(x[2] for x in got if x[1] == "a") < 500 and len({x[2] for x in got if x[0] == "same"}) == 2
+    assert len(seen) == 1
+
+
+def test_exact_fits_beyond_the_caps():
+    a = np.array
+    for lengths, counts, target in (([3_000_000, 5_000_000, 7_000_000], [1, 1, 1], 10_000_000), ([1_200_000, 1_700_000, 2_300_000, 900_000], [2] * 4, 3_200_000), ([3_000_001, 5_000_017, 7_000_003], [1, 1, 1], 10_000_004)):
+        whole, extra = mixing.fit(a(lengths), a(counts), target)
+        assert whole == 0 and (a(lengths) * extra).sum() == target
+    r = np.random.default_rng(6)
+    for _ in range(60):
+        lengths, counts = np.unique(r.integers(1, 30, 5)), r.integers(1, 4, 30)
+        counts = counts[: len(lengths)]
+        budget = int(r.integers(0, (lengths * counts).sum() + 5))
+        best = mixing.knapsack(lengths, counts, budget)
+        halves = mixing.by_halves(lengths, counts, budget)
+        assert (halves <= counts).all() and (halves * lengths).sum() == (best * lengths).sum() <= budget
+    assert mixing.by_halves(a([1, 2, 3]), a([2000, 2000, 2000]), 10_000) is None
+
+
+def test_many_accepted_spans_take_linear_time():
+    models, limits = personal_data.trained(600)
+
+    def seconds(n):
+        text = "call 555-123-4567 now or " * n
+        start = time.perf_counter()
+        spans = personal_data.spans_of(text, [], models, (0.0,) * len(limits))
+        return time.perf_counter() - start, spans
+
+    seconds(100)
+    (few, _), (many, spans) = seconds(1000), seconds(8000)
+    assert many < 16 * few + 1
+    by = {}
+    for a, kind, b in spans:
+        by.setdefault(kind, []).append((a, b))
+    assert all(x[1] <= y[0] for own in by.values() for x, y in zip(own, own[1:], strict=False)) and len(spans) >= 8000
+
+
 # ---- licences: every segment and window against every template
 
 
