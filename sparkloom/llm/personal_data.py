@@ -25,6 +25,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -378,9 +379,10 @@ def spans_of(text: str, base: list[tuple[int, int, int]], models: tuple[Trees, T
     taken: dict[int, list[tuple[int, int]]] = {}
     out = list(base)
     for _, (a, kind, b) in good:
-        held = taken.setdefault(kind, [])
-        if all(b <= s or a >= e for s, e in held):
-            held.append((a, b))
+        held = taken.setdefault(kind, [])  # apart from one another, so in order by start and by end
+        i = bisect(held, (a, b))
+        if (not i or held[i - 1][1] <= a) and (i == len(held) or b <= held[i][0]):
+            held.insert(i, (a, b))
             out.append((a, kind, b))
     return sorted(out)
 
