@@ -218,8 +218,8 @@ _WINDOWS = ["left - n + 1 as a", "left as b"]
 
 def decided(equal: DataFrame, threshold: int, scratch: Scratch) -> list[DataFrame]:
     """(c1, c2, a, b, least): of runs, the least id that has the windows at the distances a to b from the anchor, where two ids have them. equal: stored (c1, c2, piece, left, n, lo,
-    hi), a row for each distinct run."""
-    width, out = halves(threshold), []
+    hi), a row for each distinct run; it goes when the first pass has read it."""
+    width, out, held = halves(threshold), [], equal
     rows, whole = equal.select(*_RUN[:-2], F.lit(0).alias("low"), F.lit(width - 1).alias("high")), width == 1
     while True:
         width = max(1, width // 2)
@@ -230,10 +230,12 @@ def decided(equal: DataFrame, threshold: int, scratch: Scratch) -> list[DataFram
         out.append(scratch.keep(stored(marked.filter("not __possible and lo < hi").selectExpr("c1", "c2", *_WINDOWS, "lo as least"), "runs-decided", few=True)))
         stats = halved.groupBy("k1", "k2").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("s1", "s2") for f in (F.min, F.max)]).filter("least < most")
         stats = stats.selectExpr("k1", "k2", "least", "s1_min = s1_max and s2_min = s2_max as same")
-        rows = _packed(marked.filter("__possible").select(*_RUN, "k1", "k2").join(stats, ["k1", "k2"]).drop("k1", "k2"), "halves")
-        out.append(scratch.keep(stored(rows.filter("same").selectExpr("c1", "c2", *_WINDOWS, "least"), "runs-decided", few=True)))
-        rows = rows.filter("not same").select(*_RUN)
-        _free(equal)
+        last, held = held, _packed(marked.filter("__possible").select(*_RUN, "k1", "k2").join(stats, ["k1", "k2"]).drop("k1", "k2"), "halves")
+        scratch.drop(several, last)
+        out.append(scratch.keep(stored(held.filter("same").selectExpr("c1", "c2", *_WINDOWS, "least"), "runs-decided", few=True)))
+        rows = held.filter("not same").select(*_RUN)
+        del halved, marked, stats
+        _free(held)
         if width == 1 or rows.isEmpty():
             return out
 
