@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -81,21 +81,30 @@ def param_count() -> Column:
     return F.expr("cast(vocab_size as bigint) * d_model + n_layers * (2L * d_model * d_model + 2L * d_model * (d_model div n_heads) * n_kv_heads + 3L * d_model * d_ff) + (2 * n_layers + 1) * d_model")
 
 
-def causal_attention(rows: DataFrame, id_col: str, vector: str, context: int, heads: int, kv_heads: int) -> DataFrame:
+def causal_attention(rows: DataFrame, id_col: str, vector: str, context: int, heads: int, kv_heads: int, block: int = 64) -> DataFrame:
     """(id, head, out): each row attends to the rows of its context (ids in runs of `context`) up to itself. Query heads are slices of
-    the vector; consecutive ones share a slice as key and value. A context bounds what is gathered for a row."""
+    the vector; consecutive ones share a slice as key and value.
+
+    Keys are gathered in blocks of `block` rows. A query and a block give a part: the greatest score, the sum of the weights relative to it,
+    and the sum of the weighed values. Parts merge by sums after scaling to the greatest of their greatest scores, so nothing grows with the
+    context but the number of a query's parts, which is that of blocks."""
     x, width = doubles(F.col(vector)), F.expr(f"cast(size({vector}) div {heads} as int)")
-    base = rows.select(F.col(id_col).alias("id"), F.expr(f"{id_col} div {context}").alias("context"), x.alias("x"), width.alias("width"))
+    base = rows.select(F.col(id_col).alias("id"), F.expr(f"{id_col} div {context}").alias("context"), F.expr(f"{id_col} % {context} div {block}").alias("block"), x.alias("x"), width.alias("width"))
+    keys = base.groupBy("context", F.col("block").alias("of")).agg(F.collect_list(F.struct(F.col("id").alias("key"), "x")).alias("keys"))  # `block` rows at most, but for repeated ids
     head = F.explode(F.sequence(F.lit(0), F.lit(heads - 1))).alias("head")
-    q = base.select("id", "context", "width", head, "x").withColumn("q", F.slice("x", F.col("head") * F.col("width") + 1, F.col("width"))).drop("x")
-    k = base.select(F.col("id").alias("key"), "context", "x")
-    shared = F.slice("x", F.expr(f"cast(head div {heads // kv_heads} as int)") * F.col("width") + 1, F.col("width"))
-    pairs = q.join(k, "context").filter("key <= id").select("id", "head", "width", "q", "key", shared.alias("v"))
-    score = total(F.zip_with("q", "v", lambda a, b: a * b)) / F.sqrt("width")
-    seen = pairs.groupBy("id", "head").agg(F.array_sort(F.collect_list(F.struct("key", score.alias("s"), "v"))).alias("seen"), F.first("width").alias("width"))
-    weighed = seen.withColumn("e", F.transform("seen", lambda r: F.exp(r["s"] - F.array_max(F.col("seen")["s"]))))
-    part = lambda i: total(F.zip_with("seen", "e", lambda r, e: F.get(r["v"], i) * e)) / total(F.col("e"))
-    return weighed.select("id", "head", F.transform(F.sequence(F.lit(0), F.col("width") - 1), part).alias("out"))
+    both = base.join(keys, "context").filter("of <= block").select("id", "width", "x", "keys", head)
+    own = lambda v, h: F.slice(v, h * F.col("width") + 1, F.col("width"))
+    shared = F.expr(f"cast(head div {heads // kv_heads} as int)")
+    seen = F.transform(F.filter("keys", lambda k: k["key"] <= F.col("id")), lambda k: own(k["x"], shared))
+    scored = both.select("id", "head", "width", own(F.col("x"), F.col("head")).alias("q"), seen.alias("v")).filter("size(v) > 0")
+    scored = scored.withColumn("s", F.transform("v", lambda v: total(F.zip_with("q", v, lambda a, b: a * b)) / F.sqrt("width")))
+    scored = scored.withColumn("m", F.array_max("s")).withColumn("e", F.transform("s", lambda s: F.exp(s - F.col("m"))))
+    part = F.aggregate(F.arrays_zip("v", "e"), F.transform("q", lambda _: F.lit(0.0)), lambda acc, x: F.zip_with(acc, x["v"], lambda a, v: a + v * x["e"]))
+    parts = scored.select("id", "head", "m", total(F.col("e")).alias("sum"), part.alias("o"))
+    scaled = parts.withColumn("f", F.exp(F.col("m") - F.max("m").over(Window.partitionBy("id", "head"))))
+    merged = scaled.select("id", "head", (F.col("sum") * F.col("f")).alias("sum"), F.posexplode(F.transform("o", lambda v: v * F.col("f"))).alias("i", "v"))
+    values = merged.groupBy("id", "head", "i").agg((F.sum("v") / F.sum("sum")).alias("v"))
+    return values.groupBy("id", "head").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("out"))  # a vector's numbers
 
 
 def adamw_first_step(param: Column, grad: Column, lr: float, decay: float, eps: float = 1e-8) -> Column:

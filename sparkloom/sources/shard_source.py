@@ -150,12 +150,15 @@ class PieceWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         """The manifest, with what it listed before, is written when all shards have their names: one record a shard."""
-        records = {}
-        if any(name == "metadata.json" for name, _ in names(self.folder)):
+        records, there = {}, {name for name, _ in names(self.folder)}
+        if "metadata.json" in there:
             with opened(f"{self.folder}/metadata.json") as f:
                 records = {r["index"]: r for r in json.load(f)["shards"]}
         try:
-            for index, n, size, name in sorted(x for m in messages if m for x in m.files):
+            new = sorted(x for m in messages if m for x in m.files)
+            if replaced := [file_name(x[0]) for x in new if file_name(x[0]) in there]:
+                raise FileExistsError(f"{self.folder} has {replaced[0]}; shards are never overwritten")
+            for index, n, size, name in new:
                 moved(f"{self.own}/{name}", f"{self.folder}/{file_name(index)}")
                 records[index] = {"index": index, "filename": file_name(index), "tokens": n, "size_mb": round(size / 1e6, 2)}
         finally:

@@ -283,6 +283,20 @@ def test_kernels(spark):
     assert got == {"25m": 27_791_872, "125m": 128_994_048, "350m": 316_720_128}
 
 
+@pytest.mark.parametrize("context,block", [(96, 7), (96, 96), (10, 64)])
+def test_attention_by_parts(spark, context, block):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(200, 8)) * 3
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, x array<double>").repartition(3)
+    got = {(y["id"], y["head"]): y["out"] for y in kernels.causal_attention(d, "i", "x", context, 4, 2, block).collect()}
+    for i in range(200):
+        for h in range(4):
+            keys = x[i // context * context : i + 1, h // 2 * 2 : h // 2 * 2 + 2]
+            s = keys @ x[i, 2 * h : 2 * h + 2] / np.sqrt(2)
+            w = np.exp(s - s.max())
+            assert np.allclose(got[i, h], (w[:, None] * keys).sum(0) / w.sum())
+
+
 def tokens_of(spark, folder):
     return [x for r in npy_shards.read(spark, folder).orderBy("shard_index").collect() for x in r["tokens"]]
 
