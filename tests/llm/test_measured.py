@@ -3,6 +3,8 @@
 import random
 import re
 import time
+import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from math import comb, log2
 
@@ -427,6 +429,30 @@ def test_phrases_against_longest_matches():
             assert language.phrases(m.tables[0], codes, starts, ends, block, 5).tolist() == [longest_matches(train, t) for t in texts]
 
 
+def test_verdicts_by_plain_parsing(spark):
+    """The whole query: the language whose training text parses a cleaned text with the fewest bits, its lead over the next, and who is held out."""
+    rows = rows_of("documents")
+    held = lambda r: r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    train = language.training_text(d.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", "text", "lang"))
+    assert train.keys() == {r["lang"] for r in rows if r["lang"] and not held(r)}
+
+    def plain(text):
+        letters = "".join(c if unicodedata.category(c).startswith("L") else " " for c in (text or "").lower())
+        return " ".join(letters.split(" ")).strip() and " ".join(letters.split())
+
+    got = {r["doc_id"]: r for r in queries.op9_cross_parsing(spark, SF).collect()}
+    assert got.keys() == {r["doc_id"] for r in rows}
+    for r in rows:
+        text, mine = plain(r["text"]), got[r["doc_id"]]
+        assert mine["held_out"] == held(r)
+        if not text:
+            assert (mine["lang_pred"], mine["score"]) == ("und", 0.0)
+            continue
+        cost = sorted((longest_matches(train[k], text) * log2(len(train[k])) / len(text), k) for k in train)
+        assert mine["lang_pred"] == cost[0][1] and abs(mine["score"] - (1 - cost[0][0] / cost[1][0])) < 1e-9
+
+
 def test_large_alphabets(spark):
     r = random.Random(4)
     one, two = [[chr(a + r.randrange(2500)) + chr(a + r.randrange(2500)) for _ in range(400)] for a in (0x4E00, 0x4E00 + 2000)]
