@@ -127,19 +127,19 @@ def learn_merges(words: Iterable[tuple[str, int]], n_merges: int, min_freq: int
 
 #: Distinct pre-tokens up to which the merge loop runs on the driver (about 1 KB each); with more it runs on the cluster.
 DRIVER_WORDS = 2_000_000
-#: Merges after which the cluster's word table is written anew.
-CUT_EVERY = 16
 
 
 def train(docs: DataFrame, vocab_size: int = MAX_VOCAB, min_freq: int = 2, driver_words: int = DRIVER_WORDS) -> list[tuple[int, int]]:
     """Counting words is distributed. Merges depend on one another: up to `driver_words` distinct words the loop runs on the driver with an
-    index; beyond that each merge is one aggregation over the words' table, with the same merges as result."""
+    index; beyond that they are learned on the cluster (learning.py), with the same merges as result."""
+    from sparkloom.operators import learning
+
     if not FIRST_MERGE < vocab_size <= MAX_VOCAB:
         raise ValueError(f"vocab_size must lie in {FIRST_MERGE + 1} to {MAX_VOCAB}")
     freq = stored(pretoken_freq(docs), "bpe-words")
     if freq.count() <= driver_words:
         return learn_merges(((r["word"], r["freq"]) for r in freq.toLocalIterator()), vocab_size - FIRST_MERGE, min_freq)
-    return learn_distributed(freq, vocab_size - FIRST_MERGE, min_freq)
+    return learning.learn(freq, vocab_size - FIRST_MERGE, min_freq)
 
 
 def apply_merge(ids: Column, pair: tuple[int, int], new: int) -> Column:
@@ -153,21 +153,6 @@ def apply_merge(ids: Column, pair: tuple[int, int], new: int) -> Column:
     return F.transform(F.array(ids), joined)[0]
 
 
-def learn_distributed(freq: DataFrame, n_merges: int, min_freq: int = 2) -> list[tuple[int, int]]:
-    """learn_merges() over a table (word, freq) that stays on the cluster: per merge an aggregation of pairs, of which one row comes back."""
-    words = stored(freq.select(word_ids(F.col("word")).alias("ids"), "freq").filter("size(ids) > 1"), "bpe-sequences")
-    merges: list[tuple[int, int]] = []
-    while len(merges) < n_merges:
-        best = best_pair(pair_counts(words)).collect()
-        if not best or best[0]["n"] < min_freq:
-            break
-        merges.append((best[0]["a"], best[0]["b"]))
-        words = words.select(apply_merge(F.col("ids"), merges[-1], FIRST_MERGE + len(merges) - 1).alias("ids"), "freq").filter("size(ids) > 1")
-        if len(merges) % CUT_EVERY == 0:
-            words = stored(words, "bpe-sequences")
-    return merges
-
-
 def vocabulary(merges: list[tuple[int, int]]) -> dict[int, bytes]:
     vocab = {i: s.encode() for s, i in SPECIALS.items()} | {BYTE_OFFSET + b: bytes([b]) for b in range(256)}
     for k, (a, b) in enumerate(merges):

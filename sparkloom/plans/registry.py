@@ -214,24 +214,31 @@ def tokenizer_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.vocab_table(spark, bpe.load(bpe.save(MERGES, new_folder(spark, "tokenizer")))).select("token_id", F.lower(F.hex("token")).alias("token_hex"))
 
 
-_LEARNED = 4
+_LEARNED, _INDEXED = 4, 32
 
 
-def _learned_sql() -> str:
+def _learned_sql(n: int) -> str:
     """The first merges, each from pair counts over the words as the merges before have left them."""
     steps = [f"s0 as materialized (select freq, array_to_string(list_transform({HEX_IDS}, lambda i: chr(i + 256)), '') as s from ({FREQ_SQL}))"]
-    for k in range(_LEARNED):
+    for k in range(n):
         steps.append(f"p{k} as materialized (select s[i] as a, s[i + 1] as b, sum(freq) as n from (select s, freq, unnest(range(1, length(s))) as i from s{k}) group by 1, 2 order by n desc, unicode(s[i]) desc, unicode(s[i + 1]) desc limit 1)".replace("unicode(s[i])", "unicode(a)").replace("unicode(s[i + 1])", "unicode(b)"))
         steps.append(f"s{k + 1} as materialized (select freq, replace(s, (select a || b from p{k}), chr({FIRST_MERGE + k + 256})) as s from s{k})")
-    return "with " + ", ".join(steps) + " " + " union all ".join(f"select {k} as rank, unicode(a) - 256 as left_id, unicode(b) - 256 as right_id from p{k}" for k in range(_LEARNED))
+    return "with " + ", ".join(steps) + " " + " union all ".join(f"select {k} as rank, unicode(a) - 256 as left_id, unicode(b) - 256 as right_id from p{k}" for k in range(n))
 
 
-@query(_learned_sql())
+@query(_learned_sql(_LEARNED))
 def learned_merges(spark: SparkSession, sf: str) -> DataFrame:
     merges = bpe.train(docs(spark, sf), FIRST_MERGE + _LEARNED)
     return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank int, left_id int, right_id int")
 
 
+@query(_learned_sql(_INDEXED))
+def learned_merges_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Merges learned on the cluster, whatever the number of words."""
+    merges = bpe.train(docs(spark, sf), FIRST_MERGE + _INDEXED, driver_words=0)
+    return spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(merges)], "rank int, left_id int, right_id int")
+
+
 # ---- running BPE
 
 
