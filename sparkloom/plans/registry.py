@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import tables
 from sparkloom.functions.merges import MERGES
 from sparkloom.functions.patterns import FIRST_MERGE, SPECIALS, WS, special_pattern
 from sparkloom.functions.permutation import permuted_sql
@@ -344,6 +345,14 @@ def training_windows(spark: SparkSession, sf: str) -> DataFrame:
     return _digested(_windows(spark, sf))
 
 
+@query(_digest_sql(wins_sql(STRIDE)))
+def sql_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows by a table function over pieces, a shard a partition."""
+    tables.register(spark)
+    shards.pieces(_encoded(spark, sf), SHARD).createOrReplaceTempView("sparkloom_pieces")
+    return _digested(spark.sql(f"select * from token_windows(table(sparkloom_pieces) partition by shard_index order by (low), {LENGTH}, {STRIDE})"))
+
+
 @query(_digest_sql(wins_sql(STRIDE)))
 def overlapping_windows(spark: SparkSession, sf: str) -> DataFrame:
     return _digested(_windows(spark, sf, STRIDE))
