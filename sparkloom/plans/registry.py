@@ -13,7 +13,7 @@ from sparkloom.functions.merges import MERGES
 from sparkloom.functions.patterns import FIRST_MERGE, SPECIALS, WS, special_pattern
 from sparkloom.functions.permutation import permuted_sql
 from sparkloom.operators import bpe, documents, kernels, model, ordered, shards
-from sparkloom.sources import configs, corpus_text, npy_shards, safetensors, shard_source, training_log
+from sparkloom.sources import configs, corpus_text, npy_shards, safetensors, shard_source, text_pieces, training_log
 from sparkloom.sources.files import new_folder, stored
 from sparkloom.sources.token_dataset import TokenDataset
 from sparkloom.streaming import encode as streaming
@@ -728,6 +728,15 @@ def corpus_dump_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_text.read_delimited(spark, folder).groupBy(F.md5(F.encode("text", "UTF-8")).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"select len(ids)::bigint as tokens, list_sum(list_transform(ids, lambda x, i: x::bigint * i))::bigint as checksum from ({ENC_SQL})")
+def long_text_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents from plain-text files that are read and encoded in pieces: a checksum of each document's ids in their order."""
+    folder = new_folder(spark, "dump")
+    corpus_text.dump(docs(spark, sf).select(F.coalesce("text", F.lit("")).alias("text")), folder)
+    pieces = text_pieces.read_pieces(spark, folder, task_bytes=1 << 23, piece_bytes=1 << 16)
+    return text_pieces.document_sums(text_pieces.encode_pieces(pieces, MERGES)).select("tokens", "checksum")
+
+
 _LOG_SQL = "select event_id as step, case when event_id % 97 = 5 then 'nan'::double else value end as loss, case when event_id % 10 = 0 then value / 2 end as val_loss, 'x' as ts from events"
 
 
