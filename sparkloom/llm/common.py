@@ -33,12 +33,12 @@ def _bits(key: str) -> list[Column]:
 
 
 def bit_table(keys: DataFrame, key: str, most: int = TABLE_KEYS) -> tuple[int, DataFrame] | None:
-    """A Bloom filter over a stored table's keys, in blocks of 4096 bits, 16 bits a key: its number of blocks and its rows; None for more
-    than `most` keys."""
+    """A Bloom filter over a stored table's keys, in blocks of 4096 bits, 16 bits a key, fewer beyond TABLE_KEYS: its number of blocks and its rows; None for
+    more than `most` keys."""
     n = keys.count()
     if n > most:
         return None
-    blocks = 1 << max(0, (n * 16 // _BLOCK_BITS - 1).bit_length())
+    blocks = 1 << max(0, (min(n, TABLE_KEYS) * 16 // _BLOCK_BITS - 1).bit_length())
     bit = F.expr("shiftleft(1L, cast(p % 64 as int))").alias("bit")
     marks = keys.select(F.pmod(F.xxhash64(F.lit(7), key), F.lit(blocks)).alias("__block"), F.explode(F.array(*_bits(key))).alias("p")).select("__block", F.expr("cast(p div 64 as int)").alias("w"), bit)
     by = marks.groupBy("__block", "w").agg(F.bit_or("bit").alias("bits")).groupBy("__block").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("by"))  # 64 words a block

@@ -8,8 +8,9 @@ and what all windows of a half have in common is longer each time, up to the who
 their run before they differ in their buckets.
 
 1. Texts that are equal to one of a smaller id go at once, so only one text of each group of exact copies is sorted.
-2. First pass: grams by the number of texts that hold one. What no other text has stays out; a bit table of grams (BITS a gram, up to TABLE_KEYS
-   of them, beyond which a join takes its place) tells that while the texts are read again.
+2. First pass: grams by the number of texts that hold one. What no other text has stays out; a bit table of grams (BITS a gram, fewer from 128 MB
+   on) tells that while the texts are read again, so no run is shuffled for it. Grams that a table can't hold at LEAST_BITS go to further tables, and
+   the texts are read once for each. What a table takes for shared by mistake goes when runs are counted by gram.
 3. A gram all of whose runs are equal is decided: the least id of its runs is that of each of their windows. Other equal runs are counted once, with their least and
    greatest id.
 4. Further passes over these, as above. A bucket with a single run, or whose runs agree in all of their windows, is decided as a whole.
@@ -31,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
@@ -41,7 +43,12 @@ from .common import TABLE_KEYS, Scratch, bit_table, new_folder, possible, stored
 THRESHOLD = 50
 #: Bytes that a task looks at together (some 100 bytes of memory for each).
 BLOCK = 1 << 20
-BITS, PROBES = 16, 4
+#: Bits of a table for each gram, at least so many once it has its largest size, and those that a gram sets, all in one word.
+BITS, LEAST_BITS, PROBES = 16, 6, 4
+#: Grams of one table (128 MB; tasks hold one table at a time), and the number of tables, beyond which a gram gets fewer bits.
+TABLE_GRAMS, TABLES = 178_000_000, 16
+#: Words of a table that are put together at once.
+CHUNK = 1 << 12
 SPANS = ArrayType(StructType().add("start", LongType()).add("end", LongType()))
 
 
@@ -137,47 +144,67 @@ def shared_grams(texts: DataFrame, threshold: int) -> DataFrame:
     return texts.select("bytes").mapInArrow(run, "gram bigint, n int").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram")
 
 
-def _probes(gram: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+def _word_and_bits(gram: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """A gram's word among so many, from the lower half of its hash (anchors are least by the upper one), and its bits there."""
     h = gram.view(np.uint64)
+    bits = np.zeros(len(h), np.uint64)
     for k in range(PROBES):
-        yield (h + np.uint64(k) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)
+        bits |= np.uint64(1) << (h >> np.uint64(32 + 6 * k) & np.uint64(63))
+    return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(words) >> np.uint64(32)).astype(np.int64), bits
 
 
-def gram_table(grams: DataFrame, most: int) -> np.ndarray | None:
-    """A Bloom filter over a stored table of grams, as 64-bit words: 32 MB at most; None for more than `most` grams."""
+def gram_tables(grams: DataFrame, most: int) -> tuple[int, DataFrame, int]:
+    """A Bloom filter over a stored table of grams: the words of one of its tables, (chunk, words) of all of them, stored, and the number of tables. A table
+    takes `most` grams at LEAST_BITS."""
     n = grams.count()
-    if n > most:
-        return None
-    bits = 1 << max(6, (n * BITS - 1).bit_length())
+    tables = min(TABLES, max(1, -(-n // max(1, most))))
+    words = max(1, min(-(-n // tables) * BITS, most * LEAST_BITS) // 64)
+    words = -(-words // CHUNK) * CHUNK if words > CHUNK else words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g = batch.column("gram").to_numpy(zero_copy_only=False)
-            for p in _probes(g, bits):
-                yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], ["word", "bit"])
-
-    words = np.zeros(bits // 64, np.int64)
-    for batch in grams.mapInArrow(run, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():  # a row a word
-        words[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
-    return words
+            word, bits = _word_and_bits(batch.column("gram").to_numpy(zero_copy_only=False), words * tables)
+            yield pa.RecordBatch.from_arrays([pa.array((word // CHUNK).astype(np.int32)), pa.array((word % CHUNK).astype(np.int32)), pa.array(bits.view(np.int64))], ["chunk", "word", "bits"])
+
+    def packed(chunk: pa.Table) -> pa.Table:
+        out = np.zeros(CHUNK, np.int64)
+        np.bitwise_or.at(out, chunk.column("word").to_numpy(), chunk.column("bits").to_numpy())
+        return pa.table({"chunk": chunk.column("chunk")[:1], "words": pa.array([out.tobytes()], pa.binary())})
+
+    marks = grams.mapInArrow(run, "chunk int, word int, bits bigint")
+    return words, stored(marks.groupBy("chunk").applyInArrow(packed, "chunk int, words binary"), "gram-table", few=True), tables
+
+
+def occurrences(texts: DataFrame, grams: DataFrame, threshold: int, most: int = TABLE_GRAMS) -> DataFrame:
+    """The runs of windows whose gram is shared, and a few others: doc_id and h of the text, start (of the first window), left (its distance to the anchor), n (windows), gram, piece
+    (all bytes of its windows)."""
+    words, chunks, tables = gram_tables(grams, most)
+    out = None
+    for k in range(tables):
+        low = k * words
+        table = np.zeros(words, np.int64)
+        for row in chunks.filter(F.col("chunk").between(low // CHUNK, (low + words - 1) // CHUNK)).toLocalIterator():  # a few files at a time
+            at = row["chunk"] * CHUNK
+            a, b = max(at, low), min(at + CHUNK, low + words)
+            table[a - low : b - low] = np.frombuffer(row["words"], np.int64)[a - at : b - at]
+        part = _occurrences(texts, texts.sparkSession.sparkContext.broadcast(table), low, words * tables, threshold)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def occurrences(texts: DataFrame, grams: DataFrame, threshold: int, most: int = TABLE_KEYS) -> DataFrame:
-    """The runs of windows whose gram is shared: doc_id and h of the text, start (of the first window), left (its distance to the anchor), n (windows), gram, piece (all
-    bytes of its windows)."""
-    table = gram_table(grams, most)
-    held = None if table is None else texts.sparkSession.sparkContext.broadcast(table)
+def _occurrences(texts: DataFrame, held: Broadcast, low: int, words: int, threshold: int) -> DataFrame:
+    """Of the runs those whose gram is in this table, which has the words from low on, of so many of all tables."""
     kind = dict(texts.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value.view(np.uint64)
         for batch in batches:
             for data, ends, rows, bases in _blocks(batch.column("bytes"), threshold):
                 piece, first, n, left, gram = runs(data, ends, threshold)
-                if held is not None:
-                    words, keep = held.value.view(np.uint64), np.ones(len(gram), bool)
-                    for p in _probes(gram, 64 * len(words)):
-                        keep &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)) == 1
-                    piece, first, n, left, gram = (x[keep] for x in (piece, first, n, left, gram))
+                word, bits = _word_and_bits(gram, words)
+                own = np.flatnonzero((word >= low) & (word < low + len(table)))
+                keep = own[table[word[own] - low] & bits[own] == bits[own]]
+                piece, first, n, left, gram = (x[keep] for x in (piece, first, n, left, gram))
                 lengths = n + threshold - 1
                 upto = np.concatenate([[0], np.cumsum(lengths)])
                 own = data[np.repeat(first - upto[:-1], lengths) + np.arange(upto[-1])]
@@ -186,8 +213,7 @@ def occurrences(texts: DataFrame, grams: DataFrame, threshold: int, most: int =
                 start = bases[piece] + first - np.concatenate([[0], ends[:-1]])[piece]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("h").take(row), pa.array(start, pa.int64()), pa.array(left, pa.int32()), pa.array(n, pa.int32()), pa.array(gram), held_bytes], ["doc_id", "h", "start", "left", "n", "gram", "piece"])
 
-    out = texts.select("doc_id", "h", "bytes").mapInArrow(run, f"doc_id {kind}, h bigint, start bigint, left int, n int, gram bigint, piece binary")
-    return out if held is not None else out.join(grams, "gram", "left_semi")
+    return texts.select("doc_id", "h", "bytes").mapInArrow(run, f"doc_id {kind}, h bigint, start bigint, left int, n int, gram bigint, piece binary")
 
 
 # ---- further passes
@@ -226,7 +252,7 @@ def decided(equal: DataFrame, threshold: int, scratch: Scratch) -> list[DataFram
         halved = _of_half(rows if whole else _split(rows), threshold)
         # a bucket of one run needs no join: a bit table of the others tells it
         several = stored(halved.groupBy("k1").agg(F.count(F.lit(1)).alias("runs")).filter("runs > 1").select("k1"), "buckets", few=True)
-        marked = possible(halved, "k1", bit_table(several, "k1"))
+        marked = possible(halved, "k1", bit_table(several, "k1", 4 * TABLE_KEYS))
         out.append(scratch.keep(stored(marked.filter("not __possible and lo < hi").selectExpr("c1", "c2", *_WINDOWS, "lo as least"), "runs-decided", few=True)))
         stats = halved.groupBy("k1", "k2").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("s1", "s2") for f in (F.min, F.max)]).filter("least < most")
         stats = stats.selectExpr("k1", "k2", "least", "s1_min = s1_max and s2_min = s2_max as same")
@@ -280,7 +306,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn(_KEY, F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("h").cast("string")))
 
 
-def repeats(docs: DataFrame, threshold: int = THRESHOLD, carry: list[str] | None = None, id_col: str = "doc_id", text: str = "text", most: int = TABLE_KEYS) -> DataFrame:
+def repeats(docs: DataFrame, threshold: int = THRESHOLD, carry: list[str] | None = None, id_col: str = "doc_id", text: str = "text", most: int = TABLE_GRAMS) -> DataFrame:
     """A row for each row of docs: the columns of `carry` (by default the id) with n_bytes, spans (what is removed: maximal runs of bytes, end exclusive) and kept (the
     remaining bytes). A byte is removed if a window of `threshold` bytes covers it that also starts in a text of a smaller id."""
     if threshold < 1:
@@ -308,20 +334,29 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, carry: list[str] | None
         by_gram = stored(by_gram.selectExpr("gram", "least", "x = y as alone"), "gram-runs", few=True)
         several = stored(by_gram.filter("not alone").select("gram"), "grams-of-runs", few=True)
         _free(several)
-        some = possible(found, "gram", bit_table(several, "gram")).filter("__possible")
+        marked = possible(found, "gram", bit_table(several, "gram", 4 * TABLE_KEYS))
+        some = marked.filter("__possible")
         equal = some.groupBy("c1", "c2").agg(*[F.first(c).alias(c) for c in ("piece", "left", "n")], F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
         equal = _packed(equal, "distinct-runs")
         _free(equal)
+        # what the table takes for one of several grams by mistake is decided with those; from here on only places are held, no bytes
+        place = ["doc_id", "h", "start"]
+        alone = marked.filter("not __possible").select(*place, "n", "gram").join(by_gram.filter("alone").select("gram", "least"), "gram").filter("least < doc_id")
+        alone = stored(alone.select(*place, (F.col("start") + F.col("n") - 1 + threshold).alias("end")), "spans-alone", few=True)
+        places = _packed(some.select(*place, "left", "c1", "c2"), "places")
+        del marked, some
+        scratch.drop(found, by_gram, several)
+        _free(alone)
         parts = decided(equal, threshold, scratch)
         both = parts[0]
         for part in parts[1:]:
             both = both.unionByName(part)
-        place = ["doc_id", "h", "start", "left"]
-        hits = some.select(*place, "c1", "c2").join(both, ["c1", "c2"]).filter("least < doc_id")
         anchor = F.col("start") + F.col("left")
-        spans = hits.select("doc_id", "h", F.struct((anchor - F.col("b")).alias("start"), (anchor - F.col("a") + threshold).alias("end")).alias("span"))
-        alone = found.select("doc_id", "h", "start", "n", "gram").join(by_gram.filter("alone").select("gram", "least"), "gram").filter("least < doc_id")
-        spans = spans.unionByName(alone.select("doc_id", "h", F.struct("start", (F.col("start") + F.col("n") - 1 + threshold).alias("end")).alias("span")))
+        hits = places.join(both, ["c1", "c2"]).filter("least < doc_id")
+        hits = stored(hits.select("doc_id", "h", (anchor - F.col("b")).alias("start"), (anchor - F.col("a") + threshold).alias("end")), "spans-several", few=True)
+        scratch.drop(places, *parts)
+        _free(hits)
+        spans = hits.unionByName(alone).select("doc_id", "h", F.struct("start", "end").alias("span"))
         by_text = spans.groupBy("doc_id", "h").agg(F.collect_list("span").alias("spans"))  # no more than a text has runs
         by_text = scratch.keep(stored(_keyed(_merged(by_text, kind)).select(_KEY, "spans"), "spans", few=True))
         _free(by_text)

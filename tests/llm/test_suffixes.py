@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,33 @@ def test_windows(spark, threshold, letters, most, monkeypatch):
     assert found(suffixes.repeats(d, threshold, most=most)) == plain(rows, threshold)
 
 
+@pytest.mark.parametrize("tables", [1, 3])
+def test_more_grams_than_a_table_holds(spark, tables, monkeypatch):
+    """Runs are told apart where the texts are read, however many grams there are: no run is shuffled for it, few come by mistake and none is lost."""
+    monkeypatch.setattr(suffixes, "CHUNK", 4, raising=False)
+    r = random.Random(1)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = [word(300) for _ in range(20)]
+    texts = [r.choice(shared) + word(600) for _ in range(80)]
+    d = spark.createDataFrame([(i, i, t.encode()) for i, t in enumerate(texts)], "doc_id long, h long, bytes binary")
+    grams = suffixes.stored(suffixes.shared_grams(d, 50), "grams")
+    known = {g["gram"] for g in grams.collect()}
+    runs = suffixes.occurrences(d, grams, 50, most=-(-len(known) // tables))
+    assert "Exchange" not in runs._jdf.queryExecution().executedPlan().toString()
+    place = lambda df: sorted((x["doc_id"], x["start"], x["n"], x["left"], bytes(x["piece"])) for x in df.collect())
+    everything = suffixes.occurrences(d, grams, 50, most=0)
+    right = place(everything.filter(F.col("gram").isin(*known)))
+    assert right and place(runs.filter(F.col("gram").isin(*known))) == right
+
+    def all_runs(batches):
+        for batch in batches:
+            for data, ends, _, _ in suffixes._blocks(batch.column("bytes"), 50):
+                yield pa.RecordBatch.from_arrays([pa.array(suffixes.runs(data, ends, 50)[4])], ["gram"])
+
+    wrong, others = (x.filter(~F.col("gram").isin(*known)).count() for x in (runs, d.select("doc_id", "h", "bytes").mapInArrow(all_runs, "gram long")))
+    assert others > 2000 and wrong < 0.15 * others
+
+
 @pytest.mark.parametrize("threshold", [1, 2, 3, 20])
 def test_short_windows(spark, threshold):
     rows = rows_of(threshold, "abcdefghijklmnopqrstuvwxyz 0123456789", 8, 4)
